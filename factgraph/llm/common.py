@@ -63,3 +63,12 @@ def attach(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, he
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def range_bounds(keys: DataFrame, key: str, tasks: int) -> list:
+    """At most ``tasks - 1`` ascending bounds that deal the keys out evenly; a sketch that tasks merge, not a sort."""
+    if tasks < 2:
+        return []
+    parts = [k / tasks for k in range(1, tasks)]
+    row = keys.agg(F.percentile_approx(key, parts, 20_000).alias("b")).first()
+    return sorted(set(row["b"] or []))

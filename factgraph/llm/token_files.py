@@ -16,11 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, workspace, written
+from .common import filesystem, range_bounds, remove, workspace, written
 from .tokens import encoder, slices
 
 MAGIC, BLOCK, STEP, MAX_BITS = b"HUFTOK1\n", 1 << 16, 128, 18
@@ -80,32 +82,33 @@ class Coder:
         self.table[:fill], self.sizes[:fill] = np.repeat(used, spans), np.repeat(lengths[used].astype(np.int64), spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bit string and the bit offset of every ``STEP``-th id."""
+        """The bit string, filled up to 32 bits, and the bit offset of every ``STEP``-th id."""
         size = self.lengths[ids].astype(np.int64)
         begin = np.cumsum(size) - size
         shifted = self.codes[ids] << (64 - (begin & 31) - size).astype(np.uint64)
-        word, words = begin >> 5, int((begin[-1] + size[-1] + 31) >> 5) + 1
+        word, words = begin >> 5, int((begin[-1] + size[-1] + 31) >> 5)
         # Codes don't overlap, so sums of 32-bit halves are exact as floats.
-        out = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), words)
-        out += np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words)[:words] if words > word[-1] + 1 else 0
-        return out.astype(np.uint64).astype(">u4").tobytes(), begin[::STEP].astype("<u4")
+        out = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), words + 1)
+        out += np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words + 1)[: words + 1]
+        return out[:words].astype(np.uint64).astype(">u4").tobytes(), begin[::STEP].astype("<u4")
 
-    def decode(self, data: bytes, n: int, offsets: np.ndarray) -> np.ndarray:
-        words = np.concatenate([np.frombuffer(data, ">u4").astype(np.uint64), np.zeros(2 + STEP, np.uint64)])
+    def decode(self, data: bytes, counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """All ids of a block: ``offsets`` of its stretches in bits, ``counts`` of ids in each (``STEP`` at most)."""
+        words = np.concatenate([np.frombuffer(data, ">u4").astype(np.uint64), np.zeros(2, np.uint64)])
         pairs = (words[:-1] << np.uint64(32)) | words[1:]
         at, out = offsets.astype(np.int64), np.empty((STEP, len(offsets)), np.uint32)
         top, shift = len(pairs) - 1, np.uint64(64 - self.bits)
-        for k in range(STEP):
+        for k in range(int(counts.max(initial=0))):
             window = (pairs[np.minimum(at >> 5, top)] << (at & 31).astype(np.uint64)) >> shift
             out[k] = self.table[window]
             at = at + self.sizes[window]
-        return out.T.reshape(-1)[:n]
+        return out.T[np.arange(STEP) < counts[:, None]]
 
 
 class FileWriter:
-    """One file; ``add`` documents, then ``close``."""
+    """One file of coded documents; ``add`` them, then ``close``."""
 
-    def __init__(self, folder: str, name: str, coder: Coder):
+    def __init__(self, folder: str, name: str, lengths: np.ndarray):
         self.fs, root = filesystem(folder)
         context = TaskContext.get()
         attempt = context.taskAttemptId() if context else 0
@@ -113,34 +116,37 @@ class FileWriter:
         self.fs.create_dir(root, recursive=True)
         self.out = self.fs.open_output_stream(self.temporary)
         self.out.write(MAGIC)
-        self.coder, self.size, self.index = coder, len(MAGIC), []
-        self.docs, self.counts, self.held, self.waiting = [], [], [], 0
+        self.lengths, self.size, self.index = lengths, len(MAGIC), []
+        self.docs, self.counts = [], []
+        self._begin()
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
+    def _begin(self) -> None:
+        self.data, self.marks, self.held, self.bits = [], [], 0, 0
+
+    def add(self, doc: int | None, n: int, data: bytes, offsets: bytes) -> None:
         self.docs.append(doc)
-        self.counts.append(len(ids))
-        self.held.append(ids)
-        self.waiting += len(ids)
-        if self.waiting >= BLOCK:
-            self._flush(False)
-
-    def _flush(self, every: bool) -> None:
-        ids = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
-        done = 0
-        while len(ids) - done >= BLOCK or every and len(ids) > done:
-            part = ids[done : done + BLOCK]
-            data, offsets = self.coder.encode(part)
-            body = offsets.tobytes() + data
-            self.index.append((self.size, len(part), len(offsets), len(body), zlib.crc32(body)))
-            self.out.write(body)
-            self.size += len(body)
-            done += len(part)
-        self.held, self.waiting = [ids[done:]], len(ids) - done
+        self.counts.append(n)
+        self.marks.append(np.frombuffer(offsets, "<u4").astype(np.int64) + self.bits)
+        self.data.append(data)
+        self.held += n
+        self.bits += 8 * len(data)
+        if self.held >= BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        marks = np.concatenate(self.marks).astype("<i8").tobytes()
+        marks = zlib.compress(marks, 1)
+        body = marks + b"".join(self.data)
+        self.index.append((self.size, len(self.data), len(marks), len(body), zlib.crc32(body)))
+        self.out.write(body)
+        self.size += len(body)
+        self._begin()
 
     def close(self) -> dict:
-        self._flush(True)
+        if self.data:
+            self._flush()
         known = np.array([d is not None for d in self.docs], bool)
-        parts = [self.coder.lengths.tobytes(), np.array(self.index, "<i8").tobytes(), np.array([d or 0 for d in self.docs], "<i8").tobytes(), known.tobytes(), np.array(self.counts, "<i8").tobytes()]
+        parts = [self.lengths.tobytes(), np.array(self.index, "<i8").tobytes(), np.array([d or 0 for d in self.docs], "<i8").tobytes(), known.tobytes(), np.array(self.counts, "<i8").tobytes()]
         footer = zlib.compress(json.dumps([len(p) for p in parts]).encode() + b"\n" + b"".join(parts))
         self.out.write(footer + struct.pack("<Q", len(footer)))
         self.out.close()
@@ -160,75 +166,115 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
         cuts = np.cumsum([0, *json.loads(head)])
         lengths, index, docs, known, counts = (rest[a:b] for a, b in zip(cuts, cuts[1:]))
         coder = Coder(np.frombuffer(lengths, np.uint8))
-        blocks = iter(np.frombuffer(index, "<i8").reshape(-1, 5).tolist())
-        have = np.empty(0, np.uint32)
-        for doc, there, count in zip(np.frombuffer(docs, "<i8").tolist(), np.frombuffer(known, bool), np.frombuffer(counts, "<i8").tolist()):
-            parts, size = [have], len(have)
-            while size < count:
-                at, ids, marks, nbytes, crc = next(blocks)
-                f.seek(at)
-                body = f.read(nbytes)
-                if zlib.crc32(body) != crc:
-                    raise ValueError(f"{uri}: a block is damaged")
-                parts.append(coder.decode(body[4 * marks :], ids, np.frombuffer(body[: 4 * marks], "<u4")))
-                size += ids
-            have = np.concatenate(parts) if len(parts) > 1 else have
-            yield (doc if there else None), have[:count]
-            have = have[count:]
-
-
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, text_col: str = "text") -> DataFrame:
-    """How often each id occurs in all texts: ``id``, ``count``. Each task sums up before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, there, counts = np.frombuffer(docs, "<i8").tolist(), np.frombuffer(known, bool).tolist(), np.frombuffer(counts, "<i8")
+        first = 0
+        for at, ndocs, nmarks, nbytes, crc in np.frombuffer(index, "<i8").reshape(-1, 5).tolist():
+            f.seek(at)
+            body = f.read(nbytes)
+            if zlib.crc32(body) != crc:
+                raise ValueError(f"{uri}: a block is damaged")
+            own = counts[first : first + ndocs]
+            lanes = -(-own // STEP)
+            sizes = np.full(int(lanes.sum()), STEP)
+            sizes[np.cumsum(lanes) - 1] = own - (lanes - 1) * STEP
+            found = coder.decode(body[nmarks:], sizes, np.frombuffer(zlib.decompress(body[:nmarks]), "<i8"))
+            stops = np.cumsum(own).tolist()
+            for k, (a, b) in enumerate(zip([0, *stops], stops), first):
+                yield (ids[k] if there[k] else None), found[a:b]
+            first += ndocs
+
+
+def _planes(ids: bytes) -> bytes:
+    """Ids by byte position and compressed, as they rest between counting and coding."""
+    return zstandard.ZstdCompressor(1).compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _ids(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """Rows of two kinds: ``doc_id`` and ``planes`` of each document, and each task's counts of ``id``."""
+    end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("planes", pa.binary()), ("id", pa.int64()), ("count", pa.int64())])
+
+    def rows(**given) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for _, texts in slices(batches, "text"):
-            ids = np.frombuffer(b"".join(encoder(tokenizer).encode(texts)), "<u4")
-            own = np.bincount(ids, minlength=max(len(total), end_id + 1))
-            own[end_id] += len(texts)
+        for part, texts in slices(batches, "text"):
+            found = [ids + end for ids in encoder(tokenizer).encode(texts)]
+            own = np.bincount(np.frombuffer(b"".join(found), "<u4"), minlength=len(total))
             own[: len(total)] += total
             total = own
+            yield rows(doc_id=part.column("doc_id"), planes=[_planes(ids) for ids in found])
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "count"])
+        yield rows(id=used, count=total[used])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "id long, count long")
-    return rows.groupBy("id").agg(F.sum("count").alias("count"))
+    return docs.mapInArrow(encode, "doc_id long, planes binary, id long, count long")
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write all documents in ascending ``id_col`` order and return the manifest: ``file``, ``part``, ``first_id``, ``docs``, ``tokens``, ``bytes``.
 
-    Null texts count as empty (only the end id); a null identifier comes first; repeated rows are repeated in the files, by
-    text. An empty table gives an empty manifest and no file.
+    Null texts count as empty (only the end id); a null identifier comes first; repeated rows are repeated in the files. An
+    empty table gives an empty manifest and no file. Texts are encoded once: the ids wait in the shared folder until the
+    counts of all are known, are coded where they lie, and only codes are shuffled into order.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = count_ids(rows, tokenizer, end_id).collect()  # at most one row for each id of the vocabulary
+    waiting = workspace(spark, "ids")
+    encoded(rows, tokenizer, end_id).write.parquet(waiting)
+    ids = spark.read.schema("doc_id long, planes binary, id long, count long").parquet(waiting)
+    found = ids.where("id is not null").groupBy("id").agg(F.sum("count").alias("count")).collect()  # one row for each id of the vocabulary at most
     counts = np.zeros(max([r["id"] for r in found], default=end_id) + 1, np.int64)
     for r in found:
         counts[r["id"]] = r["count"]
     lengths = spark.sparkContext.broadcast(code_lengths(counts))
-    end = np.array([end_id], "<u4").tobytes()
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    there = ids.where("planes is not null").select("doc_id", "planes")
+    # Bounds from the identifiers alone: a range partitioner's sample would code everything twice.
+    bounds = np.array(range_bounds(there, "doc_id", tasks), np.int64)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(lengths.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part, out = batch.slice(at, 1000), []
+                for planes in part.column("planes").to_pylist():
+                    own = _ids(planes)
+                    data, offsets = coder.encode(own)
+                    out.append((len(own), data, offsets.tobytes()))
+                docs_ = part.column("doc_id")
+                ranges = np.searchsorted(bounds, pa.compute.fill_null(docs_, np.iinfo(np.int64).min).to_numpy(), "right")
+                types = [pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), docs_, *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["part", "doc_id", "n", "data", "offsets"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, writer, number = Coder(lengths.value), TaskContext.get().partitionId(), None, 0
+        writer, last, number = None, -1, 0
         done: list[dict] = []
-        for part, texts in slices(batches, "text"):
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts)):
-                writer = writer or FileWriter(folder, f"ids-{task:06d}-{number:04d}.huf", coder)
-                writer.add(doc, np.frombuffer(ids + end, "<u4"))
-                if writer.size >= roll_bytes:
-                    done.append(writer.close() | {"part": task * 10_000 + number})
+        for batch in batches:
+            for part, doc, n, data, offsets in zip(*(c.to_pylist() for c in batch.columns)):
+                if writer and (part != last or writer.size >= roll_bytes):
+                    done.append(writer.close() | {"part": last * 10_000 + number})
                     writer, number = None, number + 1
+                number = number if part == last else 0
+                last = part
+                writer = writer or FileWriter(folder, f"ids-{part:06d}-{number:04d}.huf", lengths.value)
+                writer.add(doc, n, data, offsets)
         if writer:
-            done.append(writer.close() | {"part": task * 10_000 + number})
+            done.append(writer.close() | {"part": last * 10_000 + number})
         names = ["file", "part", "first_id", "docs", "tokens", "bytes"]
         types = [pa.string(), *[pa.int64()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in zip(names, types)], names)
 
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(write, "file string, part long, first_id long, docs long, tokens long, bytes long"), "manifest")
+    coded = there.mapInArrow(code, "part long, doc_id long, n long, data binary, offsets binary")
+    dealt = coded.repartitionById(tasks, F.col("part").cast("int")).sortWithinPartitions("part", "doc_id", "data")
+    manifest = written(dealt.mapInArrow(write, "file string, part long, first_id long, docs long, tokens long, bytes long"), "manifest")
+    remove(spark, waiting)
+    return manifest
 
 
 def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
