@@ -47,8 +47,8 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, heavy_keys: int = 2000) -> DataFrame:
-    """Left join of narrow rows with one row per key, where a key may hold a large share of ``left``.
+def attach(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, heavy_keys: int = 2000, how: str = "left") -> DataFrame:
+    """Left (or inner) join of narrow rows with one row per key, where a key may hold a large share of ``left``.
 
     ``size`` is a column of ``right`` with the key's number of rows in ``left``, ``rows`` the rows of ``left``. At most
     ``heavy_keys`` keys can have ``rows / heavy_keys`` rows or more: these are broadcast, so their rows never meet in one
@@ -57,7 +57,7 @@ def attach(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, he
     limit = max(2, rows // heavy_keys)
     light, heavy = right.where(F.col(size) < limit), right.where(F.col(size) >= limit)
     shared = left.join(F.broadcast(heavy), key, "inner")
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
     return shared.unionByName(rest)
 
 

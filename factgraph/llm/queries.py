@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, packing, quality_rules, token_files
 
 #: Tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -46,7 +50,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_best_fit_packing, op9_token_files)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
