@@ -8,6 +8,7 @@ which too little is left is rejected.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,11 @@ from .tokens import slices
 #: Base rules: fewest words, most percent of words in repeated windows, words of a window.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A line is above the limits from so many documents of its host and this share of them, if at least this share of those
-#: documents have other neighbours around it.
+#: documents have other neighbours around it, judged by the least hash of their word pairs.
 LINE_DOCS, LINE_SHARE, CONTEXT_SHARE = 20, 0.002, 0.5
-#: A document is depleted with fewer words left than MIN_WORDS, or under this share.
-LEFT_SHARE = 0.2
+#: A document is depleted with less than this share of its words left, or fewer than so many words.
+LEFT_SHARE, MIN_LEFT = 0.1, 5
+_NONE = (1 << 63) - 1
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
@@ -50,6 +52,18 @@ def repeated_words(words: list[bytes]) -> int:
     return int(np.count_nonzero(running[WINDOW:] - running[:-WINDOW]))
 
 
+def line_minima(lines: list[list[bytes]]) -> list[int]:
+    """Of each line, the least hash of two adjacent words: slightly edited lines mostly agree in it."""
+    if not lines:
+        return []
+    ids = np.fromiter((zlib.crc32(w) for line in lines for w in (*line, b"")), np.uint64)  # an empty word ends a line
+    pairs = ids * _WEIGHTS[0] + np.roll(ids, -1) * _WEIGHTS[1]
+    pairs = ((pairs ^ (pairs >> np.uint64(29))) * _WEIGHTS[2]) >> np.uint64(1)
+    begins = np.cumsum([0, *(len(line) + 1 for line in lines[:-1])])
+    pairs[begins[1:] - 1] = pairs[-1] = _NONE
+    return np.minimum.reduceat(pairs, begins).tolist()
+
+
 def measure(text: str, host: bytes) -> tuple[tuple, list[tuple[int, int, int]]]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and (line, context, words) of each distinct line."""
     data = text.encode("utf-8", "surrogatepass")
@@ -59,13 +73,13 @@ def measure(text: str, host: bytes) -> tuple[tuple, list[tuple[int, int, int]]]:
     counts = (len(words), chars, len(data) - len(data.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words))
     split = [line.translate(_FOLD).split() for line in lines]
     keys = [xxhash.xxh64_intdigest(host + b"\0" + b" ".join(s)) for s in split]
+    likes = [_NONE, *line_minima(split), _NONE]
     found: dict[int, list[int]] = {}
     for i, (key, s) in enumerate(zip(keys, split)):
         if key in found:
             found[key][1] += len(s)
         else:
-            around = (keys[i - 1] if i else 1, keys[i + 1] if i + 1 < len(keys) else 2)
-            found[key] = [hash(around), len(s)]
+            found[key] = [min(likes[i], likes[i + 2]), len(s)]
     return counts, [(k - (1 << 63), c, n) for k, (c, n) in found.items()]
 
 
@@ -116,7 +130,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     joined = heads.drop("lines", "sig", "host_key").join(gone, "row", "left").withColumn("n_words_left", left).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.col("n_words_left") >= MIN_WORDS) & (F.col("n_words_left") >= F.lit(left_share) * F.col("n_words"))
+    kept = ~F.col("base_failed") & (F.col("n_words_left") >= MIN_LEFT) & (F.col("n_words_left") >= F.lit(left_share) * F.col("n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return joined.select(F.col("doc_id").alias(id_col), *names, kept.alias("kept"), F.coalesce("n_common_lines", F.lit(0)).cast("long").alias("n_common_lines"), F.col("n_words_left").cast("long").alias("n_words_left"))
 
