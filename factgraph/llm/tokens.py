@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries and key length of a worker's memos; both only bound memory.
-MEMO_ENTRIES, MEMO_KEY = 1_500_000, 64
+MEMO_ENTRIES, MEMO_KEY = 900_000, 64
 #: Characters that are encoded together.
-SLICE_CHARS = 12_000_000
+SLICE_CHARS = 6_000_000
 #: Fixed value: the published pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?= )")
