@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_rules, token_files
+from . import exact_dedup, packing, quality_rules, token_files, url_filters, warc
 
 #: Tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,10 +36,67 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched on a day given by its number, against a list whose entries are made from the hosts themselves."""
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+    hosts = pages.select(url_filters.normalised(F.col("url"))[0].alias("host")).distinct().where("host != ''")
+    hosts = hosts.withColumn("k", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
+
+    def entry(when, key, action, day):
+        return F.when(when, F.struct(key.alias("key"), F.lit(action).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), day).alias("date")))
+
+    k, host = F.col("k"), F.col("host")
+    made = F.array(
+        entry(k % 3 == 0, host, "block", k % 200),
+        entry(k % 2 == 0, host, "remove", k % 200 + 60),
+        entry(k % 4 == 1, host, "block", k % 100 + 200),
+        entry(k % 5 == 0, F.regexp_replace(host, r"^[^.]*\.", ""), "allow", k % 100 + 31),
+        entry(k % 7 == 0, F.concat(host, F.lit("/en")), "allow", k % 150),
+        entry(k % 7 < 2, F.concat(host, F.lit("/en/")), "block", k % 50 + 160),
+    )
+    entries = hosts.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return url_filters.evaluate(captures, entries)
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS fetched,
+         regexp_replace(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '[?#].*$', '') AS rest FROM pages),
+h AS (
+  SELECT page_id, fetched, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^([^/]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '\.$', ''), '^www\.', '') AS host,
+         list_filter(string_split(regexp_replace(rest, '^[^/]*', ''), '/'), lambda x: x <> '') AS parts FROM c),
+hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS k FROM h WHERE host <> ''),
+raw AS (
+  SELECT host AS key, 'block' AS action, k % 200 AS d FROM hosts WHERE k % 3 = 0
+  UNION ALL SELECT host, 'remove', k % 200 + 60 FROM hosts WHERE k % 2 = 0
+  UNION ALL SELECT host, 'block', k % 100 + 200 FROM hosts WHERE k % 4 = 1
+  UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 'allow', k % 100 + 31 FROM hosts WHERE k % 5 = 0
+  UNION ALL SELECT host || '/en', 'allow', k % 150 FROM hosts WHERE k % 7 = 0
+  UNION ALL SELECT host || '/en', 'block', k % 50 + 160 FROM hosts WHERE k % 7 < 2),
+log AS (SELECT key, DATE '2024-01-01' + CAST(d AS INT) AS valid_from, CASE min(CASE action WHEN 'block' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END AS action FROM raw GROUP BY ALL),
+spans AS (SELECT *, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to FROM log),
+asked AS (
+  SELECT page_id, fetched, -100 - n AS pri, host || '/' || array_to_string(parts[1:n], '/') AS key FROM h, (SELECT unnest(range(1, 100)) AS n) WHERE n <= len(parts) AND (n <= 4 OR n = len(parts))
+  UNION ALL
+  SELECT page_id, fetched, n, array_to_string(string_split(host, '.')[n:], '.') FROM h, (SELECT unnest(range(1, 100)) AS n)
+  WHERE (n = 1 OR n <= len(string_split(host, '.')) - 1) AND (n = 1 OR n > len(string_split(host, '.')) - 6) AND host <> ''),
+best AS (
+  SELECT page_id, arg_min(s.action, pri) AS action, arg_min(s.key, pri) AS key, arg_min(s.valid_from, pri) AS valid_from
+  FROM asked a JOIN spans s ON a.key = s.key AND s.valid_from <= a.fetched AND (s.valid_to IS NULL OR a.fetched < s.valid_to)
+  WHERE s.action <> 'remove' GROUP BY page_id)
+SELECT h.page_id, h.host, h.fetched, coalesce(b.action, 'none') AS verdict, b.key AS matched_key, b.valid_from
+FROM h LEFT JOIN best b USING (page_id)
+"""
+
 OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -50,8 +108,8 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op9_token_files)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op8_warc, op9_token_files, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op10_url_filters": OP10_SQL}

@@ -114,7 +114,7 @@ class FileWriter:
         attempt = context.taskAttemptId() if context else 0
         self.final, self.temporary = f"{root}/{name}", f"{root}/_tmp-{name}-{attempt}"
         self.fs.create_dir(root, recursive=True)
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.out.write(MAGIC)
         self.lengths, self.size, self.index = lengths, len(MAGIC), []
         self.docs, self.counts = [], []
