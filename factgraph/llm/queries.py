@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_rules, token_files, url_filters, warc
+from . import exact_dedup, html_extract, packing, quality_rules, token_files, url_filters, warc
 
 #: Tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(_table(spark, sf_dir, "documents"))
 
@@ -108,7 +112,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op8_warc, op9_token_files, op10_url_filters)}
+    return {f.__name__: f for f in (op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op8_warc, op9_token_files, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
