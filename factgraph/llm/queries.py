@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, packing, quality_model, quality_rules, token_files, url_filters, warc
+from . import exact_dedup, html_extract, jaccard_join, packing, quality_model, quality_rules, token_files, url_filters, warc
 
 #: Tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
@@ -116,7 +120,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_quality_classifier, op8_warc, op9_token_files, op10_url_filters)}
+    return {f.__name__: f for f in (op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_quality_classifier, op7_jaccard_join, op8_warc, op9_token_files, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
