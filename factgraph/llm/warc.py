@@ -124,21 +124,25 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    decided = revisits(pages, id_col, payload, min_bytes).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "refers_to").where("refers_to is not null").distinct()
+    decided = revisits(pages, id_col, payload, min_bytes).where("refers_to is not null").select("page_id", _base32(F.col("sha1")).alias("digest"), "refers_to").distinct()
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"))
-    rows = rows.withColumn("sha1", F.sha1("html")).withColumn("length", F.octet_length("html").cast("long"))
-    rows = rows.join(decided, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left").drop("_id", "_sha1")
-    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit("")))  # a revisit moves no payload
+    rows = rows.select("*", _base32(F.sha1("html")).alias("digest"), F.octet_length("html").cast("long").alias("length"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"))
+    # Decisions travel as rows before the page they are about, so payloads are shuffled once.
+    rows = rows.unionByName(decided.select("*", F.lit(0).alias("kind")), allowMissingColumns=True)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(pages.select(F.col(id_col).cast("long").alias("page_id")), "page_id", tasks)
     below = F.filter(F.lit(bounds), lambda b: b <= F.coalesce("page_id", F.lit(-(1 << 62)))) if bounds else F.array()
     rows = rows.withColumn("part", F.size(below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, last, number, done = None, -1, 0, []
+        shard, last, number, done, decision = None, -1, 0, [], (None, None, None)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                for page, url, html, digest, length, refers, own in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns)):
+                for page, url, html, digest, length, kind, refers, own in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns)):
+                    if kind == 0:
+                        decision = page, digest, refers
+                        continue
+                    refers = decision[2] if decision[:2] == (page, digest) else None
                     if shard and (own != last or shard.size >= roll_bytes):
                         done.append(shard.close(last, number))
                         shard, number = None, number + 1
@@ -152,8 +156,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         types = [pa.string(), *[pa.int64()] * 4, pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(types)], names)
 
-    rows = rows.select("page_id", "url", "html", _base32(F.col("sha1")).alias("digest"), "length", "refers_to", "part")
-    dealt = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "page_id", "url", "digest")
+    rows = rows.select("page_id", "url", "html", "digest", "length", "kind", "refers_to", "part")
+    dealt = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "page_id", "digest", "kind", "url")
     return written(dealt.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
