@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, jaccard_join, packing, quality_model, quality_rules, token_files, url_filters, warc
+from . import exact_dedup, html_extract, jaccard_join, packing, quality_model, quality_rules, sentencepieces, token_files, url_filters, warc
 
-#: Tokenizer file of the queries; a parameter of the operators.
-TOKENIZER = "byte_bpe_50k.json"
+#: Tokenizer files of the queries; parameters of the operators.
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of the text decoded from them."""
+    import public_tokenizers
+
+    model = public_tokenizers.path(PIECES)
+    return sentencepieces.digests(sentencepieces.decode(sentencepieces.encode(_table(spark, sf_dir, "documents"), model), model))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -120,7 +128,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_quality_classifier, op7_jaccard_join, op8_warc, op9_token_files, op10_url_filters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_quality_classifier, op7_jaccard_join, op8_warc, op9_token_files, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
