@@ -37,14 +37,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), keep="largest")
 
 
-def _tokenizer() -> str:
+def tokenizer_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer())
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_file())
     return packing.pack(cut)
 
 
@@ -61,7 +61,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_table(spark, sf_dir, "documents"), _tokenizer())
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
