@@ -8,7 +8,8 @@ documents agree on. Here three orders are used: by hash upwards, by hash downwar
 2. By frequency class: the tokens of the remaining distinct sets are counted; rare ones come first, so that passages and
    stock phrases are hardly ever among the beginnings. Sets that share a beginning token are candidates. In each token's
    bucket the first set is compared with the others; sets that a link joined need no further comparison, so a group of
-   copies costs a star, not all its pairs. What is still apart then is compared until no bucket has two components.
+   copies costs a star, not all its pairs. Then what stands apart from a bucket's largest component is compared with all
+   other components of the bucket. Sizes and places of the shared token must allow enough likeness.
 3. A pair must also share beginning tokens under the other two orders before its intersection is counted.
 
 Tokens are 64-bit hashes of shingles; within a pair of documents a false match has a chance of about 10**-14.
@@ -32,8 +33,6 @@ WORDS, PERCENT = 5, 75
 SURPLUS = 8
 #: Bits of the bitmap of shared tokens, and of those of the frequency classes: 16 MB and 2 x 2 MB, whatever the input.
 MAP_BITS, CLASS_BITS, CLASSES = 1 << 27, 1 << 24, (2, 16, 256)
-#: Buckets of up to so many sets are finished in the second round.
-SMALL_BUCKET = 256
 _SLICE = 6_000_000
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], np.uint64)
 _ROW = 32768  # bits of bitmap_construct_agg
@@ -179,9 +178,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def _fits(a, b, percent: int):
-    """Whether two set sizes allow enough likeness."""
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _may(x: str, y: str, percent: int):
+    """Whether two rows of a bucket allow enough likeness if no earlier token of the order is shared.
+
+    Of a linked pair that holds for the first token they share, so each is found in that bucket at least.
+    """
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return (100 + percent) * left >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -264,37 +267,28 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
                 kind = sum(_holds(m, tokens).astype(np.int64) for m in maps.value)
                 order = np.lexsort((tokens, kind))[: begin(n, percent)]
                 tokens = tokens[order][kind[order] > 0]  # what only one set has finds no partner
-                own.append((tokens, np.full(len(tokens), sid), np.full(len(tokens), n)))
+                own.append((tokens, np.full(len(tokens), sid), np.full(len(tokens), n), np.flatnonzero(kind[order] > 0)))
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own)], ["token", "sid", "n"])
-
-    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(first, "token long, sid long, n long"), "buckets")
-    none = spark.createDataFrame([], "sid long, comp long")
-    links, comps, turn = None, none, 0
-    while True:
-        turn += 1
-        rows = buckets.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        stats = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader"), F.min_by("comp", "sid").alias("leader_comp"), F.min_by("n", "sid").alias("leader_n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        stats = stats.where("size > 1 and low != high").drop("low", "high")
-        stats = written(stats, f"stats-{turn}")
-        if stats.isEmpty():
-            break
-        rest = rows.join(stats, "token")
-        star = rest.where((F.col("sid") != F.col("leader")) & (F.col("comp") != F.col("leader_comp")) & _fits(F.col("n"), F.col("leader_n"), percent)).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-        keep = rest.where("sid != leader")
-        if turn == 2:
-            # What is apart after the stars, bucket by bucket; members of one component need no comparison.
-            few = rest.where((F.col("size") <= SMALL_BUCKET) & (F.col("sid") != F.col("leader")))
-            member = F.struct("sid", "comp", "n")
-            lists = few.groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("m"))
-            left = lists.select("m", F.explode("m").alias("x"))
-            right = left.select("x", F.explode(F.filter("m", lambda y: (y["sid"] > F.col("x.sid")) & (y["comp"] != F.col("x.comp")) & _fits(y["n"], F.col("x.n"), percent))).alias("y"))
-            star = star.unionByName(right.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
-            keep = keep.where(F.col("size") > SMALL_BUCKET)
-        buckets = written(keep.select("token", "sid", "n"), f"buckets-{turn}")
-        found = written(_verified(star.distinct(), sets, percent), f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        comps = written(components(links, f"stars-{turn}"), f"comps-{turn}")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own)], ["token", "sid", "n", "pos"])
+
+    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(first, "token long, sid long, n long, pos long"), "buckets")
+    # First round: the first set of each bucket and the others.
+    leaders = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("sid", "n", "pos"), "sid").alias("x")).where("size > 1")
+    star = buckets.alias("y").join(leaders.alias("l"), F.col("y.token") == F.col("l.token")).select("l.x", F.struct("y.sid", "y.n", "y.pos").alias("y"))
+    star = star.where((F.col("x.sid") != F.col("y.sid")) & _may("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    links = written(_verified(star, sets, percent), "links-1")
+    comps = written(components(links, "stars-1"), "comps-1")
+    # Second round: what is outside a bucket's largest component, and all sets of its other components.
+    rows = buckets.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    open_rows = written(rows.join(top, "token"), "open")
+    x, y = open_rows.where("comp != top").alias("x"), open_rows.alias("y")
+    once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.sid") < F.col("y.sid"))
+    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may("x", "y", percent))
+    apart = apart.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    more = written(_verified(apart, sets, percent), "links-2")
+    comps = written(components(links.unionByName(more), "stars-2"), "comps-2")
     return sets.select("sid", "set").join(comps, "sid").select("set", "comp")
 
 
