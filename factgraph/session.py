@@ -37,3 +37,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame, hop: int) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder at every second hop, so that long loops stay short."""
+    spark = df.sparkSession
+    if hop < 2 or hop % 2:
+        return df
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        root = f"file://{tempfile.mkdtemp(prefix='factgraph-checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
