@@ -43,6 +43,7 @@ class Pieces:
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
         inverse = {i: b for b, i in byte_ids.items()}
         self.bytes = [bytes([inverse[i]]) if i in inverse else t.replace(MARK, " ").encode() if p else " ⁇ ".encode() if i == unknown else b"" for i, (t, p) in enumerate(zip(texts, plain))]
+        self.values = pa.array(self.bytes, pa.binary())
         self.least = min((s for s, p in zip(scores, plain) if p), default=0.0) - UNKNOWN_PENALTY
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -170,10 +171,12 @@ class Pieces:
             del words[w]
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: marks are spaces again and the first, which encoding adds, goes. Broken bytes give U+FFFD."""
-        data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The texts of ids: marks are spaces again and the first, which encoding adds, goes. Broken bytes give U+FFFD."""
+        ends = np.cumsum([0, *(len(x) >> 2 for x in ids)])
+        flat = pc.take(self.values, pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat), b"")
+        return [(x or b"").removeprefix(b" ").decode("utf-8", "replace") for x in joined.to_pylist()]
 
 
 @functools.lru_cache(maxsize=4)
@@ -202,7 +205,7 @@ def decode(encoded: DataFrame, model: str, unigram: bool = False, id_col: str =
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = [x or b"" for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(map(pieces(model, unigram).decode, ids), pa.string())], [id_col, "n_tokens", "ids_crc32", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(pieces(model, unigram).decode(ids), pa.string())], [id_col, "n_tokens", "ids_crc32", "text"])
 
     return encoded.select(F.col(id_col), "ids").mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_crc32 long, text string")
 
