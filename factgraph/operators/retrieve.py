@@ -41,6 +41,10 @@ def bm25(assertions: DataFrame, query: str, k: int | None = TOP_K, boost: float
 def neighbours(edge_rows: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
     """``node_id``, ``hop`` of all nodes within ``depth`` of ``start`` (node_id), undirected, at their least hop."""
     links = G.undirected(edge_rows).select("a", "b")
+    return _spread(links, start, depth)
+
+
+def _spread(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     seen = start.select("node_id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, min(depth, MAX_DEPTH) + 1):
@@ -59,7 +63,9 @@ def query_graph(assertions: DataFrame, text: str, depth: int = 1, k: int = TOP_K
     found = assertions.join(seeds, "assertion_id").select("assertion_id", "subject_node_id", "object_node_id", "bm25_score", F.lit(0).alias("depth"))
     ends = G.endpoints(assertions)
     start = G.endpoints(found).select("node_id")
-    hops = neighbours(G.edges(assertions), start, depth).where("hop > 0")
+    # Equal edges of several assertions need not be merged to walk along them.
+    links = G.undirected(assertions.select("edge_id", F.col("subject_node_id").alias("from_node_id"), F.col("object_node_id").alias("to_node_id"))).select("a", "b")
+    hops = _spread(links, start, depth).where("hop > 0")
     touched = ends.join(hops, "node_id").groupBy("assertion_id").agg(F.min("hop").alias("depth")).join(seeds, "assertion_id", "left_anti").withColumn("bm25_score", F.lit(0.0))
     if cap is not None:
         from pyspark.sql import Window

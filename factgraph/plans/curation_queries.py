@@ -1 +1,156 @@
-"""Placeholder."""
+"""Predicates: classification, resolution, validation, review queue and curation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..operators import graph as G
+from ..operators import validate as V
+from .fixtures import ALIASES, RAW, raw_predicates
+from .registry import query
+
+ACTIVE_SQL = f"active AS (SELECT name, {P.classify_sql('name')} AS predicate_group FROM (VALUES {P.seed_sql()}) t(name))"
+ALIASES_SQL = "aliases AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALIASES) + ") t(source, target))"
+
+
+def aliases(spark):
+    return spark.createDataFrame(list(ALIASES), "source string, target string")
+
+
+#: The candidates of a predicate in SQL, each with its place; written apart from the expressions in Spark.
+RESOLVE_SQL = f"""
+names AS (SELECT DISTINCT predicate AS raw, upper(predicate) AS u FROM raw),
+cand AS (
+  SELECT raw, 0 AS pos, u AS c FROM names
+  UNION ALL SELECT raw, 10, CASE WHEN u LIKE '%S' AND u NOT LIKE '%SS' THEN left(u, -1) ELSE u || 'S' END FROM names WHERE u NOT LIKE '%\\_%' ESCAPE '\\'
+  UNION ALL SELECT raw, 20 + i, left(u, -2) || e FROM names, (VALUES (0, ''), (1, 'S'), (2, 'ES')) x(i, e) WHERE u LIKE '%ED' AND length(u) > 3 AND u NOT LIKE '%\\_%' ESCAPE '\\'
+  UNION ALL SELECT raw, 30 + i, left(u, -3) || e FROM names, (VALUES (0, ''), (1, 'S'), (2, 'ES')) x(i, e) WHERE u LIKE '%ING' AND length(u) > 4 AND u NOT LIKE '%\\_%' ESCAPE '\\'
+  UNION ALL SELECT raw, 40 + i, left(u, -4) || e FROM names, (VALUES (0, ''), (1, 'S')) x(i, e) WHERE u LIKE '%ING' AND length(u) > 4 AND substr(u, -4, 1) = substr(u, -5, 1) AND u NOT LIKE '%\\_%' ESCAPE '\\'
+  UNION ALL SELECT raw, 50, left(u, -2) FROM names WHERE u LIKE '%ES' AND u NOT LIKE '%SS' AND length(u) > 3 AND u NOT LIKE '%\\_%' ESCAPE '\\'),
+hit AS (SELECT raw, arg_min(c, pos) AS c, min(pos) AS pos FROM cand JOIN active ON c = name GROUP BY raw),
+resolved AS (SELECT names.raw, CASE WHEN hit.pos = 0 THEN hit.c ELSE coalesce(target, hit.c) END AS resolved FROM names LEFT JOIN hit USING (raw) LEFT JOIN aliases ON u = source)"""
+BASE = f"WITH {RAW}, {ACTIVE_SQL}, {ALIASES_SQL}, {RESOLVE_SQL}"
+
+#: Grounding in SQL.
+GROUND_SQL = """
+g0 AS (SELECT *, lower(trim(regexp_replace(regexp_replace(raw_text, '\\s+', ' ', 'g'), '[^\\w\\s]', '', 'g'))) AS r, lower(trim(regexp_replace(regexp_replace(chunk_text, '\\s+', ' ', 'g'), '[^\\w\\s]', '', 'g'))) AS c FROM raw),
+g1 AS (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS w FROM g0),
+ground AS (SELECT *, contains(c, r) OR (len(w) > 4 AND contains(c, array_to_string(w[1 + least(3, len(w) - 3):], ' '))) OR regexp_matches(c, array_to_string(w, '.*')) AS grounded FROM g1)"""
+REASON_SQL = f"""{GROUND_SQL},
+v0 AS (SELECT ground.*, resolved, CASE WHEN NOT regexp_matches(subject_text, '\\S') THEN 'SUBJECT' WHEN NOT regexp_matches(object_text, '\\S') THEN 'OBJECT' WHEN NOT regexp_matches(normalized_text, '\\S') THEN 'NORMALIZED_TEXT'
+  WHEN resolved IS NULL THEN 'PREDICATE' WHEN NOT regexp_matches(raw_text, '\\S') THEN 'RAW_TEXT' WHEN NOT grounded THEN 'GROUNDING' END AS reject_reason FROM ground JOIN resolved ON predicate = resolved.raw),
+near AS (SELECT u, arg_min(name, (levenshtein(u, name), length(name), name)) AS nearest, min(levenshtein(u, name)) AS distance FROM names, active WHERE abs(length(u) - length(name)) <= 2 AND levenshtein(u, name) <= 2 GROUP BY u),
+v1 AS (SELECT v0.*, reject_reason = 'PREDICATE' AND regexp_matches(raw_text, '\\S') AND grounded AS only_predicate, nearest FROM v0 LEFT JOIN near ON upper(predicate) = u),
+v AS (SELECT document_id, seq, predicate, raw_text, reject_reason, CASE WHEN reject_reason IS NULL THEN 'accepted' WHEN only_predicate AND nearest IS NOT NULL THEN 'collapsed' WHEN only_predicate THEN 'queued' ELSE 'rejected' END AS outcome,
+  coalesce(resolved, CASE WHEN only_predicate THEN nearest END) AS resolved FROM v1)"""
+
+
+@query(f"SELECT name, {P.classify_sql('name')} AS predicate_group FROM (VALUES {P.seed_sql()}) t(name)")
+def predicate_classify(spark, sf):
+    return P.seed(spark)
+
+
+@query(f"{BASE} SELECT raw AS predicate, resolved FROM resolved")
+def predicate_resolve(spark, sf):
+    names = raw_predicates(spark, sf).select("predicate").distinct()
+    return P.resolve(names, P.seed(spark), aliases(spark))
+
+
+@query(f"{BASE} SELECT seq, resolved FROM raw JOIN resolved ON predicate = resolved.raw WHERE predicate IN ('ENCLOSES', 'RELATES_TO')")
+def predicate_alias(spark, sf):
+    rows = raw_predicates(spark, sf).where(F.col("predicate").isin("ENCLOSES", "RELATES_TO"))
+    return P.resolve(rows, P.seed(spark), aliases(spark)).select("seq", "resolved")
+
+
+@query(f"{BASE} SELECT u AS predicate, arg_min(name, (levenshtein(u, name), length(name), name)) AS nearest, CAST(min(levenshtein(u, name)) AS INT) AS distance FROM names, active WHERE abs(length(u) - length(name)) <= 2 AND levenshtein(u, name) <= 2 GROUP BY u")
+def predicate_nearest(spark, sf):
+    return P.nearest(raw_predicates(spark, sf), P.seed(spark))
+
+
+@query(f"{BASE}, {GROUND_SQL} SELECT seq, grounded FROM ground")
+def grounding(spark, sf):
+    from ..functions import text as T
+
+    return raw_predicates(spark, sf).select("seq", T.grounded(F.col("raw_text"), F.col("chunk_text")).alias("grounded"))
+
+
+@query(f"{BASE}, {REASON_SQL} SELECT seq, reject_reason, outcome, resolved FROM v")
+def validation_reasons(spark, sf):
+    return V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).select("seq", "reject_reason", "outcome", "resolved")
+
+
+QUEUE = f"{BASE}, {REASON_SQL}, failed AS (SELECT upper(predicate) AS name, count(*) AS occurrence_count, arg_max(document_id, seq) AS last_seen_document, arg_max(raw_text, seq) AS sample_raw_text, {P.classify_sql('upper(predicate)')} AS predicate_group FROM v WHERE outcome = 'queued' GROUP BY 1, 5)"
+
+
+def queue(spark, sf):
+    done = V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark))
+    return P.failed_queue(done.where("outcome = 'queued'"))
+
+
+@query(f"{QUEUE} SELECT * FROM failed ORDER BY occurrence_count DESC, name")
+def failed_predicate_queue(spark, sf):
+    return queue(spark, sf).orderBy(F.desc("occurrence_count"), "name")
+
+
+@query(f"{QUEUE} SELECT 'approve' AS action, name, CAST(NULL AS VARCHAR) AS target FROM failed WHERE occurrence_count >= 100")
+def auto_approve(spark, sf):
+    return G.auto_approve(queue(spark, sf), 100)
+
+
+@query(f"{QUEUE} SELECT name, predicate_group, coalesce((SELECT min(a.name) FROM active a WHERE a.predicate_group = failed.predicate_group), '') AS suggestion FROM failed")
+def mapping_suggestion(spark, sf):
+    return P.suggestions(queue(spark, sf), P.seed(spark))
+
+
+@query(f"WITH {ACTIVE_SQL} SELECT predicate_group, string_agg(name, ',' ORDER BY name) AS names, count(*) AS n, CASE WHEN predicate_group = 'BUSINESS_RULES' THEN 0 ELSE 1 END AS priority FROM active GROUP BY predicate_group")
+def predicate_groups(spark, sf):
+    return P.grouped(P.seed(spark))
+
+
+@query(f"WITH {ACTIVE_SQL} SELECT name, predicate_group FROM active UNION ALL SELECT 'CLICKS', 'BUSINESS_RULES'")
+def seed_insert_ignore(spark, sf):
+    more = spark.createDataFrame([("CLICKS", "BUSINESS_RULES"), ("USES", "OTHER")], "name string, predicate_group string")
+    return P.insert_ignore(P.seed(spark), more)
+
+
+@query(f"WITH {ACTIVE_SQL} SELECT * FROM active")
+def group_backfill(spark, sf):
+    blank = F.when(F.length("name") % 2 == 0, F.lit(" ")).when(F.length("name") % 3 == 0, F.lit(None)).otherwise(F.col("predicate_group"))
+    return P.backfill_groups(P.seed(spark).withColumn("predicate_group", blank))
+
+
+def actions(spark):
+    return spark.createDataFrame([("approve", "CLICK", None), ("map", "UNKNOWNVERB", "CONTAINS"), ("reject", "MAPPING", None)], "action string, name string, target string")
+
+
+PENDING = f"{QUEUE}, pending AS (SELECT * FROM v WHERE outcome = 'queued')"
+
+
+def pending(spark, sf):
+    return V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).where("outcome = 'queued'")
+
+
+@query(f"{PENDING} SELECT seq, CASE upper(predicate) WHEN 'CLICK' THEN 'CLICK' ELSE 'CONTAINS' END AS predicate FROM pending WHERE upper(predicate) IN ('CLICK', 'UNKNOWNVERB')")
+def curation_promote(spark, sf):
+    return G.curate(pending(spark, sf), P.seed(spark), aliases(spark), actions(spark))["promoted"].select("seq", "predicate")
+
+
+@query(f"{PENDING} SELECT predicate, count(*) AS n FROM pending WHERE upper(predicate) NOT IN ('CLICK', 'UNKNOWNVERB', 'MAPPING') GROUP BY 1")
+def curation_pending(spark, sf):
+    return G.curate(pending(spark, sf), P.seed(spark), aliases(spark), actions(spark))["pending"].groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ACTIVE_SQL}, {ALIASES_SQL} SELECT name AS key, predicate_group AS value FROM active UNION ALL SELECT 'CLICK', 'BUSINESS_RULES' UNION ALL SELECT source, target FROM aliases UNION ALL SELECT 'UNKNOWNVERB', 'CONTAINS'")
+def curation_taxonomy(spark, sf):
+    state = G.curate(pending(spark, sf), P.seed(spark), aliases(spark), actions(spark))
+    return state["active"].select(F.col("name").alias("key"), F.col("predicate_group").alias("value")).union(state["aliases"].select("source", "target"))
+
+
+@query("SELECT a.n AS a, b.n AS b, CAST(levenshtein(a.n, b.n) AS INT) AS distance FROM (SELECT DISTINCT p_brand AS n FROM part) a, (SELECT DISTINCT event_type AS n FROM events) b")
+def edit_distance(spark, sf):
+    from ..session import table
+
+    a = table(spark, sf, "part").select(F.col("p_brand").alias("a")).distinct()
+    kinds = sorted(r[0] for r in table(spark, sf, "events").select("event_type").distinct().limit(100).collect())
+    return a.select("a", F.explode(F.lit(kinds)).alias("b")).withColumn("distance", F.levenshtein("a", "b"))

@@ -134,8 +134,8 @@ def seed_id(spark, sf) -> str:
 
 
 @query(with_facts(f""", s AS (SELECT assertion_id AS id FROM assertions WHERE assertion_id = {SEED_SQL}), sn AS (SELECT DISTINCT node_id AS id FROM ends JOIN s ON assertion_id = s.id),
-at AS (SELECT edge_id, b FROM links WHERE a IN (SELECT id FROM sn)), nb AS (SELECT DISTINCT b AS id FROM at WHERE b NOT IN (SELECT id FROM sn))
-SELECT 'seed' AS kind, id FROM s UNION ALL SELECT 'seed_node', id FROM sn UNION ALL SELECT DISTINCT 'edge', edge_id FROM at UNION ALL SELECT 'neighbour', id FROM nb
+adj AS (SELECT edge_id, b FROM links WHERE a IN (SELECT id FROM sn)), nb AS (SELECT DISTINCT b AS id FROM adj WHERE b NOT IN (SELECT id FROM sn))
+SELECT 'seed' AS kind, id FROM s UNION ALL SELECT 'seed_node', id FROM sn UNION ALL SELECT DISTINCT 'edge', edge_id FROM adj UNION ALL SELECT 'neighbour', id FROM nb
 UNION ALL SELECT DISTINCT 'related', assertion_id FROM ends WHERE node_id IN (SELECT id FROM nb) AND assertion_id NOT IN (SELECT id FROM s)"""))
 def explain_path(spark, sf):
     return R.explain(assertions(spark, sf), seed_id(spark, sf))
@@ -194,7 +194,7 @@ def curation_revoke(spark, sf):
     return G.revoke(assertions(spark, sf), seed(spark), "part_of")["orphan_nodes"]
 
 
-@query(f"WITH {FACTS} {graph_sql(1).replace('SELECT assertion_id, raw_text, CAST', 'SELECT printf(chr(37) || chr(46) || chr(49) || chr(102), final_score) || chr(124) || depth || chr(124) || raw_text AS line FROM (SELECT assertion_id, raw_text, CAST', 1)})")
+@query(f"WITH {FACTS} {graph_sql(1).replace('SELECT assertion_id, raw_text, CAST', 'SELECT printf(chr(37) || chr(46) || chr(49) || chr(102), round(final_score, 1)) || chr(124) || depth || chr(124) || raw_text AS line FROM (SELECT assertion_id, raw_text, CAST', 1)})")
 def tool_lines(spark, sf):
     return R.render_hits(R.query_graph(assertions(spark, sf), TEXT, 1))
 
