@@ -33,6 +33,10 @@ WORDS, PERCENT = 5, 75
 SURPLUS = 8
 #: Bits of the bitmap of shared tokens, and of those of the frequency classes: 16 MB and 2 x 2 MB, whatever the input.
 MAP_BITS, CLASS_BITS, CLASSES = 1 << 27, 1 << 24, (2, 16, 256)
+#: Links that one task may join into components; beyond, rounds of distributed joins do.
+LINKS_IN_ONE_TASK = 1_000_000
+#: A component of which a bucket has at least so many sets, and this share, is met as a whole instead of bucket by bucket.
+GROUP, GROUP_SHARE = 8, 0.02
 _SLICE = 6_000_000
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], np.uint64)
 _ROW = 32768  # bits of bitmap_construct_agg
@@ -141,8 +145,31 @@ def _beginnings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "token long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """``sid``, ``comp`` (the smallest of the component) for every end of ``links`` (``a``, ``b``), by alternating stars."""
+def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ends = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array(map(root, ends), pa.int64())], ["sid", "comp"])
+
+
+def components(links: DataFrame, name: str = "components", in_one_task: int = LINKS_IN_ONE_TASK) -> DataFrame:
+    """``sid``, ``comp`` (the smallest of the component) for every end of ``links`` (``a``, ``b``).
+
+    Up to ``in_one_task`` links, one executor task joins them (16 bytes each); more go through alternating stars, rounds of
+    joins in which every end moves towards the smallest of its neighbourhood.
+    """
+    if links.count() <= in_one_task:
+        return links.select("a", "b").repartition(1).mapInArrow(_join_ends, "sid long, comp long")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
     last, k = None, 0
     while True:
@@ -282,12 +309,21 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
     rows = buckets.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    open_rows = written(rows.join(top, "token"), "open")
-    x, y = open_rows.where("comp != top").alias("x"), open_rows.alias("y")
-    once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.sid") < F.col("y.sid"))
-    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may("x", "y", percent))
-    apart = apart.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    more = written(_verified(apart, sets, percent), "links-2")
+    totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
+    grouped = sizes.where(F.col("size") >= GROUP).join(totals, "comp").where(F.col("size") >= GROUP_SHARE * F.col("total")).select("token", "comp", F.lit(True).alias("as_group"))
+    open_rows = written(rows.join(top, "token").join(grouped, ["token", "comp"], "left"), "open")
+    apart = open_rows.where("comp != top")
+    # A set meets a group once, however many tokens they share.
+    groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
+    meets = apart.join(groups, "token").where("comp != with").select("sid", "n", "with").distinct()
+    members = comps.join(sets.select("sid", "n"), "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"))
+    met = meets.join(members, "with").where((100 + percent) * F.least("n", "m") >= percent * (F.col("n") + F.col("m")))
+    x, y = apart.alias("x"), open_rows.where("as_group is null").alias("y")
+    once = (F.col("y.comp") == F.col("y.top")) | F.col("x.as_group") | (F.col("x.sid") < F.col("y.sid"))
+    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent))
+    pairs = singly.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).unionByName(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(_verified(pairs, sets, percent), "links-2")
     comps = written(components(links.unionByName(more), "stars-2"), "comps-2")
     return sets.select("sid", "set").join(comps, "sid").select("set", "comp")
 
