@@ -133,7 +133,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_current")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def current(self, name: str) -> str | None:
