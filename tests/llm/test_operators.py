@@ -1,0 +1,435 @@
+"""Each operator against a brute-force version or an exact round trip, and the odd cases: nulls, empty and very long texts,
+ties and repeated rows, empty tables, extra columns with clashing names."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factgraph.llm import exact_dedup, html_extract, jaccard_join, packing, quality_model, quality_rules, sentencepieces, token_files, url_filters, warc
+from factgraph.llm import tokens as tokens_module
+
+P = pytest.importorskip("public_tokenizers")
+BPE = P.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, size long, kept boolean, digest string, tokens string, row long, part long"
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "of", "and", "zeta", "eta", "theta", "iota", "kappa"]) + rng.choice(["", "", "s", "ing"]) for _ in range(n))
+
+
+def corpus(n=60, seed=1):
+    """(doc_id, text): copies, near copies, short, empty, null, very long and repeated rows."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        base = sentence(rng, rng.randint(1, 120))
+        out.append(base if rng.random() < 0.8 else base + "\n" + base)
+    out += [out[3], out[3], out[5].upper(), out[7] + " more", " ".join(out[8].split()[1:])]
+    out += ["", None, " \n\t ", "word", "word " * 30, "a b c d", "a b c d", "  two  spaces here \x1c x ", "é" * 50, sentence(rng, 20_000)]
+    rows = [(i, t) for i, t in enumerate(out)]
+    return rows + [rows[3], (1000, None), (None, "no id"), (None, "no id")]
+
+
+def frame(spark, rows):
+    """Rows with all other columns, some of whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", 1, 1, 1, True, "x", "y", 2, 3) for i, t in rows], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus()).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def text(t):
+    return t or ""
+
+
+# Exact dedup -----------------------------------------------------------------------------------------------------------
+def dedup_truth(rows, pick):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[text(t)].append(i)
+    out = []
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        keep = pick(known) if known else None
+        seen = False
+        for i in ids:
+            out.append((i, keep, len(ids), i == keep and not seen, hashlib.sha256(t.encode()).hexdigest()))
+            seen |= i == keep
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("keep,pick", [("largest", max), ("smallest", min)])
+@pytest.mark.parametrize("digest_bytes,bits", [(32, 1 << 20), (1, 1 << 15), (0, 1 << 15)])
+def test_exact_dedup(docs, keep, pick, digest_bytes, bits):
+    got = exact_dedup.deduplicate(docs, keep=keep, digest_bytes=digest_bytes, filter_bits=bits)
+    assert sorted(map(tuple, got.collect()), key=str) == dedup_truth(corpus(), pick)
+
+
+def test_exact_dedup_keeps_columns(docs, empty):
+    out = exact_dedup.drop_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, (text(r["text"]) for r in out.collect()))) == sorted({text(t) for _, t in corpus()})
+    assert exact_dedup.drop_duplicates(empty).count() == 0 == exact_dedup.deduplicate(empty).count()
+
+
+# Tokens ----------------------------------------------------------------------------------------------------------------
+def odd_texts():
+    rng = random.Random(3)
+    out = ["", " ", "  ", " a  b \n c", "x\n", "\n", "foo 's bar'll", "a\x1c b \x1f c", "<|endoftext|> a b", "你好 世界  abc", "1 2  3   4\n\n  5", "\x85 b \x0b c", "　 a"]
+    return out + ["".join(rng.choice([" ", "  ", "\n", "\t", "a", "B", "1", "!", "'s", "é", "\x1d", "😀"]) for _ in range(30)) for _ in range(400)]
+
+
+def test_encoder_is_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BPE), tokens_module.Encoder(BPE)
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd_texts()]
+    assert own.encode(odd_texts()) == want == own.encode(odd_texts())
+    monkeypatch.setattr(tokens_module, "MEMO_ENTRIES", 3)
+    assert own.encode(odd_texts()) == want
+
+
+def ids_of(t):
+    return tokens_module.encoder(BPE).encode([text(t)])[0] + b"\0\0\0\0"
+
+
+def test_packing(docs, empty):
+    cut = packing.pieces(docs, BPE, capacity=64)
+    rows = packing.pack(cut, capacity=64, open_bins=4, tasks=4, fan_in=2).collect()
+    whole = defaultdict(list)
+    for i, t in corpus():
+        whole[i].append(ids_of(t))
+    bins = defaultdict(list)
+    for r in rows:
+        assert any(zlib.crc32(x[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"] for x in whole[r["doc_id"]])
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 64
+    total = sum(len(x) // 4 for xs in whole.values() for x in xs)
+    assert sum(r["length"] for r in rows) == total and len(bins) <= 1.1 * total / 64 + 2
+    assert packing.pack(packing.pieces(empty, BPE)).count() == 0
+
+
+def test_best_fit_is_best():
+    rng, fit = random.Random(2), packing.BestFit(50, 8)
+    state: dict[int, int] = {}
+    closed: list[int] = []
+    for _ in range(2000):
+        n = rng.randint(1, 50)
+        options = {b: f for b, f in state.items() if f >= n}
+        number, offset = fit.place(n)
+        if options:
+            assert state[number] == min(options.values()) and offset == 50 - state[number]
+        else:
+            assert offset == 0 and number not in state
+            if len(state) == 8:
+                fullest = min(state.values())
+                gone = [b for b in fit.closed if b in state]
+                assert any(state[b] == fullest for b in gone)
+        state[number] = (state.get(number, 50)) - n
+        while fit.closed:
+            b = fit.closed.pop()
+            closed.append(b)
+            state.pop(b, None)
+        assert len(state) <= 8
+    assert len(closed) == len(set(closed))
+
+
+def test_sequences_hold_the_ids(spark, docs):
+    small = docs.where("doc_id < 10").dropDuplicates(["doc_id"])
+    cut = packing.pieces(small, BPE, capacity=64, with_ids=True)
+    packed = packing.pack(cut, capacity=64)
+    found = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packed, cut).collect()}
+    for r in packed.collect():
+        part = found[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]
+        assert zlib.crc32(part) == r["ids_crc32"]
+
+
+def test_token_files(docs, empty, tmp_path):
+    got = token_files.round_trip(docs, BPE, tasks=3, roll_bytes=2000).collect()
+    rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0))
+    at = {}
+    n = 0
+    want = Counter((i, len(ids_of(t)) // 4, zlib.crc32(ids_of(t))) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == n
+        n += r["n_tokens"]
+        at[r["start"]] = r["doc_id"]
+    order = [at[k] for k in sorted(at)]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    assert token_files.round_trip(empty, BPE).count() == 0
+
+
+@pytest.mark.parametrize("bits", [4, 6, 18])
+def test_huffman_lengths(bits):
+    rng = np.random.default_rng(0)
+    for counts in ([0, 5, 0, 3, 2, 1], [7], [0, 7], [2**k for k in range(14)], rng.integers(0, 9, 16).tolist()):
+        lengths = token_files.code_lengths(np.array(counts), bits)
+        used = lengths[lengths > 0].astype(int)
+        assert set(np.flatnonzero(lengths)) == set(np.flatnonzero(counts)) and (used <= bits).all() and sum(2.0 ** -used) <= 1
+        ids = rng.choice(np.flatnonzero(counts), 1000).astype(np.uint32)
+        coder = token_files.Coder(lengths)
+        data, marks = coder.encode(ids)
+        sizes = np.full(len(marks), token_files.STEP)
+        sizes[-1] = len(ids) - token_files.STEP * (len(marks) - 1)
+        assert (coder.decode(data, sizes, marks) == ids).all()
+    free = token_files.code_lengths(np.array([1, 1, 2, 4, 8]), 18)
+    assert free.tolist() == [4, 4, 3, 2, 1]
+
+
+# SentencePiece ---------------------------------------------------------------------------------------------------------
+def test_pieces_are_the_library(docs):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = sentencepieces.Pieces.load(path)
+    texts = [t for t in odd_texts() if "▁" not in t]
+    got = own.encode(texts)
+    assert got == [np.array(library.encode(t), "<u4").tobytes() for t in texts]
+    assert own.decode(got) == texts
+    rows = sentencepieces.decode(sentencepieces.encode(docs, path), path).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((i, text(t)) for i, t in corpus())
+
+
+def test_unigram_viterbi_is_best():
+    words = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.5, "ba": -2.6, "aba": -6.0, "▁ab": -5.5}
+    own = sentencepieces.Pieces(list(words), list(words.values()), [True] * len(words), {}, 99, True)
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max((words[word[:k]] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in words), default=-1e9)
+
+    rng = random.Random(0)
+    marked = ["▁" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 8))) for _ in range(100)]
+    for word, ids in own.segment(list(set(marked))).items():
+        pieces = [own.texts[i] for i in np.frombuffer(ids, "<u4")]
+        assert "".join(pieces) == word and abs(sum(words[p] for p in pieces) - best(word)) < 1e-9
+
+
+# HTML ------------------------------------------------------------------------------------------------------------------
+PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="with-sidebar">
+<header><h1>Site</h1><a href=x>Home</a></header><nav><a>1</a></nav><div class="cookie-notice">We use cookies. Accept all of them please, now.</div>
+<div id="main"><article><h1>The title</h1><p>First para with <a href=q>a link</a> and t<b>ex</b>t &amp; more   words.<br>Next<p>Unclosed
+<div class="ad">Buy now! The best thing you can find on the market today, cheap.</div><ul><li>One<li>two</ul><p>Short.</p><form><label>Mail</label></form>
+<p>The last paragraph has some words too, at least ten of them, as it should.</p>
+<section id="comments"><article class="comment"><p>I liked this article very much and will come again, thanks a lot!</p></article></section></article>
+<aside><p>Related things are here in a long long sentence that looks like content.</p></aside></div><footer>&copy; me</footer></body></html>"""
+
+
+def test_main_text(spark, empty):
+    want = "The title First para with a link and text & more words. Next Unclosed One two Short. The last paragraph has some words too, at least ten of them, as it should."
+    assert html_extract.main_text(PAGE) == want
+    plain = "<body><div class=menu><a>a</a> <a>b</a></div><div><div>Head line</div><div>This is some long text without an article tag, with many words in it.</div><div>Yes.</div><div>Another long block of text that has many words in it as well.</div></div><div><a>L1</a> | <a>L2</a></div>"
+    assert html_extract.main_text(plain) == "Head line This is some long text without an article tag, with many words in it. Yes. Another long block of text that has many words in it as well."
+    assert [html_extract.main_text(x) for x in (None, "", "<", "<nav>x</nav>", "&lt;p&gt;")][:4] == ["", "", "", ""]
+    rows = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 1), (3, "u", "<p>" * 3000, 1)], "page_id long, url string, html string, text int")
+    got = html_extract.extract(rows).collect()
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in got] == [(1, want, len(want))] * 2 + [(2, "", 0), (3, "", 0)]
+
+
+def test_cut_is_minimal():
+    rng = random.Random(5)
+    for _ in range(150):
+        n = rng.randint(1, 7)
+        z = [rng.uniform(-3, 3) for _ in range(n)]
+        links = [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+
+        def cost(labels):
+            own = sum(max(-s, 0) if x else max(s, 0) for s, x in zip(z, labels))
+            return own + sum(w for a, b, w in links if labels[a] != labels[b])
+
+        least = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert abs(cost(html_extract.minimum_cut(z, links)) - least) < 1e-6
+
+
+# Quality rules ---------------------------------------------------------------------------------------------------------
+def test_base_rules(docs, empty):
+    def truth(t):
+        words = WORD.findall(t)
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed
+
+    got = quality_rules.assess(docs).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in got) == Counter((i, *truth(text(t))) for i, t in corpus())
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)
+    assert quality_rules.assess(empty).count() == 0
+
+
+def test_common_lines(spark):
+    rng = random.Random(4)
+    stock = "This site uses stock lines everywhere"
+    own = [(i, "\n".join([sentence(rng, 15), stock, sentence(rng, 15)])) for i in range(40)]
+    drained = [(100 + i, "\n".join([stock] * 4 + [f"x{i}"])) for i in range(5)]
+    body = [sentence(rng, 12) for _ in range(3)]
+    near = [(200 + i, "\n".join([body[0], body[1], body[2] + f" {i}"])) for i in range(60)]
+    copies = [(300 + i, own[0][1]) for i in range(50)]
+    rows = [(i, t, "h") for i, t in own + drained + near + copies]
+    got = {r["doc_id"]: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_share=0.01).collect()}
+    assert all(got[i]["kept"] and got[i]["n_common_lines"] == 1 and got[i]["n_words_left"] == 30 for i, _ in own)
+    assert not any(got[i]["kept"] for i, _ in drained)
+    assert all(got[i]["kept"] and got[i]["n_common_lines"] == 0 for i, _ in near)
+
+
+# Quality model ---------------------------------------------------------------------------------------------------------
+def test_model_is_kneser_ney(spark):
+    """Probabilities over all next characters add up to one, and known text is likelier than noise."""
+    rng = random.Random(6)
+    rows = [("en", sentence(rng, 40)) for _ in range(50)]
+    folder, shards = quality_model.train(spark.createDataFrame(rows, "lang string, text string"))
+    head = "alphas be"
+    chars = [chr(c) for c in range(1, quality_model.CLASSES // 2)]
+    base = quality_model.log_perplexity(folder, "en", shards["en"], [head])[0] * len(head)
+    each = quality_model.log_perplexity(folder, "en", shards["en"], [head + c for c in chars])
+    total = sum(np.exp(-(v * (len(head) + 1) - base)) for v in each)
+    assert 0.45 < total <= 1.0001  # the classes above 2047 and class 0 share the rest of the uniform part
+    good, bad = quality_model.log_perplexity(folder, "en", shards["en"], [sentence(rng, 30), "zq!xk %%% QW" * 10])
+    assert good < 1.2 < bad
+
+
+def test_classifier_separates(spark, empty):
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, 60), "en") for i in range(200)] + [(500 + i, sentence(rng, 60).upper().replace(" ", "!! "), "en") for i in range(20)]
+    rows += [(900, None, "en"), (901, "", "en"), (902, "Text in an unknown tongue", "xx"), (903, sentence(rng, 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(500, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality_model.classify(docs, labels).collect()}
+    assert sum(got[i] for i in range(200)) >= 198 and not any(got[500 + i] for i in range(20))
+    assert (got[900], got[901], got[902], got[903]) == (False, False, True, True)
+    assert quality_model.keep_good(docs, labels).columns == docs.columns
+    assert quality_model.classify(empty, labels).count() == 0
+    assert all(r["kept"] for r in quality_model.classify(docs.where("doc_id < 5"), labels.limit(0)).collect())
+
+
+# Jaccard join ----------------------------------------------------------------------------------------------------------
+def jaccard_truth(rows, words=5, percent=75):
+    sets = []
+    for i, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text(t)))
+        sets.append(frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[root(k)].append(k)
+    out = []
+    for members in groups.values():
+        known = [rows[k][0] for k in members if rows[k][0] is not None]
+        out += [(rows[k][0], len(sets[k]), min(known) if known else None) for k in members]
+    return Counter(out)
+
+
+def near_corpus():
+    rng = random.Random(8)
+    rows = corpus()
+    for g in range(6):
+        base = sentence(rng, rng.randint(30, 150)).split()
+        for k in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(len(own))] = f"w{rng.randint(0, 9)}"
+            rows.append((2000 + 20 * g + k, " ".join(own)))
+    passage = sentence(rng, 60)
+    return rows + [(3000 + k, f"{sentence(rng, 10)} {passage} {sentence(rng, 8)}") for k in range(30)]
+
+
+def test_jaccard_join(spark, empty, monkeypatch):
+    rows = near_corpus()
+    docs = frame(spark, rows)
+    want = jaccard_truth(rows)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == want
+    monkeypatch.setattr(jaccard_join, "GROUP", 2)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == want
+    left = jaccard_join.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} >= {c for _, n, c in want if n}
+    assert jaccard_join.join(empty).count() == 0
+
+
+def test_components_by_stars(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 240)]
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    one = {tuple(r) for r in jaccard_join.components(links).collect()}
+    many = {tuple(r) for r in jaccard_join.components(links, "test-stars", in_one_task=0).collect()}
+    assert one == many and {c for s, c in one if 200 <= s <= 240} == {200}
+
+
+# WARC ------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("least", [0, 10])
+def test_warc(spark, least):
+    html = ["<p>one</p>" * 20, None, "", "<p>é</p>", "<p>one</p>" * 20, "tiny", "tiny", "x" * 300_000]
+    rows = [(i * 3, f"http://h/{i}\r\nX: y" if i else None, h, "q") for i, h in enumerate(html)] + [(None, "u", "tiny", "q"), (21, "v", "x" * 300_000, "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    got = warc.round_trip(pages, min_bytes=least, tasks=3, roll_bytes=500).collect()
+    last = {}
+    for i, _, h, _ in rows:
+        last[text(h)] = max(last.get(text(h), -1), -1 if i is None else i)
+    want = Counter()
+    for i, _, h, _ in rows:
+        data = text(h).encode()
+        again = len(data) >= least and last[text(h)] != i
+        want[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", last[text(h)] if again else None] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_is_deterministic(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 5}</p>") for i in range(50)], "page_id long, url string, html string")
+    sums = []
+    for k in range(2):
+        from factgraph.llm.common import workspace
+
+        manifest = warc.write(pages.repartition(3 + k), workspace(spark, "warc-test"), tasks=2, roll_bytes=1000)
+        sums.append(sorted((r["file"], r["records"], r["bytes"], r["sha256"]) for r in manifest.collect()))
+    assert sums[0] == sums[1] and len(sums[0]) > 2
+
+
+# URL filters -----------------------------------------------------------------------------------------------------------
+def test_url_filters(spark):
+    entries = [("Example.com", "2024-01-01", "block"), ("example.com", "2024-03-01", "remove"), ("www2.example.com", "2024-02-01", "allow"), ("example.com/a/b", "2024-01-15", "allow"), ("example.com", "2024-03-01", "allow"), (None, "2024-01-01", "block"), ("x.org", None, "block")]
+    log = spark.createDataFrame(entries, "key string, date string, action string")
+    cases = [("http://www.example.com/x?q#f", "2024-01-10", "block"), ("https://user@EXAMPLE.com:80/a/b/c", "2024-01-20", "allow"), ("https://example.com/a/b", "2024-01-10", "block"), ("http://sub.www2.example.com", "2024-02-02", "allow"), ("http://example.com", "2023-12-31", "none"), ("http://example.com", "2024-03-02", "allow"), ("http://other.com/example.com", "2024-01-10", "none"), (None, "2024-01-10", "none"), ("http://example.com", None, "none"), ("", "2024-01-10", "none")]
+    rows = [(k, u, t and date.fromisoformat(t)) for k, (u, t, _) in enumerate(cases)]
+    captures = spark.createDataFrame([*rows, rows[0], (None, *rows[0][1:])], "page_id long, url string, fetched date")
+    for size in (1 << 20, 0):
+        got = url_filters.evaluate(captures, log, broadcast_bytes=size).collect()
+        assert Counter((r["page_id"], r["verdict"]) for r in got) == Counter([*((k, v) for k, (_, _, v) in enumerate(cases)), (0, "block"), (None, "block")])
+    assert {r["verdict"] for r in url_filters.evaluate(captures, log.limit(0)).collect()} == {"none"}
+    assert url_filters.evaluate(captures.limit(0), log).count() == 0

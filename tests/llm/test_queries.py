@@ -1,0 +1,41 @@
+"""The registered queries on the smallest driver tables, and the pipeline by its stages."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+from factgraph.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    out = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in out.description]
+    columns = sorted(df.columns)
+    assert columns == sorted(names)
+    assert sorted(str([r[c] for c in columns]) for r in df.collect()) == sorted(str([r[names.index(c)] for c in columns]) for r in out.fetchall())
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert 0.5 * n < docs.count() <= n, name
+    assert docs.count() == docs.select("text").distinct().count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    assert packed.agg({"length": "max"}).first()[0] <= 2048
