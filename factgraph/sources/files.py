@@ -108,7 +108,7 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     files = files.withColumn("rel", rel).where(extension.isin(*extensions) & ~pruned(F.col("rel")))
     table = extension == "xlsx"
-    return files.select("path", "rel", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("checksum"), F.when(~table, F.decode("content", F.lit("UTF-8"))).alias("text"), table.alias("quarantined"))
+    return files.select("path", "rel", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("checksum"), F.when(~table, F.decode("content", "UTF-8")).alias("text"), table.alias("quarantined"))
 
 
 def watch(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
