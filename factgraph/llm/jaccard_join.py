@@ -208,10 +208,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _may(x: str, y: str, percent: int):
     """Whether two rows of a bucket allow enough likeness if no earlier token of the order is shared.
 
-    Of a linked pair that holds for the first token they share, so each is found in that bucket at least.
+    Of a linked pair that holds for the first token they share, so each is found in that bucket at least. Rows with the same
+    token before have met in that one's bucket.
     """
+    first = F.col(f"{x}.before") != F.col(f"{y}.before")
     left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
-    return (100 + percent) * left >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    return first & ((100 + percent) * left >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -293,15 +295,17 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
                 tokens = tokens.values.to_numpy()
                 kind = sum(_holds(m, tokens).astype(np.int64) for m in maps.value)
                 order = np.lexsort((tokens, kind))[: begin(n, percent)]
-                tokens = tokens[order][kind[order] > 0]  # what only one set has finds no partner
-                own.append((tokens, np.full(len(tokens), sid), np.full(len(tokens), n), np.flatnonzero(kind[order] > 0)))
+                shared = kind[order] > 0  # what only one set has finds no partner
+                tokens, before = tokens[order], np.concatenate([[sid], tokens[order[:-1]]])
+                count = int(shared.sum())
+                own.append((tokens[shared], np.full(count, sid), np.full(count, n), np.flatnonzero(shared), before[shared]))
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own)], ["token", "sid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own)], ["token", "sid", "n", "pos", "before"])
 
-    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(first, "token long, sid long, n long, pos long"), "buckets")
+    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(first, "token long, sid long, n long, pos long, before long"), "buckets")
     # First round: the first set of each bucket and the others.
-    leaders = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("sid", "n", "pos"), "sid").alias("x")).where("size > 1")
-    star = buckets.alias("y").join(leaders.alias("l"), F.col("y.token") == F.col("l.token")).select("l.x", F.struct("y.sid", "y.n", "y.pos").alias("y"))
+    leaders = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("sid", "n", "pos", "before"), "sid").alias("x")).where("size > 1")
+    star = buckets.alias("y").join(leaders.alias("l"), F.col("y.token") == F.col("l.token")).select("l.x", F.struct("y.sid", "y.n", "y.pos", "y.before").alias("y"))
     star = star.where((F.col("x.sid") != F.col("y.sid")) & _may("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     links = written(_verified(star, sets, percent), "links-1")
     comps = written(components(links, "stars-1"), "comps-1")
