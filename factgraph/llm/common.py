@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 
 
+@functools.lru_cache(maxsize=None)
+def _own_root(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='factgraph-shared-')}"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='factgraph-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset, as in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark.sparkContext.applicationId)
     return root.rstrip("/")
 
 
