@@ -94,6 +94,38 @@ def delete_document(assertions: DataFrame, document: str) -> dict[str, DataFrame
     return {"assertions": left, "orphan_nodes": orphan_nodes, "orphan_edges": orphan_edges}
 
 
+#: Seconds between a document's deletion and the sweep that removes it for good.
+GRACE_SECONDS = 300
+
+
+def mark_deleted(docs: DataFrame, ids: list[str], now) -> DataFrame:
+    """Soft-delete documents: they are due for removal after the grace period. Marked ones keep their time."""
+    at = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + GRACE_SECONDS * 1_000_000).cast("timestamp_ntz")
+    return docs.withColumn("marked_for_deletion_at", F.when(F.col("document_id").isin(*ids), F.coalesce("marked_for_deletion_at", at)).otherwise(F.col("marked_for_deletion_at")))
+
+
+def restore(docs: DataFrame, ids: list[str]) -> DataFrame:
+    return docs.withColumn("marked_for_deletion_at", F.when(~F.col("document_id").isin(*ids), F.col("marked_for_deletion_at")))
+
+
+def sweep(docs: DataFrame, assertions: DataFrame, now) -> dict[str, DataFrame]:
+    """Remove documents whose time has come, with what only they support."""
+    due = docs.where(F.col("marked_for_deletion_at") < now).select("document_id")
+    left, gone = assertions.join(due, "document_id", "left_anti"), assertions.join(due, "document_id", "left_semi")
+    return {
+        "documents": docs.join(due, "document_id", "left_anti"), "assertions": left,
+        "orphan_edges": gone.select("edge_id").distinct().join(left, "edge_id", "left_anti"),
+        "orphan_nodes": endpoints(gone).select("node_id").distinct().join(endpoints(left), "node_id", "left_anti"),
+    }
+
+
+def document_counts(assertions: DataFrame) -> DataFrame:
+    """Assertions, nodes and edges of each document."""
+    counts = assertions.groupBy("document_id").agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct("edge_id").alias("edges"))
+    ends = assertions.select("document_id", F.explode(F.array("subject_node_id", "object_node_id")).alias("node_id")).distinct()
+    return counts.join(ends.groupBy("document_id").agg(F.count(F.lit(1)).alias("nodes")), "document_id")
+
+
 def revoke(assertions: DataFrame, active: DataFrame, predicate: str) -> dict[str, DataFrame]:
     """The taxonomy and assertions without a predicate, and the nodes that only it held."""
     name = F.upper("predicate") == predicate.upper()

@@ -59,7 +59,8 @@ def query_graph(assertions: DataFrame, text: str, depth: int = 1, k: int = TOP_K
 
     ``cap`` limits the assertions of a hop (best id first); by default there is no limit.
     """
-    seeds = cut(bm25(assertions, text, k), 0)
+    assertions = assertions.select("assertion_id", "raw_text", "subject_node_id", "object_node_id", "edge_id").persist()  # read once by every hop
+    seeds = bm25(assertions, text, k)
     found = assertions.join(seeds, "assertion_id").select("assertion_id", "subject_node_id", "object_node_id", "bm25_score", F.lit(0).alias("depth"))
     ends = G.endpoints(assertions)
     start = G.endpoints(found).select("node_id")

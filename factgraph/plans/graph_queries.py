@@ -202,3 +202,26 @@ def tool_lines(spark, sf):
 @query(with_facts("SELECT predicate, count(*) AS n, count(DISTINCT edge_id) AS n_edges FROM assertions GROUP BY predicate"))
 def predicate_usage(spark, sf):
     return assertions(spark, sf).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("edge_id").alias("n_edges"))
+
+
+@query(with_facts(", e AS (SELECT DISTINCT document_id, node_id FROM ends JOIN assertions USING (assertion_id)) SELECT document_id, a.n AS assertions, a.e AS edges, count(*) AS nodes FROM e JOIN (SELECT document_id, count(*) AS n, count(DISTINCT edge_id) AS e FROM assertions GROUP BY 1) a USING (document_id) GROUP BY ALL"))
+def document_counts(spark, sf):
+    return G.document_counts(assertions(spark, sf))
+
+
+@query(with_facts("SELECT DISTINCT edge_id FROM assertions WHERE document_id = 'provides' AND edge_id NOT IN (SELECT edge_id FROM assertions WHERE document_id <> 'provides')"))
+def deletion_sweep(spark, sf):
+    """Two documents are deleted and one of them is restored before the sweep."""
+    docs = documents(spark).withColumn("marked_for_deletion_at", F.lit(None).cast("timestamp_ntz"))
+    at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    docs = G.restore(G.mark_deleted(docs, ["provides", "submits"], at), ["submits"])
+    return G.sweep(docs, assertions(spark, sf), F.to_timestamp_ntz(F.lit("2024-01-01 00:05:01")))["orphan_edges"]
+
+
+@query(with_facts(", g AS (SELECT DISTINCT edge_id, predicate FROM assertions) SELECT predicate, count(*) AS n FROM g WHERE edge_id IN (SELECT edge_id FROM assertions WHERE subject_node_id = sha256('customer7') UNION SELECT edge_id FROM assertions WHERE object_node_id = sha256('customer7')) GROUP BY predicate"))
+def term_filter(spark, sf):
+    """Edges with either end in a set of nodes: a semi-join on exploded ends."""
+    wanted = spark.range(1).select(T.node_id(F.lit("Customer_7")).alias("a"))
+    edge_rows = G.edges(assertions(spark, sf))
+    hit = G.undirected(edge_rows).join(wanted, "a", "left_semi").select("edge_id").distinct()
+    return edge_rows.join(hit, "edge_id", "left_semi").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))

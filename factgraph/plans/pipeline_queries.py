@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import markdown as M
 from ..operators import metrics as X
 from ..operators import versions as V
-from ..session import table
+from ..session import shared_root, table
 from ..streaming import jobs
 from .fixtures import CHUNK_VERSIONS, MD_DOCS, STATES, chunk_versions, md_docs, states
 from .registry import query
@@ -226,12 +226,7 @@ def event_severity(spark, sf):
 
 def _places(spark) -> tuple[str, str]:
     """A checkpoint and an output folder in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='factgraph-streams-')}"
-    here = f"{root.rstrip('/')}/factgraph-stream-{uuid.uuid4().hex}"
+    here = f"{shared_root(spark)}/factgraph-stream-{uuid.uuid4().hex}"
     return f"{here}/checkpoint", f"{here}/out"
 
 

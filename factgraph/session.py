@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,17 +41,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=None)
+def _own_root(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='factgraph-checkpoints-')}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset, as in local mode."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark.sparkContext.applicationId)).rstrip("/")
+
+
 def cut(df: DataFrame, hop: int) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder at every second hop, so that long loops stay short."""
-    spark = df.sparkSession
     if hop < 2 or hop % 2:
         return df
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='factgraph-checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
