@@ -205,13 +205,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def _may(x: str, y: str, percent: int):
+def _may(x: str, y: str, percent: int, once: bool):
     """Whether two rows of a bucket allow enough likeness if no earlier token of the order is shared.
 
-    Of a linked pair that holds for the first token they share, so each is found in that bucket at least. Rows with the same
-    token before have met in that one's bucket.
+    Of a linked pair that holds for the first token they share, so each is found in that bucket at least. With
+    ``once``, rows with the same token before are left out: they have met in that one's bucket.
     """
-    first = F.col(f"{x}.before") != F.col(f"{y}.before")
+    first = F.col(f"{x}.before") != F.col(f"{y}.before") if once else F.lit(True)
     left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
     return first & ((100 + percent) * left >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
@@ -306,7 +306,7 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
     # First round: the first set of each bucket and the others.
     leaders = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("sid", "n", "pos", "before"), "sid").alias("x")).where("size > 1")
     star = buckets.alias("y").join(leaders.alias("l"), F.col("y.token") == F.col("l.token")).select("l.x", F.struct("y.sid", "y.n", "y.pos", "y.before").alias("y"))
-    star = star.where((F.col("x.sid") != F.col("y.sid")) & _may("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    star = star.where((F.col("x.sid") != F.col("y.sid")) & _may("x", "y", percent, False)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     links = written(_verified(star, sets, percent), "links-1")
     comps = written(components(links, "stars-1"), "comps-1")
     # Second round: what is outside a bucket's largest component, and all sets of its other components.
@@ -324,7 +324,7 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
     met = meets.join(members, "with").where((100 + percent) * F.least("n", "m") >= percent * (F.col("n") + F.col("m")))
     x, y = apart.alias("x"), open_rows.where("as_group is null").alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | F.col("x.as_group") | (F.col("x.sid") < F.col("y.sid"))
-    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent))
+    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True))
     pairs = singly.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).unionByName(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(_verified(pairs, sets, percent), "links-2")
