@@ -9,7 +9,7 @@ documents agree on. Here three orders are used: by hash upwards, by hash downwar
    stock phrases are hardly ever among the beginnings. Sets that share a beginning token are candidates. In each token's
    bucket the first set is compared with the others; sets that a link joined need no further comparison, so a group of
    copies costs a star, not all its pairs. Then what stands apart from a bucket's largest component is compared with all
-   other components of the bucket. Sizes and places of the shared token must allow enough likeness.
+   other components of the bucket. Sizes, places of the shared token and parity bitmaps must allow enough likeness.
 3. A pair must also share beginning tokens under the other two orders before its intersection is counted.
 
 Tokens are 64-bit hashes of shingles; within a pair of documents a false match has a chance of about 10**-14.
@@ -37,6 +37,8 @@ MAP_BITS, CLASS_BITS, CLASSES = 1 << 27, 1 << 24, (2, 16, 256)
 LINKS_IN_ONE_TASK = 1_000_000
 #: A component of which a bucket has at least so many sets, and this share, is met as a whole instead of bucket by bucket.
 GROUP, GROUP_SHARE = 8, 0.02
+#: Places of a set's parity signature, a multiple of 64.
+PARITY = 1024
 _SLICE = 6_000_000
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], np.uint64)
 _ROW = 32768  # bits of bitmap_construct_agg
@@ -216,6 +218,31 @@ def _may(x: str, y: str, percent: int, once: bool):
     return first & ((100 + percent) * left >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
+def _signatures(sets: DataFrame) -> DataFrame:
+    """``sid``, ``n``, ``s``: of each set the parities of its tokens in ``PARITY`` places, as 64-bit words.
+
+    Two sets differ in at least as many tokens as their parities differ in places.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for tokens in batch.column(2):
+                places = np.bincount((tokens.values.to_numpy() >> 20) & (PARITY - 1), minlength=PARITY) & 1
+                words.append(np.packbits(places.astype(np.uint8)).view(np.int64))
+            if words:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], ["sid", "n", "s"])
+
+    return sets.select("sid", "n", "tokens").mapInArrow(sign, "sid long, n long, s array<long>")
+
+
+def _near(s: str, n: str, t: str, m: str, percent: int):
+    """Whether two signatures and sizes allow enough likeness. It implies that the sizes alone do."""
+    apart = sum((F.bit_count(F.col(s)[k].bitwiseXOR(F.col(t)[k])) for k in range(1, PARITY // 64)), F.bit_count(F.col(s)[0].bitwiseXOR(F.col(t)[0])))
+    sizes = (100 + percent) * F.least(n, m) >= percent * (F.col(n) + F.col(m))
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``.
 
@@ -315,16 +342,18 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
     top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
     grouped = sizes.where(F.col("size") >= GROUP).join(totals, "comp").where(F.col("size") >= GROUP_SHARE * F.col("total")).select("token", "comp", F.lit(True).alias("as_group"))
-    open_rows = written(rows.join(top, "token").join(grouped, ["token", "comp"], "left"), "open")
+    signs = written(_signatures(sets), "signatures")
+    open_rows = rows.join(top, "token").join(grouped, ["token", "comp"], "left")
+    open_rows = written(open_rows.join(signs.select("sid", "s"), "sid"), "open")
     apart = open_rows.where("comp != top")
     # A set meets a group once, however many tokens they share.
     groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
-    meets = apart.join(groups, "token").where("comp != with").select("sid", "n", "with").distinct()
-    members = comps.join(sets.select("sid", "n"), "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"))
-    met = meets.join(members, "with").where((100 + percent) * F.least("n", "m") >= percent * (F.col("n") + F.col("m")))
+    meets = apart.join(groups, "token").where("comp != with").select("sid", "with").distinct().join(signs, "sid")
+    members = comps.join(signs, "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
+    met = meets.join(members, "with").where(_near("s", "n", "t", "m", percent))
     x, y = apart.alias("x"), open_rows.where("as_group is null").alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | F.col("x.as_group") | (F.col("x.sid") < F.col("y.sid"))
-    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True))
+    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
     pairs = singly.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).unionByName(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(_verified(pairs, sets, percent), "links-2")
