@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries and key length of a worker's memos; both only bound memory.
-MEMO_ENTRIES, MEMO_KEY = 900_000, 64
+MEMO_ENTRIES, MEMO_KEY = 1_000_000, 64
 #: Characters that are encoded together.
 SLICE_CHARS = 6_000_000
 #: Fixed value: the published pattern of the byte-level pre-tokenizer.
@@ -71,14 +71,14 @@ class Encoder:
         memo, findall = self.memo, self.findall
         out = list(map(memo.get, parts))
         new = [i for i, ids in enumerate(out) if ids is None]
-        split = [findall(parts[i]) for i in new]
+        split = [(p,) if (p := parts[i])[1:].isalpha() and p[0] == " " else findall(p) for i in new]
         missing = set().union(*split) - memo.keys()
         if missing:
             self._learn(list(missing))
         get = memo.__getitem__
         for i, tokens in zip(new, split):
             out[i] = get(tokens[0]) if len(tokens) == 1 else b"".join(map(get, tokens))
-            if len(tokens) > 1 and len(parts[i]) <= MEMO_KEY:
+            if len(tokens) > 1 and len(parts[i]) <= MEMO_KEY and "\n" not in parts[i]:  # across lines few repeat
                 memo[parts[i]] = out[i]
         for t in missing:
             if len(t) > MEMO_KEY:
