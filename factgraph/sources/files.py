@@ -11,11 +11,11 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# What is skipped and read by default.
-PRUNED = (".git", "node_modules", "build", "logs", ".noesis")
+# What is skipped and read by default (with our own state directory).
+PRUNED = (".git", "node_modules", "build", "logs", ".factgraph")
 EXTENSIONS = ("md", "txt", "xlsx")
 INCLUDE = ("**/*.md", "docs/**/*.md", "README.md")
-EXCLUDE = ("node_modules/**", ".git/**", "dist/**", "build/**", ".noesis/**", "**/.*/**")
+EXCLUDE = ("node_modules/**", ".git/**", "dist/**", "build/**", ".factgraph/**", "**/.*/**")
 
 
 @dataclass
