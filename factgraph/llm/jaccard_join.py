@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach, written
-from .tokens import slices
+from .tokens import release, slices
 
 WORDS, PERCENT = 5, 75
 #: Beginnings are longer than the filter asks by this percentage of the set, and so many shared tokens more are asked.
@@ -133,6 +133,7 @@ def _beginnings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``token`` of all beginnings by hash; a token at most twice from one run of documents, copies within it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for _, texts in slices(batches, "text", _SLICE):
             own, seen = [], set()
             for text in texts:

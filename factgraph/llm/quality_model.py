@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, workspace, written
-from .tokens import slices
+from .tokens import release, slices
 
 ORDER, BITS = 5, 12
 #: Character classes: the first 2048 code points by themselves, the others modulo 2048.
@@ -34,7 +34,9 @@ QUANTILE, MARGIN = 0.99, 1.0
 SHARD_ENTRIES, KEPT_SHARDS = 2_000_000, 4
 #: Trusted identifiers are broadcast up to so many rows; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
-_SLICE = 3_000_000
+#: N-grams of a language that a task holds before it hands on their counts.
+HELD_GRAMS = 2_000_000
+_SLICE = 2_000_000
 _PAD = "\0" * (ORDER - 1)
 
 
@@ -54,15 +56,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[real], n
 
 
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by n-gram of both."""
+    keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """``lang``, ``gram``, ``n``: each task's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text", 4 * _SLICE):
+        release()
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for part, texts in slices(batches, "text", _SLICE):
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
-                own, n = np.unique(grams([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own), pa.array(n)], ["lang", "gram", "n"])
+                own = np.unique(grams([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
+                held[lang] = _added(held[lang], own) if lang in held else own
+                if len(held[lang][0]) > HELD_GRAMS:
+                    yield batch(lang, *held.pop(lang))
+        for lang, own in held.items():
+            yield batch(lang, *own)
+
+    def batch(lang: str, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own), pa.array(n)], ["lang", "gram", "n"])
 
     return docs.mapInArrow(run, "lang string, gram long, n long")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, written
-from .tokens import slices
+from .tokens import release, slices
 
 #: Base rules: fewest words, most percent of words in repeated windows, words of a window.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -96,6 +96,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     line_type = pa.list_(pa.struct([("line", pa.int64()), ("context", pa.int64()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         row = TaskContext.get().partitionId() << 36
         for part, texts in slices(batches, "text"):
             heads, lines = [], []

@@ -123,6 +123,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def release() -> None:
+    """Forget what a worker remembers of words, before another operator's work in the same process."""
+    encoder.cache_clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows of bounded total length, and their texts (null: empty)."""
     for batch in batches:
