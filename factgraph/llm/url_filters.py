@@ -15,8 +15,6 @@ from .common import written
 
 #: Bytes of intervals (as estimated: 200 a row) up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 200
-#: Domain labels and path segments that keys may have at most. Longer hosts and paths still match by their ends and beginnings.
-LABELS, SEGMENTS = 6, 4
 
 
 def normalised(url: Column) -> tuple[Column, Column]:
@@ -28,26 +26,26 @@ def normalised(url: Column) -> tuple[Column, Column]:
 
 
 def keys(host: Column, path: Column) -> Column:
-    """All keys that match, most specific first: host and path prefixes (``host/a/b``), then the host and its parents."""
+    """All keys that match, most specific first: host and every path prefix (``host/a/b``), then the host and every parent."""
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    deepest = F.least(F.size(parts), F.lit(SEGMENTS))
-    down = F.when(deepest > 0, F.transform(F.sequence(deepest, F.lit(1), F.lit(-1)), lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.size(parts) > SEGMENTS, F.array(F.concat(host, F.lit("/"), F.array_join(parts, "/")))).otherwise(F.array().cast("array<string>"))
-    first = F.greatest(F.size(labels) - LABELS, F.lit(0))
-    last = F.greatest(F.size(labels) - 2, first)  # no bare top-level domain
-    up = F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    up = F.when(first > 0, F.concat(F.array(host), up)).otherwise(up)
-    return F.filter(F.concat(whole, down, up), lambda k: k != "")
+    n = F.size(parts)
+    down = F.when(n > 0, F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
+    last = F.greatest(F.size(labels) - 2, F.lit(0))  # no bare top-level domain
+    up = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    return F.filter(F.concat(down, up), lambda k: k != "")
 
 
 def intervals(entries: DataFrame, key_col: str = "key", date_col: str = "date", action_col: str = "action") -> DataFrame:
     """``key``, ``action``, ``valid_from``, ``valid_to`` (null: still valid) from a log of entries.
 
     Of entries of one key and date, ``block`` holds before ``allow`` before ``remove``. ``remove`` ends what was valid and makes
-    no interval; entries with a null key or date don't count. Keys are lower-cased and lose a trailing slash.
+    no interval; entries with a null key or date don't count. Keys lose a trailing slash; their hosts are lower-cased and their
+    paths keep their case, as those of captures do.
     """
-    key = F.regexp_replace(F.lower(F.trim(F.col(key_col))), r"/+$", "")
+    trimmed = F.regexp_replace(F.trim(F.col(key_col)), r"/+$", "")
+    host = F.substring_index(trimmed, "/", 1)
+    key = F.concat(F.lower(host), F.substring(trimmed, F.length(host) + 1, F.length(trimmed)))
     rank = F.when(F.col(action_col) == "block", 0).when(F.col(action_col) == "allow", 1).otherwise(2)
     log = entries.select(key.alias("key"), F.col(date_col).cast("date").alias("valid_from"), F.struct(rank.alias("rank"), F.col(action_col).alias("action")).alias("a")).where("key is not null and key != '' and valid_from is not null")
     log = log.groupBy("key", "valid_from").agg(F.min("a").alias("a"))

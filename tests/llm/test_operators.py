@@ -433,3 +433,15 @@ def test_url_filters(spark):
         assert Counter((r["page_id"], r["verdict"]) for r in got) == Counter([*((k, v) for k, (_, _, v) in enumerate(cases)), (0, "block"), (None, "block")])
     assert {r["verdict"] for r in url_filters.evaluate(captures, log.limit(0)).collect()} == {"none"}
     assert url_filters.evaluate(captures.limit(0), log).count() == 0
+
+
+def test_url_filters_of_any_depth(spark):
+    deep = ".".join("abcdefghij") + ".org"
+    entries = [("h.com/a/b/c/d/e", "block"), ("H.com/a/b/c/d/e/f/g", "allow"), (deep[4:], "block"), (f"{deep[2:]}/X/y", "allow"), ("case.com/Docs/", "block")]
+    log = spark.createDataFrame([(k, "2024-01-01", a) for k, a in entries], "key string, date string, action string")
+    cases = [("http://h.com/a/b/c/d/e/f", "block", entries[0][0]), ("http://h.com/a/b/c/d/e/f/g/h", "allow", "h.com/a/b/c/d/e/f/g"), ("http://h.com/a/b/c/d", "none", None)]
+    cases += [(f"http://{deep}/x", "block", deep[4:]), (f"http://{deep[2:]}/X/y/z", "allow", f"{deep[2:]}/X/y"), (f"http://{deep[2:]}/x/y", "block", deep[4:])]
+    cases += [("http://CASE.com/Docs/a", "block", "case.com/Docs"), ("http://case.com/docs/a", "none", None)]
+    captures = spark.createDataFrame([(k, u, date(2024, 2, 1)) for k, (u, _, _) in enumerate(cases)], "page_id long, url string, fetched date")
+    got = {r["page_id"]: (r["verdict"], r["matched_key"]) for r in url_filters.evaluate(captures, log).collect()}
+    assert got == {k: (v, m) for k, (_, v, m) in enumerate(cases)}
