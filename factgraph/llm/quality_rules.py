@@ -2,8 +2,8 @@
 
 Lines are normalised (ASCII lower case, digits as 0, white space as one space) and hashed with their host. A line is above
 the limits when enough distinct documents of the host have it, and when these differ around it too: a copied or slightly
-edited document brings the same neighbours along and is no sign of boilerplate. Such lines are taken out; a document of
-which too little is left is rejected.
+edited document brings the same neighbours along and is no sign of boilerplate. ``assess`` counts what is left of each
+document without such lines and rejects those of which too little is left; ``clean`` returns the others without the lines.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import attach, written
 from .tokens import release, slices
@@ -64,6 +66,18 @@ def line_minima(lines: list[list[bytes]]) -> list[int]:
     return np.minimum.reduceat(pairs, begins).tolist()
 
 
+def line_key(host: bytes, words: list[bytes]) -> int:
+    """A line's hash with its host, from its normalised words."""
+    return _signed(host + b"\0" + b" ".join(words))
+
+
+def without(text: str, host: bytes, gone: set[int]) -> str:
+    """The text without the lines whose keys are in ``gone``; other lines, blank ones too, stay as they are."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    left = [line for line in lines if not (words := line.translate(_FOLD).split()) or line_key(host, words) not in gone]
+    return b"\n".join(left).decode("utf-8", "surrogatepass")
+
+
 def measure(text: str, host: bytes) -> tuple[tuple, list[tuple[int, int, int]]]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and (line, context, words) of each distinct line."""
     data = text.encode("utf-8", "surrogatepass")
@@ -72,7 +86,7 @@ def measure(text: str, host: bytes) -> tuple[tuple, list[tuple[int, int, int]]]:
     chars = len(text) - (len(data) - len(data.translate(None, _SPACE)))
     counts = (len(words), chars, len(data) - len(data.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words))
     split = [line.translate(_FOLD).split() for line in lines]
-    keys = [xxhash.xxh64_intdigest(host + b"\0" + b" ".join(s)) for s in split]
+    keys = [line_key(host, s) for s in split]
     likes = [_NONE, *line_minima(split), _NONE]
     found: dict[int, list[int]] = {}
     for i, (key, s) in enumerate(zip(keys, split)):
@@ -80,7 +94,7 @@ def measure(text: str, host: bytes) -> tuple[tuple, list[tuple[int, int, int]]]:
             found[key][1] += len(s)
         else:
             found[key] = [min(likes[i], likes[i + 2]), len(s)]
-    return counts, [(k - (1 << 63), c, n) for k, (c, n) in found.items()]
+    return counts, [(k, c, n) for k, (c, n) in found.items()]
 
 
 def _signed(data: bytes) -> int:
@@ -111,14 +125,10 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return rows.select("doc_id", "host", "text").mapInArrow(run, MEASURES)
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, context_share: float = CONTEXT_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """One row per input row: ``id_col``, the counts, ``base_failed``, ``kept``, ``n_common_lines``, ``n_words_left``.
-
-    A null or empty text has no words and fails the base rules; a null host counts as the empty host. Copies of a text count
-    as one document in line frequencies, and repeated rows are rows of their own in the result. An empty table gives none.
-    """
+def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, context_share: float = CONTEXT_SHARE, left_share: float = LEFT_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``assess``, and ``doc_id``, ``row``, ``line``, ``words`` of each common line of each row."""
     heads = written(measured(docs, id_col, text_col, host_col), "measured")
-    rows = heads.select("row", "sig", "host_key", F.explode("lines").alias("l")).select("row", "sig", "host_key", "l.line", "l.context", "l.words")
+    rows = heads.select("row", "doc_id", "sig", "host_key", F.explode("lines").alias("l")).select("row", "doc_id", "sig", "host_key", "l.line", "l.context", "l.words")
     # Copies count once; then documents by context, then by line. Each step sums up before it shuffles.
     distinct = rows.groupBy("line", "context", "sig").agg(F.count(F.lit(1)).alias("rows"), F.min("host_key").alias("host_key"))
     contexts = distinct.groupBy("line", "context").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows"), F.min("host_key").alias("host_key"))
@@ -126,18 +136,58 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     many = lines.where((F.col("docs") >= line_docs) & (F.col("contexts") >= F.lit(context_share) * F.col("docs")))
     hosts = heads.groupBy("host_key").agg(F.count(F.lit(1)).alias("host_docs"))
     common = written(many.join(hosts, "host_key").where(F.col("docs") >= F.lit(line_share) * F.col("host_docs")).select("line", "rows", F.lit(True).alias("common")), "common-lines")
-    out = attach(rows.select("row", "line", "words"), common, "line", "rows", rows.count(), how="inner")
+    out = attach(rows.select("row", "doc_id", "line", "words"), common, "line", "rows", rows.count(), how="inner")
     gone = out.groupBy("row").agg(F.count(F.lit(1)).alias("n_common_lines"), F.sum("words").alias("gone"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     joined = heads.drop("lines", "sig", "host_key").join(gone, "row", "left").withColumn("n_words_left", left).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_words_left") >= MIN_LEFT) & (F.col("n_words_left") >= F.lit(left_share) * F.col("n_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return joined.select(F.col("doc_id").alias(id_col), *names, kept.alias("kept"), F.coalesce("n_common_lines", F.lit(0)).cast("long").alias("n_common_lines"), F.col("n_words_left").cast("long").alias("n_words_left"))
+    verdicts = joined.select(F.col("doc_id").alias(id_col), *names, kept.alias("kept"), F.coalesce("n_common_lines", F.lit(0)).cast("long").alias("n_common_lines"), F.col("n_words_left").cast("long").alias("n_words_left"))
+    return verdicts, out
+
+
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: ``id_col``, the counts, ``base_failed``, ``kept``, ``n_common_lines``, ``n_words_left``.
+
+    A null or empty text has no words and fails the base rules; a null host counts as the empty host. Copies of a text count
+    as one document in line frequencies, and repeated rows are rows of their own in the result. An empty table gives none.
+    Options are those of ``_judged``.
+    """
+    return _judged(docs, id_col, text_col, **options)[0]
+
+
+def _rejected(verdicts: DataFrame, id_col: str) -> DataFrame:
+    return written(verdicts.groupBy(id_col).agg(F.max("kept").alias("kept")).where("not kept").select(id_col), "rejected")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns. Rows that share an identifier go only if all of them fail."""
-    verdicts = assess(docs, id_col, text_col, **options)
-    bad = written(verdicts.groupBy(id_col).agg(F.max("kept").alias("kept")).where("not kept").select(id_col), "rejected")
+    bad = _rejected(assess(docs, id_col, text_col, **options), id_col)
     return docs.join(bad, docs[id_col].eqNullSafe(bad[id_col]), "left_anti")
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, hosts: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([None if g is None else without(t or "", h.encode("utf-8", "surrogatepass"), set(g.tolist())) for t, h, g in zip(texts, hosts, gone)], dtype=object)
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The rows that ``keep_good`` returns, without the common lines of their host in ``text_col``, and with ``chars_col`` to match where there is one.
+
+    Whether a line is common depends on host and line alone, so rows that share an identifier share a list of such lines.
+    """
+    verdicts, lines = _judged(docs, id_col, text_col, host_col, **options)
+    bad = _rejected(verdicts, id_col)
+    gone = written(lines.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone")), "lines-gone")
+    good = docs.join(bad, docs[id_col].eqNullSafe(bad[id_col]), "left_anti")
+    good = good.join(gone, good[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
+    # Texts without such lines don't travel to Python.
+    some = F.col("_gone").isNotNull()
+    host = F.when(some, F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    good = good.withColumn("_clean", _without(F.when(some, F.col(text_col)), host, F.col("_gone")))
+    text = F.when(some & F.col(text_col).isNotNull(), F.col("_clean")).otherwise(F.col(text_col))
+    kinds = dict(docs.dtypes)
+    chars = F.when(some, F.length(text)).otherwise(F.col(chars_col)).cast(kinds[chars_col]) if chars_col in kinds else None
+    new = {text_col: text} | ({} if chars is None else {chars_col: chars})
+    return good.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))

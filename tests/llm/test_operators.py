@@ -299,6 +299,22 @@ def test_common_lines(spark):
     assert all(got[i]["kept"] and got[i]["n_common_lines"] == 0 for i, _ in near)
 
 
+def test_common_lines_are_taken_out(spark):
+    rng = random.Random(8)
+    stock, other = "Stock line 12 of this site", "stock  LINE 99 of this site"  # equal when normalised
+    first = {i: sentence(rng, 15) for i in range(40)}
+    last = {i: sentence(rng, 15) for i in range(40)}
+    texts = {i: f"{first[i]}\n\n{stock if i % 2 else other}\n{last[i]}" for i in range(40)}
+    rows = [(i, t, "en", "h", len(t)) for i, t in texts.items()]
+    rows += [(50, f"{first[0]}\n{stock}", "en", "elsewhere", 7), (51, None, "en", "h", 0), (None, texts[1], "en", "h", len(texts[1]))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    got = Counter(map(tuple, quality_rules.clean(docs).collect()))
+    want = {i: f"{first[i]}\n\n{last[i]}" for i in texts}
+    assert got == Counter([*((i, t, "en", "h", len(t)) for i, t in want.items()), rows[40], (None, want[1], "en", "h", len(want[1]))])
+    assert quality_rules.clean(docs).schema == docs.schema and quality_rules.clean(docs.limit(0)).count() == 0
+
+
 # Quality model ---------------------------------------------------------------------------------------------------------
 def test_model_is_kneser_ney(spark):
     """Probabilities over all next characters add up to one, and known text is likelier than noise."""
