@@ -315,6 +315,30 @@ def test_common_lines_are_taken_out(spark):
     assert quality_rules.clean(docs).schema == docs.schema and quality_rules.clean(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+def test_common_blocks(spark, place):
+    """Every line of a shared block is common wherever the block is; lines of near copies are not."""
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnprst"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(10))
+    rows, own = [], {}
+    for size in (2, 5, 20):
+        block = [line() for _ in range(size)]
+        for i in range(60):
+            a, b = [line() for _ in range(10)], [line() for _ in range(10)]
+            own[f"b{size}", size * 1000 + i] = size
+            rows.append((size * 1000 + i, "\n".join({"start": block + a + b, "middle": a + block + b, "end": a + b + block}[place]), f"b{size}"))
+    base = [line() for _ in range(20)]
+    for i in range(200):
+        edited = list(base)
+        edited[rng.randrange(20)] = line()
+        rows.append((90_000 + i, "\n".join(edited), "near"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_common_lines"] for r in quality_rules.assess(docs).collect()}
+    assert {(h, i): got[i] for h, i in own} == own
+    assert not any(got[90_000 + i] for i in range(200))
+
+
 # Quality model ---------------------------------------------------------------------------------------------------------
 def test_model_is_kneser_ney(spark):
     """Probabilities over all next characters add up to one, and known text is likelier than noise."""
