@@ -28,8 +28,9 @@ ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
 #: One in so many trusted documents is held out of training for the quantiles.
 HELD_OUT = 5
-#: The threshold: this quantile of the held-out documents' log-perplexity, and so many times its distance from the median.
-QUANTILE, MARGIN = 0.99, 1.0
+#: The threshold: this quantile of the held-out documents' log-perplexity. A margin of so many times its distance from the
+#: median can be put on top; none by default.
+QUANTILE, MARGIN = 0.99, 0.0
 #: Entries of a shard (12 bytes each on disk, about 32 in a worker), and shards that a worker keeps.
 SHARD_ENTRIES, KEPT_SHARDS = 2_000_000, 4
 #: Trusted identifiers are broadcast up to so many rows; beyond, the join shuffles.
@@ -243,8 +244,17 @@ def scored(docs: DataFrame, folder: str, shards: dict[str, int], id_col: str, te
     return rows.mapInArrow(run, "doc_id long, lang string, n_chars long, log_perplexity double")
 
 
+def _stretch(quantile: float, n: int) -> float:
+    """By how much the distance of a sample's quantile from its median falls short of the true one, for samples too small to reach it.
+
+    The largest of ``n`` values lies at the quantile ``1 - 1 / (n + 1)``; beyond it the tail is taken to be exponential.
+    """
+    rare = 1 - quantile
+    return 1.0 if not 0 < rare < 0.5 or rare * (n + 1) >= 1 else float(np.log(0.5 / rare) / np.log((max(n, 3) + 1) / 2))
+
+
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``lang``, ``threshold``: exact quantiles of log-perplexity in steps of a thousandth."""
+    """``lang``, ``threshold``: exact quantiles of log-perplexity in steps of a thousandth, extrapolated where a language has fewer documents than show the quantile."""
     bins = scores.where("log_perplexity is not null").groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
     def cut(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -252,7 +262,7 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MA
         share = frame["n"].cumsum() / frame["n"].sum()
         at = lambda q: float(frame["bin"].to_numpy()[np.searchsorted(share.to_numpy(), q - 1e-12)]) / 1000
         high, middle = at(quantile), at(0.5)
-        return pd.DataFrame({"lang": [key[0]], "threshold": [high + margin * (high - middle)]})
+        return pd.DataFrame({"lang": [key[0]], "threshold": [middle + (_stretch(quantile, int(frame["n"].sum())) + margin) * (high - middle)]})
 
     return bins.groupBy("lang").applyInPandas(cut, "lang string, threshold double")  # a language's bins are a few thousand
 

@@ -369,6 +369,16 @@ def test_classifier_separates(spark, empty):
     assert all(r["kept"] for r in quality_model.classify(docs.where("doc_id < 5"), labels.limit(0)).collect())
 
 
+def test_threshold_is_the_quantile(spark):
+    rng = random.Random(11)
+    scores = [round(rng.expovariate(1) + 1, 3) for _ in range(999)]
+    rows = [("big", v) for v in scores] + [("small", v) for v in scores[:20]] + [("one", 2.0), ("none", None)]
+    got = {r["lang"]: r["threshold"] for r in quality_model.thresholds(spark.createDataFrame(rows, "lang string, log_perplexity double")).collect()}
+    assert got.keys() == {"big", "small", "one"} and got["one"] == 2.0
+    assert abs(got["big"] - sorted(scores)[989]) < 1e-9  # the least value with 99% of all up to it
+    assert max(scores[:20]) < got["small"] < max(scores[:20]) + (max(scores[:20]) - 1)
+
+
 # Jaccard join ----------------------------------------------------------------------------------------------------------
 def jaccard_truth(rows, words=5, percent=75):
     sets = []
