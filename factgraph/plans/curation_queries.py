@@ -152,5 +152,5 @@ def edit_distance(spark, sf):
     from ..session import table
 
     a = table(spark, sf, "part").select(F.col("p_brand").alias("a")).distinct()
-    kinds = sorted(r[0] for r in table(spark, sf, "events").select("event_type").distinct().limit(100).collect())
-    return a.select("a", F.explode(F.lit(kinds)).alias("b")).withColumn("distance", F.levenshtein("a", "b"))
+    kinds = table(spark, sf, "events").select(F.col("event_type").alias("b")).distinct()
+    return a.crossJoin(F.broadcast(kinds)).withColumn("distance", F.levenshtein("a", "b"))

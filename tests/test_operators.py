@@ -175,3 +175,12 @@ def test_http_extractor_retries(spark):
 
     out = extractors.http(chunks, "http://none", extractors.request_template("ollama"), ["USES"], "m", tasks=1, send=send).collect()
     assert [(r["chunk_id"], r["body"], r["error"]) for r in out] == [("c1", '{"response":"[]"}', None)]
+
+
+def test_edit_distance_takes_every_event_type(spark, tmp_path):
+    from factgraph.plans import registry
+
+    spark.createDataFrame([("Brand#11",), ("Brand#12",), ("Brand#12",)], "p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(f"type{i % 130}",) for i in range(300)], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = registry.queries()["edit_distance"](spark, str(tmp_path)).collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows}) == 2 * 130
