@@ -29,6 +29,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A line is above the limits from so many documents of its host and this share of them, near copies counted together; and
 #: if what is so counted is at least this share of the distinct texts that have it.
 LINE_DOCS, LINE_SHARE, APART_SHARE = 20, 0.002, 0.1
+#: So many documents are enough on any host, however many it has.
+LINE_MOST = 200
 #: Least hashes of a document, and the rank among their numbers of documents (fewest first) that tells its near copies.
 MINIMA, RANK = 8, 3
 #: The weight of a document without near copies. Weights are whole numbers, so that sums don't depend on their order.
@@ -139,7 +141,7 @@ def _weights(heads: DataFrame) -> DataFrame:
     return found.select("sig", F.floor(F.lit(_WHOLE) / rank).alias("weight")).where(F.col("weight") < _WHOLE)
 
 
-def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, apart_share: float = APART_SHARE, left_share: float = LEFT_SHARE) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, apart_share: float = APART_SHARE, line_most: int = LINE_MOST, left_share: float = LEFT_SHARE) -> tuple[DataFrame, DataFrame]:
     """The rows of ``assess``, and ``doc_id``, ``row``, ``line``, ``words`` of each common line of each row."""
     heads = written(measured(docs, id_col, text_col, host_col), "measured")
     rows = heads.select("row", "doc_id", "sig", "host_key", F.explode("lines").alias("l")).select("row", "doc_id", "sig", "host_key", "l.line", "l.words")
@@ -150,7 +152,7 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     lines = distinct.groupBy("line").agg(F.count(F.lit(1)).alias("texts"), (F.sum(weight) / _WHOLE).alias("docs"), F.sum("rows").alias("rows"), F.min("host_key").alias("host_key"))
     many = lines.where((F.col("docs") >= line_docs) & (F.col("docs") >= F.lit(apart_share) * F.col("texts")))
     hosts = heads.groupBy("host_key").agg(F.count(F.lit(1)).alias("host_docs"))
-    common = written(many.join(hosts, "host_key").where(F.col("docs") >= F.lit(line_share) * F.col("host_docs")).select("line", "rows", F.lit(True).alias("common")), "common-lines")
+    common = written(many.join(hosts, "host_key").where(F.col("docs") >= F.least(F.lit(line_share) * F.col("host_docs"), F.lit(float(line_most)))).select("line", "rows", F.lit(True).alias("common")), "common-lines")
     out = attach(rows.select("row", "doc_id", "line", "words"), common, "line", "rows", rows.count(), how="inner")
     gone = out.groupBy("row").agg(F.count(F.lit(1)).alias("n_common_lines"), F.sum("words").alias("gone"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))

@@ -339,6 +339,14 @@ def test_common_blocks(spark, place):
     assert not any(got[90_000 + i] for i in range(200))
 
 
+def test_share_of_a_large_host_is_bounded(spark):
+    rng = random.Random(10)
+    rows = [(i, sentence(rng, 30) + ("\nStock line of thirty documents" if i < 30 else ""), "h") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most, n in ((25, 30), (31, 0)):
+        assert quality_rules.assess(docs, line_share=0.5, line_most=most).agg({"n_common_lines": "sum"}).first()[0] == n
+
+
 # Quality model ---------------------------------------------------------------------------------------------------------
 def test_model_is_kneser_ney(spark):
     """Probabilities over all next characters add up to one, and known text is likelier than noise."""
