@@ -2,8 +2,9 @@
 
 Each task keeps a fixed number of open bins in a bitset keyed by their free space. A piece goes to the open bin with the
 least space that holds it; when a new bin is needed and none may be opened, the fullest closes. Pieces of bins still open
-at a task's end go on to a next round of fewer tasks, where the longest come first, until one task has the last of them;
-a task passes on at most its open bins, so each round is small.
+at a task's end go on to a next round of fewer tasks, where the longest come first, until one task has the last of them.
+A task passes on at most its open bins, so each round is small, and the last one, which gets those of ``FAN_IN`` tasks,
+keeps as many open as these had together.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .tokens import encoder, slices
+from .common import frugal, written
+from .tokens import encoder, release, slices
 
 CAPACITY, OPEN_BINS, FAN_IN = 2048, 256, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,7 +64,8 @@ class BestFit:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Cut each document's ids (and the end id) into pieces of ``capacity``, of which the first may be shorter.
 
-    Null texts count as empty: one piece, the end id. ``with_ids`` adds the ids themselves (binary, little-endian 32-bit).
+    Null texts count as empty: one piece, the end id. Rows without an identifier or with the same one as others are cut like
+    any other. Very long texts are encoded whole. ``with_ids`` adds the ids themselves (binary, little-endian 32-bit).
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -84,13 +86,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(out.values())[: 5 + with_ids], types)], list(out)[: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(frugal(cut), PIECES + ", ids binary" * with_ids)
 
 
 def _round(rows: DataFrame, tasks: int, level: int, capacity: int, open_bins: int, last: bool) -> DataFrame:
     names = [f.split()[0] for f in PIECES.split(", ")]
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         fit, base = BestFit(capacity, open_bins), (level << 56) | (TaskContext.get().partitionId() << 32)
         waiting: dict[int, list[tuple]] = {}  # the rows of open bins
         for frame in frames:
@@ -110,7 +113,7 @@ def _round(rows: DataFrame, tasks: int, level: int, capacity: int, open_bins: in
 
     dealt = rows.select(*names).repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else rows.select(*names).coalesce(1)
     order = ["doc_id", "piece"] if level == 0 else [F.desc("length"), "doc_id", "piece"]
-    return dealt.sortWithinPartitions(*order).mapInPandas(fill, PIECES + ", sequence_id long, offset long")
+    return dealt.sortWithinPartitions(*order).mapInPandas(frugal(fill), PIECES + ", sequence_id long, offset long")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -123,7 +126,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, t
     parts, rest, level = [], cut, 0
     while True:
         last = tasks == 1
-        filled = written(_round(rest, tasks, level, capacity, open_bins if not last else 1 << 30, last), f"packed-{level}")
+        filled = written(_round(rest, tasks, level, capacity, fan_in * open_bins if last else open_bins, last), f"packed-{level}")
         parts.append(filled.where("sequence_id is not null"))
         if last:
             break
