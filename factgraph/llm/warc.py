@@ -2,7 +2,8 @@
 
 Records are range-sorted by identifier and written to files that roll over by compressed size, one gzip member a record.
 Digests and headers are made anew from the payload; nothing depends on time or host, so the same input gives the same bytes.
-A file is written under a temporary name and renamed when whole; a manifest with its size and digest commits it.
+Tasks write files under temporary names of their attempt; the manifest of those that counted, with sizes and digests, commits
+them, and only then they get their names.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, filesystem, range_bounds, workspace, written
+from .common import attach, commit_files, filesystem, frugal, range_bounds, workspace, written
 
 ROLL_BYTES, DATE = 32 << 20, "2000-01-01T00:00:00Z"
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 0
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:factgraph:warc")
+#: Columns of the manifest.
 MANIFEST = "file string, part long, number long, records long, bytes long, sha256 string"
 
 
@@ -87,10 +89,10 @@ def read_records(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str
 class Shard:
     def __init__(self, folder: str, name: str):
         self.fs, root = filesystem(folder)
-        context = TaskContext.get()
-        self.name, self.final, self.temporary = name, f"{root}/{name}", f"{root}/_tmp-{name}-{context.taskAttemptId() if context else 0}"
+        attempt = f"{name}-{TaskContext.get().taskAttemptId()}"
+        self.name, self.temporary = name, f"{folder}/{attempt}"
         self.fs.create_dir(root, recursive=True)
-        self.out, self.size, self.records, self.digest = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
+        self.out, self.size, self.records, self.digest = self.fs.open_output_stream(f"{root}/{attempt}", compression=None), 0, 0, hashlib.sha256()
 
     def add(self, data: bytes) -> None:
         self.out.write(data)
@@ -100,8 +102,7 @@ class Shard:
 
     def close(self, part: int, number: int) -> tuple:
         self.out.close()
-        self.fs.move(self.temporary, self.final)
-        return self.name, part, number, self.records, self.size, self.digest.hexdigest()
+        return self.name, part, number, self.records, self.size, self.digest.hexdigest(), self.temporary
 
 
 def revisits(pages: DataFrame, id_col: str, payload: Column, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -133,6 +134,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     bounds = range_bounds(pages.select(F.col(id_col).cast("long").alias("page_id")), "page_id", tasks)
     below = F.filter(F.lit(bounds), lambda b: b <= F.coalesce("page_id", F.lit(-(1 << 62)))) if bounds else F.array()
     rows = rows.withColumn("part", F.size(below))
+    temporary = f"{folder}/_temporary-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last, number, done, decision = None, -1, 0, [], (None, None, None)
@@ -148,17 +150,17 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                         shard, number = None, number + 1
                     number = number if own == last else 0
                     last = own
-                    shard = shard or Shard(folder, f"part-{own:06d}-{number:04d}.warc.gz")
+                    shard = shard or Shard(temporary, f"part-{own:06d}-{number:04d}.warc.gz")
                     shard.add(record(page, url, html.encode("utf-8", "surrogatepass"), digest, length, refers))
         if shard:
             done.append(shard.close(last, number))
-        names = [f.split()[0] for f in MANIFEST.split(", ")]
-        types = [pa.string(), *[pa.int64()] * 4, pa.string()]
+        names = [*(f.split()[0] for f in MANIFEST.split(", ")), "temporary"]
+        types = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(types)], names)
 
     rows = rows.select("page_id", "url", "html", "digest", "length", "kind", "refers_to", "part")
     dealt = rows.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", "page_id", "digest", "kind", "url")
-    return written(dealt.mapInArrow(run, MANIFEST), "warc-manifest")
+    return commit_files(spark, written(dealt.mapInArrow(frugal(run), MANIFEST + ", temporary string"), "warc-of-tasks"), folder, temporary)
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = manifest.select("file", "records").repartition(n, "file")
-    return files.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInPandas(frugal(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
