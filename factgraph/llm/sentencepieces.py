@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding over the distinct words of many texts.
 
 Words begin with the space mark. The distinct words of a run of texts are sorted, which is the depth-first order of their
-trie, and traversed with a stack of forward states: what is known of a prefix is kept for the next word that shares it.
+trie, and traversed with a stack of forward states: what is known of a prefix is kept for the next word that shares it. A
+state is the best way to cut the prefix into pieces: its score and the piece that it ends with (Viterbi).
 
-For unigram models a state is the best score of the prefix and the piece it ends with (Viterbi). For BPE models the best
-score does not give the library's pieces, so the state is the piece that the prefix's own encoding ends with: a sequence of
-pieces is an encoding exactly when each two neighbours are the encoding of their joint text, so at every position one piece
-goes with the state before it. Both are forward passes over shared prefixes.
+For unigram models every piece may follow every other. The pieces of a BPE model are not those of the best score: joining
+neighbours by rank gives the library's. But a row of pieces is what the joining ends in exactly if each two neighbours in it
+are what their joint text is joined to. So for BPE models neighbours for which that does not hold score minus infinity; of all
+ways to cut a prefix one is left. The pass over the trie and the states are the same.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .common import frugal
+from .tokens import Memo, gathered, release, slices, strings
 
 MARK = "▁"
-#: Entries of a worker's memos of words and of neighbours; both only bound memory.
-WORDS, PAIRS = 600_000, 2_000_000
+#: Entries of a worker's memo of neighbours; it only bounds memory.
+PAIRS = 1_000_000
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
@@ -37,15 +40,21 @@ class Pieces:
     def __init__(self, texts: list[str], scores: list[float], plain: list[bool], byte_ids: dict[int, int], unknown: int, unigram: bool):
         self.texts, self.scores, self.unigram, self.unknown = texts, scores, unigram, unknown
         self.ids = {t: i for i, (t, p) in enumerate(zip(texts, plain)) if p}
-        self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None
-        #: Words may be encoded apart unless a piece crosses from visible characters to a mark.
-        self.cuts = not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
+        #: Words may be encoded apart unless a piece crosses from visible characters to a mark, or a mark may be unknown.
+        self.cuts = (MARK in self.ids or self.byte_ids is not None) and not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
         inverse = {i: b for b, i in byte_ids.items()}
         self.bytes = [bytes([inverse[i]]) if i in inverse else t.replace(MARK, " ").encode() if p else " ⁇ ".encode() if i == unknown else b"" for i, (t, p) in enumerate(zip(texts, plain))]
         self.values = pa.array(self.bytes, pa.binary())
         self.least = min((s for s, p in zip(scores, plain) if p), default=0.0) - UNKNOWN_PENALTY
-        self.words: dict[str, bytes] = {}
+        #: Pieces by their characters from the last to the first; a piece's id is under the empty string.
+        self.backwards: dict = {}
+        for text, i in self.ids.items():
+            node = self.backwards
+            for c in reversed(text):
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.memo = Memo()
         self.pairs: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -58,7 +67,7 @@ class Pieces:
         texts = [sp.id_to_piece(i) for i in range(n)]
         return cls(texts, [sp.get_score(i) for i in range(n)], [not r for r in reserved], {int(texts[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}, sp.unk_id(), unigram)
 
-    # BPE -----------------------------------------------------------------------------------------------------------
+    # Neighbours ----------------------------------------------------------------------------------------------------
     def _text(self, piece: int) -> str:
         return self.texts[piece] if piece >= 0 else chr(-1 - piece)
 
@@ -76,49 +85,41 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _goes(self, before: int | None, piece: int) -> bool:
-        """Whether ``piece`` may follow ``before`` (None: begin a word)."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            own = [piece] if before is None else [before, piece]
-            known = self.pairs[before, piece] = self.merge("".join(map(self._text, own))) == own
+        """Whether ``piece`` may follow ``before`` (None: begin a word) in a BPE model."""
+        own = [piece] if before is None else [before, piece]
+        known = self.pairs[before, piece] = self.merge("".join(map(self._text, own))) == own
         return known
 
-    def _bpe_step(self, word: str, end: int, states: list[tuple[int, int]]) -> tuple[int, int]:
-        get = self.ids.get
-        for begin in range(max(0, end - self.longest), end):
-            piece = get(word[begin:end])
-            if piece is None:
-                if begin < end - 1:
-                    continue
-                piece = -1 - ord(word[begin])
-            if self._goes(states[begin][1] if begin else None, piece):
-                return begin, piece
-        raise AssertionError("every prefix has an encoding")
-
-    # Unigram -------------------------------------------------------------------------------------------------------
-    def _unigram_step(self, word: str, end: int, states: list[tuple[int, int, float]]) -> tuple[int, int, float]:
-        best = None
-        for begin in range(max(0, end - self.longest), end):
-            piece = self.ids.get(word[begin:end])
-            if piece is None:
-                if begin < end - 1:
-                    continue
+    # Words ---------------------------------------------------------------------------------------------------------
+    def _step(self, word: str, end: int, states: list[tuple[int, int | None, float]]) -> tuple[int, int, float]:
+        """The state of ``word[:end]``: where its last piece begins, which one it is (below 0: an unknown character), the score."""
+        best, node, begin, known = None, self.backwards, end, None if self.unigram else self.pairs
+        while begin:
+            begin -= 1
+            node = node.get(word[begin])
+            piece = None if node is None else node.get("")
+            if piece is None and begin == end - 1:
                 piece, score = -1 - ord(word[begin]), self.least
-            else:
+            elif piece is not None:
                 score = self.scores[piece]
-            score += states[begin][2] if begin else 0.0
-            if best is None or score > best[2]:
-                best = begin, piece, score
+            if piece is not None:
+                _, before, so_far = states[begin]
+                if known is None:
+                    if best is None or so_far + score >= best[2]:  # of equals the longest piece
+                        best = begin, piece, so_far + score
+                elif (goes := known.get((before, piece))) or goes is None and self._goes(before, piece):
+                    return begin, piece, so_far + score  # all others are minus infinity
+            if node is None:
+                break
         return best
 
-    # Words ---------------------------------------------------------------------------------------------------------
-    def segment(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of distinct words, by one traversal of their trie."""
-        step = self._unigram_step if self.unigram else self._bpe_step
+    def segment(self, words: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """The words in the order of their trie, their ids one after another, and how many each has."""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        out, before, states = {}, "", [(0, 0, 0.0)]
-        for word in sorted(words):
+        step, ordered, flat, sizes = self._step, sorted(words), [], []
+        before, states = "", [(0, None, 0.0)]
+        for word in ordered:
             n = min(len(before), len(word))
             keep = n if before[:n] == word[:n] else next(i for i in range(n) if before[i] != word[i])
             del states[keep + 1 :]
@@ -126,49 +127,54 @@ class Pieces:
                 states.append(step(word, end, states))
             ids, at = [], len(word)
             while at:
-                state = states[at]
-                if state[1] >= 0:
-                    ids.append(state[1])
+                at, piece, _ = states[at]
+                if piece >= 0:
+                    ids.append(piece)
                 elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in reversed(chr(-1 - state[1]).encode("utf-8", "surrogatepass"))]
-                else:
+                    ids += [self.byte_ids[b] for b in reversed(chr(-1 - piece).encode("utf-8", "surrogatepass"))]
+                elif not ids or ids[-1] != self.unknown:  # a run of unknown characters is one
                     ids.append(self.unknown)
-                at = state[0]
-            out[word] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            flat += ids
+            sizes.append(len(ids))
             before = word
-        return out
+        return ordered, flat, sizes
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of distinct words stand in the memo."""
+        at = self.memo.find(words)
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            ordered, flat, sizes = self.segment([words[i] for i in new])
+            place = dict(zip(ordered, self.memo.add(ordered, np.array(flat, np.uint32), np.array(sizes, np.int64)).tolist()))
+            at[new] = [place[words[i]] for i in new]
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > WORDS:
-            self.words.clear()
+        if not texts:
+            return []
+        self.memo.turn()
         slow = {i for i, t in enumerate(texts) if not t or not self.cuts or MARK in t}
         lists = pc.split_pattern(pa.array(["" if i in slow else t for i, t in enumerate(texts)], pa.large_string()), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if "" in distinct:  # the next word has several marks, unless the text ends there
-            at = codes == distinct.index("")
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        empty = pc.binary_length(distinct).to_numpy() == 0
+        if empty.any():  # the next word has several marks, unless the text ends there
+            at = empty[codes]
             at[ends[1:] - 1] = False
             slow.update((np.searchsorted(ends, np.flatnonzero(at), "right") - 1).tolist())
-        marked = [MARK + p for p in distinct]
         other = {i: _WORD.findall(MARK + texts[i].replace(" ", MARK)) if self.cuts else [MARK + texts[i].replace(" ", MARK)] for i in slow if texts[i]}
-        words = self.words
-        missing = set(marked).union(*other.values()) - words.keys()
-        if missing:
-            words.update(self.segment(list(missing)))
-        found = [words[w] for w in marked]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        flat, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        stops = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.arange(stops[-1], dtype=np.int32) + np.repeat((begins[codes] - stops[:-1]).astype(np.int32), each)]
-        stops = stops[ends].tolist()
+        places = self._places(strings(distinct, MARK))
+        each = self.memo.sizes(places)[codes]
+        ids = self.memo.ids(places[codes])
+        stops = np.concatenate([[0], np.cumsum(each)])[ends].tolist()
         out = [b"" if i in slow else ids[a:b].tobytes() for i, (a, b) in enumerate(zip(stops, stops[1:]))]
+        words = list(dict.fromkeys(chain.from_iterable(other.values())))
+        place = dict(zip(words, self._places(words).tolist()))
         for i, own in other.items():
-            out[i] = b"".join([words[w] for w in own])
-        for w in [w for w in missing if len(w) > 64]:
-            del words[w]
+            out[i] = self.memo.ids(np.fromiter(map(place.__getitem__, own), np.int64, len(own))).tobytes()
         return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
@@ -181,20 +187,22 @@ class Pieces:
 
 @functools.lru_cache(maxsize=4)
 def pieces(path: str, unigram: bool = False) -> Pieces:
-    import gc
-
-    gc.disable()  # millions of strings and no cycles
     return Pieces.load(path, unigram)
 
 
 def encode(docs: DataFrame, model: str, unigram: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (binary, little-endian 32-bit) of every row; null and empty texts have no ids. Repeated rows repeat."""
+    """``id_col`` and ``ids`` (binary, little-endian 32-bit) of every row.
+
+    Null and empty texts have no ids. Repeated rows and rows without an identifier stay as they are; texts of any length are
+    encoded whole; other columns, whatever their names, are left out; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pieces(model, unigram).encode(texts), pa.binary())], [id_col, "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"`{id_col}` long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str, unigram: bool = False, id_col: str = "doc_id") -> DataFrame:
@@ -207,7 +215,7 @@ def decode(encoded: DataFrame, model: str, unigram: bool = False, id_col: str =
                 ids = [x or b"" for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(pieces(model, unigram).decode(ids), pa.string())], [id_col, "n_tokens", "ids_crc32", "text"])
 
-    return encoded.select(F.col(id_col), "ids").mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_crc32 long, text string")
+    return encoded.select(F.col(id_col), "ids").mapInArrow(frugal(run), f"`{id_col}` long, n_tokens long, ids_crc32 long, text string")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
