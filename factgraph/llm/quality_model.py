@@ -2,9 +2,10 @@
 
 The model is trained per language on trusted text. Tasks count the 5-grams of their own texts and Spark adds the counts up;
 lower orders use continuation counts, and each order's probabilities come from joins with the order below. The result is
-written in shards of bounded size by hash of the n-gram. A scoring task joins the n-grams of its texts with one shard after
-another. A document is rejected when its log-perplexity is above its language's threshold, which comes from quantiles of
-trusted documents that were held out of training.
+written in shards of bounded size by hash of the n-gram, each sorted. A scoring task counts the distinct n-grams of a run of
+texts, sends each to the one shard that may have it and merges them with it, so that a run reads a shard once. A document is
+rejected when its log-perplexity is above its language's threshold, which comes from quantiles of trusted documents that were
+held out of training.
 """
 
 from __future__ import annotations
@@ -13,50 +14,71 @@ import functools
 import io
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, workspace, written
+from .common import filesystem, forget, frugal, workspace, written
 from .tokens import release, slices
 
 ORDER, BITS = 5, 12
-#: Character classes: the first 2048 code points by themselves, the others modulo 2048.
+#: Classes of characters: 0 fills the beginnings of texts, 1 is any character without a class of its own, the others are the
+#: ``CLASSES - 2`` most frequent code points of a language's trusted text.
 CLASSES = 1 << BITS
 #: One in so many trusted documents is held out of training for the quantiles.
 HELD_OUT = 5
 #: The threshold: this quantile of the held-out documents' log-perplexity. A margin of so many times its distance from the
 #: median can be put on top; none by default.
 QUANTILE, MARGIN = 0.99, 0.0
-#: Entries of a shard (12 bytes each on disk, about 32 in a worker), and shards that a worker keeps.
+#: Entries of a shard (13 bytes each) and shards that a worker keeps during a task.
 SHARD_ENTRIES, KEPT_SHARDS = 2_000_000, 4
+#: Languages that a model may have; an alphabet of each is held by the driver and by every task.
+MAX_LANGUAGES = 2_000
 #: Trusted identifiers are broadcast up to so many rows; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
-#: N-grams of a language that a task holds before it hands on their counts.
+#: N-grams that a task holds before it hands on the counts of a language.
 HELD_GRAMS = 2_000_000
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 _PAD = "\0" * (ORDER - 1)
+#: Spreads neighbouring n-grams over shards; a prime.
+_SPREAD = 1_000_003
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def class_table(alphabet: np.ndarray) -> np.ndarray:
+    """The class of each code point up to one beyond the alphabet's last, which stands for all that follow."""
+    table = np.ones(int(alphabet[-1]) + 2, np.int16)
+    table[alphabet] = np.arange(2, len(alphabet) + 2)
+    return table
+
+
+def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The packed 5-gram that ends at each character, and each text's length. Beginnings are filled with class 0."""
     joined = "".join(_PAD + t for t in texts).encode("utf-32-le", "surrogatepass")
-    points = np.frombuffer(joined, "<u4").astype(np.int64)
-    points = np.where(points < CLASSES // 2, points, CLASSES // 2 + points % (CLASSES // 2))
+    points = np.frombuffer(joined, "<u4")
     n = np.fromiter(map(len, texts), np.int64, len(texts))
-    packed = np.zeros(len(points), np.int64)
-    for k in range(ORDER):
-        packed[k:] |= points[: len(points) - k] << (BITS * k)
     real = np.ones(len(points), bool)
     begins = np.cumsum(n + ORDER - 1) - n - (ORDER - 1)
     for k in range(ORDER - 1):
         real[begins + k] = False
+    classes = np.where(real, table[np.minimum(points, len(table) - 1)], 0).astype(np.int64)
+    packed = classes.copy()
+    for k in range(1, ORDER):
+        packed[k:] |= classes[:-k] << (BITS * k)
     return packed[real], n
 
 
+def _by_language(part: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[str, list[int], list[str]]]:
+    langs: dict[str, list[int]] = {}
+    for i, lang in enumerate(part.column("lang").to_pylist()):
+        langs.setdefault(lang, []).append(i)
+    for lang, own in sorted(langs.items()):
+        yield lang, own, [texts[i] for i in own]
+
+
 def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Counts by n-gram of both."""
     keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
@@ -66,37 +88,74 @@ def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return keys[first], np.add.reduceat(n, first)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``lang``, ``gram``, ``n``: each task's counts."""
+def _summed(texts: DataFrame, count, column: str) -> DataFrame:
+    """``lang``, ``column``, ``n``: ``count`` of all texts of a language, added up in each task and then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for part, texts in slices(batches, "text", _SLICE):
-            langs = np.array(part.column("lang").to_pylist(), object)
-            for lang in sorted(set(langs)):
-                own = np.unique(grams([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
-                held[lang] = _added(held[lang], own) if lang in held else own
-                if len(held[lang][0]) > HELD_GRAMS:
-                    yield batch(lang, *held.pop(lang))
-        for lang, own in held.items():
-            yield batch(lang, *own)
+            for lang, _, own in _by_language(part, texts):
+                found = np.unique(count(lang, own), return_counts=True)
+                held[lang] = _added(held[lang], found) if lang in held else found
+            while sum(len(keys) for keys, _ in held.values()) > HELD_GRAMS:
+                lang = max(held, key=lambda x: len(held[x][0]))
+                yield batch(lang, *held.pop(lang))
+        for lang, found in held.items():
+            yield batch(lang, *found)
+
+    def batch(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", column, "n"])
+
+    return texts.mapInArrow(frugal(run), f"lang string, {column} long, n long").groupBy("lang", column).agg(F.sum("n").alias("n"))
+
+
+def alphabets(trusted: DataFrame) -> dict[str, np.ndarray]:
+    """Of each language the code points that have a class, ascending: at most ``CLASSES - 2``, ties by code point."""
+
+    def points(_: str, texts: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+    ranked = _summed(trusted, points, "point").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "point")))
+    rows = ranked.where(F.col("rank") <= CLASSES - 2).groupBy("lang").agg(F.sort_array(F.collect_list("point")).alias("points")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"trusted text in more than {MAX_LANGUAGES} languages")
+    return {r["lang"]: np.array(r["points"], np.int64) for r in rows}
 
-    def batch(lang: str, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own), pa.array(n)], ["lang", "gram", "n"])
 
-    return docs.mapInArrow(run, "lang string, gram long, n long")
+def counted(docs: DataFrame, alphabet: dict[str, np.ndarray]) -> DataFrame:
+    """``lang``, ``gram``, ``n`` of all 5-grams."""
+    shared, tables = docs.sparkSession.sparkContext.broadcast(alphabet), {}
 
+    def five(lang: str, texts: list[str]) -> np.ndarray:
+        if lang not in tables:  # of this task
+            tables[lang] = class_table(shared.value[lang])
+        return grams(texts, tables[lang])[0]
 
-def train(trusted: DataFrame) -> tuple[str, dict[str, int]]:
-    """Train on ``lang``, ``text``; returns the model's folder and each language's number of shards."""
+    return _summed(docs, five, "gram")
+
+
+@dataclass
+class Model:
+    """A trained model: where its shards are, their files by language, and the languages' alphabets."""
+
+    folder: str
+    shards: dict[str, list[str]]
+    alphabet: dict[str, np.ndarray]
+
+
+def train(trusted: DataFrame) -> Model:
+    """Train on ``lang``, ``text``; texts must not be empty."""
     spark = trusted.sparkSession
-    top = written(counted(trusted).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    levels = {ORDER: top}
+    alphabet = alphabets(trusted)
+    if not alphabet:
+        return Model("", {}, {})
+    levels = {ORDER: written(counted(trusted, alphabet), "counts")}
     for k in range(ORDER - 1, 0, -1):  # how many characters come before an n-gram
         mask = (1 << (BITS * k)) - 1
         levels[k] = written(levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"counts-{k}")
-    below, parts = None, []
+    even = spark.createDataFrame([(lang, 1.0 / (len(points) + 1)) for lang, points in alphabet.items()], "lang string, low double")
+    below, parts, tables = None, [], list(levels.values())
     for k in range(1, ORDER + 1):
         level = levels[k]
         seen = level.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
@@ -114,134 +173,109 @@ def train(trusted: DataFrame) -> tuple[str, dict[str, int]]:
         contexts = written(contexts.select("lang", "ctx", "total", (F.col("off") / F.col("total")).alias("rest")), f"contexts-{k}")
         rows = level.select("lang", "gram", "ctx", (F.col("n") - off).alias("share")).join(contexts, ["lang", "ctx"])
         if below is None:
-            low = F.lit(1.0 / CLASSES)
+            rows = rows.join(F.broadcast(even), "lang")  # a row per language
         else:
             mask = (1 << (BITS * (k - 1))) - 1
             rows = rows.withColumn("low_gram", F.col("gram").bitwiseAND(F.lit(mask))).join(below.select("lang", F.col("gram").alias("low_gram"), F.col("p").alias("low")), ["lang", "low_gram"])
-            low = F.col("low")
-        below = written(rows.select("lang", "gram", (F.col("share") / F.col("total") + F.col("rest") * low).alias("p")), f"probabilities-{k}")
+        below = written(rows.select("lang", "gram", (F.col("share") / F.col("total") + F.col("rest") * F.col("low")).alias("p")), f"probabilities-{k}")
+        tables += [contexts, below]
         parts.append(below.select("lang", F.lit(k).alias("kind"), F.col("gram").alias("key"), F.log("p").cast("float").alias("value")))
         parts.append(contexts.select("lang", F.lit(-k).alias("kind"), F.col("ctx").alias("key"), F.log("rest").cast("float").alias("value")))
     model = functools.reduce(DataFrame.unionByName, parts)
     sizes = {r["lang"]: r["count"] for r in model.groupBy("lang").count().collect()}  # a row per language
-    shards = {lang: -(-n // SHARD_ENTRIES) for lang, n in sizes.items()}
-    folder = workspace(spark, "model")
-    count = F.lit(1)
-    for lang, n in shards.items():
-        count = F.when(F.col("lang") == lang, n).otherwise(count)
+    folder, count = workspace(spark, "model"), F.lit(1)
+    for lang, n in sizes.items():
+        if n > SHARD_ENTRIES:
+            count = F.when(F.col("lang") == lang, -(-n // SHARD_ENTRIES)).otherwise(count)
 
     def save(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        out = io.BytesIO()
-        frame = frame.sort_values(["kind", "key"])
+        frame, out = frame.sort_values(["kind", "key"]), io.BytesIO()
         np.savez(out, kind=frame["kind"].to_numpy(np.int8), key=frame["key"].to_numpy(np.int64), value=frame["value"].to_numpy(np.float32))
-        temporary = f"{root}/_tmp-{uuid.uuid4().hex}"
-        with fs.open_output_stream(temporary, compression=None) as f:
+        name = f"shard-{uuid.uuid4().hex}.npz"  # a shard that is written twice has two names, of which one is returned
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
             f.write(out.getvalue())
-        fs.move(temporary, f"{root}/{_name(*key)}")
-        return pd.DataFrame({"lang": [key[0]], "entries": [len(frame)]})
-
-    dealt = model.withColumn("shard", F.pmod(F.xxhash64("key"), count).cast("int"))
-    dealt.groupBy("lang", "shard").applyInPandas(save, "lang string, entries long").agg(F.sum("entries")).collect()
-    return folder, shards
-
-
-def _name(lang: str, shard: int) -> str:
-    return f"{lang.encode().hex()}-{shard:05d}.npz"
-
-
-class Table:
-    """Values by key: open addressing in numpy."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
-        size = 1 << self.bits
-        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = keys[left[free]]
-            done = self.keys[at] == keys[left]
-            self.values[at[done]] = values[left[done]]
-            left, at = left[~done], (at[~done] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and whether the key is there."""
-        at = self._slot(keys)
-        got = self.keys[at]
-        there, value = got == keys, self.values[at]
-        left = np.flatnonzero(~there & (got != -1))
-        at = at[left]
-        while len(left):
-            at = (at + 1) & (len(self.keys) - 1)
-            got = self.keys[at]
-            hit = got == keys[left]
-            value[left[hit]], there[left[hit]] = self.values[at[hit]], True
-            more = ~hit & (got != -1)
-            left, at = left[more], at[more]
-        value[~there] = 0
-        return value, there
+        return pd.DataFrame({"lang": [key[0]], "shard": [key[1]], "file": [name]})
+
+    dealt = model.withColumn("shard", F.pmod(F.pmod("key", F.lit(_SPREAD)), count).cast("int"))
+    files = dealt.groupBy("lang", "shard").applyInPandas(save, "lang string, shard int, file string").collect()  # a row for 2,000,000 entries
+    shards = {lang: [""] * -(-n // SHARD_ENTRIES) for lang, n in sizes.items()}
+    for r in files:
+        shards[r["lang"]][r["shard"]] = r["file"]
+    forget(*tables)
+    return Model(folder, shards, alphabet)
 
 
 @functools.lru_cache(maxsize=KEPT_SHARDS)
-def _shard(folder: str, lang: str, shard: int) -> dict[int, Table]:
+def _shard(folder: str, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted n-grams and values of a shard, by kind."""
+    if not name:
+        return {}
     fs, root = filesystem(folder)
-    with fs.open_input_file(f"{root}/{_name(lang, shard)}") as f:
+    with fs.open_input_file(f"{root}/{name}") as f:
         data = np.load(io.BytesIO(f.read()))
         kind, key, value = data["kind"], data["key"], data["value"]
-    return {int(k): Table(key[kind == k], value[kind == k]) for k in np.unique(kind)}
+    kinds, begins = np.unique(kind, return_index=True)
+    return {int(k): (key[a:b], value[a:b]) for k, a, b in zip(kinds, begins, [*begins[1:], len(kind)])}
 
 
-def _look_up(folder: str, lang: str, shards: int, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if shards == 1:
-        table = _shard(folder, lang, 0).get(kind)
-        return table.find(keys) if table else (np.zeros(len(keys), np.float32), np.zeros(len(keys), bool))
-    value, there = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-    missing = np.ones(len(keys), bool)
-    for s in range(shards):
-        if table := _shard(folder, lang, s).get(kind):
-            own, hit = table.find(keys[missing])
-            at = np.flatnonzero(missing)[hit]
-            value[at], there[at], missing[at] = own[hit], True, False
-    return value, there
+def _values(folder: str, shards: list[str], asked: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of sorted n-grams by kind the values, and whether they are there. Each is asked of the one shard that may have it."""
+    out = {kind: (np.zeros(len(keys)), np.zeros(len(keys), bool)) for kind, keys in asked.items()}
+    route = {kind: keys % _SPREAD % len(shards) for kind, keys in asked.items()}
+    for s, name in enumerate(shards):
+        for kind, (there, values) in _shard(folder, name).items():
+            own = np.flatnonzero(route[kind] == s)
+            keys = asked[kind][own]
+            at = np.minimum(np.searchsorted(there, keys), len(there) - 1)
+            hit = there[at] == keys
+            out[kind][0][own[hit]], out[kind][1][own[hit]] = values[at[hit]], True
+    return out
 
 
-def log_perplexity(folder: str, lang: str, shards: int, texts: list[str]) -> list[float | None]:
+def log_perplexity(model: Model, lang: str, texts: list[str], table: np.ndarray | None = None) -> list[float | None]:
     """Mean negative log-probability of a character; None for empty texts."""
-    packed, n = grams(texts)
-    total, left, keys = np.zeros(len(packed), np.float32), np.arange(len(packed)), packed
-    for k in range(ORDER, 0, -1):
-        value, there = _look_up(folder, lang, shards, k, keys)
-        total[left[there]] += value[there]
-        left, keys = left[~there], keys[~there]
-        if not len(left):
-            break
-        total[left] += _look_up(folder, lang, shards, -k, keys >> BITS)[0]
-        keys = keys & ((1 << (BITS * (k - 1))) - 1)
-    else:
-        total[left] -= np.log(CLASSES)
-    sums = np.bincount(np.repeat(np.arange(len(n)), n), total, len(n))
+    packed, n = grams(texts, class_table(model.alphabet[lang]) if table is None else table)
+    if not len(packed):
+        return [None] * len(texts)
+    keys, place = {}, {}
+    keys[ORDER], place[ORDER] = np.unique(packed, return_inverse=True)
+    for k in range(ORDER - 1, 0, -1):
+        keys[k], place[k] = np.unique(keys[k + 1] & ((1 << (BITS * k)) - 1), return_inverse=True)
+    contexts = {k: np.unique(keys[k] >> BITS, return_inverse=True) for k in keys}
+    found = _values(model.folder, model.shards[lang], keys | {-k: c[0] for k, c in contexts.items()})
+    score = -np.log(len(model.alphabet[lang]) + 1)
+    for k in range(1, ORDER + 1):
+        value, there = found[k]
+        below = score if k == 1 else score[place[k - 1]]
+        score = np.where(there, value, found[-k][0][contexts[k][1]] + below)
+    sums = np.bincount(np.repeat(np.arange(len(n)), n), score[place[ORDER]], len(n))
     return [-float(s) / int(c) if c else None for s, c in zip(sums, n)]
 
 
-def scored(docs: DataFrame, folder: str, shards: dict[str, int], id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``doc_id``, ``lang``, ``n_chars``, ``log_perplexity`` (null for empty texts and languages without a model)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text", _SLICE):
-            langs, out = part.column("lang").to_pylist(), [None] * len(texts)
-            for lang in sorted(set(langs) & shards.keys()):
-                own = [i for i, x in enumerate(langs) if x == lang]
-                for i, v in zip(own, log_perplexity(folder, lang, shards[lang], [texts[i] for i in own])):
-                    out[i] = v
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(map(len, texts), pa.int64()), pa.array(out, pa.float64())], ["doc_id", "lang", "n_chars", "log_perplexity"])
+        release()
+        model, tables = shared.value, {}
+        try:
+            for part, texts in slices(batches, "text", _SLICE):
+                out: list[float | None] = [None] * len(texts)
+                for lang, at, own in _by_language(part, texts):
+                    if lang in model.shards:
+                        if lang not in tables:
+                            tables[lang] = class_table(model.alphabet[lang])
+                        for i, v in zip(at, log_perplexity(model, lang, own, tables[lang])):
+                            out[i] = v
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(map(len, texts), pa.int64()), pa.array(out, pa.float64())], ["doc_id", "lang", "n_chars", "log_perplexity"])
+        finally:
+            _shard.cache_clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, n_chars long, log_perplexity double")
+    return rows.mapInArrow(frugal(run), "doc_id long, lang string, n_chars long, log_perplexity double")
 
 
 def _stretch(quantile: float, n: int) -> float:
@@ -270,19 +304,24 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MA
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, held_out: int = HELD_OUT) -> DataFrame:
     """One row per input row: ``id_col``, ``lang``, ``n_chars``, ``log_perplexity``, ``threshold``, ``kept``.
 
-    Trusted are the documents whose labels all say quality 1; every one of them is counted or held out. A null or empty text is
-    rejected. A language without trusted text has no model: its documents are kept, with null scores. A null language is the
-    language ``''``. Repeated rows get equal scores; an empty table gives no rows.
+    Trusted are the documents whose labels all say quality 1 and none says toxic 1 (where labels have ``toxic``); every one of
+    them is counted or held out. A null or empty text is rejected. A language without trusted text has no model, and one of
+    which no trusted document was held out has no threshold: their documents are kept, with nulls. A null language is the
+    language ``''``. Repeated rows get equal scores, and trusted ones count as often as they are there. Texts of any length
+    are scored whole. Other columns of either table don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    good = written(labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_trusted")), "trusted")
+    fine = F.min("quality") == 1
+    if "toxic" in labels.columns:
+        fine = fine & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
+    good = written(labels.where("doc_id is not null").groupBy("doc_id").agg(fine.alias("fine")).where("fine").select(F.col("doc_id").cast("long").alias("_trusted")), "trusted")
     ids = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    trusted = docs.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi")
-    fold = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(held_out)) == 0
-    rows = trusted.where(~fold & (F.length(text_col) > 0)).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    folder, shards = train(rows)
-    scores = written(scored(docs, folder, shards, id_col, text_col, lang_col), "scores")
-    held = scores.where(F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0).join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
+    trusted = given.where(~fold & (F.length("text") > 0)).join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    model = train(trusted.select("lang", "text"))
+    scores = written(scored(given, model, "doc_id", "text", "lang"), "scores")
+    held = scores.where(fold).join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
     limits = F.broadcast(written(thresholds(held, quantile, margin), "thresholds"))  # a row per language
     out = scores.join(limits, "lang", "left")
     bad = (F.col("n_chars") == 0) | (F.col("log_perplexity") > F.col("threshold"))
