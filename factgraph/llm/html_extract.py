@@ -3,6 +3,11 @@
 A page is cut into blocks of text. A classifier gives each block a cost of calling it content and one of calling it
 boilerplate; these are the capacities to the two terminals. Blocks that follow each other, and blocks close in the DOM, are
 joined by smoothness edges. The minimum cut (by maximum flow) is the cheapest labelling of the whole page.
+
+The classifier is a logistic regression on what a block's text looks like. ``fit`` trains it on blocks that elements of known
+meaning label (``article`` and ``main`` against ``nav``, ``footer``, classes of adverts and the like), starting from weights
+that are kept where there is no evidence. What such elements say about a block that stands in them is added as it is.
+Parsing and scoring take time in proportion to a page, however deep or broken it is.
 """
 
 from __future__ import annotations
@@ -10,13 +15,17 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+from .tokens import release
+
 # Element names of the HTML standard, and words that sites use in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template head title select option button textarea iframe svg object canvas math".split())
@@ -35,15 +44,25 @@ SIBLINGS_CLOSE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 STOPS = frozenset("article section div main td th table body ul ol nav aside footer header form".split())
 
-# Costs, in units of the classifier's score.
-AGAINST, FOR, LINKS, WORDS, HEADING, COPYRIGHT = 12.0, 4.0, 6.0, 2.5, 1.0, 4.0
-SMOOTH, NEAR = 1.2, 0.5
-#: An element with more than this share of the page's text is a wrapper, whatever its name.
-WRAPPER = 0.6
+#: Weights of a block's features before training: tenths of its words (up to ``WORDS``), fewer than four words, the end of a
+#: sentence, the share of its text within links, a heading, a copyright notice, and one for all.
+FEATURES = ("words", "short", "sentence", "links", "heading", "copyright", "one")
+START = (1.0, -0.5, 0.5, -6.0, 1.0, -4.0, 0.0)
+WORDS = 25
+#: What an element around a block adds to its score, against and for.
+AGAINST, FOR = 12.0, 4.0
+#: Costs of an edge between blocks that follow each other as siblings, and of one between blocks under the same grandparent.
+SMOOTH, NEAR = 2.0, 0.8
+#: Pages that the classifier is trained on, and the share of the evidence that the first weights count.
+SAMPLE_PAGES, PRIOR = 400, 0.1
+#: Blocks of that many words and more, with less than half their text in links, are text that a page may be about.
+_SOLID = 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"""</?([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+_ENDS = frozenset(".!?…\"»”")
 
 
 @functools.lru_cache(maxsize=4096)
@@ -64,34 +83,56 @@ def _hints(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 class Page:
-    """Blocks of a page with the elements around them."""
+    """Blocks of a page and the elements around them, by number; an element's parent has a smaller number."""
 
     def __init__(self, source: str):
         self.tags, self.parents, self.against, self.good = ["#"], [0], [False], [False]
-        self.blocks: list[tuple[str, int, int]] = []  # text, element, characters within links
-        self._stack = [0]
+        #: Text, element, characters within links, the element's depth, and the least depth since the block before.
+        self.blocks: list[tuple[str, int, int, int, int]] = []
+        self._stack, self._low = [0], 0
+        #: Depths of open elements by tag, and of those that stop a search for an element to close.
+        self._open_at: dict[str, list[int]] = defaultdict(list)
+        self._stops, self._solid = [0], [0]
         self._text: list[str] = []
         self._links, self._in_link, self._dropped = 0, 0, 0
-        at, end = 0, len(source)
+        self._read(source)
+        self._flush()
+
+    def _read(self, source: str) -> None:
+        at, end, sections = 0, len(source), True
         while at < end:
-            m = _TOKEN.search(source, at)
-            if not m:
+            m = source.find("<", at)
+            if m < 0:
                 self._add(source[at:])
-                break
-            if m.start() > at:
-                self._add(source[at : m.start()])
-            at = m.end()
-            if m[1]:
-                tag = m[1].lower()
-                if source[m.start() + 1] == "/":
-                    self._close(tag)
-                else:
-                    self._open(tag, m[2])
-                    if tag in RAW and not m[2].endswith("/"):
-                        close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                        at = close.end() if close else end
-                        self._close(tag)
-        self._flush()
+                return
+            if m > at:
+                self._add(source[at:m])
+            if source.startswith("<!--", m):
+                close = source.find("-->", m + 4)
+                at = close + 3 if close >= 0 else end
+            elif sections and source.startswith("<![CDATA[", m) and (close := source.find("]]>", m)) >= 0:
+                at = close + 3
+            elif source.startswith(("<!", "<?"), m):
+                sections = sections and not source.startswith("<![CDATA[", m)  # no end is left to look for
+                close = source.find(">", m)
+                at = close + 1 if close >= 0 else end
+            elif tag := _TAG.match(source, m):
+                at = self._tag(source, tag)
+            else:
+                self._add("<")
+                at = m + 1
+
+    def _tag(self, source: str, m: re.Match) -> int:
+        tag, at = m[1].lower(), m.end()
+        if source[m.start() + 1] == "/":
+            self._close(tag)
+            return at
+        self._open(tag, m[2])
+        if tag in RAW and not m[2].endswith("/"):
+            close = re.compile(rf"</{tag}\s*+>", re.I).search(source, at)
+            at = close.end() if close else len(source)
+            self._close(tag)
+        return at
 
     def _add(self, raw: str) -> None:
         if self._dropped:
@@ -105,7 +146,9 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((text, self._stack[-1], self._links))
+                depth = len(self._stack) - 1
+                self.blocks.append((text, self._stack[-1], self._links, depth, min(self._low, depth)))
+                self._low = depth
             self._text, self._links = [], 0
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -124,79 +167,153 @@ class Page:
         self.parents.append(self._stack[-1])
         self.against.append(against)
         self.good.append(good)
+        depth = len(self._stack)
+        self._open_at[tag].append(depth)
+        if tag in STOPS:
+            self._stops.append(depth)
+        if tag not in INLINE:
+            self._solid.append(depth)
         self._stack.append(len(self.tags) - 1)
         self._dropped += tag in DROPPED
 
+    def _innermost(self, tag: str) -> int:
+        depths = self._open_at.get(tag)
+        return depths[-1] if depths else 0
+
     def _implied(self, tags: set[str]) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[depth]]
-            if tag in tags:
-                self._cut(depth)
-                return
-            if tag in STOPS:
-                return
+        """Close the innermost of ``tags``, if nothing that stops the search is open within it."""
+        depth = max(map(self._innermost, tags))
+        if depth and depth >= self._stops[-1]:
+            self._cut(depth)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self.tags[self._stack[depth]] == tag:
-                self._cut(depth)
-                return
-            if tag in INLINE and self.tags[self._stack[depth]] not in INLINE:
-                return
+        depth = self._innermost(tag)
+        if depth and (tag not in INLINE or depth > self._solid[-1]):
+            self._cut(depth)
 
     def _cut(self, depth: int) -> None:
         for e in self._stack[depth:]:
-            self._dropped -= self.tags[e] in DROPPED
-            self._in_link -= self.tags[e] == "a"
+            tag = self.tags[e]
+            self._dropped -= tag in DROPPED
+            self._in_link -= tag == "a"
+            self._open_at[tag].pop()
         del self._stack[depth:]
+        for depths in (self._stops, self._solid):
+            while depths[-1] >= depth:
+                depths.pop()
+        self._low = min(self._low, depth - 1)
+
+
+def _counts(text: str, links: int) -> tuple[int, bool, int, bool]:
+    """Words (up to ``WORDS``), whether a sentence ends it, tenths of it within links, and whether it is a copyright notice."""
+    start = text[:40]
+    return min(WORDS, text.count(" ") + 1), text[-1] in _ENDS, min(10, 10 * links // len(text)), "©" in start or "copyright" in start.lower()
+
+
+def _features(words: int, sentence: bool, links: int, notice: bool, heading: bool) -> tuple[float, ...]:
+    return words / 10, float(words < 4), float(sentence), links / 10, float(heading), float(notice), 1.0
+
+
+def _around(page: Page) -> tuple[list[bool], list[bool], list[bool], list[bool], list[bool]]:
+    """Of each element, with those around it: for, against, in a heading, in a header, in an article.
 
+    An element that speaks against its text is ignored where it wraps the page: it holds all articles, or, on a page without,
+    nothing outside such elements is text that a page may be about, and it has most of the text.
+    """
+    n = len(page.tags)
+    own = [page.tags[e] in MAIN_TAGS and not page.against[e] for e in range(n)]
+    held, weight = [int(x) for x in own], [0] * n
+    for text, element, *_ in page.blocks:
+        weight[element] += len(text)
+    for e in range(n - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+        weight[page.parents[e]] += weight[e]
+    firm = {e for e in range(n) if page.against[e] and page.tags[e] in BOILERPLATE_TAGS}
+    wraps = {e for e in range(1, n) if page.against[e] and e not in firm and 0 < held[e] == held[0]}
+
+    def spread(flags: list[bool]) -> list[bool]:
+        for e in range(1, n):
+            flags[e] = flags[e] or flags[page.parents[e]]
+        return flags
+
+    if not held[0]:
+        under = spread([page.against[e] or page.tags[e] == "header" for e in range(n)])
+        if not any(not under[e] and text.count(" ") + 1 >= _SOLID and 2 * links < len(text) for text, e, links, *_ in page.blocks):
+            outer = [e for e in range(1, n) if page.against[e] and e not in firm and not under[page.parents[e]]]
+            if outer:
+                wraps.add(max(outer, key=lambda e: (weight[e], -e)))
+    against = spread([page.against[e] and e not in wraps for e in range(n)])
+    heading, header = spread([t in _HEADINGS for t in page.tags]), spread([t == "header" for t in page.tags])
+    return spread(list(page.good)), against, heading, header, spread([t in MAIN_TAGS for t in page.tags])
 
-def scores(page: Page) -> tuple[list[float], list[list[int]]]:
-    """Of each block, how much speaks for content, and the elements around it from inside out."""
-    paths, weight, total = [], {}, 0
-    for text, element, _ in page.blocks:
-        path = []
-        while element:
-            path.append(element)
-            element = page.parents[element]
-        paths.append(path)
-        total += len(text)
-        for e in path:
-            weight[e] = weight.get(e, 0) + len(text)
+
+def scores(page: Page, weights: tuple[float, ...] = START) -> list[float]:
+    """Of each block, how much speaks for content."""
+    good, against, heading, header, inside = _around(page)
     out = []
-    for (text, _, links), path in zip(page.blocks, paths):
-        tags = {page.tags[e] for e in path}
-        z = FOR * any(page.good[e] for e in path)
-        words = text.count(" ") + 1
-        z += min(WORDS, words / 10) - 0.5 * (words < 4) + 0.5 * (text[-1] in ".!?…\"»”")
-        z -= LINKS * min(1.0, links / len(text))
-        if not tags.isdisjoint({"h1", "h2", "h3", "h4", "h5", "h6"}):
-            z += HEADING
-        elif "header" in tags:
-            z -= AGAINST
-        if "header" in tags and tags.isdisjoint(MAIN_TAGS):
-            z -= AGAINST
-        if "©" in text[:40] or "copyright" in text[:40].lower():
-            z -= COPYRIGHT
-        if any(page.against[e] and (weight[e] <= WRAPPER * total or page.tags[e] in ("nav", "footer", "aside")) for e in path):
-            z -= AGAINST
+    for text, e, links, *_ in page.blocks:
+        z = sum(w * x for w, x in zip(weights, _features(*_counts(text, links), heading[e])))
+        z += FOR * good[e] - AGAINST * against[e]
+        if header[e]:
+            z -= AGAINST * (not heading[e]) + AGAINST * (not inside[e])
         out.append(z)
-    return out, paths
+    return out
+
+
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, prior: float = PRIOR) -> tuple[float, ...]:
+    """Weights of the classifier, trained on the blocks of the first ``sample`` pages with a html.
+
+    Blocks within an article are content and those within elements that speak against their text are not; others don't count.
+    Both kinds weigh as much in all. Tasks hand on counts of equal blocks, a few thousand rows at most. Without labelled blocks
+    of both kinds the weights are ``START``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            rows = []
+            for source in batch.column(0).to_pylist():
+                page = Page(source)
+                _, against, heading, header, inside = _around(page)
+                for text, e, links, *_ in page.blocks:
+                    if inside[e] != against[e] and not header[e]:
+                        rows.append((inside[e], *_counts(text, links), heading[e]))
+            columns = [pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays(columns, _SEEN)
+
+    first = pages.select(F.col(html_col).alias("html")).where("html is not null").limit(sample)
+    seen = first.mapInArrow(frugal(run), ", ".join(f"{c} long" for c in _SEEN)).groupBy(*_SEEN).agg(F.count(F.lit(1)).alias("n")).orderBy(*_SEEN).collect()
+    label = np.array([r["content"] for r in seen], float)
+    if not len(label) or label.min() == label.max():
+        return START
+    x = np.array([_features(r["words"], r["sentence"], r["links"], r["notice"], r["heading"]) for r in seen])
+    n = np.array([r["n"] for r in seen], float)
+    share = n / np.where(label == 1, 2 * n[label == 1].sum(), 2 * n[label == 0].sum())
+    start = np.array(START)
+    weights = start.copy()
+    for _ in range(50):  # Newton's method; the prior makes the sum strictly convex
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (share * (p - label)) + prior * (weights - start)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + prior * np.eye(len(start)), slope)
+        weights -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(round(float(w), 9) for w in weights)
+
 
+_SEEN = ["content", "words", "sentence", "links", "notice", "heading"]
 
-def edges(paths: list[list[int]]) -> list[tuple[int, int, float]]:
+
+def edges(page: Page) -> list[tuple[int, int, float]]:
     """Smoothness: each block with the one before, by distance in the DOM, and with the last one under the same grandparent."""
     out, seen = [], {}
-    for i, path in enumerate(paths):
+    for i, (_, element, _, depth, low) in enumerate(page.blocks):
         if i:
-            before = paths[i - 1]
-            shared = 0
-            while shared < min(len(path), len(before)) and path[-1 - shared] == before[-1 - shared]:
-                shared += 1
-            out.append((i - 1, i, SMOOTH / (1 + max(0, len(path) + len(before) - 2 * shared - 2))))
-        near = path[1] if len(path) > 1 else 0
+            apart = depth + page.blocks[i - 1][3] - 2 * low
+            out.append((i - 1, i, SMOOTH / (1 + max(0, apart - 2))))
+        near = page.parents[element]
         if near in seen and seen[near] < i - 1:
             out.append((seen[near], i, NEAR))
         seen[near] = i
@@ -269,28 +386,39 @@ def minimum_cut(z: list[float], links: list[tuple[int, int, float]]) -> list[boo
     return [bool(x) for x in label]
 
 
-def main_text(source: str | None) -> str:
+def labelled(page: Page, weights: tuple[float, ...] = START) -> tuple[list[bool], int]:
+    """Which blocks are content, and how many labels the cut changes against the classifier alone."""
+    z = scores(page, weights)
+    keep = minimum_cut(z, edges(page))
+    return keep, sum(k != (s > 0) for k, s in zip(keep, z))
+
+
+def main_text(source: str | None, weights: tuple[float, ...] = START) -> str:
     """The article's text: blocks in page order, joined by a space; empty for a null or empty page or one without any."""
-    if not source:
-        return ""
-    page = Page(source)
-    if not page.blocks:
-        return ""
-    z, paths = scores(page)
-    keep = minimum_cut(z, edges(paths))
-    return " ".join(text for (text, _, _), k in zip(page.blocks, keep) if k)
+    page = Page(source or "")
+    return " ".join(text for (text, *_), k in zip(page.blocks, labelled(page, weights)[0]) if k)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: ``id_col``, ``url_col``, ``text``, ``n_chars``. Repeated rows and null identifiers stay as they are; an empty table gives none."""
+def extract(pages: DataFrame, weights: tuple[float, ...] = START, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: ``id_col``, ``url_col``, ``text``, ``n_chars``, ``n_blocks``, ``n_mended`` (labels that the cut changed).
+
+    A null html is an empty page. Repeated rows and null identifiers stay as they are; other columns, whatever their names, are
+    left out; an empty table gives none. Pages of any length are read whole, one at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(x) for x in part.column("_html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
+                part, out = batch.slice(at, 500), []
+                for source in part.column(2):
+                    page = Page(source.as_py() or "")
+                    keep, mended = labelled(page, weights)
+                    text = " ".join(t for (t, *_), k in zip(page.blocks, keep) if k)
+                    out.append((text, len(text), len(keep), mended))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], [id_col, url_col, "text", "n_chars", "n_blocks", "n_mended"])
 
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long, n_blocks long, n_mended long")
