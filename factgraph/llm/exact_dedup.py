@@ -1,38 +1,48 @@
 """Exact deduplication with a log-structured merge index of digests. DataFrame functions only.
 
-Flush: every input partition is a memtable; its digests are sorted and written as one run, a Parquet file with a Bloom
-filter and minima and maxima of the digest column. Compaction merges the runs: one row per digest with the smallest and
-largest identifier and the number of rows, combined before the shuffle, so that a text that a third of all rows share is
-one row per task. Digests with more than one row are hits; a bitmap of fixed size lets only their texts through, and these
-are grouped by digest *and text*, which compares the bytes. Digests that two different texts share are told apart by a
-join on the text itself.
+Flush: every input partition is a memtable; its digests are sorted and written as runs, Parquet files with minima and maxima
+of the digest column. Compaction merges runs into one of the next level: a row per digest with the smallest and largest
+identifier and the number of rows, combined before the shuffle, so that a text that a third of all rows share is one row per
+task. Each run of the index has a filter, a bitmap of the digests; batches are probed run by run, and only what passes a
+filter is joined with its run. Digests with more than one row are hits; a bitmap of fixed size lets only their texts through,
+and these are grouped by digest *and text*, which compares the bytes. Digests that two different texts share are told apart by
+a join on the text itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, text_or_empty, workspace, written
+from .common import attach, forget, fresh, names_in, read_text, remove, text_or_empty, workspace, write_text, written
 
 #: Bits of the filter of hit digests: 8 MB to broadcast, whatever the input. More hits only let more texts through.
 FILTER_BITS = 1 << 26
+#: Runs of a level that are merged into one of the next, and bits of a run's filter for each of its digests.
+FAN_IN, RUN_BITS = 4, 16
 _BITS_PER_ROW = 32768  # of bitmap_construct_agg
 
 
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``sha`` (32 bytes) of every row; a null text counts as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("sha"))
+
+
 def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Write sorted digest runs of ``docs`` and return them: ``id``, ``sha`` (32 bytes)."""
-    spark = docs.sparkSession
+    """Write sorted digest runs of ``docs`` and return them: ``id``, ``sha``."""
+    spark, runs = docs.sparkSession, digests(docs, id_col, text_col)
     path = path or workspace(spark, "runs")
-    runs = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("sha"))
-    writer = runs.sortWithinPartitions("sha", "id").write.mode("append")
-    writer.option("parquet.bloom.filter.enabled#sha", "true").option("parquet.bloom.filter.expected.ndv#sha", "1000000").parquet(path)
+    runs.sortWithinPartitions("sha", "id").write.mode("append").parquet(path)
     return spark.read.schema(runs.schema).parquet(path)
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """One row per digest: ``digest``, ``low`` and ``high`` identifier, ``size``."""
-    return runs.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size"))
+    """One row per digest: ``digest``, ``low`` and ``high`` identifier, ``size``; of runs that are flushed or compacted."""
+    if "id" in runs.columns:
+        runs = runs.select("digest", F.col("id").alias("low"), F.col("id").alias("high"), F.lit(1).cast("long").alias("size"))
+    return runs.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"))
 
 
 def _bit_of(bitmap: Column, position: Column) -> Column:
@@ -40,33 +50,117 @@ def _bit_of(bitmap: Column, position: Column) -> Column:
     return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
-def _through_filter(rows: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """The rows whose key may be among ``keys``; sure to hold all that are."""
-    def place(df: DataFrame) -> DataFrame:
-        return df.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(bits)))
+def _placed(df: DataFrame, key: str, bits: int) -> DataFrame:
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return df.withColumn("_place", place).withColumn("_bucket", F.expr("bitmap_bucket_number(_place)"))
 
-    bitmap = place(keys.select(key)).groupBy(F.expr("bitmap_bucket_number(_place)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_place))").alias("_map"))
-    tested = place(rows).withColumn("_bucket", F.expr("bitmap_bucket_number(_place)")).join(F.broadcast(bitmap), "_bucket")
+
+def key_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A bitmap of ``bits`` bits, in rows of equal size: one bit for each key."""
+    return _placed(keys.select(key), key, bits).groupBy("_bucket").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_place))").alias("_map"))
+
+
+def passing(rows: DataFrame, bitmap: DataFrame, key: str, bits: int) -> DataFrame:
+    """The rows whose key may be in a filter; sure to hold all that are. The filter is broadcast: its size is fixed."""
+    tested = _placed(rows, key, bits).join(F.broadcast(bitmap), "_bucket")
     return tested.where(_bit_of(F.col("_map"), F.expr("bitmap_bit_position(_place)"))).drop("_place", "_bucket", "_map")
 
 
+def _through_filter(rows: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    return passing(rows, key_filter(keys, key, bits), key, bits)
+
+
+class DigestIndex:
+    """A log-structured merge index of the digests of all batches so far, in a folder that driver and executors share.
+
+    ``add`` makes a batch a run of level 1; ``FAN_IN`` runs of a level become one of the next, so a digest is rewritten once a
+    level. ``seen`` probes a batch before it is added. A manifest lists the runs: a new one is written under the next number,
+    which only one writer gets; readers take the last. Runs that are merged away go one manifest later, so that who reads the
+    one before can end.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fan_in: int = FAN_IN):
+        self.spark, self.folder, self.fan_in = spark, folder.rstrip("/"), fan_in
+        self.number = max([int(n[9:-5]) for n in names_in(spark, self.folder) if n.startswith("manifest-") and n.endswith(".json")], default=0)
+        listed = json.loads(read_text(spark, self._manifest())) if self.number else {"runs": [], "merged": []}
+        self.runs: list[dict] = listed["runs"]
+        self.merged: list[dict] = listed["merged"]
+
+    def _manifest(self) -> str:
+        return f"{self.folder}/manifest-{self.number:09d}.json"
+
+    def _read(self, run: dict) -> DataFrame:
+        return self.spark.read.schema("digest binary, low long, high long, size long").parquet(f"{self.folder}/{run['name']}/rows")
+
+    def _run(self, rows: DataFrame, level: int) -> dict:
+        name = f"run-{workspace(self.spark, 'x').rsplit('-', 1)[1]}"
+        path = f"{self.folder}/{name}"
+        rows.sortWithinPartitions("digest").write.parquet(f"{path}/rows")
+        run = {"name": name, "level": level, "digests": self.spark.read.parquet(f"{path}/rows").count()}
+        run["bits"] = min(FILTER_BITS, max(1 << 20, 1 << (run["digests"] * RUN_BITS).bit_length()))
+        key_filter(self._read(run), "digest", run["bits"]).write.parquet(f"{path}/filter")
+        return run
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Flush a batch and merge the levels that are full."""
+        path = workspace(self.spark, "runs")
+        flushed = flush(docs, id_col, text_col, path).withColumnRenamed("sha", "digest")
+        runs, gone = [*self.runs, self._run(compact(flushed), 1)], []
+        level = 1
+        while len(full := [r for r in runs if r["level"] == level]) >= self.fan_in:
+            rows = self._read(full[0])
+            for run in full[1:]:
+                rows = rows.unionByName(self._read(run))
+            runs = [*(r for r in runs if r["level"] != level), self._run(compact(rows), level + 1)]
+            gone += full
+            level += 1
+        self.number += 1
+        write_text(self.spark, self._manifest(), json.dumps({"runs": runs, "merged": gone}))
+        for run in self.merged:
+            remove(self.spark, f"{self.folder}/{run['name']}")
+        self.runs, self.merged = runs, gone
+        remove(self.spark, path)
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """``digest``, ``low``, ``high``, ``size`` of the digests among ``rows`` (``digest``) that the index has."""
+        asked, found = rows.select("digest").distinct(), None
+        for run in self.runs:
+            bitmap = self.spark.read.parquet(f"{self.folder}/{run['name']}/filter")
+            hit = self._read(run).join(passing(asked, bitmap, "digest", run["bits"]), "digest", "left_semi")
+            found = hit if found is None else found.unionByName(hit)
+        return self.spark.createDataFrame([], "digest binary, low long, high long, size long") if found is None else compact(found)
+
+    def seen(self, docs: DataFrame, earlier: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+        """``id_col``, ``first_id`` of the rows of a batch whose very text one of ``earlier`` has, the rows that the index was made of.
+
+        ``first_id`` is the smallest identifier that has it. Hits are verified by their bytes.
+        """
+        batch = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+        hits = written(self.probe(batch).select("digest"), "hits")
+        old = earlier.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+        old = _through_filter(old, hits, "digest", filter_bits).groupBy("digest", "text").agg(F.min("id").alias("first_id"))
+        return _through_filter(batch, hits, "digest", filter_bits).join(old, ["digest", "text"]).select(F.col("id").alias(id_col), "first_id")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest_bytes: int = 32, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per input row: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with the largest (or, with
     ``keep="smallest"``, smallest) identifier stays. Repeated rows (same identifier and text) are separate rows, all
-    counted in ``group_size``; one of them stays. A null identifier is only kept where its group has no other. An empty
-    table gives no rows; other columns are ignored. ``digest_bytes`` under 32 is for tests of digest collisions.
+    counted in ``group_size``; one of them stays. A null identifier is only kept where its group has no other. Texts of any
+    length are compared whole. An empty table gives no rows; other columns are ignored. ``digest_bytes`` under 32 is for tests
+    of digest collisions.
     """
     top = {"largest": "high", "smallest": "low"}[keep]
     runs = flush(docs, id_col, text_col).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    merged = written(compact(runs), "compacted")
+    merged = written(compact(runs).sortWithinPartitions("digest"), "compacted")
     hits = merged.where("size > 1").select("digest")
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes))
     verified = _through_filter(source, hits, "digest", filter_bits).groupBy("digest", "text").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size"))
     # The text itself is only needed where a digest has several; its length would do as well as a name for it elsewhere.
     classes = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("size").alias("size"))
     classes = written(classes.where("size > 1"), "classes")
+    forget(merged)
 
     narrow = runs.groupBy("id", "sha", "digest").agg(F.count(F.lit(1)).alias("copies"))
     total = runs.count()
@@ -90,7 +184,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeated rows one."""
     decided = written(deduplicate(docs, id_col, text_col, **options), "exact")
     counts = decided.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.count_if("kept").alias("_kept"))
     counts = written(counts.where("_n > 1 or _kept = 0"), "exact-dropped")
@@ -102,4 +196,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = decided.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     again = docs.join(repeated, docs[id_col].eqNullSafe(repeated[id_col]), "left_semi")
     again = again.join(kept, again[id_col].eqNullSafe(kept["_id"]) & (F.sha2(text_or_empty(text_col), 256) == kept["_sha"]), "left_semi")
-    return once.unionByName(again.dropDuplicates([id_col, text_col]))
+    sha = fresh(docs, "sha")
+    return once.unionByName(again.withColumn(sha, F.sha2(text_or_empty(text_col), 256)).dropDuplicates([id_col, sha]).drop(sha))
