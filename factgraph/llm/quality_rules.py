@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import attach, written
+from .common import attach, fresh, frugal, written
 from .tokens import release, slices
 
 #: Base rules: fewest words, most percent of words in repeated windows, words of a window.
@@ -125,7 +125,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*heads)), pa.array(least, pa.list_(pa.int64())), pa.array(lines, line_type)], [*names, "minima", "lines"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    return rows.select("doc_id", "host", "text").mapInArrow(run, MEASURES)
+    return rows.select("doc_id", "host", "text").mapInArrow(frugal(run), MEASURES)
 
 
 def _weights(heads: DataFrame) -> DataFrame:
@@ -192,19 +192,21 @@ def _without(texts: pd.Series, hosts: pd.Series, gone: pd.Series) -> pd.Series:
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
     """The rows that ``keep_good`` returns, without the common lines of their host in ``text_col``, and with ``chars_col`` to match where there is one.
 
-    Whether a line is common depends on host and line alone, so rows that share an identifier share a list of such lines.
+    Whether a line is common depends on host and line alone, so rows that share an identifier share a list of such lines. Other
+    columns, whatever their names, stay as they are.
     """
     verdicts, lines = _judged(docs, id_col, text_col, host_col, **options)
     bad = _rejected(verdicts, id_col)
-    gone = written(lines.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone")), "lines-gone")
+    id_, gone_, clean_ = (fresh(docs, n) for n in ("id", "gone", "clean"))
+    gone = written(lines.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(gone_)), "lines-gone")
     good = docs.join(bad, docs[id_col].eqNullSafe(bad[id_col]), "left_anti")
-    good = good.join(gone, good[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
+    good = good.join(gone, good[id_col].cast("long").eqNullSafe(gone[id_]), "left")
     # Texts without such lines don't travel to Python.
-    some = F.col("_gone").isNotNull()
+    some = F.col(gone_).isNotNull()
     host = F.when(some, F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    good = good.withColumn("_clean", _without(F.when(some, F.col(text_col)), host, F.col("_gone")))
-    text = F.when(some & F.col(text_col).isNotNull(), F.col("_clean")).otherwise(F.col(text_col))
+    good = good.withColumn(clean_, _without(F.when(some, F.col(text_col)), host, F.col(gone_)))
+    text = F.when(some & F.col(text_col).isNotNull(), F.col(clean_)).otherwise(F.col(text_col))
     kinds = dict(docs.dtypes)
     chars = F.when(some, F.length(text)).otherwise(F.col(chars_col)).cast(kinds[chars_col]) if chars_col in kinds else None
     new = {text_col: text} | ({} if chars is None else {chars_col: chars})
-    return good.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return good.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
