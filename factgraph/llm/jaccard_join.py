@@ -9,14 +9,17 @@ documents agree on. Here three orders are used: by hash upwards, by hash downwar
    stock phrases are hardly ever among the beginnings. Sets that share a beginning token are candidates. In each token's
    bucket the first set is compared with the others; sets that a link joined need no further comparison, so a group of
    copies costs a star, not all its pairs. Then what stands apart from a bucket's largest component is compared with all
-   other components of the bucket. Sizes, places of the shared token and parity bitmaps must allow enough likeness.
-3. A pair must also share beginning tokens under the other two orders before its intersection is counted.
+   other components of the bucket, by bands of sizes, so that a large bucket is many tasks. Sizes, places of the shared token
+   and parity bitmaps must allow enough likeness.
+3. The filters are intersected: a candidate must also share beginning tokens under both orders by hash, for which only these
+   beginnings travel. Whole sets are fetched and intersections counted for the pairs that are left.
 
 Tokens are 64-bit hashes of shingles; within a pair of documents a false match has a chance of about 10**-14.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, forget, frugal, written
 from .tokens import release, slices
 
 WORDS, PERCENT = 5, 75
@@ -112,7 +115,7 @@ def _counted(tokens: DataFrame, least: int) -> DataFrame:
             for at in range(0, int(keep.sum()), 1_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(token[keep][at : at + 1_000_000]), pa.array(n[keep][at : at + 1_000_000])], ["token", "n"])
 
-    return tokens.mapInArrow(run, "token long, n long")
+    return tokens.mapInArrow(frugal(run), "token long, n long")
 
 
 def _sum(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +148,7 @@ def _beginnings(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 token, n = _sum(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, token[n > 1]]))], ["token"])
 
-    return docs.mapInArrow(run, "token long")
+    return docs.mapInArrow(frugal(run), "token long")
 
 
 def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,7 @@ def components(links: DataFrame, name: str = "components", in_one_task: int = LI
     joins in which every end moves towards the smallest of its neighbourhood.
     """
     if links.count() <= in_one_task:
-        return links.select("a", "b").repartition(1).mapInArrow(_join_ends, "sid long, comp long")
+        return links.select("a", "b").repartition(1).mapInArrow(frugal(_join_ends), "sid long, comp long")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
     last, k = None, 0
     while True:
@@ -183,7 +186,8 @@ def components(links: DataFrame, name: str = "components", in_one_task: int = LI
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         k += 1
-        edges = written(small.where("u != v").distinct(), f"{name}-{k}")
+        before, edges = edges, written(small.where("u != v").distinct(), f"{name}-{k}")
+        forget(before)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
@@ -192,20 +196,38 @@ def components(links: DataFrame, name: str = "components", in_one_task: int = LI
     return found.unionByName(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) that are alike enough and pass the filters under both orders by hash."""
+def _edges(sets: DataFrame, percent: int) -> DataFrame:
+    """``sid``, ``low``, ``high``: of each set the beginnings under both orders by hash, the upper halves of their tokens."""
+    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+
+    def halves(tokens):
+        return F.transform(tokens, lambda t: F.shiftright(t, 32).cast("int"))
+
+    return sets.select("sid", halves(F.slice("tokens", F.lit(1), size)).alias("low"), halves(F.slice("tokens", -size, size)).alias("high"))
+
+
+def _verified(pairs: DataFrame, edges: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (``a``, ``b``) that are alike enough: first by the filters under both orders by hash, then by their sets."""
+    left = edges.select(F.col("sid").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
+    right = edges.select(F.col("sid").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    through = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b"))
+    through = written(through.select("a", "b"), f"{name}-candidates")
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    both = through.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared))
+    found = written(both.select("a", "b"), name)
+    forget(through)
+    return found
 
-    def edge(tokens: str, n: str, last: bool):
-        size = (F.col(n) - F.ceil(F.col(n) * percent / 100) + 1).cast("int")
-        return F.slice(tokens, -size if last else F.lit(1), size)
 
-    shared = F.size(F.array_intersect("ta", "tb"))
-    alike = F.arrays_overlap(edge("ta", "na", False), edge("tb", "nb", False)) & F.arrays_overlap(edge("ta", "na", True), edge("tb", "nb", True))
-    enough = F.when(alike, 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).otherwise(False)
-    return both.where(enough).select("a", "b")
+def _band(n: str, percent: int):
+    """A band of sizes: linked sets are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
+def _near_bands(n: str, percent: int):
+    return F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _band(n, percent) + k))
 
 
 def _may(x: str, y: str, percent: int, once: bool):
@@ -234,7 +256,7 @@ def _signatures(sets: DataFrame) -> DataFrame:
             if words:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], ["sid", "n", "s"])
 
-    return sets.select("sid", "n", "tokens").mapInArrow(sign, "sid long, n long, s array<long>")
+    return sets.select("sid", "n", "tokens").mapInArrow(frugal(sign), "sid long, n long, s array<long>")
 
 
 def _near(s: str, n: str, t: str, m: str, percent: int):
@@ -250,14 +272,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     A text's set: lower-case A-Z, words between ASCII white space, distinct runs of ``words`` words; of a shorter text all its
     words as one; of an empty or null text nothing, and it is linked with nothing. Two rows link when ``100 * intersection >=
     percent * union``; ``component_id`` is the smallest identifier reachable by links, the row's own included. Rows with equal
-    sets count as linked. A null identifier takes part and is never smallest unless there is no other. An empty table gives none.
+    sets count as linked. A null identifier takes part and is never smallest unless there is no other. Texts of any length are
+    taken whole; other columns, whatever their names, are left out. An empty table gives no rows.
     """
+    return _joined(docs, id_col, text_col, words, percent).drop("_text")
+
+
+def _joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``join`` with a hash of each row's text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     started = _beginnings(rows.select("text"), words, percent).repartition(tasks, "token")
     shared = written(_counted(started, 2).select("token"), "shared")
     alive = spark.sparkContext.broadcast(_bitmap(spark, shared, MAP_BITS))
+    forget(shared)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = alive.value
@@ -270,23 +299,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
                 lives = n and int(_holds(bitmap, start).sum()) >= _least(n, percent)
                 out.append((n, xxhash.xxh3_128_digest(tokens.tobytes()) if n else None, tokens if lives else None))
             n, marks, tokens = zip(*out)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "set", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "hash", "n", "set", "tokens"])
 
-    taken = written(rows.mapInArrow(take, "doc_id long, n long, set binary, tokens array<long>"), "taken")
-    heads = taken.select("doc_id", "n", "set")
+    taken = written(rows.mapInArrow(frugal(take), "doc_id long, hash long, n long, set binary, tokens array<long>"), "taken")
+    alive.unpersist()
+    heads = taken.select("doc_id", "hash", "n", "set")
     classes = written(heads.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "sets")
-    linked = _linked(taken.where("tokens is not null").select("set", "n", "tokens"), percent)
+    linked, tables = _linked(taken.where("tokens is not null").select("set", "n", "tokens"), percent)
     # Of each component the smallest identifier; then every row asks its set.
     together = classes.join(linked, "set", "left")
     lowest = together.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
     answer = written(together.join(lowest, "comp", "left").select("set", F.coalesce("low", "rep").alias("component_id"), "size"), "answers")
+    forget(classes, *tables)
     total = heads.count()
     out = attach(heads, answer, "set", "size", total)
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("hash").alias("_text"))
 
 
-def _linked(taken: DataFrame, percent: int) -> DataFrame:
-    """``set``, ``comp`` of the distinct sets that have a link."""
+def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``set``, ``comp`` of the distinct sets that have a link, and the tables that it reads."""
     spark = taken.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = written(taken.dropDuplicates(["set"]).withColumn("sid", F.monotonically_increasing_id()), "alive")
@@ -297,7 +328,7 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
 
     # Tasks sum up first; then a token of all documents is a row per batch.
-    counts = sets.select("tokens").mapInArrow(spread, "token long, n long").repartition(tasks, "token")
+    counts = sets.select("tokens").mapInArrow(frugal(spread), "token long, n long").repartition(tasks, "token")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -313,8 +344,9 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(token), 1_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 1_000_000]), pa.array(n[at : at + 1_000_000].astype(np.int64))], ["token", "n"])
 
-    often = written(counts.mapInArrow(total, "token long, n long"), "often")
+    often = written(counts.mapInArrow(frugal(total), "token long, n long"), "often")
     maps = spark.sparkContext.broadcast([_bitmap(spark, often.where(F.col("n") >= least).select("token"), MAP_BITS if k == 0 else CLASS_BITS) for k, least in enumerate(CLASSES)])
+    forget(often)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,12 +362,14 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own)], ["token", "sid", "n", "pos", "before"])
 
-    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(first, "token long, sid long, n long, pos long, before long"), "buckets")
+    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(frugal(first), "token long, sid long, n long, pos long, before long"), "buckets")
+    maps.unpersist()
+    edges = written(_edges(sets, percent), "edges")
     # First round: the first set of each bucket and the others.
     leaders = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("sid", "n", "pos", "before"), "sid").alias("x")).where("size > 1")
     star = buckets.alias("y").join(leaders.alias("l"), F.col("y.token") == F.col("l.token")).select("l.x", F.struct("y.sid", "y.n", "y.pos", "y.before").alias("y"))
     star = star.where((F.col("x.sid") != F.col("y.sid")) & _may("x", "y", percent, False)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    links = written(_verified(star, sets, percent), "links-1")
+    links = _verified(star, edges, sets, percent, "links-1")
     comps = written(components(links, "stars-1"), "comps-1")
     # Second round: what is outside a bucket's largest component, and all sets of its other components.
     rows = buckets.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -345,25 +379,32 @@ def _linked(taken: DataFrame, percent: int) -> DataFrame:
     grouped = sizes.where(F.col("size") >= GROUP).join(totals, "comp").where(F.col("size") >= GROUP_SHARE * F.col("total")).select("token", "comp", F.lit(True).alias("as_group"))
     signs = written(_signatures(sets), "signatures")
     open_rows = rows.join(top, "token").join(grouped, ["token", "comp"], "left")
-    open_rows = written(open_rows.join(signs.select("sid", "s"), "sid"), "open")
+    open_table = written(open_rows.join(signs.select("sid", "s"), "sid").withColumn("band", _band("n", percent)), "open")
+    open_rows = open_table
     apart = open_rows.where("comp != top")
     # A set meets a group once, however many tokens they share.
     groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
-    meets = apart.join(groups, "token").where("comp != with").select("sid", "with").distinct().join(signs, "sid")
-    members = comps.join(signs, "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
-    met = meets.join(members, "with").where(_near("s", "n", "t", "m", percent))
-    x, y = apart.alias("x"), open_rows.where("as_group is null").alias("y")
+    meets = apart.join(groups, "token").where("comp != with").select("sid", "with").distinct().join(signs, "sid").withColumn("band", _near_bands("n", percent))
+    members = comps.join(signs, "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), _band("n", percent).alias("band"))
+    met = meets.join(members, ["with", "band"]).where(_near("s", "n", "t", "m", percent))
+    x, y = apart.withColumn("band", _near_bands("n", percent)).alias("x"), open_rows.where("as_group is null").alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | F.col("x.as_group") | (F.col("x.sid") < F.col("y.sid"))
-    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
+    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
     pairs = singly.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).unionByName(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(_verified(pairs, sets, percent), "links-2")
-    comps = written(components(links.unionByName(more), "stars-2"), "comps-2")
-    return sets.select("sid", "set").join(comps, "sid").select("set", "comp")
+    more = _verified(pairs, edges, sets, percent, "links-2")
+    found = written(components(links.unionByName(more), "stars-2"), "comps-2")
+    forget(buckets, edges, links, more, comps, signs, open_table)
+    return sets.select("sid", "set").join(found, "sid").select("set", "comp"), [sets, found]
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Of each component the row with the smallest identifier, with all its columns. Rows without words stay, each its own."""
-    found = join(docs, id_col, text_col, **options)
-    gone = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct(), "near-duplicates")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
+    """Of each component the row with the smallest identifier, with all its columns.
+
+    Rows without words stay, each its own; a row without an identifier goes where its component has one. Rows that share the
+    smallest identifier all stay.
+    """
+    found = _joined(docs, id_col, text_col, **options).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = written(found.select(F.col(id_col).alias("_id"), "_text").distinct(), "near-duplicates")
+    same = docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_text"])
+    return docs.join(gone, same, "left_anti")
