@@ -26,7 +26,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,50 +66,63 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, fetched on a day given by its number, against a list whose entries are made from the hosts themselves."""
+    """Every page, fetched at a time given by its number, against a list whose entries are made from the hosts and URLs themselves."""
     pages = _table(spark, sf_dir, "pages")
-    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    number = F.col("page_id")
+    captures = pages.select("page_id", "url", (start + F.make_dt_interval((number % 365).cast("int"), (number % 24).cast("int"))).alias("fetched"))
     hosts = pages.select(url_filters.normalised(F.col("url"))[0].alias("host")).distinct().where("host != ''")
     hosts = hosts.withColumn("k", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
 
-    def entry(when, key, action, day):
-        return F.when(when, F.struct(key.alias("key"), F.lit(action).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), day).alias("date")))
+    def entry(when, key, action, day, hour=0):
+        return F.when(when, F.struct(key.alias("key"), F.lit(action).alias("action"), (start + F.make_dt_interval(day.cast("int"), F.lit(hour))).alias("date")))
 
     k, host = F.col("k"), F.col("host")
     made = F.array(
         entry(k % 3 == 0, host, "block", k % 200),
-        entry(k % 2 == 0, host, "remove", k % 200 + 60),
-        entry(k % 4 == 1, host, "block", k % 100 + 200),
-        entry(k % 5 == 0, F.regexp_replace(host, r"^[^.]*\.", ""), "allow", k % 100 + 31),
+        entry(k % 2 == 0, F.concat(F.lit("www."), host), "remove", k % 200 + 60, 12),
+        entry(k % 4 == 1, F.concat(F.lit("HTTPS://"), F.upper(host), F.lit(":443/")), "block", k % 100 + 200),
+        entry(k % 5 == 0, F.regexp_replace(host, r"^[^.]*\.", ""), "allow", k % 100 + 31, 6),
         entry(k % 7 == 0, F.concat(host, F.lit("/en")), "allow", k % 150),
-        entry(k % 7 < 2, F.concat(host, F.lit("/en/")), "block", k % 50 + 160),
+        entry(k % 7 < 2, F.concat(host, F.lit("/en//")), "block", k % 50 + 160),
+        entry(k % 7 == 3, F.concat(host, F.lit("/EN")), "block", k % 50),
     )
     entries = hosts.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
-    return url_filters.evaluate(captures, entries)
+    # Whole URLs too, with all that they have, and one segment beyond.
+    url = F.when(number % 100 == 7, F.col("url")).otherwise(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/deeper/x?y")))
+    whole = pages.where("page_id % 50 = 7").select(url.alias("key"), F.when(number % 3 == 0, "block").otherwise("allow").alias("action"), (start + F.make_dt_interval((number % 300).cast("int"), F.lit(5))).alias("date"))
+    return url_filters.evaluate(captures, entries.unionByName(whole))
+
+
+def _normal_sql(rest: str, names: str) -> str:
+    """Host and path segments of URLs or keys in SQL, as ``url_filters.normalised`` has them."""
+    return rf"""SELECT {names}, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^([^/]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '\.$', ''), '^www\.', '') AS host,
+         list_filter(string_split(regexp_replace(rest, '^[^/]*', ''), '/'), lambda x: x <> '') AS parts
+  FROM (SELECT *, regexp_replace(regexp_replace(trim(coalesce({rest}, '')), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '[?#].*$', '') AS rest FROM"""
 
 
-OP10_SQL = r"""
-WITH c AS (
-  SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS fetched,
-         regexp_replace(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '[?#].*$', '') AS rest FROM pages),
-h AS (
-  SELECT page_id, fetched, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^([^/]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '\.$', ''), '^www\.', '') AS host,
-         list_filter(string_split(regexp_replace(rest, '^[^/]*', ''), '/'), lambda x: x <> '') AS parts FROM c),
+OP10_SQL = rf"""
+WITH p AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 365 AS INT)) + to_hours(page_id % 24) AS fetched FROM pages),
+h AS ({_normal_sql('url', 'page_id, url, fetched')} p)),
 hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS k FROM h WHERE host <> ''),
 raw AS (
-  SELECT host AS key, 'block' AS action, k % 200 AS d FROM hosts WHERE k % 3 = 0
-  UNION ALL SELECT host, 'remove', k % 200 + 60 FROM hosts WHERE k % 2 = 0
-  UNION ALL SELECT host, 'block', k % 100 + 200 FROM hosts WHERE k % 4 = 1
-  UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 'allow', k % 100 + 31 FROM hosts WHERE k % 5 = 0
-  UNION ALL SELECT host || '/en', 'allow', k % 150 FROM hosts WHERE k % 7 = 0
-  UNION ALL SELECT host || '/en', 'block', k % 50 + 160 FROM hosts WHERE k % 7 < 2),
-log AS (SELECT key, DATE '2024-01-01' + CAST(d AS INT) AS valid_from, CASE min(CASE action WHEN 'block' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END AS action FROM raw GROUP BY ALL),
-spans AS (SELECT *, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to FROM log),
+  SELECT host AS key, 'block' AS action, k % 200 AS d, 0 AS hr FROM hosts WHERE k % 3 = 0
+  UNION ALL SELECT 'www.' || host, 'remove', k % 200 + 60, 12 FROM hosts WHERE k % 2 = 0
+  UNION ALL SELECT 'HTTPS://' || upper(host) || ':443/', 'block', k % 100 + 200, 0 FROM hosts WHERE k % 4 = 1
+  UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 'allow', k % 100 + 31, 6 FROM hosts WHERE k % 5 = 0
+  UNION ALL SELECT host || '/en', 'allow', k % 150, 0 FROM hosts WHERE k % 7 = 0
+  UNION ALL SELECT host || '/en//', 'block', k % 50 + 160, 0 FROM hosts WHERE k % 7 < 2
+  UNION ALL SELECT host || '/EN', 'block', k % 50, 0 FROM hosts WHERE k % 7 = 3
+  UNION ALL SELECT CASE WHEN page_id % 100 = 7 THEN url ELSE regexp_replace(url, '[?#].*$', '') || '/deeper/x?y' END, CASE WHEN page_id % 3 = 0 THEN 'block' ELSE 'allow' END, page_id % 300, 5 FROM pages WHERE page_id % 50 = 7),
+norm AS ({_normal_sql('key', 'action, d, hr')} raw)),
+log AS (
+  SELECT CASE WHEN len(parts) > 0 THEN host || '/' || array_to_string(parts, '/') ELSE host END AS key, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INT)) + to_hours(hr) AS valid_from,
+         CASE min(CASE action WHEN 'block' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END AS action FROM norm GROUP BY 1, 2),
+spans AS (SELECT *, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to FROM log WHERE key <> ''),
 asked AS (
-  SELECT page_id, fetched, -100 - n AS pri, host || '/' || array_to_string(parts[1:n], '/') AS key FROM h, (SELECT unnest(range(1, 100)) AS n) WHERE n <= len(parts) AND (n <= 4 OR n = len(parts))
+  SELECT page_id, fetched, -n AS pri, host || '/' || array_to_string(parts[1:n], '/') AS key FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM h)
   UNION ALL
-  SELECT page_id, fetched, n, array_to_string(string_split(host, '.')[n:], '.') FROM h, (SELECT unnest(range(1, 100)) AS n)
-  WHERE (n = 1 OR n <= len(string_split(host, '.')) - 1) AND (n = 1 OR n > len(string_split(host, '.')) - 6) AND host <> ''),
+  SELECT page_id, fetched, n, array_to_string(string_split(host, '.')[n:], '.') FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS n FROM h) WHERE host <> ''),
 best AS (
   SELECT page_id, arg_min(s.action, pri) AS action, arg_min(s.key, pri) AS key, arg_min(s.valid_from, pri) AS valid_from
   FROM asked a JOIN spans s ON a.key = s.key AND s.valid_from <= a.fetched AND (s.valid_to IS NULL OR a.fetched < s.valid_to)
@@ -117,6 +131,31 @@ SELECT h.page_id, h.host, h.fetched, coalesce(b.action, 'none') AS verdict, b.ke
 FROM h LEFT JOIN best b USING (page_id)
 """
 
+#: Counts of whole texts, and lines by distinct texts of a host. SQL cannot tell near copies, which the operator counts
+#: together: the rows are the same where no line passes the limits by near copies alone, as on sf0.001 and sf0.01.
+OP3_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
+tok AS (SELECT r, unnest(words) AS t, generate_subscripts(words, 1) AS i FROM w),
+win AS (SELECT r, i, t || ' ' || {" || ' ' || ".join(f'lead(t, {k}) OVER o' for k in range(1, quality_rules.WINDOW))} AS g FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win WHERE g IS NOT NULL) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, {quality_rules.WINDOW})) AS k) GROUP BY r),
+raw AS (SELECT r, host, md5(text) AS t, unnest(string_split(text, chr(10))) AS line FROM w),
+lines AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^ 	-
+]+') AS lw FROM raw),
+named AS (SELECT r, host, t, line, len(lw) AS n, array_to_string(lw, ' ') AS key FROM lines WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM named GROUP BY r),
+hosts AS (SELECT host, count(*) AS n FROM w GROUP BY host),
+common AS (SELECT host, key FROM named JOIN hosts USING (host) GROUP BY host, key, hosts.n
+  HAVING count(DISTINCT t) >= {quality_rules.LINE_DOCS} AND count(DISTINCT t) >= least({quality_rules.LINE_SHARE} * hosts.n, {quality_rules.LINE_MOST})),
+gone AS (SELECT r, count(DISTINCT key) AS n, sum(n) AS lost FROM named JOIN common USING (host, key) GROUP BY r),
+c AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_common_lines, CAST(len(words) - coalesce(gone.lost, 0) AS BIGINT) AS n_words_left
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
+f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words_left >= {quality_rules.MIN_LEFT} AND n_words_left >= {quality_rules.LEFT_SHARE} * n_words AS kept FROM f
+"""
+
 OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -132,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op10_url_filters": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_url_filters": OP10_SQL}
