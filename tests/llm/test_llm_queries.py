@@ -1,4 +1,4 @@
-"""The registered queries on the smallest driver tables, and the pipeline by its stages."""
+"""The registered queries on the smallest driver tables, against their SQL."""
 
 from __future__ import annotations
 
@@ -27,15 +27,3 @@ def test_matches_sql(spark, name):
     assert sorted(str([r[c] for c in columns]) for r in df.collect()) == sorted(str([r[names.index(c)] for c in columns]) for r in out.fetchall())
 
 
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        assert 0.5 * n < docs.count() <= n, name
-    assert docs.count() == docs.select("text").distinct().count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.select("doc_id").distinct().count() == docs.count()
-    assert packed.agg({"length": "max"}).first()[0] <= 2048
