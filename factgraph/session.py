@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,38 @@ def _own_root(application: str) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset, as in local mode."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset and all executors are threads of the driver, as in tests, a local folder of our own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_root(spark.sparkContext.applicationId)
+    return root.rstrip("/")
+
+
+def hadoop(spark: SparkSession, path: str):
+    """A path and its file system, whatever kind it is."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: Folders of applications that go when they end.
+_MARKED: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody else uses; it goes when the application ends."""
+    own = f"{shared_root(spark)}/factgraph-core-{spark.sparkContext.applicationId}"
+    if own not in _MARKED:
+        path, fs = hadoop(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, hop: int) -> DataFrame:
