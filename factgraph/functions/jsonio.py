@@ -17,17 +17,24 @@ def extract_array(body: Column) -> Column:
 
 
 def records(body: Column) -> Column:
-    """Extraction records of an answer; null where it is malformed."""
-    return F.from_json(extract_array(body), RECORD)
+    """Extraction records of an answer: none where it is JSON without an array, null where it is malformed."""
+    array = extract_array(body)
+    valid = F.try_parse_json(F.coalesce(array, body)).isNotNull()
+    return F.when(valid, F.coalesce(F.from_json(array, RECORD), F.from_json(F.lit("[]"), RECORD)))
+
+
+def malformed(body: Column) -> Column:
+    """Whether an answer cannot be read: neither JSON nor text around a JSON array."""
+    return F.try_parse_json(F.coalesce(extract_array(body), body, F.lit(""))).isNull()
 
 
 def json_text(body: Column, path: str) -> Column:
     return F.get_json_object(body, path)
 
 
-def unwrap(body: Column) -> Column:
-    """The answer inside a provider's envelope, whichever it is."""
-    return F.coalesce(*(F.get_json_object(body, p) for p in PROVIDERS.values()))
+def unwrap(body: Column, path: str | None = None) -> Column:
+    """The answer inside a provider's envelope, whichever it is; at ``path`` where that leads somewhere."""
+    return F.coalesce(*(F.get_json_object(body, p) for p in ([path] if path else []) + list(PROVIDERS.values())))
 
 
 def escape(c: Column) -> Column:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 # The groups in order of priority with the stems that a name of the group contains, and the seed taxonomy.
 GROUPS = {
-    "DATA_LIFECYCLE": "write save store persist delete remove create add update read load get fetch retrieve record keep hold contain include ingest",
-    "COMMUNICATION": "send receive publish consume deliver transmit notify alert mail post contact signal subscribe",
-    "EXECUTION_FLOW": "run execute start stop launch process trigger perform delegate orchestrate coordinate call invoke route forward",
-    "SECURITY_AUDIT": "secure encrypt decrypt validate check verify authenticate authorize log monitor track audit",
-    "DATA_PROCESSING": "parse transform convert extract index normalise normalize map format generate produce filter aggregate split build deduplicate correlate analyze detect evaluate propagate visualize render scrape",
-    "SYSTEM_INTEGRATION": "inherit depend extend implement import export link attach mount bind connect integrate support use part_of assigned_to based_on",
+    "DATA_LIFECYCLE": "WRITE SAVE STORE PERSIST DELETE REMOVE CREATE ADD UPDATE READ LOAD GET FETCH RETRIEVE RECORD KEEP HOLD CONTAIN INCLUDE INGEST",
+    "COMMUNICATION": "SEND RECEIVE PUBLISH CONSUME DELIVER TRANSMIT NOTIFY ALERT MAIL POST CONTACT SIGNAL SUBSCRIBE",
+    "EXECUTION_FLOW": "RUN EXECUTE START STOP LAUNCH PROCESS TRIGGER PERFORM DELEGATE ORCHESTRATE COORDINATE CALL INVOKE ROUTE FORWARD",
+    "SECURITY_AUDIT": "SECURE ENCRYPT DECRYPT VALIDATE CHECK VERIFY AUTHENTICATE AUTHORIZE LOG MONITOR TRACK AUDIT",
+    "DATA_PROCESSING": "PARSE TRANSFORM CONVERT EXTRACT INDEX NORMALISE NORMALIZE MAP FORMAT GENERATE PRODUCE FILTER AGGREGATE SPLIT BUILD DEDUPLICATE CORRELATE ANALYZE DETECT EVALUATE PROPAGATE VISUALIZE RENDER SCRAPE",
+    "SYSTEM_INTEGRATION": "INHERIT DEPEND EXTEND IMPLEMENT IMPORT EXPORT LINK ATTACH MOUNT BIND CONNECT INTEGRATE SUPPORT USE PART_OF ASSIGNED_TO BASED_ON",
 }
 DEFAULT_GROUP = "BUSINESS_RULES"
 SEED = """
@@ -39,7 +39,7 @@ def classify(name: Column) -> Column:
     upper = F.upper(F.coalesce(name, F.lit("")))
     rule = F.when(F.trim(upper) == "", DEFAULT_GROUP)
     for group, stems in GROUPS.items():
-        rule = rule.when(F.regexp_like(upper, F.lit("|".join(stems.upper().split()))), group)
+        rule = rule.when(F.regexp_like(upper, F.lit("|".join(stems.split()))), group)
     return rule.otherwise(DEFAULT_GROUP)
 
 
@@ -83,6 +83,7 @@ def resolve(names: DataFrame, active: DataFrame, aliases: DataFrame, name: str =
 
     Distinct names are resolved once and joined back, so the taxonomy meets a few thousand names, not every assertion. The
     taxonomy and the aliases are curated by hand; they go through ordinary joins, which broadcast them while they are small.
+    A source has one alias; curation keeps it so.
     """
     distinct = names.select(F.col(name).alias("_raw")).where(F.col(name).isNotNull()).distinct()
     tried = distinct.select("_raw", F.posexplode(candidates(F.col("_raw"))).alias("_pos", "_try"))
@@ -112,6 +113,19 @@ def failed_queue(rejected: DataFrame) -> DataFrame:
     ).withColumn("predicate_group", classify(F.col("name")))
 
 
+def ordered_failed(queue: DataFrame) -> DataFrame:
+    """The review queue as it is shown: most occurrences first, then by name."""
+    return queue.orderBy(F.desc("occurrence_count"), "name")
+
+
+def merge_failed(queue: DataFrame, more: DataFrame, at: str = "updated_at") -> DataFrame:
+    """A review queue and later findings in one: counts add up, the last document and sample are those of the latest ``at``."""
+    both = queue.unionByName(more)
+    latest = F.max_by(F.struct("last_seen_document", "sample_raw_text", "predicate_group"), at)
+    out = both.groupBy("name").agg(F.sum("occurrence_count").alias("occurrence_count"), latest.alias("last"), F.max(at).alias(at))
+    return out.select("name", "occurrence_count", "last.last_seen_document", "last.sample_raw_text", "last.predicate_group", at)
+
+
 def suggestions(failed: DataFrame, active: DataFrame) -> DataFrame:
     """For each failed predicate the first active one of its group, or an empty string."""
     first = active.groupBy("predicate_group").agg(F.min("name").alias("suggestion"))
@@ -126,7 +140,7 @@ def grouped(active: DataFrame, priority: str = DEFAULT_GROUP) -> DataFrame:
 
 def classify_sql(column: str) -> str:
     """``classify`` as SQL, from the same table."""
-    cases = [f"WHEN regexp_matches(upper({column}), '{'|'.join(stems.upper().split())}') THEN '{group}'" for group, stems in GROUPS.items()]
+    cases = [f"WHEN regexp_matches(upper({column}), '{'|'.join(stems.split())}') THEN '{group}'" for group, stems in GROUPS.items()]
     return f"CASE WHEN trim(coalesce({column}, '')) = '' THEN '{DEFAULT_GROUP}' {' '.join(cases)} ELSE '{DEFAULT_GROUP}' END"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,15 @@ def normalize_grounding(c: Column) -> Column:
     return F.lower(trim_control(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"[^\w\s]", "")))
 
 
+def in_order(words: Column, text: Column) -> Column:
+    """Whether each of ``words`` (ASCII word characters) is found in a one-line text after the one before.
+
+    Each search is an atomic group: it takes the first place and never goes back, so the cost is one pass over the text.
+    """
+    pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit("(?>.*?"), w, F.lit(")"))), "")
+    return F.regexp_like(text, F.concat(F.lit("^"), pattern))
+
+
 def grounded(raw: Column, chunk: Column) -> Column:
     """Whether a chunk supports a quoted text: whole, from its fourth word on, or its words in order."""
     raw, chunk = normalize_grounding(raw), normalize_grounding(chunk)
@@ -47,8 +59,7 @@ def grounded(raw: Column, chunk: Column) -> Column:
     n = F.size(words)
     whole = chunk.contains(raw)
     tail = chunk.contains(F.array_join(F.slice(words, F.least(F.lit(3), n - 3) + 1, n), " "))
-    in_order = F.regexp_like(chunk, F.array_join(words, ".*"))
-    return whole | F.when(n > 4, tail | in_order).otherwise(in_order)
+    return whole | F.when(n > 4, tail | in_order(words, chunk)).otherwise(in_order(words, chunk))
 
 
 def normalize_entity(c: Column) -> Column:
@@ -96,8 +107,34 @@ def token_estimate(c: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int"))
 
 
+@functools.lru_cache(maxsize=4)
+def _vocabulary(ranks: str, pattern: str):
+    """An encoder a worker process."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def token_counter(ranks: str, pattern: str):
+    """A function of a text column: its tokens by a byte-pair vocabulary, a file of base64 tokens and their ranks.
+
+    The file must be at that path on every executor, and ``pattern`` is the vocabulary's own. Null texts have no tokens.
+    """
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(x) for x in _vocabulary(ranks, pattern).encode_ordinary_batch([t or "" for t in texts], num_threads=1)], dtype="int32")
+
+    return count
+
+
 def display_text(c: Column) -> Column:
-    return F.translate(c, "\n|", " ,")
+    """A text on one line of fields: line ends become spaces, bars commas."""
+    return F.translate(c, "\n\r|", "  ,")
 
 
 def friendly_group(c: Column) -> Column:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def chunk(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+def chunk(docs: DataFrame, id_col: str = "document_id", text_col: str = "text", tokens=T.token_estimate) -> DataFrame:
     """``document_id``, ``sequence_number``, ``section_path``, ``heading``, ``content``, ``normalized_content``, ``chunk_checksum``, ``token_estimate``.
 
-    One document's lines are in one task, as a chunk needs the headings before it; documents are independent.
+    ``tokens`` counts the tokens of a chunk's text: an estimate, or ``token_counter`` of a vocabulary. One document's lines are in one task, as a chunk needs the headings before it; documents are independent.
     """
     line, doc = F.col("line"), Window.partitionBy(id_col).orderBy("pos")
     lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
@@ -42,5 +42,5 @@ def chunk(docs: DataFrame, id_col: str = "document_id", text_col: str = "text")
     order = Window.partitionBy(id_col).orderBy("section")
     return parts.select(
         id_col, F.row_number().over(order).alias("sequence_number"), "section_path", F.nullif("heading", F.lit("")).alias("heading"), "content", "normalized_content",
-        T.chunk_checksum(F.col("section_path"), F.col("normalized_content")).alias("chunk_checksum"), T.token_estimate(F.col("raw")).alias("token_estimate"),
+        T.chunk_checksum(F.col("section_path"), F.col("normalized_content")).alias("chunk_checksum"), tokens(F.col("raw")).alias("token_estimate"),
     )

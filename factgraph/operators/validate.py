@@ -13,11 +13,11 @@ def blank(c: str) -> Column:
     return ~F.coalesce(F.regexp_like(F.col(c), F.lit(r"\S")), F.lit(False))
 
 
-def reject_reason(resolved: str = "resolved", chunk: str = "chunk_text") -> Column:
+def reject_reason(resolved: str = "resolved", grounded: str = "_grounded") -> Column:
     """The first rule that a record breaks, in the order in which the rules are checked; null if it is valid."""
     return (
         F.when(blank("subject_text"), "SUBJECT").when(blank("object_text"), "OBJECT").when(blank("normalized_text"), "NORMALIZED_TEXT")
-        .when(F.col(resolved).isNull(), "PREDICATE").when(blank("raw_text"), "RAW_TEXT").when(~F.coalesce(T.grounded(F.col("raw_text"), F.col(chunk)), F.lit(False)), "GROUNDING")
+        .when(F.col(resolved).isNull(), "PREDICATE").when(blank("raw_text"), "RAW_TEXT").when(~F.col(grounded), "GROUNDING")
     )
 
 
@@ -26,10 +26,11 @@ def validate(records: DataFrame, active: DataFrame, aliases: DataFrame, chunk: s
 
     A record whose only fault is its predicate is collapsed to the nearest active name within two edits, else queued.
     """
-    known = P.resolve(records, active, aliases)
-    known = known.withColumn("reject_reason", reject_reason(chunk=chunk)).withColumn("_upper", F.upper("predicate"))
-    only = (F.col("reject_reason") == "PREDICATE") & ~blank("raw_text") & ~blank("predicate") & F.coalesce(T.grounded(F.col("raw_text"), F.col(chunk)), F.lit(False))
+    # Grounding is by far the dearest rule: once a record, before the joins, which then carry no text of chunks twice.
+    known = P.resolve(records.withColumn("_grounded", F.coalesce(T.grounded(F.col("raw_text"), F.col(chunk)), F.lit(False))), active, aliases)
+    known = known.withColumn("reject_reason", reject_reason()).withColumn("_upper", F.upper("predicate"))
+    only = (F.col("reject_reason") == "PREDICATE") & ~blank("raw_text") & ~blank("predicate") & F.col("_grounded")
     near = P.nearest(known.where(only).select("predicate"), active).select(F.col("predicate").alias("_near_of"), "nearest")
     out = known.withColumn("_only", only).join(near, F.col("_only") & (F.col("_upper") == F.col("_near_of")), "left")
     outcome = F.when(F.col("reject_reason").isNull(), "accepted").when(F.col("_only") & F.col("nearest").isNotNull(), "collapsed").when(F.col("_only"), "queued").otherwise("rejected")
-    return out.withColumn("outcome", outcome).withColumn("resolved", F.coalesce("resolved", F.when(F.col("_only"), F.col("nearest")))).drop("_upper", "_near_of", "_only", "nearest")
+    return out.withColumn("outcome", outcome).withColumn("resolved", F.coalesce("resolved", F.when(F.col("_only"), F.col("nearest")))).drop("_upper", "_near_of", "_only", "_grounded", "nearest")
