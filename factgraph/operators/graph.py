@@ -76,22 +76,61 @@ def visible(rows: DataFrame, deletions: DataFrame, now, hours: int = 8) -> DataF
     return rows.join(live, "document_id", "left_anti")
 
 
+def of_project(docs: DataFrame, project: str) -> DataFrame:
+    """``document_id`` of a project's documents; a blank root is derived from the path."""
+    root = F.coalesce(F.nullif(F.trim("project_root"), F.lit("")), T.project_root(F.col("path")))
+    return docs.where(root == project).select("document_id").distinct()
+
+
+def in_project(assertions: DataFrame, docs: DataFrame, project: str) -> DataFrame:
+    """Assertions of a project: their own root, or their run, is one of the project's.
+
+    Runs belong to documents, so the run side is a semi-join on the documents. An assertion that both sides take is one row.
+    """
+    ours = assertions.join(of_project(docs, project), "document_id", "left_semi")
+    if "project_root" not in assertions.columns:
+        return ours
+    return ours.unionByName(assertions.where(F.col("project_root") == project).join(of_project(docs, project), "document_id", "left_anti"))
+
+
 def export(assertions: DataFrame, docs: DataFrame, project: str | None = None, deletions: DataFrame | None = None, now=None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links that documents of a project and not deleted support."""
+    """Nodes and links that documents of a project and not deleted support; nodes are the ends of these links."""
     if deletions is not None:
         assertions = visible(assertions, deletions, now)
     if project is not None:
-        root = F.coalesce(F.nullif(F.trim("project_root"), F.lit("")), T.project_root(F.col("path")))
-        assertions = assertions.join(docs.where(root == project).select("document_id"), "document_id", "left_semi")
+        assertions = in_project(assertions, docs, project)
     return nodes(assertions), edges(assertions)
 
 
-def delete_document(assertions: DataFrame, document: str) -> dict[str, DataFrame]:
-    """What is left without a document, and which nodes and edges lose their last support."""
-    left, gone = assertions.where(F.col("document_id") != document), assertions.where(F.col("document_id") == document)
-    orphan_nodes = endpoints(gone).select("node_id").distinct().join(endpoints(left), "node_id", "left_anti")
-    orphan_edges = gone.select("edge_id").distinct().join(left, "edge_id", "left_anti")
-    return {"assertions": left, "orphan_nodes": orphan_nodes, "orphan_edges": orphan_edges}
+def edge_ends(edge_rows: DataFrame, edge: str) -> DataFrame:
+    """``node_id`` of both ends of an edge."""
+    return edge_rows.where(F.col("edge_id") == edge).select(F.explode(F.array_distinct(F.array("from_node_id", "to_node_id"))).alias("node_id"))
+
+
+def build_run(assertions: DataFrame, run: str) -> dict[str, DataFrame]:
+    """The graph of one ingestion run: its nodes and edges, and how many assertions and edges each of its documents has."""
+    own = assertions.where(F.col("ingestion_run_id") == run)
+    counts = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("indexed_assertions"), F.countDistinct("edge_id").alias("indexed_edges"))
+    return {"nodes": nodes(own), "edges": edges(own), "counts": counts}
+
+
+def built(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``docs`` with the counters of a build; the documents in it are queryable."""
+    old = docs.select(*(c for c in docs.columns if c not in ("indexed_assertions", "indexed_edges")))
+    out = old.join(counts, "document_id", "left")
+    return out.withColumn("status", F.when(F.col("indexed_assertions").isNotNull(), "QUERYABLE").otherwise(F.col("status")))
+
+
+def rebuild_document(assertions: DataFrame, runs: DataFrame, document: str, existing: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The graph with that of a document's latest run merged in; building again what is there changes nothing."""
+    latest = runs.where(F.col("document_id") == document).groupBy("document_id").agg(F.max_by("ingestion_run_id", F.struct("created_at", "ingestion_run_id")).alias("ingestion_run_id"))
+    own = assertions.join(latest.select("ingestion_run_id"), "ingestion_run_id", "left_semi")
+    return {"nodes": merge(existing["nodes"], nodes(own), "node_id"), "edges": merge(existing["edges"], edges(own), "edge_id")}
+
+
+def runs_of(runs: DataFrame, document: str) -> DataFrame:
+    """The ingestion runs of a document, oldest first."""
+    return runs.where(F.col("document_id") == document).orderBy("created_at", "ingestion_run_id")
 
 
 #: Seconds between a document's deletion and the sweep that removes it for good.
@@ -108,51 +147,36 @@ def restore(docs: DataFrame, ids: list[str]) -> DataFrame:
     return docs.withColumn("marked_for_deletion_at", F.when(~F.col("document_id").isin(*ids), F.col("marked_for_deletion_at")))
 
 
-def sweep(docs: DataFrame, assertions: DataFrame, now) -> dict[str, DataFrame]:
-    """Remove documents whose time has come, with what only they support."""
-    due = docs.where(F.col("marked_for_deletion_at") < now).select("document_id")
-    left, gone = assertions.join(due, "document_id", "left_anti"), assertions.join(due, "document_id", "left_semi")
-    return {
-        "documents": docs.join(due, "document_id", "left_anti"), "assertions": left,
-        "orphan_edges": gone.select("edge_id").distinct().join(left, "edge_id", "left_anti"),
-        "orphan_nodes": endpoints(gone).select("node_id").distinct().join(endpoints(left), "node_id", "left_anti"),
-    }
+def hard_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table without documents (``gone``: document_id): assertions, pending, chunks, runs, documents; and what they alone held.
 
+    Tables that are not given are left out of the answer. ``nodes`` and ``edges``, where given, lose what no assertion that is
+    left supports; an edge that other documents support stays, whoever wrote it first.
+    """
+    gone = gone.select("document_id").distinct()
+    out = {name: rows.join(gone, "document_id", "left_anti") for name, rows in tables.items() if name in ("assertions", "pending", "chunks", "runs", "documents")}
+    lost = tables["assertions"].join(gone, "document_id", "left_semi")
+    out["orphan_edges"] = lost.select("edge_id").distinct().join(out["assertions"], "edge_id", "left_anti")
+    out["orphan_nodes"] = endpoints(lost).select("node_id").distinct().join(endpoints(out["assertions"]), "node_id", "left_anti")
+    if "edges" in tables:
+        out["edges"] = tables["edges"].join(out["orphan_edges"], "edge_id", "left_anti")
+    if "nodes" in tables:
+        out["nodes"] = tables["nodes"].join(out["orphan_nodes"], "node_id", "left_anti")
+    return out
 
-def document_counts(assertions: DataFrame) -> DataFrame:
-    """Assertions, nodes and edges of each document."""
-    counts = assertions.groupBy("document_id").agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct("edge_id").alias("edges"))
-    ends = assertions.select("document_id", F.explode(F.array("subject_node_id", "object_node_id")).alias("node_id")).distinct()
-    return counts.join(ends.groupBy("document_id").agg(F.count(F.lit(1)).alias("nodes")), "document_id")
 
+def delete_document(assertions: DataFrame, document: str) -> dict[str, DataFrame]:
+    """What is left without a document, and which nodes and edges lose their last support."""
+    return hard_delete({"assertions": assertions}, assertions.sparkSession.createDataFrame([(document,)], "document_id string"))
 
-def revoke(assertions: DataFrame, active: DataFrame, predicate: str) -> dict[str, DataFrame]:
-    """The taxonomy and assertions without a predicate, and the nodes that only it held."""
-    name = F.upper("predicate") == predicate.upper()
-    left, gone = assertions.where(~name), assertions.where(name)
-    orphans = endpoints(gone).select("node_id").distinct().join(endpoints(left), "node_id", "left_anti")
-    return {"active": active.where(F.col("name") != predicate.upper()), "assertions": left, "orphan_nodes": orphans}
 
+def sweep(tables: dict[str, DataFrame], now) -> dict[str, DataFrame]:
+    """``hard_delete`` of the documents whose time has come."""
+    return hard_delete(tables, tables["documents"].where(F.col("marked_for_deletion_at") < now))
 
-def curate(pending: DataFrame, active: DataFrame, aliases: DataFrame, actions: DataFrame) -> dict[str, DataFrame]:
-    """Apply ``actions`` (action, name, target) to pending assertions in one pass.
 
-    ``approve`` activates a name, ``map`` activates its target and keeps an alias, both promote what was pending under the
-    name; ``reject`` drops it.
-    """
-    acts = actions.select(F.upper("name").alias("_name"), "action", F.upper("target").alias("_target"))
-    hit = pending.withColumn("_name", F.upper("predicate")).join(acts, "_name", "left")
-    promoted = hit.where(F.col("action").isin("approve", "map")).withColumn("predicate", F.when(F.col("action") == "map", F.col("_target")).otherwise(F.col("_name"))).drop("_name", "action", "_target")
-    left = hit.where("action is null").drop("_name", "action", "_target")
-    names = acts.where("action in ('approve', 'map')").select(F.when(F.col("action") == "map", F.col("_target")).otherwise(F.col("_name")).alias("name"))
-    from ..functions.predicates import classify, insert_ignore
-
-    grown = insert_ignore(active, names.withColumn("predicate_group", classify(F.col("name"))))
-    mapped = acts.where("action = 'map'").select(F.col("_name").alias("source"), F.col("_target").alias("target"))
-    kept = aliases.join(mapped.select("source"), "source", "left_anti").unionByName(mapped, allowMissingColumns=True)
-    return {"promoted": promoted, "pending": left, "active": grown, "aliases": kept}
-
-
-def auto_approve(failed: DataFrame, least: int = 3) -> DataFrame:
-    """Actions that approve each failed predicate seen often enough; none with ``least`` 0."""
-    return failed.where((F.lit(least) > 0) & (F.col("occurrence_count") >= least)).select(F.lit("approve").alias("action"), "name", F.lit(None).cast("string").alias("target"))
+def document_counts(assertions: DataFrame) -> DataFrame:
+    """Assertions, nodes and edges of each document."""
+    counts = assertions.groupBy("document_id").agg(F.count(F.lit(1)).alias("assertions"), F.countDistinct("edge_id").alias("edges"))
+    ends = assertions.select("document_id", F.explode(F.array("subject_node_id", "object_node_id")).alias("node_id")).distinct()
+    return counts.join(ends.groupBy("document_id").agg(F.count(F.lit(1)).alias("nodes")), "document_id")

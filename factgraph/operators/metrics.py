@@ -30,6 +30,18 @@ def failures(events: DataFrame, kind: str = "event_type", failed: str = "error")
     return events.agg(F.count_if(F.col(kind) == failed).alias("failed"), F.avg(F.when(F.col("value") > 0, F.col("value"))).alias("mean_latency"))
 
 
+def total_tokens(chunks: DataFrame, tokens: str = "token_estimate") -> DataFrame:
+    """``total_tokens``: 0 where there is no chunk or none is counted."""
+    return chunks.agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("total_tokens"))
+
+
+def latency(events: DataFrame, now, kind: str = "DOCUMENT_GRAPH_READY", ts: str = "ts") -> DataFrame:
+    """``n``, ``mean_latency_ms`` of events of a kind: from the event's time to ``now`` (a column: when it was handled), if positive."""
+    ms = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1000
+    late = events.where(F.col("event_type") == kind).select(ms.alias("ms")).where("ms > 0")
+    return late.agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_latency_ms"))
+
+
 def recent(events: DataFrame, n: int = 50, ts: str = "ts", key: str = "event_id") -> DataFrame:
     return events.orderBy(F.desc(ts), F.desc(key)).limit(n)
 
@@ -102,6 +114,21 @@ def stale_workers(beats: DataFrame, now, seconds: int = LATE_SECONDS) -> DataFra
     return last.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_beat").cast("timestamp")) > seconds * 1_000_000)
 
 
+def workers(beats: DataFrame, now, seconds: int = LATE_SECONDS) -> DataFrame:
+    """``worker_id``, ``last_beat`` of live workers, by name."""
+    last = beats.groupBy("worker_id").agg(F.max("ts").alias("last_beat"))
+    return last.join(stale_workers(beats, now, seconds), "worker_id", "left_anti").orderBy("worker_id")
+
+
+def failed_states(states: DataFrame, now) -> DataFrame:
+    """States of failed stages as they go on: the retry is counted, and ``status``, ``next_retry_at`` follow; out of attempts, progress is lost."""
+    planned = schedule_retries(states, now)
+    lost = F.col("next_status") == "FAILED_FATAL"
+    done = [F.when(~lost, F.col(c)).otherwise(empty).alias(c) for c, empty in (("completed_chunks", F.lit("")), ("total_chunks", F.lit(0))) if c in states.columns]
+    kept = [c for c in states.columns if c not in ("status", "retry_count", "next_retry_at", "completed_chunks", "total_chunks")]
+    return planned.select(*kept, F.col("next_status").alias("status"), (F.col("retry_count") + 1).alias("retry_count"), "next_retry_at", *done)
+
+
 def outbox_batch(outbox: DataFrame, n: int = 100) -> DataFrame:
     """The oldest unpublished events."""
     return outbox.where("published_at is null").orderBy("created_at", "id").limit(n)

@@ -1,80 +1,141 @@
-"""Retrieval: BM25 seeds, bounded undirected traversal, explanations."""
+"""Retrieval: BM25 seeds, bounded undirected traversal, explanations; over a search index, or over plain tables by a scan.
+
+Both ways give the same rows. ``Plain`` answers what ``SearchIndex`` answers from tables that are at hand.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.times import decay
 from ..session import cut
 from . import graph as G
+from .index import SearchIndex, hidden, postings_of
 
 K1, B, BOOST, TOP_K, MAX_DEPTH = 1.2, 0.75, 2.2, 20, 10
+#: What the tools return of a hop at most: edges, assertions; and of an explanation.
+HOP_CAP, EXPLAIN_CAP = 1000, 100
 
 
-def bm25(assertions: DataFrame, query: str, k: int | None = TOP_K, boost: float = BOOST) -> DataFrame:
-    """``assertion_id``, ``bm25_score`` of the best ``k`` assertions; ties by id.
+class Plain:
+    """The questions of ``SearchIndex``, answered from assertions by scans."""
 
-    One scan counts lengths for all and terms only where a query term occurs; the statistics are one row and a row a term.
-    """
-    spark = assertions.sparkSession
+    def __init__(self, assertions: DataFrame):
+        self.spark: SparkSession = assertions.sparkSession
+        self.rows = assertions
+
+    def assertions(self, wanted: DataFrame | list[str] | None = None) -> DataFrame:
+        if wanted is None:
+            return self.rows
+        return self.rows.where(F.col("assertion_id").isin(wanted)) if isinstance(wanted, list) else self.rows.join(wanted.select("assertion_id").distinct(), "assertion_id", "left_semi")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        found = postings_of(self.rows)
+        return found if terms is None else found.where(F.col("term").isin(terms))
+
+    def statistics(self) -> tuple[int, float]:
+        row = self.rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.search_tokens(F.col("raw_text")))).alias("mean")).first()
+        return row["n"], row["mean"] or 1.0
+
+    def ends(self, nodes: DataFrame) -> DataFrame:
+        ends = F.explode(F.array_distinct(F.array("subject_node_id", "object_node_id"))).alias("node_id")
+        return self.rows.select(ends, "assertion_id", "document_id").join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+
+    def links(self, nodes: DataFrame) -> DataFrame:
+        pair = F.explode(F.array(F.struct(F.col("subject_node_id").alias("a"), F.col("object_node_id").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("object_node_id").alias("a"), F.col("subject_node_id").alias("b"), F.lit(False).alias("forward"))))
+        rows = self.rows.select("edge_id", "document_id", pair.alias("p")).select("p.a", "p.b", "edge_id", "p.forward", "document_id")
+        return rows.join(nodes.select(F.col("node_id").alias("a")).distinct(), "a", "left_semi").distinct()
+
+
+Source = SearchIndex | Plain
+
+
+def over(source: Source | DataFrame) -> Source:
+    return Plain(source) if isinstance(source, DataFrame) else source
+
+
+def bm25(source: Source | DataFrame, query: str, k: int | None = TOP_K, boost: float = BOOST, deleted: DataFrame | None = None) -> DataFrame:
+    """``assertion_id``, ``bm25_score`` of the best ``k`` assertions; ties by id. Hidden documents keep their part in the statistics."""
+    source = over(source)
+    spark = source.spark
     terms = [r["t"] for r in spark.range(1).select(F.explode(F.array_distinct(T.search_tokens(F.lit(query)))).alias("t")).collect()]
     if not terms:
-        return assertions.select("assertion_id", F.lit(0.0).alias("bm25_score")).limit(0)
-
-    def occurrences(term: str):
-        return F.size(F.filter("words", lambda w: w == term))
-
-    rows = assertions.select("assertion_id", T.search_tokens(F.col("raw_text")).alias("words"))
-    rows = rows.select("assertion_id", F.size("words").alias("dl"), *(occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(F.lit(1 + ((stats["n"] or 0) - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        tf = F.col(f"tf{i}")
-        score = score + F.when(tf > 0, idf * F.lit(boost) * tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))).otherwise(0.0)
-    hits = rows.where(F.greatest(*(f"tf{i}" for i in range(len(terms))), F.lit(0)) > 0).select("assertion_id", score.alias("bm25_score"))
+        return source.assertions().select("assertion_id", F.lit(0.0).alias("bm25_score")).limit(0)
+    n, mean = source.statistics() if isinstance(source, Plain) else (source.n, source.mean_length)
+    found = source.postings(terms)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term of the query
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf")
+    part = idf * F.lit(boost) * tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean)))
+    hits = hidden(found, deleted).join(F.broadcast(df), "term").groupBy("assertion_id").agg(F.sum(part).alias("bm25_score"))
     return hits if k is None else hits.orderBy(F.desc(F.round("bm25_score", 9)), "assertion_id").limit(k)
 
 
-def neighbours(edge_rows: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
-    """``node_id``, ``hop`` of all nodes within ``depth`` of ``start`` (node_id), undirected, at their least hop."""
-    links = G.undirected(edge_rows).select("a", "b")
-    return _spread(links, start, depth)
+def _few(rows: DataFrame, k: int | None) -> DataFrame:
+    """A table that later steps read several times: at most ``k`` rows by value, else by a checkpoint."""
+    return cut(rows, 2) if k is None or k > 1000 else rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def capped(rows: DataFrame, cap: int | None, *order: str) -> DataFrame:
+    return rows if cap is None else rows.orderBy(*order).limit(cap)
+
 
+def spread(source: Source | DataFrame, start: DataFrame, depth: int, edge_cap: int | None = None, deleted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node_id``, ``hop`` of all nodes within ``depth`` of ``start`` (node_id), undirected, at their least hop; and the edges seen.
 
-def _spread(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    Edges are ``edge_id``, ``from_node_id``, ``to_node_id``, ``hop``, each at the hop that first saw it. ``edge_cap`` limits the
+    edges of a hop, smallest identifiers first. A hop reads the links of its frontier only, and is cut off from those before.
+    """
+    source = over(source)
     seen = start.select("node_id").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    frontier, edges = seen, None
     for hop in range(1, min(depth, MAX_DEPTH) + 1):
-        reached = frontier.join(links, frontier["node_id"] == links["a"]).select(F.col("b").alias("node_id")).distinct()
-        frontier = cut(reached.join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop)), hop)
+        links = hidden(source.links(frontier), deleted)
+        at = links.select("edge_id", F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("from_node_id"), F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("to_node_id")).distinct()
+        at = capped(at, edge_cap, "edge_id")
+        if edge_cap is not None:
+            links = links.join(at.select("edge_id"), "edge_id", "left_semi")
+        reached = links.select(F.col("b").alias("node_id")).distinct().join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = cut(reached, 2)
+        edges = at.withColumn("hop", F.lit(hop)) if edges is None else edges.unionByName(at.withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
-    return seen
+    if edges is None:
+        edges = source.links(start).select("edge_id", F.col("a").alias("from_node_id"), F.col("b").alias("to_node_id"), F.lit(0).alias("hop")).limit(0)
+    return seen, edges.groupBy("edge_id", "from_node_id", "to_node_id").agg(F.min("hop").alias("hop"))
+
+
+def neighbours(source: Source | DataFrame, start: DataFrame, depth: int = 1, deleted: DataFrame | None = None) -> DataFrame:
+    """``node_id``, ``hop`` of all nodes within ``depth`` of ``start``."""
+    return spread(source, start, depth, deleted=deleted)[0]
+
 
+def neighbourhood(source: Source | DataFrame, node: str, depth: int = 1, edge_cap: int | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """``kind`` (node or edge), ``id``, ``from_node_id``, ``to_node_id``, ``hop``: the nodes reached from a node and the edges seen."""
+    source = over(source)
+    nodes, edges = spread(source, source.spark.createDataFrame([(node,)], "node_id string"), depth, edge_cap, deleted)
+    none = F.lit(None).cast("string")
+    rows = nodes.where("hop > 0").select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), none.alias("from_node_id"), none.alias("to_node_id"), "hop")
+    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), "from_node_id", "to_node_id", "hop"))
 
-def query_graph(assertions: DataFrame, text: str, depth: int = 1, k: int = TOP_K, rate: float = 1.0, weight: float = 0.3, cap: int | None = None) -> DataFrame:
+
+def query_graph(source: Source | DataFrame, text: str, depth: int = 1, k: int = TOP_K, rate: float = 1.0, weight: float = 0.3, cap: int | None = None, edge_cap: int | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """``assertion_id``, ``raw_text``, ``depth`` and three scores of seeds and of assertions around them.
 
-    ``cap`` limits the assertions of a hop (best id first); by default there is no limit.
+    ``cap`` and ``edge_cap`` limit the assertions and edges of a hop (smallest identifiers first); by default there is no limit.
+    Assertions of ``deleted`` documents (document_id) are not found, and links that only they support are not followed.
     """
-    assertions = assertions.select("assertion_id", "raw_text", "subject_node_id", "object_node_id", "edge_id").persist()  # read once by every hop
-    seeds = bm25(assertions, text, k)
-    found = assertions.join(seeds, "assertion_id").select("assertion_id", "subject_node_id", "object_node_id", "bm25_score", F.lit(0).alias("depth"))
-    ends = G.endpoints(assertions)
-    start = G.endpoints(found).select("node_id")
-    # Equal edges of several assertions need not be merged to walk along them.
-    links = G.undirected(assertions.select("edge_id", F.col("subject_node_id").alias("from_node_id"), F.col("object_node_id").alias("to_node_id"))).select("a", "b")
-    hops = _spread(links, start, depth).where("hop > 0")
-    touched = ends.join(hops, "node_id").groupBy("assertion_id").agg(F.min("hop").alias("depth")).join(seeds, "assertion_id", "left_anti").withColumn("bm25_score", F.lit(0.0))
+    source = over(source)
+    seeds = _few(bm25(source, text, k, deleted=deleted), k)
+    start = _few(source.assertions(seeds).select(F.explode(F.array("subject_node_id", "object_node_id")).alias("node_id")).distinct(), None if k is None else 2 * k)
+    hops = spread(source, start, depth, edge_cap, deleted)[0].where("hop > 0")
+    touched = hidden(source.ends(hops), deleted).join(hops, "node_id").groupBy("assertion_id").agg(F.min("hop").alias("depth")).join(seeds, "assertion_id", "left_anti").withColumn("bm25_score", F.lit(0.0))
     if cap is not None:
-        from pyspark.sql import Window
-
         touched = touched.withColumn("_n", F.row_number().over(Window.partitionBy("depth").orderBy("assertion_id"))).where(F.col("_n") <= cap).drop("_n")
-    hits = found.select("assertion_id", "depth", "bm25_score").unionByName(touched.select("assertion_id", "depth", "bm25_score"))
+    hits = seeds.select("assertion_id", F.lit(0).alias("depth"), "bm25_score").unionByName(touched.select("assertion_id", "depth", "bm25_score"))
     graph = 1 / (1 + F.col("depth"))
-    out = hits.join(assertions.select("assertion_id", "raw_text"), "assertion_id")
+    out = hits.join(source.assertions().select("assertion_id", "raw_text"), "assertion_id")
     return out.select("assertion_id", "raw_text", "depth", F.round("bm25_score", 6).alias("bm25_score"), F.round(graph, 6).alias("graph_score"), F.round(decay(F.col("bm25_score"), F.col("depth"), rate, weight), 6).alias("final_score"))
 
 
@@ -82,26 +143,35 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.orderBy(F.desc("final_score"), "depth", "assertion_id")
 
 
-def subgraph(edge_rows: DataFrame, root: str, level: int) -> DataFrame:
-    """Edges with both ends within ``level`` hops of ``root``."""
-    spark = edge_rows.sparkSession
-    inside = neighbours(edge_rows, spark.createDataFrame([(root,)], "node_id string"), level).select("node_id")
-    out = edge_rows.join(inside, edge_rows["from_node_id"] == inside["node_id"], "left_semi")
-    return out.join(inside, out["to_node_id"] == inside["node_id"], "left_semi")
+def subgraph(source: Source | DataFrame, root: str, level: int) -> DataFrame:
+    """``edge_id``, ``from_node_id``, ``to_node_id`` of the edges with both ends within ``level`` hops of ``root``.
+
+    Each such edge is a link of one of the nodes inside, so the links of these are all that is read.
+    """
+    source = over(source)
+    inside = cut(neighbours(source, source.spark.createDataFrame([(root,)], "node_id string"), level).select("node_id"), 2)
+    links = source.links(inside).where("forward").join(inside.select(F.col("node_id").alias("b")), "b", "left_semi")
+    return links.select("edge_id", F.col("a").alias("from_node_id"), F.col("b").alias("to_node_id")).distinct()
 
 
-def explain(assertions: DataFrame, assertion_id: str) -> DataFrame:
-    """One row: the seed assertion, its nodes, the edges at them, the nodes at their other ends, and assertions about those."""
-    seed = assertions.where(F.col("assertion_id") == assertion_id)
-    start = G.endpoints(seed).select("node_id")
-    links = G.undirected(G.edges(assertions))
-    at = links.join(start, links["a"] == start["node_id"], "left_semi")
-    around = at.select(F.col("b").alias("node_id")).distinct().join(start, "node_id", "left_anti")
-    related = G.endpoints(assertions).join(around, "node_id", "left_semi").select("assertion_id").distinct().where(F.col("assertion_id") != assertion_id)
+def explain(source: Source | DataFrame, assertion_id: str, cap: int | None = None) -> DataFrame:
+    """``kind``, ``id``: the seed assertion, its nodes, the edges at them, the nodes at their other ends, and assertions about those.
+
+    ``cap`` limits edges and related assertions, smallest identifiers first.
+    """
+    source = over(source)
+    seed = source.assertions([assertion_id])
+    start = _few(seed.select(F.explode(F.array_distinct(F.array("subject_node_id", "object_node_id"))).alias("node_id")), 2)
+    links = source.links(start)
+    at = capped(links.select("edge_id").distinct(), cap, "edge_id")
+    if cap is not None:
+        links = links.join(at, "edge_id", "left_semi")
+    around = cut(links.select(F.col("b").alias("node_id")).distinct().join(start, "node_id", "left_anti"), 2)
+    related = capped(source.ends(around).select("assertion_id").distinct().where(F.col("assertion_id") != assertion_id), cap, "assertion_id")
     parts = (
         seed.select(F.lit("seed").alias("kind"), F.col("assertion_id").alias("id")),
-        start.distinct().select(F.lit("seed_node"), "node_id"),
-        at.select(F.lit("edge"), "edge_id").distinct(),
+        start.select(F.lit("seed_node"), "node_id"),
+        at.select(F.lit("edge"), "edge_id"),
         around.select(F.lit("neighbour"), "node_id"),
         related.select(F.lit("related"), "assertion_id"),
     )
@@ -111,10 +181,62 @@ def explain(assertions: DataFrame, assertion_id: str) -> DataFrame:
     return out
 
 
-def lookup(assertions: DataFrame, assertion_id: str) -> DataFrame:
-    return assertions.where(F.col("assertion_id") == assertion_id).select("assertion_id", "document_id", "subject", "predicate", "object", "raw_text", "subject_node_id", "object_node_id", "semantic_checksum")
+def lookup(source: Source | DataFrame, assertion_id: str) -> DataFrame:
+    found = over(source).assertions([assertion_id])
+    return found.select("assertion_id", "document_id", "subject", "predicate", "object", "raw_text", "subject_node_id", "object_node_id", "semantic_checksum")
 
 
+# Answers of tools as lines ---------------------------------------------------------------------------------------------
 def render_hits(hits: DataFrame) -> DataFrame:
     """Lines ``score|depth|text`` for tools."""
     return ranked(hits).select(F.concat_ws("|", F.format_string("%.1f", "final_score"), F.col("depth").cast("string"), T.display_text(F.col("raw_text"))).alias("line"))
+
+
+def _listed(rows: DataFrame, label: str, at: int) -> DataFrame:
+    """One line ``LABEL (n): a, b`` of the identifiers of ``rows`` (id), in order; none if there are none."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("ids"))
+    return found.where("n > 0").select(F.lit(at).alias("at"), F.lit("").alias("key"), F.concat(F.lit(f"{label} ("), F.col("n").cast("string"), F.lit("): "), "ids").alias("line"))
+
+
+def render_explanation(source: Source | DataFrame, assertion_id: str, cap: int | None = EXPLAIN_CAP) -> DataFrame:
+    """The lines of an explanation in order of ``at``, ``key``: seed, text, nodes, edges, neighbours, related texts."""
+    source = over(source)
+    found = cut(explain(source, assertion_id, cap), 2)
+    seed, none = source.assertions([assertion_id]), F.lit("")
+    fields = [T.display_text(F.col(c)) for c in ("subject", "predicate", "object")]
+    related = source.assertions(found.where("kind = 'related'").select(F.col("id").alias("assertion_id"))).where("raw_text != ''")
+    of = lambda kind: found.where(F.col("kind") == kind)
+    count = of("related").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    nodes = of("seed_node").agg(F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("ids"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    parts = [
+        seed.select(F.lit(0).alias("at"), none.alias("key"), F.concat(F.lit("SEED: "), F.concat_ws(" | ", *fields)).alias("line")),
+        seed.where("raw_text != ''").select(F.lit(1).alias("at"), none.alias("key"), F.concat(F.lit("TEXT: "), T.display_text(F.col("raw_text"))).alias("line")),
+        nodes.select(F.lit(2).alias("at"), none.alias("key"), F.concat(F.lit("SEED_NODES: "), "ids").alias("line")),
+        _listed(of("edge"), "EDGES", 3),
+        _listed(of("neighbour"), "NEIGHBORS", 4),
+        count.select(F.lit(5).alias("at"), none.alias("key"), F.concat(F.lit("RELATED ("), F.col("n").cast("string"), F.lit("):")).alias("line")),
+        related.select(F.lit(6).alias("at"), F.col("assertion_id").alias("key"), F.concat(F.lit("  "), T.display_text(F.col("raw_text"))).alias("line")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy("at", "key")
+
+
+def render_neighbourhood(rows: DataFrame) -> DataFrame:
+    """The lines of ``neighbourhood`` in order of ``at``, ``key``: nodes, then edges with their ends."""
+    nodes, edges = rows.where("kind = 'node'"), rows.where("kind = 'edge'")
+    empty = lambda label, found, at: found.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(at).alias("at"), F.lit("").alias("key"), F.lit(f"{label}: (none)").alias("line"))
+    count = edges.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(1).alias("at"), F.lit("").alias("key"), F.concat(F.lit("EDGES ("), F.col("n").cast("string"), F.lit("):")).alias("line"))
+    each = edges.select(F.lit(2).alias("at"), F.col("id").alias("key"), F.concat(F.lit("  "), "id", F.lit(" ["), "from_node_id", F.lit("->"), "to_node_id", F.lit("]")).alias("line"))
+    out = _listed(nodes, "NODES", 0)
+    for part in (empty("NODES", nodes, 0), empty("EDGES", edges, 1), count, each):
+        out = out.unionByName(part)
+    return out.orderBy("at", "key")
+
+
+def render_assertion(found: DataFrame) -> DataFrame:
+    """An assertion on one line: triple, text if there is one, and document."""
+    fields = [T.display_text(F.col(c)) for c in ("subject", "predicate", "object")]
+    text = F.when(F.col("raw_text") != "", T.display_text(F.col("raw_text")))
+    return found.select(F.concat_ws(" | ", *fields, text, F.concat(F.lit("doc: "), "document_id")).alias("line"))

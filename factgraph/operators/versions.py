@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,27 @@ def versions(events: DataFrame, path: str = "path", order: str = "seq", text_col
     return out.select(path, order, "checksum", "version", T.sha256(F.concat_ws("|", F.col(path), F.col("version"))).alias("ingestion_run_id"), T.project_root(F.col(path)).alias("project_root"))
 
 
+def runs(version_rows: DataFrame, states: DataFrame | None = None, trigger: str = "FILE_EVENT") -> DataFrame:
+    """One ingestion run for each version: ``ingestion_run_id``, ``document_id`` (the path), ``run_status``, ``triggered_by``, ``created_at``.
+
+    A run's status follows from its document's: the latest run of a queryable document is completed, of a failed one failed, of
+    others started; earlier runs are superseded.
+    """
+    last = Window.partitionBy("path").orderBy(F.desc("version"))
+    rows = version_rows.withColumn("_n", F.row_number().over(last))
+    if states is None:
+        status = F.when(F.col("_n") > 1, "SUPERSEDED").otherwise("STARTED")
+    else:
+        rows = rows.join(states.select("path", "status"), "path", "left")
+        status = F.when(F.col("_n") > 1, "SUPERSEDED").when(F.col("status") == "QUERYABLE", "COMPLETED").when(F.col("status").startswith("FAILED"), "FAILED").otherwise("STARTED")
+    return rows.select("ingestion_run_id", F.col("path").alias("document_id"), status.alias("run_status"), F.lit(trigger).alias("triggered_by"), F.col("seq").alias("created_at"))
+
+
+def skip_unchanged(files: DataFrame, states: DataFrame) -> DataFrame:
+    """``files`` (path, checksum) without those that are queryable with the same checksum already."""
+    return files.join(states.where("status = 'QUERYABLE'").select("path", "checksum").distinct(), ["path", "checksum"], "left_anti")
+
+
 def version_tag(version, checksum):
     return F.format_string("v%05d-%s", version, F.substring(checksum, 1, 8))
 
@@ -70,16 +95,51 @@ def rate_window(calls: DataFrame, key: str, ts: str = "ts", seconds: int = 60, l
     return calls.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("in_window") <= limit)
 
 
+def admitted(calls: DataFrame, key: str, ts: str = "ts", order: str = "event_id", limit: int = 15, window_ms: int = 60_001) -> DataFrame:
+    """``admitted_at`` of each call when those beyond ``limit`` a window wait, first come first served, instead of being refused.
+
+    The k-th call waits for the (k - limit)-th to leave the window. So every ``limit``-th call is a chain, a(k) = max(t(k),
+    a(k - 1) + window), which is a running maximum of t(k) - k * window, plus k * window: a window function.
+    """
+    w = Window.partitionBy(key).orderBy(ts, order)
+    rows = calls.withColumn("_n", F.row_number().over(w) - 1).withColumn("_chain", F.col("_n") % limit).withColumn("_k", F.floor(F.col("_n") / limit))
+    step = F.col("_k") * (window_ms * 1000)
+    chain = Window.partitionBy(key, "_chain").orderBy("_k")
+    at = F.max(F.unix_micros(F.col(ts).cast("timestamp")) - step).over(chain) + step
+    return rows.withColumn("admitted_at", F.timestamp_micros(at).cast("timestamp_ntz")).drop("_n", "_chain", "_k")
+
+
 def dedup_ttl(events: DataFrame, key: str, ts: str = "ts", hours: int = 168) -> DataFrame:
     """``key``, ``ts`` of accepted events: the first, then the first at least ``hours`` after the last *accepted* one.
 
-    Acceptance is a chain, so the times of a key are folded in order; a key's times are one array.
+    Acceptance is a chain. Events are dealt by key and sorted, and a task walks along them with one time in hand, from one
+    accepted event straight to the next; it holds a batch of rows, whatever a key has. Null times are left out.
     """
     ttl = hours * 3600 * 1_000_000
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("t"))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("t", start, lambda a, t: F.when((F.size(a) == 0) | (t - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) >= ttl), F.concat(a, F.array(t))).otherwise(a))
-    return times.select(key, F.explode(kept).alias("us")).select(key, F.timestamp_micros("us").cast("timestamp_ntz").alias(ts))
+    kind = dict(events.dtypes)[key]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
+        for batch in batches:
+            marks, times = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            ends = [*(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
+            taken, begin = [], 0
+            for end in ends:
+                if end == begin:
+                    continue
+                at = begin if marks[begin] != last_key else begin + int(np.searchsorted(times[begin:end], last + ttl))
+                last_key = marks[begin]
+                while at < end:
+                    taken.append(at)
+                    last = int(times[at])
+                    at = begin + int(np.searchsorted(times[begin:end], last + ttl))
+                begin = end
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), batch.column(2).take(pa.array(taken, pa.int64()))], [key, "us"])
+
+    # A hash stands for the key, so that runs of equal keys are found on numbers; two keys of one hash have a chance of n^2 / 2^65.
+    rows = events.where(F.col(ts).isNotNull()).select(F.col(key), F.xxhash64(key).alias("mark"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    dealt = rows.repartition("mark").sortWithinPartitions("mark", "us").mapInArrow(walk, f"`{key}` {kind}, us long")
+    return dealt.select(key, F.timestamp_micros("us").cast("timestamp_ntz").alias(ts))
 
 
 def owners(paths: DataFrame, workers: DataFrame, path: str = "path") -> DataFrame:
