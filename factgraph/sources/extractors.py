@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,15 +16,22 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonio, text
 
+#: Where the providers' interfaces are.
+BASES = {"ollama": "http://localhost:11434", "groq": "https://api.groq.com/openai/v1", "gemini": "https://generativelanguage.googleapis.com", "openai": "https://api.openai.com/v1"}
 FIELDS = ("subject_text", "predicate", "object_text", "raw_text", "normalized_text", "attributes")
 
 
 def replay(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Records of recorded answers (chunk_id, body); a malformed answer gives none."""
+    """Records of recorded answers (chunk_id, body); ``unreadable`` has the malformed ones."""
     rows = chunks.join(answers, "chunk_id").withColumn("r", F.explode(jsonio.records(F.col("body"))))
     return rows.select(*chunks.columns, *(F.col(f"r.{f}").alias(f) for f in FIELDS))
 
 
+def unreadable(answers: DataFrame) -> DataFrame:
+    """The answers that are neither JSON nor text around a JSON array: to be asked for again, or looked at."""
+    return answers.where(jsonio.malformed(F.col("body")))
+
+
 def rules(chunks: DataFrame, verbs: list[str], content: str = "content") -> DataFrame:
     """Records of sentences ``Subject verb object`` with one of ``verbs`` (lower case), natively."""
     pattern = rf"(?i)^\s*(.+?)\s+({'|'.join(verbs)})\s+(.+?)\s*$"
@@ -37,6 +46,47 @@ def post(url: str, body: str, headers: dict[str, str], timeout: float) -> str:
         return answer.read().decode()
 
 
+@dataclass(frozen=True)
+class Provider:
+    """How a model is asked: where, with what body and headers, and where its answer lies (any provider's envelope otherwise)."""
+
+    url: str
+    template: str
+    model: str
+    headers: dict[str, str] = field(default_factory=dict)
+    response_path: str | None = None
+
+
+def provider(name: str, model: str, key: str | None = None, url: str | None = None, template: str | None = None, response_path: str | None = None) -> Provider:
+    """A known provider, or a custom one that speaks like OpenAI's. A custom template or path takes the place of the provider's own."""
+    base = (url or BASES.get(name, "")).rstrip("/")
+    if not base:
+        raise ValueError(f"no address for {name}")
+    if name != "ollama" and not key:
+        raise ValueError(f"no key for {name}")
+    place = {"ollama": "/api/generate", "gemini": f"/v1beta/models/{model}:generateContent"}.get(name, "/chat/completions")
+    headers = {} if name == "ollama" else {"x-goog-api-key": key} if name == "gemini" else {"Authorization": f"Bearer {key}"}
+    own = template if template and template.strip() else request_template(name if name in ("ollama", "gemini") else "openai")
+    return Provider(base + place, own, model, headers, response_path)
+
+
+def answers(chunks: DataFrame, to: Provider, predicates: list[str], **options) -> DataFrame:
+    """``chunk_id``, ``body`` (the answer without its envelope), ``error`` of a provider; options are those of ``http``."""
+    asked = http(chunks, to.url, to.template, predicates, to.model, headers=to.headers, **options)
+    return asked.withColumn("body", F.coalesce(jsonio.unwrap(F.col("body"), to.response_path), F.col("body")))
+
+
+def told_wait(headers, body: str) -> float | None:
+    """The seconds that a refusal asks for, in a header or in its text; None if in neither."""
+    told = headers.get("Retry-After") if headers else None
+    if told and told.replace(".", "", 1).isdigit():
+        return float(told)
+    found = re.search(r"(?i)try again in ([0-9.]+)\s*(ms|s)", body)
+    if not found or found[1].count(".") > 1 or found[1] == ".":
+        return None
+    return float(found[1]) / (1000 if found[2].lower() == "ms" else 1) + 0.5
+
+
 def http(chunks: DataFrame, url: str, template: str, predicates: list[str], model: str, tasks: int = 8, per_minute: int | None = 15, attempts: int = 5, timeout: float = 120, headers: dict[str, str] | None = None, send: Callable[[str, str, dict, float], str] = post) -> DataFrame:
     """``chunk_id``, ``body`` or ``error`` from a model behind HTTP; at most ``tasks`` requests at once and ``per_minute`` in all.
 
@@ -62,9 +112,9 @@ def http(chunks: DataFrame, url: str, template: str, predicates: list[str], mode
                         body, error = send(url, request, headers or {}, timeout), None
                         break
                     except urllib.error.HTTPError as e:
-                        error = f"{e.code}: {e.read()[:500]!r}"
-                        told = e.headers.get("Retry-After") if e.headers else None
-                        pause = float(told) if told and told.replace(".", "").isdigit() else wait
+                        said = e.read()[:2000].decode("utf-8", "replace")
+                        error, told = f"{e.code}: {said}", told_wait(e.headers, said)
+                        pause = wait if told is None else told
                     except OSError as e:
                         error, pause = str(e), wait
                     if attempt + 1 < attempts:
@@ -78,5 +128,6 @@ def http(chunks: DataFrame, url: str, template: str, predicates: list[str], mode
 
 def request_template(provider: str) -> str:
     """A request body for a provider, with ``{{model}}`` and ``{{prompt}}``."""
-    message = {"openai": {"model": "{{model}}", "messages": [{"role": "user", "content": "{{prompt}}"}]}, "gemini": {"contents": [{"parts": [{"text": "{{prompt}}"}]}]}, "ollama": {"model": "{{model}}", "prompt": "{{prompt}}", "stream": False}}
+    # The providers' published formats.
+    message = {"openai": {"model": "{{model}}", "messages": [{"role": "user", "content": "{{prompt}}"}], "temperature": 0.0, "response_format": {"type": "json_object"}}, "gemini": {"contents": [{"parts": [{"text": "{{prompt}}"}]}]}, "ollama": {"model": "{{model}}", "prompt": "{{prompt}}", "stream": False}}
     return json.dumps(message[provider])

@@ -11,6 +11,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import hadoop
+
 # What is skipped and read by default (with our own state directory).
 PRUNED = (".git", "node_modules", "build", "logs", ".factgraph")
 EXTENSIONS = ("md", "txt", "xlsx")
@@ -111,9 +113,43 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     return files.select("path", "rel", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("checksum"), F.when(~table, F.decode("content", "UTF-8")).alias("text"), table.alias("quarantined"))
 
 
-def watch(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """A stream of whole texts that appear below ``root``: ``path``, ``text``."""
-    return spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def watch(spark: SparkSession, root: str, glob: str = "*.md", config: Config | None = None, debounce: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """A stream of whole texts that appear or change below ``root``: ``path``, ``modified_at``, ``checksum``, ``text``.
+
+    Pruned directories are left out, and what the globs of ``config`` don't take. With ``debounce`` (a gap) a path's changes that
+    follow each other closer are one row: the last of them. It is out when the watermark, ``late`` behind, has passed the gap.
+    """
+    options = {"wholetext": "true", "recursiveFileLookup": "true", "pathGlobFilter": glob}
+    base = root.removeprefix("file:").rstrip("/")
+    files = spark.readStream.format("text").options(**options).load(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified_at"), F.col("value").alias("text"))
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), f"^/*{re.escape(base.lstrip('/'))}/?", "")
+    files = files.where(~pruned(below))
+    if config is not None:
+        files = files.where(should_index(F.regexp_replace("path", r"^[a-z]+:/*", "/"), config, "/" + base.lstrip("/")))
+    files = files.withColumn("checksum", F.sha2("text", 256))
+    if debounce is None:
+        return files
+    last = F.max_by(F.struct("modified_at", "checksum", "text"), "modified_at").alias("last")
+    return files.withWatermark("modified_at", late).groupBy(F.session_window("modified_at", debounce), "path").agg(last).select("path", "last.*")
+
+
+def upload(spark: SparkSession, content: bytes, name: str, landing: str) -> str:
+    """Put a file into the landing folder under its own name, in place of an older one, and return its path; scans find it there.
+
+    The file is written aside and renamed, so that no scan reads half of it. Names that leave the folder are refused.
+    """
+    if not name.strip() or name.startswith("/") or ".." in name.replace("\\", "/").split("/"):
+        raise ValueError("no file name")
+    target, fs = hadoop(spark, f"{landing.rstrip('/')}/{name}")
+    aside, _ = hadoop(spark, f"{landing.rstrip('/')}/.upload-{uuid.uuid4().hex}")
+    fs.mkdirs(target.getParent())
+    out = fs.create(aside, True)
+    out.write(bytearray(content))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"cannot write {target}")
+    return target.toString()
 
 
 def kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -126,21 +162,49 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def jdbc_write(rows: DataFrame, url: str, table: str, mode: str = "append", batch: int = 50, **options: str) -> None:
+    """Rows into a table by JDBC, ``batch`` a statement; needs the driver's jar on the class path."""
+    rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
+
+
+class Conflict(Exception):
+    """Another writer was first; read again and repeat."""
+
+
 class Store:
-    """Tables as versioned Parquet snapshots: a write makes a new directory, then moves the pointer."""
+    """Tables as versioned Parquet snapshots: a write makes a new directory, then a pointer with the next number.
+
+    A pointer is written aside and renamed to a name that must not be there yet. Readers take the last one, whole or not at all;
+    of two writers that saw the same one, the second gets ``Conflict`` instead of losing the first one's rows.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self, name: str) -> str | None:
-        path, fs = self._pointer(name)
+    def _pointers(self, name: str) -> list[int]:
+        path, fs = hadoop(self.spark, f"{self.root}/{name}")
         if not fs.exists(path):
+            return []
+        found = (f.getPath().getName() for f in fs.listStatus(path))
+        return sorted(int(n[8:]) for n in found if re.fullmatch(r"pointer-\d+", n))
+
+    def last(self, name: str) -> int:
+        """The number of the table's last pointer, 0 if there is none."""
+        return max(self._pointers(name), default=0)
+
+    def current(self, name: str, number: int | None = None) -> str | None:
+        number = self.last(name) if number is None else number
+        if not number:
             return None
-        return self.spark.read.text(path.toString()).first()[0]
+        path, fs = hadoop(self.spark, f"{self.root}/{name}/pointer-{number:09d}")
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def exists(self, name: str) -> bool:
+        return self.last(name) > 0
 
     def read(self, name: str) -> DataFrame:
         version = self.current(name)
@@ -148,18 +212,37 @@ class Store:
             raise FileNotFoundError(name)
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
-    def write(self, name: str, df: DataFrame) -> str:
+    def write(self, name: str, df: DataFrame, after: int | None = None) -> str:
+        """A new snapshot that follows pointer ``after`` (the last one by default); ``Conflict`` if that one has a follower already."""
+        after = self.last(name) if after is None else after
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        path, fs = self._pointer(name)
-        out = fs.create(path, True)
+        target, fs = hadoop(self.spark, f"{self.root}/{name}/pointer-{after + 1:09d}")
+        aside, _ = hadoop(self.spark, f"{self.root}/{name}/.{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
         out.write(bytearray(version.encode()))
         out.close()
+        if fs.exists(target) or not fs.rename(aside, target):
+            fs.delete(aside, False)
+            raise Conflict(name)
         return version
 
     def upsert(self, name: str, rows: DataFrame, key: str, order: str) -> str:
         """Latest-wins merge of ``rows`` into the table."""
         from ..operators.metrics import latest
 
-        merged = rows if self.current(name) is None else self.read(name).unionByName(rows, allowMissingColumns=True)
-        return self.write(name, latest(merged, key, order).select(*rows.columns))
+        after = self.last(name)
+        merged = rows if not after else self.spark.read.parquet(f"{self.root}/{name}/{self.current(name, after)}").unionByName(rows, allowMissingColumns=True)
+        return self.write(name, latest(merged, key, order).select(*rows.columns), after)
+
+    def append(self, name: str, rows: DataFrame) -> str:
+        after = self.last(name)
+        return self.write(name, rows if not after else self.spark.read.parquet(f"{self.root}/{name}/{self.current(name, after)}").unionByName(rows, allowMissingColumns=True), after)
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Delete all but the last ``keep`` snapshots."""
+        for number in self._pointers(name)[:-keep]:
+            version = self.current(name, number)
+            for path in (f"{self.root}/{name}/pointer-{number:09d}", f"{self.root}/{name}/{version}"):
+                target, fs = hadoop(self.spark, path)
+                fs.delete(target, True)

@@ -40,11 +40,19 @@ def sessions(stream: DataFrame, path: str = "path", ts: str = "ts", gap: str = "
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), path).agg(F.max(ts).alias(ts), F.count(F.lit(1)).alias("merged"))
 
 
-def retries(stream: DataFrame, key: str = "path", ts: str = "ts") -> DataFrame:
-    """``path``, ``attempt``, ``status``, ``retry_at`` for a stream of failures (path, ts): attempts are counted in state."""
+def retries(stream: DataFrame, key: str = "path", ts: str = "ts", late: str = "0 seconds") -> DataFrame:
+    """``path``, ``attempt``, ``status``, ``retry_at`` for a stream of failures (path, ts): attempts are counted in state.
+
+    A failure gives ``RETRYING`` with the time of the next attempt, or ``FAILED_FATAL``. When the watermark reaches that time a
+    timer wakes the key and gives ``DUE``, unless another failure came first.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        attempt = state.get[0] if state.exists else 0
+        attempt, due = state.get if state.exists else (0, None)
+        if state.hasTimedOut:
+            state.update((attempt, None))
+            yield pd.DataFrame([(k[0], attempt, "DUE", pd.Timestamp(due, unit="us"))], columns=[key, "attempt", "status", "retry_at"])
+            return
         out = []
         for frame in frames:
             for at in sorted(frame[ts]):
@@ -52,11 +60,15 @@ def retries(stream: DataFrame, key: str = "path", ts: str = "ts") -> DataFrame:
                 wait = pd.Timedelta(seconds=BASE_SECONDS * 2 ** (min(attempt, MAX_ATTEMPTS) - 1))
                 fatal = attempt > MAX_ATTEMPTS
                 out.append((k[0], attempt, "FAILED_FATAL" if fatal else "RETRYING", pd.NaT if fatal else at + wait))
-        state.update((attempt,))
+        last = out[-1][3]
+        due = None if last is pd.NaT else int(last.value // 1000)
+        state.update((attempt, due))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "attempt", "status", "retry_at"])
 
-    rows = stream.select(F.col(key).cast("string").alias(key), F.col(ts).cast("timestamp").alias(ts))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, attempt int, status string, retry_at timestamp", "attempt int", "append", "NoTimeout")
+    rows = stream.select(F.col(key).cast("string").alias(key), F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, attempt int, status string, retry_at timestamp", "attempt int, due long", "append", "EventTimeTimeout")
 
 
 def collected(spark: SparkSession, stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
