@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..operators import curation as C
 from ..operators import graph as G
 from ..operators import validate as V
 from .fixtures import ALIASES, RAW, raw_predicates
@@ -90,12 +91,12 @@ def queue(spark, sf):
 
 @query(f"{QUEUE} SELECT * FROM failed ORDER BY occurrence_count DESC, name")
 def failed_predicate_queue(spark, sf):
-    return queue(spark, sf).orderBy(F.desc("occurrence_count"), "name")
+    return P.ordered_failed(queue(spark, sf))
 
 
 @query(f"{QUEUE} SELECT 'approve' AS action, name, CAST(NULL AS VARCHAR) AS target FROM failed WHERE occurrence_count >= 100")
 def auto_approve(spark, sf):
-    return G.auto_approve(queue(spark, sf), 100)
+    return C.auto_approve(queue(spark, sf), 100)
 
 
 @query(f"{QUEUE} SELECT name, predicate_group, coalesce((SELECT min(a.name) FROM active a WHERE a.predicate_group = failed.predicate_group), '') AS suggestion FROM failed")
@@ -120,31 +121,94 @@ def group_backfill(spark, sf):
     return P.backfill_groups(P.seed(spark).withColumn("predicate_group", blank))
 
 
-def actions(spark):
-    return spark.createDataFrame([("approve", "CLICK", None), ("map", "UNKNOWNVERB", "CONTAINS"), ("reject", "MAPPING", None)], "action string, name string, target string")
+def actions(spark, *rows):
+    rows = rows or (("approve", "CLICK", None), ("map", "UNKNOWNVERB", "CONTAINS"), ("reject", "MAPPING", None))
+    return spark.createDataFrame(list(rows), "action string, name string, target string")
 
 
 PENDING = f"{QUEUE}, pending AS (SELECT * FROM v WHERE outcome = 'queued')"
 
 
 def pending(spark, sf):
-    return V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).where("outcome = 'queued'")
+    rows = V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).where("outcome = 'queued'")
+    return rows.select("document_id", "seq", "predicate", "raw_text", F.col("subject_text").alias("subject"), F.col("object_text").alias("object"), F.concat(F.lit("run-"), "document_id").alias("ingestion_run_id"))
+
+
+def state(spark, sf, **more):
+    return C.State(P.seed(spark), aliases(spark), pending(spark, sf), **more)
 
 
 @query(f"{PENDING} SELECT seq, CASE upper(predicate) WHEN 'CLICK' THEN 'CLICK' ELSE 'CONTAINS' END AS predicate FROM pending WHERE upper(predicate) IN ('CLICK', 'UNKNOWNVERB')")
 def curation_promote(spark, sf):
-    return G.curate(pending(spark, sf), P.seed(spark), aliases(spark), actions(spark))["promoted"].select("seq", "predicate")
+    return C.curate(state(spark, sf), actions(spark))["promoted"].select("seq", "predicate")
 
 
-@query(f"{PENDING} SELECT predicate, count(*) AS n FROM pending WHERE upper(predicate) NOT IN ('CLICK', 'UNKNOWNVERB', 'MAPPING') GROUP BY 1")
+@query(f"{PENDING} SELECT predicate, count(*) AS n FROM pending WHERE upper(predicate) <> 'CLICK' GROUP BY 1")
 def curation_pending(spark, sf):
-    return G.curate(pending(spark, sf), P.seed(spark), aliases(spark), actions(spark))["pending"].groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+    """What nobody has decided about stays pending."""
+    return C.curate(state(spark, sf), actions(spark, ("approve", "click", None)))["pending"].groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{PENDING} SELECT predicate, count(*) AS n, 'pending' AS what FROM pending WHERE upper(predicate) <> 'UNKNOWNVERB' GROUP BY 1 UNION ALL SELECT name, occurrence_count, 'failed' FROM failed WHERE name <> 'UNKNOWNVERB'")
+def curation_reject(spark, sf):
+    out = C.curate(state(spark, sf, failed=queue(spark, sf)), actions(spark, ("reject", "UnknownVerb", None)))
+    left = out["pending"].groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("pending"))
+    return left.unionByName(out["failed"].select(F.col("name").alias("predicate"), F.col("occurrence_count").alias("n"), F.lit("failed").alias("what")))
+
+
+@query(f"{PENDING} SELECT seq, 'USES' AS predicate FROM pending WHERE upper(predicate) = 'CLICK'")
+def curation_conflict(spark, sf):
+    """Two actions for a name: the last holds, and nothing is promoted twice."""
+    both = spark.createDataFrame([(1, "approve", "CLICK", None), (2, "map", "click ", "uses"), (3, "map", "CLICK", " ")], "seq int, action string, name string, target string")
+    return C.curate(state(spark, sf), both)["promoted"].select("seq", "predicate")
 
 
-@query(f"WITH {ACTIVE_SQL}, {ALIASES_SQL} SELECT name AS key, predicate_group AS value FROM active UNION ALL SELECT 'CLICK', 'BUSINESS_RULES' UNION ALL SELECT source, target FROM aliases UNION ALL SELECT 'UNKNOWNVERB', 'CONTAINS'")
+@query(f"WITH {ACTIVE_SQL}, {ALIASES_SQL} SELECT name AS key, predicate_group AS value FROM active UNION ALL SELECT 'CLICK', 'BUSINESS_RULES' UNION ALL SELECT source, target FROM aliases WHERE source <> 'ENCLOSES' UNION ALL SELECT 'UNKNOWNVERB', 'CONTAINS' UNION ALL SELECT 'ENCLOSES', 'HOLDS'")
 def curation_taxonomy(spark, sf):
-    state = G.curate(pending(spark, sf), P.seed(spark), aliases(spark), actions(spark))
-    return state["active"].select(F.col("name").alias("key"), F.col("predicate_group").alias("value")).union(state["aliases"].select("source", "target"))
+    """An alias that is mapped again replaces the older one."""
+    out = C.curate(state(spark, sf), actions(spark, ("approve", "CLICK", None), ("map", "UNKNOWNVERB", "CONTAINS"), ("map", "ENCLOSES", "HOLDS")))
+    return out["active"].select(F.col("name").alias("key"), F.col("predicate_group").alias("value")).union(out["aliases"].select("source", "target"))
+
+
+#: Promoted assertions in SQL: one for each document and semantic checksum, unless it was accepted before.
+PROMOTED = f"""{PENDING}, p AS (SELECT document_id, seq, subject_text AS subject, CASE upper(predicate) WHEN 'CLICK' THEN 'CLICK' ELSE 'CONTAINS' END AS predicate, object_text AS object FROM pending JOIN raw USING (document_id, seq, predicate)),
+pc AS (SELECT *, sha256(upper(subject) || '|' || predicate || '|' || upper(object)) AS c FROM p),
+ok AS (SELECT DISTINCT v.document_id, sha256(upper(subject_text) || '|' || resolved || '|' || upper(object_text)) AS c FROM v JOIN raw USING (document_id, seq, predicate) WHERE outcome IN ('accepted', 'collapsed')),
+new AS (SELECT DISTINCT document_id, subject, predicate, object, c FROM pc WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.document_id = pc.document_id AND ok.c = pc.c))"""
+
+
+def accepted(spark, sf):
+    rows = V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).where("outcome in ('accepted', 'collapsed')")
+    facts = rows.select("document_id", "seq", F.col("subject_text").alias("subject"), F.col("resolved").alias("predicate"), F.col("object_text").alias("object"), "raw_text", F.concat(F.lit("run-"), "document_id").alias("ingestion_run_id"))
+    return G.identify(facts).dropDuplicates(["document_id", "semantic_checksum"])
+
+
+@query(f"{PROMOTED} SELECT document_id, (SELECT count(*) FROM ok WHERE ok.document_id = d.document_id) + (SELECT count(*) FROM new WHERE new.document_id = d.document_id) AS total_assertions FROM (SELECT DISTINCT document_id FROM raw) d")
+def curation_counts(spark, sf):
+    """What is promoted counts for its document."""
+    known = accepted(spark, sf)
+    docs = raw_predicates(spark, sf).select("document_id").distinct().join(known.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_assertions")), "document_id", "left")
+    out = C.curate(state(spark, sf, assertions=known, documents=docs), actions(spark))
+    return out["documents"].select("document_id", "total_assertions")
+
+
+@query(f"{PROMOTED}, e AS (SELECT DISTINCT sha256(lower(regexp_replace(subject, '[\\s_-]+', '', 'g'))) AS s, predicate, sha256(lower(regexp_replace(object, '[\\s_-]+', '', 'g'))) AS o FROM new WHERE predicate = 'CLICK') SELECT sha256(s || predicate || o) AS edge_id FROM e".replace("\\\\", "\\"))
+def curation_rebuild(spark, sf):
+    """The graph after a predicate is approved: the runs of what was promoted are built again."""
+    known = accepted(spark, sf)
+    out = C.curate(state(spark, sf, assertions=known), actions(spark))
+    rows = G.identify(out["assertions"])
+    graph = C.rebuild(rows, out["runs"], {"nodes": G.nodes(known), "edges": G.edges(known)})
+    return graph["edges"].where("predicate = 'CLICK'").select("edge_id")
+
+
+@query(f"{QUEUE} SELECT name, occurrence_count * 2 AS occurrence_count, last_seen_document, sample_raw_text, 2 AS updated_at FROM failed UNION ALL SELECT 'OLDVERB', 7, 'docX', 'an old sample', 1")
+def failed_queue_merge(spark, sf):
+    """Two rounds of findings and an older entry."""
+    new = queue(spark, sf)
+    old = spark.createDataFrame([("OLDVERB", 7, "docX", "an old sample", "BUSINESS_RULES", 1)], "name string, occurrence_count long, last_seen_document string, sample_raw_text string, predicate_group string, updated_at int")
+    first = P.merge_failed(old, new.withColumn("last_seen_document", F.lit("before")).withColumn("updated_at", F.lit(1)))
+    return P.merge_failed(first, new.withColumn("updated_at", F.lit(2))).drop("predicate_group")
 
 
 @query("SELECT a.n AS a, b.n AS b, CAST(levenshtein(a.n, b.n) AS INT) AS distance FROM (SELECT DISTINCT p_brand AS n FROM part) a, (SELECT DISTINCT event_type AS n FROM events) b")

@@ -1,15 +1,30 @@
-"""Graph build, retrieval, traces and deletion."""
+"""Graph build, retrieval, traces and deletion.
+
+Questions are asked of a search index of the facts, which the first of them builds and the others of an application share.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import curation as C
 from ..operators import graph as G
+from ..operators import index as I
 from ..operators import retrieve as R
+from ..session import scratch
 from .fixtures import FACTS, assertions, facts
 from .registry import query
 
+_INDEXES: dict[tuple[str, str], I.SearchIndex] = {}
+
+
+def index(spark, sf) -> I.SearchIndex:
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = I.build(assertions(spark, sf), scratch(spark, "index"))
+    return _INDEXES[key]
+
 TEXT = "Supplier_3 provides Part_7"
 NODE_SQL = "sha256('supplier3')"
 
@@ -31,6 +46,12 @@ hits AS (SELECT assertion_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf
 seeds AS (SELECT * FROM hits {limit})"""
 
 
+@query(with_facts(", tok AS (SELECT row_number() OVER () AS r, assertion_id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}_]+') AS w FROM assertions), e AS (SELECT r, assertion_id, len(w) AS dl, unnest(w) AS term FROM tok) SELECT term, assertion_id, CAST(count(*) AS INT) AS tf, CAST(dl AS INT) AS dl FROM e GROUP BY r, term, assertion_id, dl"))
+def search_postings(spark, sf):
+    """Builds the index, if no query before has."""
+    return index(spark, sf).postings().select("term", "assertion_id", "tf", "dl")
+
+
 def graph_sql(depth: int) -> str:
     """``query_graph`` in SQL, hop by hop."""
     parts = ["n0 AS (SELECT DISTINCT node_id FROM ends JOIN seeds USING (assertion_id))", "seen0 AS (SELECT node_id, 0 AS hop FROM n0)"]
@@ -46,22 +67,53 @@ SELECT assertion_id, raw_text, CAST(depth AS INT) AS depth, round(bm25_score, 6)
 
 @query(with_facts("SELECT assertion_id, round(bm25_score, 6) AS bm25_score FROM (SELECT * FROM seeds)").replace(" SELECT assertion_id, round", bm25_sql(20) + " SELECT assertion_id, round", 1))
 def bm25_topk(spark, sf):
-    return R.bm25(assertions(spark, sf), TEXT).select("assertion_id", F.round("bm25_score", 6).alias("bm25_score"))
+    return R.bm25(index(spark, sf), TEXT).select("assertion_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @query(f"WITH {FACTS} {graph_sql(0)}")
 def query_graph_d0(spark, sf):
-    return R.query_graph(assertions(spark, sf), TEXT, 0)
+    return R.query_graph(index(spark, sf), TEXT, 0)
 
 
 @query(f"WITH {FACTS} {graph_sql(1)}")
 def query_graph_d1(spark, sf):
-    return R.query_graph(assertions(spark, sf), TEXT, 1)
+    return R.query_graph(index(spark, sf), TEXT, 1)
 
 
 @query(f"WITH {FACTS} {graph_sql(2)}")
 def query_graph_d2(spark, sf):
-    return R.query_graph(assertions(spark, sf), TEXT, 2)
+    return R.query_graph(index(spark, sf), TEXT, 2)
+
+
+def capped_sql(cap: int, edge_cap: int) -> str:
+    """``query_graph`` of depth 2 in SQL with at most so many assertions and edges a hop, smallest identifiers first."""
+    parts = ["n0 AS (SELECT DISTINCT node_id FROM ends JOIN seeds USING (assertion_id))", "seen0 AS (SELECT node_id, 0 AS hop FROM n0)"]
+    for d in (1, 2):
+        parts.append(f"e{d} AS (SELECT DISTINCT edge_id FROM links JOIN n{d - 1} ON a = node_id ORDER BY edge_id LIMIT {edge_cap})")
+        parts.append(f"n{d} AS (SELECT DISTINCT b AS node_id FROM links JOIN n{d - 1} ON a = node_id WHERE edge_id IN (SELECT edge_id FROM e{d}) AND b NOT IN (SELECT node_id FROM seen{d - 1}))")
+        parts.append(f"seen{d} AS (SELECT * FROM seen{d - 1} UNION ALL SELECT node_id, {d} FROM n{d})")
+    return f"""{bm25_sql(20)}, {', '.join(parts)},
+t0 AS (SELECT assertion_id, min(hop) AS depth FROM ends JOIN seen2 USING (node_id) WHERE hop > 0 AND assertion_id NOT IN (SELECT assertion_id FROM seeds) GROUP BY 1),
+touched AS (SELECT assertion_id, depth FROM t0 QUALIFY row_number() OVER (PARTITION BY depth ORDER BY assertion_id) <= {cap})
+SELECT assertion_id, CAST(depth AS INT) AS depth FROM (SELECT assertion_id, 0 AS depth FROM seeds UNION ALL SELECT * FROM touched)"""
+
+
+@query(f"WITH {FACTS} {capped_sql(50, 7)}")
+def query_graph_capped(spark, sf):
+    return R.query_graph(index(spark, sf), TEXT, 2, cap=50, edge_cap=7).select("assertion_id", "depth")
+
+
+LIVE = "live AS (SELECT * FROM assertions WHERE document_id <> 'provides'), lends AS (SELECT assertion_id, subject_node_id AS node_id FROM live UNION SELECT assertion_id, object_node_id FROM live), llinks AS (SELECT DISTINCT subject_node_id AS a, object_node_id AS b FROM live UNION SELECT object_node_id, subject_node_id FROM live)"
+
+
+@query(f"""WITH {FACTS} {bm25_sql(None)}, {LIVE}, top AS (SELECT hits.* FROM hits JOIN live USING (assertion_id) ORDER BY round(bm25_score, 9) DESC, assertion_id LIMIT 20),
+n0 AS (SELECT DISTINCT node_id FROM lends JOIN top USING (assertion_id)), n1 AS (SELECT DISTINCT b AS node_id FROM llinks JOIN n0 ON a = node_id WHERE b NOT IN (SELECT node_id FROM n0)),
+t AS (SELECT DISTINCT assertion_id FROM lends JOIN n1 USING (node_id) WHERE assertion_id NOT IN (SELECT assertion_id FROM top))
+SELECT assertion_id, 0 AS depth, round(bm25_score, 6) AS bm25_score FROM top UNION ALL SELECT assertion_id, 1, 0.0 FROM t""")
+def query_graph_deleted(spark, sf):
+    """Assertions of a deleted document are not found, and links that only they support are not followed."""
+    deleted = spark.createDataFrame([("provides",)], "document_id string")
+    return R.query_graph(index(spark, sf), TEXT, 1, deleted=deleted).select("assertion_id", "depth", "bm25_score")
 
 
 NAMES = ", w AS (SELECT document_id, seq, 0 AS side, subject AS name, subject_node_id AS node_id FROM assertions UNION ALL SELECT document_id, seq, 1, object, object_node_id FROM assertions)"
@@ -77,9 +129,13 @@ def graph_edges(spark, sf):
     return G.edges(assertions(spark, sf))
 
 
-@query(with_facts("SELECT assertion_id, subject_node_id, object_node_id, edge_id, semantic_checksum FROM assertions"))
+@query(f"WITH {FACTS} {NAMES}, n AS (SELECT node_id, arg_max(name, (document_id, seq, side)) AS name FROM w GROUP BY node_id) SELECT assertion_id, s.name AS subject_name, o.name AS object_name, edge_id FROM assertions JOIN n s ON subject_node_id = s.node_id JOIN n o ON object_node_id = o.node_id")
 def graph_backlinks(spark, sf):
-    return assertions(spark, sf).select("assertion_id", "subject_node_id", "object_node_id", "edge_id", "semantic_checksum")
+    """The names that nodes have, found from their assertions: identifiers are hashes, so a back-link is a projection."""
+    rows, names = assertions(spark, sf), G.nodes(assertions(spark, sf)).select("node_id", "canonical_name")
+    subject = names.select(F.col("node_id").alias("subject_node_id"), F.col("canonical_name").alias("subject_name"))
+    obj = names.select(F.col("node_id").alias("object_node_id"), F.col("canonical_name").alias("object_name"))
+    return rows.join(subject, "subject_node_id").join(obj, "object_node_id").select("assertion_id", "subject_name", "object_name", "edge_id")
 
 
 @query(with_facts("SELECT DISTINCT sha256(regexp_replace(lower(CASE seq % 3 WHEN 0 THEN upper(subject) WHEN 1 THEN replace(subject, '_', ' - ') ELSE subject END), '[\\s_-]+', '', 'g')) AS node_id FROM facts"))
@@ -88,11 +144,18 @@ def entity_merge(spark, sf):
     return facts(spark, sf).select(T.node_id(name).alias("node_id")).distinct()
 
 
-@query(with_facts("SELECT edge_id, document_id FROM (SELECT edge_id, document_id FROM edges WHERE document_id <> 'provides') UNION ALL SELECT edge_id, document_id FROM edges WHERE document_id = 'provides'"))
+@query(with_facts(", old AS (SELECT edge_id, arg_min(document_id, (document_id, seq)) AS document_id, count(*) AS support FROM assertions WHERE seq % 3 <> 0 GROUP BY edge_id) SELECT * FROM old UNION ALL SELECT edge_id, document_id, support FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM old)"))
 def graph_merge(spark, sf):
-    """Building again over an existing graph adds what it lacks and nothing else."""
-    built = G.edges(assertions(spark, sf))
-    return G.merge(built.where("document_id != 'provides'"), built, "edge_id").select("edge_id", "document_id")
+    """Building over an existing graph adds what it lacks and leaves the rest as it was."""
+    rows = assertions(spark, sf)
+    return G.merge(G.edges(rows.where("seq % 3 != 0")), G.edges(rows), "edge_id").select("edge_id", "document_id", "support")
+
+
+@query(with_facts(", old AS (SELECT subject_node_id AS n FROM assertions WHERE seq % 3 <> 0 UNION SELECT object_node_id FROM assertions WHERE seq % 3 <> 0) SELECT node_id, node_id IN (SELECT n FROM old) AS known FROM (SELECT DISTINCT node_id FROM ends)"))
+def graph_merge_nodes(spark, sf):
+    rows = assertions(spark, sf)
+    old = G.nodes(rows.where("seq % 3 != 0")).withColumn("known", F.lit(True))
+    return G.merge(old, G.nodes(rows), "node_id").select("node_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query(with_facts("SELECT a AS node_id, count(*) AS degree FROM links GROUP BY a"))
@@ -113,37 +176,74 @@ def root(spark, name: str = "Supplier_3") -> str:
 @query(f"WITH {FACTS} {BFS} SELECT node_id, CAST(hop AS INT) AS hop FROM seen3")
 def node_neighbours(spark, sf):
     start = spark.range(1).select(T.node_id(F.lit("Supplier_3")).alias("node_id"))
-    return R.neighbours(G.edges(assertions(spark, sf)), start, 3)
+    return R.neighbours(index(spark, sf), start, 3)
+
 
+EDGES_SEEN = "se AS (SELECT edge_id, min(hop) + 1 AS hop FROM links JOIN seen1 ON a = node_id GROUP BY edge_id)"
+
+
+@query(f"WITH {FACTS} {BFS}, {EDGES_SEEN} SELECT 'node' AS kind, node_id AS id, NULL AS from_node_id, NULL AS to_node_id, CAST(hop AS INT) AS hop FROM seen2 WHERE hop > 0 UNION ALL SELECT 'edge', edge_id, from_node_id, to_node_id, CAST(hop AS INT) FROM se JOIN edges USING (edge_id)")
+def node_neighbourhood(spark, sf):
+    return R.neighbourhood(index(spark, sf), root(spark), 2)
+
+
+@query(f"""WITH {FACTS} {BFS}, se AS (SELECT DISTINCT edge_id FROM links JOIN n0 ON a = node_id)
+SELECT 0 AS at, '' AS key, 'NODES (' || count(*) || '): ' || string_agg(node_id, ', ' ORDER BY node_id) AS line FROM n1
+UNION ALL SELECT 1, '', 'EDGES (' || count(*) || '):' FROM se UNION ALL SELECT 2, edge_id, '  ' || edge_id || ' [' || from_node_id || '->' || to_node_id || ']' FROM se JOIN edges USING (edge_id)""")
+def tool_neighbours(spark, sf):
+    return R.render_neighbourhood(R.neighbourhood(index(spark, sf), root(spark), 1, R.HOP_CAP * 100))
 
 @query(f"WITH {FACTS} {BFS} SELECT edge_id, from_node_id, to_node_id FROM edges WHERE from_node_id IN (SELECT node_id FROM seen2) AND to_node_id IN (SELECT node_id FROM seen2)")
 def level_subgraph(spark, sf):
-    return R.subgraph(G.edges(assertions(spark, sf)), root(spark), 2).select("edge_id", "from_node_id", "to_node_id")
+    return R.subgraph(index(spark, sf), root(spark), 2)
 
 
 @query(with_facts(f"SELECT DISTINCT edge_id, b AS node_id FROM links WHERE a = {NODE_SQL}"))
 def highlight_node(spark, sf):
-    return G.undirected(G.edges(assertions(spark, sf))).where(F.col("a") == root(spark)).select("edge_id", F.col("b").alias("node_id")).distinct()
+    wanted = spark.createDataFrame([(root(spark),)], "node_id string")
+    return index(spark, sf).links(wanted).select("edge_id", F.col("b").alias("node_id")).distinct()
+
 
+@query(with_facts("SELECT sha256('supplier3') AS node_id UNION SELECT sha256('part7')"))
+def highlight_edge(spark, sf):
+    edge = spark.range(1).select(T.edge_id(T.node_id(F.lit("Supplier_3")), F.lit("PROVIDES"), T.node_id(F.lit("Part_7")))).first()[0]
+    known = spark.createDataFrame([(edge, root(spark), root(spark, "Part_7"))], "edge_id string, from_node_id string, to_node_id string")
+    return G.edge_ends(G.edges(assertions(spark, sf)).select(*known.columns).unionByName(known).distinct(), edge).distinct()
 
-SEED_SQL = "(SELECT assertion_id FROM assertions WHERE document_id = 'resides' AND seq = 1)"
+
+SEED_SQL = "document_id = 'resides' AND seq = 1"
 
 
 def seed_id(spark, sf) -> str:
     return assertions(spark, sf).where("document_id = 'resides' and seq = 1").first()["assertion_id"]
 
 
-@query(with_facts(f""", s AS (SELECT assertion_id AS id FROM assertions WHERE assertion_id = {SEED_SQL}), sn AS (SELECT DISTINCT node_id AS id FROM ends JOIN s ON assertion_id = s.id),
+@query(with_facts(f""", s AS (SELECT assertion_id AS id FROM assertions WHERE {SEED_SQL}), sn AS (SELECT DISTINCT node_id AS id FROM ends JOIN s ON assertion_id = s.id),
 adj AS (SELECT edge_id, b FROM links WHERE a IN (SELECT id FROM sn)), nb AS (SELECT DISTINCT b AS id FROM adj WHERE b NOT IN (SELECT id FROM sn))
 SELECT 'seed' AS kind, id FROM s UNION ALL SELECT 'seed_node', id FROM sn UNION ALL SELECT DISTINCT 'edge', edge_id FROM adj UNION ALL SELECT 'neighbour', id FROM nb
 UNION ALL SELECT DISTINCT 'related', assertion_id FROM ends WHERE node_id IN (SELECT id FROM nb) AND assertion_id NOT IN (SELECT id FROM s)"""))
 def explain_path(spark, sf):
-    return R.explain(assertions(spark, sf), seed_id(spark, sf))
+    return R.explain(index(spark, sf), seed_id(spark, sf))
 
 
-@query(with_facts(f"SELECT assertion_id, document_id, subject, predicate, object, raw_text, subject_node_id, object_node_id, semantic_checksum FROM assertions WHERE assertion_id = {SEED_SQL}"))
+@query(with_facts(f"SELECT assertion_id, document_id, subject, predicate, object, raw_text, subject_node_id, object_node_id, semantic_checksum FROM assertions WHERE {SEED_SQL}"))
 def assertion_lookup(spark, sf):
-    return R.lookup(assertions(spark, sf), seed_id(spark, sf))
+    return R.lookup(index(spark, sf), seed_id(spark, sf))
+
+
+@query(with_facts(f"SELECT subject || ' | ' || predicate || ' | ' || object || ' | ' || raw_text || ' | doc: ' || document_id AS line FROM assertions WHERE {SEED_SQL}"))
+def tool_assertion(spark, sf):
+    return R.render_assertion(R.lookup(index(spark, sf), seed_id(spark, sf)))
+
+
+@query(with_facts(f""", s AS (SELECT * FROM assertions WHERE {SEED_SQL}), sn AS (SELECT DISTINCT node_id AS id FROM ends JOIN s USING (assertion_id)),
+adj AS (SELECT edge_id, b FROM links WHERE a IN (SELECT id FROM sn)), nb AS (SELECT DISTINCT b AS id FROM adj WHERE b NOT IN (SELECT id FROM sn)),
+rel AS (SELECT DISTINCT assertion_id FROM ends WHERE node_id IN (SELECT id FROM nb) AND assertion_id NOT IN (SELECT assertion_id FROM s))
+SELECT 0 AS at, '' AS key, 'SEED: ' || subject || ' | ' || predicate || ' | ' || object AS line FROM s UNION ALL SELECT 1, '', 'TEXT: ' || raw_text FROM s
+UNION ALL SELECT 2, '', 'SEED_NODES: ' || string_agg(id, ', ' ORDER BY id) FROM sn UNION ALL SELECT 3, '', 'EDGES (' || count(*) || '): ' || string_agg(edge_id, ', ' ORDER BY edge_id) FROM (SELECT DISTINCT edge_id FROM adj)
+UNION ALL SELECT 4, '', 'NEIGHBORS (' || count(*) || '): ' || string_agg(id, ', ' ORDER BY id) FROM nb UNION ALL SELECT 5, '', 'RELATED (' || count(*) || '):' FROM rel UNION ALL SELECT 6, assertion_id, '  ' || raw_text FROM rel JOIN assertions USING (assertion_id)"""))
+def tool_explain(spark, sf):
+    return R.render_explanation(index(spark, sf), seed_id(spark, sf), None)
 
 
 def documents(spark):
@@ -169,6 +269,36 @@ def graph_export_project(spark, sf):
     return G.export(assertions(spark, sf), documents(spark), "shop")[1].select("edge_id", "from_node_id", "to_node_id", "support")
 
 
+@query(with_facts(f", x AS (SELECT * FROM assertions WHERE document_id IN ('submits', 'resides')), w AS (SELECT document_id, seq, 0 AS side, subject AS name, subject_node_id AS node_id FROM x UNION ALL SELECT document_id, seq, 1, object, object_node_id FROM x) SELECT node_id, arg_max(name, (document_id, seq, side)) AS canonical_name FROM w GROUP BY node_id"))
+def graph_export_nodes(spark, sf):
+    """The nodes of an export are the ends of its links."""
+    return G.export(assertions(spark, sf), documents(spark), "shop")[0].select("node_id", "canonical_name")
+
+
+@query(with_facts("SELECT edge_id, CAST(count(*) AS BIGINT) AS support FROM assertions WHERE document_id = 'provides' OR (document_id = 'contains' AND seq % 7 = 0) GROUP BY edge_id"))
+def graph_export_run(spark, sf):
+    """A project's edges: by its documents' runs, or by the root that an assertion itself has."""
+    rows = assertions(spark, sf).withColumn("project_root", F.when((F.col("document_id") == "contains") & (F.col("seq") % 7 == 0), "supply").when(F.col("document_id") == "provides", "supply"))
+    return G.export(rows, documents(spark), "supply")[1].select("edge_id", "support")
+
+
+@query(with_facts("SELECT d.document_id, CASE WHEN n IS NULL THEN 'DISCOVERED' ELSE 'QUERYABLE' END AS status, n AS indexed_assertions, e AS indexed_edges FROM (VALUES ('submits'), ('provides'), ('resides')) d(document_id) LEFT JOIN (SELECT document_id, count(*) AS n, count(DISTINCT edge_id) AS e FROM assertions WHERE document_id IN ('resides', 'contains') GROUP BY 1) c USING (document_id)"))
+def graph_run_status(spark, sf):
+    """The graph of one run: its documents become queryable and get their counters."""
+    rows = assertions(spark, sf).withColumn("ingestion_run_id", F.when(F.col("document_id").isin("resides", "contains"), "run-1").otherwise("run-2"))
+    docs = documents(spark).select("document_id", F.lit("DISCOVERED").alias("status"))
+    return G.built(docs, G.build_run(rows, "run-1")["counts"]).select("document_id", "status", "indexed_assertions", "indexed_edges")
+
+
+@query(with_facts(", x AS (SELECT *, seq % 2 AS r FROM assertions WHERE document_id = 'resides'), old AS (SELECT DISTINCT edge_id FROM assertions WHERE document_id IN ('part', 'submits')) SELECT edge_id FROM old UNION SELECT edge_id FROM x WHERE r = 1"))
+def graph_rebuild_document(spark, sf):
+    """A document's latest run is built again into a graph that has other documents only."""
+    rows = assertions(spark, sf).withColumn("ingestion_run_id", F.concat_ws("-", "document_id", (F.col("seq") % 2).cast("string")))
+    old = rows.where("document_id in ('part', 'submits')")
+    runs = spark.createDataFrame([("resides-0", "resides", 1), ("resides-1", "resides", 2), ("contains-0", "contains", 3)], "ingestion_run_id string, document_id string, created_at int")
+    return G.rebuild_document(rows, runs, "resides", {"nodes": G.nodes(old), "edges": G.edges(old)})["edges"].select("edge_id")
+
+
 @query(with_facts("SELECT document_id, count(*) AS n FROM assertions WHERE document_id NOT IN ('provides') GROUP BY 1"))
 def soft_delete_visibility(spark, sf):
     """A document deleted an hour ago is hidden; one deleted longer ago than the cache keeps is not."""
@@ -182,6 +312,21 @@ def document_cascade_delete(spark, sf):
     return G.delete_document(assertions(spark, sf), "provides")["orphan_edges"]
 
 
+@query(with_facts(", left_ AS (SELECT * FROM assertions WHERE document_id <> 'provides'), le AS (SELECT subject_node_id AS n FROM left_ UNION SELECT object_node_id FROM left_) SELECT 'assertions' AS name, count(*) AS n FROM left_ UNION ALL SELECT 'documents', 2 UNION ALL SELECT 'runs', 2 UNION ALL SELECT 'chunks', 3 UNION ALL SELECT 'pending', 1 UNION ALL SELECT 'edges', count(DISTINCT edge_id) FROM left_ UNION ALL SELECT 'nodes', count(*) FROM le UNION ALL SELECT 'orphan_nodes', count(*) FROM (SELECT DISTINCT node_id FROM ends WHERE node_id NOT IN (SELECT n FROM le))"))
+def document_delete_tables(spark, sf):
+    """What a hard delete leaves in each table."""
+    rows = assertions(spark, sf)
+    few = lambda *ids: spark.createDataFrame([(i,) for i in ids], "document_id string")
+    tables = {"assertions": rows, "documents": documents(spark), "runs": few("submits", "provides", "provides", "resides"), "chunks": few("submits", "submits", "provides", "resides"), "pending": few("provides", "resides"), "nodes": G.nodes(rows), "edges": G.edges(rows)}
+    out = G.hard_delete(tables, few("provides", "provides"))
+    del out["orphan_edges"]
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in out.items()]
+    result = counts[0]
+    for c in counts[1:]:
+        result = result.unionByName(c)
+    return result
+
+
 @query(with_facts("SELECT DISTINCT node_id FROM ends JOIN assertions USING (assertion_id) WHERE document_id = 'submits' AND node_id NOT IN (SELECT node_id FROM ends JOIN assertions USING (assertion_id) WHERE document_id <> 'submits')"))
 def orphan_nodes(spark, sf):
     return G.delete_document(assertions(spark, sf), "submits")["orphan_nodes"]
@@ -191,12 +336,12 @@ def orphan_nodes(spark, sf):
 def curation_revoke(spark, sf):
     from ..functions.predicates import seed
 
-    return G.revoke(assertions(spark, sf), seed(spark), "part_of")["orphan_nodes"]
+    return C.revoke(assertions(spark, sf), seed(spark), "part_of")["orphan_nodes"]
 
 
 @query(f"WITH {FACTS} {graph_sql(1).replace('SELECT assertion_id, raw_text, CAST', 'SELECT printf(chr(37) || chr(46) || chr(49) || chr(102), round(final_score, 1)) || chr(124) || depth || chr(124) || raw_text AS line FROM (SELECT assertion_id, raw_text, CAST', 1)})")
 def tool_lines(spark, sf):
-    return R.render_hits(R.query_graph(assertions(spark, sf), TEXT, 1))
+    return R.render_hits(R.query_graph(index(spark, sf), TEXT, 1))
 
 
 @query(with_facts("SELECT predicate, count(*) AS n, count(DISTINCT edge_id) AS n_edges FROM assertions GROUP BY predicate"))
@@ -215,7 +360,7 @@ def deletion_sweep(spark, sf):
     docs = documents(spark).withColumn("marked_for_deletion_at", F.lit(None).cast("timestamp_ntz"))
     at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
     docs = G.restore(G.mark_deleted(docs, ["provides", "submits"], at), ["submits"])
-    return G.sweep(docs, assertions(spark, sf), F.to_timestamp_ntz(F.lit("2024-01-01 00:05:01")))["orphan_edges"]
+    return G.sweep({"documents": docs, "assertions": assertions(spark, sf)}, F.to_timestamp_ntz(F.lit("2024-01-01 00:05:01")))["orphan_edges"]
 
 
 @query(with_facts(", g AS (SELECT DISTINCT edge_id, predicate FROM assertions) SELECT predicate, count(*) AS n FROM g WHERE edge_id IN (SELECT edge_id FROM assertions WHERE subject_node_id = sha256('customer7') UNION SELECT edge_id FROM assertions WHERE object_node_id = sha256('customer7')) GROUP BY predicate"))

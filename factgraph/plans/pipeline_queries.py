@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import markdown as M
 from ..operators import metrics as X
 from ..operators import versions as V
-from ..session import shared_root, table
+from ..session import scratch, table
 from ..streaming import jobs
 from .fixtures import CHUNK_VERSIONS, MD_DOCS, STATES, chunk_versions, md_docs, states
 from .registry import query
@@ -36,6 +35,25 @@ def doc_versions(spark, sf):
     return V.versions(table(spark, sf, "documents").select(path.alias("path"), F.col("doc_id").alias("seq"), "text"))
 
 
+@query("""WITH e AS (SELECT '/src/' || source || '.md' AS path, doc_id AS seq, sha256(text) AS checksum FROM documents),
+c AS (SELECT *, lag(checksum) OVER (PARTITION BY path ORDER BY seq) AS before FROM e),
+v AS (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY seq) AS version, count(*) OVER (PARTITION BY path) AS n FROM c WHERE before IS DISTINCT FROM checksum)
+SELECT sha256(path || '|' || version) AS ingestion_run_id, path AS document_id, CASE WHEN version < n THEN 'SUPERSEDED' WHEN path < '/src/src2' THEN 'COMPLETED' ELSE 'STARTED' END AS run_status, seq AS created_at FROM v""")
+def document_runs(spark, sf):
+    """A run for each version of a path; the last one's status follows from the document's."""
+    rows = V.versions(table(spark, sf, "documents").select(F.concat(F.lit("/src/"), "source", F.lit(".md")).alias("path"), F.col("doc_id").alias("seq"), "text"))
+    states_ = rows.select("path").distinct().withColumn("status", F.when(F.col("path") < "/src/src2", "QUERYABLE").otherwise("RETRYING"))
+    return V.runs(rows, states_).select("ingestion_run_id", "document_id", "run_status", "created_at")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.source = d.source AND o.text = d.text)")
+def skip_queryable(spark, sf):
+    """Files whose path is queryable with the same checksum are left alone."""
+    files = table(spark, sf, "documents").select("doc_id", F.col("source").alias("path"), F.sha2("text", 256).alias("checksum"))
+    known = files.select("path", "checksum", F.when(F.col("doc_id") % 3 == 0, "QUERYABLE").otherwise("RETRYING").alias("status"))
+    return V.skip_unchanged(files, known).select("doc_id")
+
+
 @query("SELECT doc_id, 'v' || lpad(CAST(doc_id % 90 + 1 AS VARCHAR), 5, '0') || '-' || left(sha256(text), 8) AS tag FROM documents")
 def version_tag(spark, sf):
     d = table(spark, sf, "documents")
@@ -82,11 +100,11 @@ def carry_forward(spark, sf):
     return V.carry_forward(chunks, old)
 
 
-@query("""WITH r AS (SELECT source AS document_id, 1 AS version, sha256(left(text, 20)) AS semantic_checksum, doc_id AS seq FROM documents),
+@query("""WITH r AS (SELECT source AS document_id, 1 AS version, sha256(text) AS semantic_checksum, doc_id AS seq FROM documents),
 x AS (SELECT DISTINCT document_id, version, semantic_checksum FROM r WHERE seq % 10 = 0)
 SELECT document_id, version, semantic_checksum, min(seq) AS seq FROM r WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.document_id = r.document_id AND x.semantic_checksum = r.semantic_checksum) GROUP BY ALL""")
 def assertion_dedup(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.lit(1).alias("version"), F.sha2(F.substring("text", 1, 20), 256).alias("semantic_checksum"), F.col("doc_id").alias("seq"))
+    rows = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.lit(1).alias("version"), F.sha2("text", 256).alias("semantic_checksum"), F.col("doc_id").alias("seq"))
     return V.new_assertions(rows, rows.where("seq % 10 = 0"))
 
 
@@ -107,6 +125,13 @@ def rate_window(spark, sf):
     return V.rate_window(table(spark, sf, "events"), "event_type").select("event_id", "in_window", "allowed")
 
 
+@query("""WITH r AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events),
+c AS (SELECT *, n % 15 AS chain, n // 15 AS k FROM r)
+SELECT event_id, make_timestamp(max(t - k * 60001000) OVER (PARTITION BY event_type, chain ORDER BY k) + k * 60001000) AS admitted_at FROM c""")
+def rate_schedule(spark, sf):
+    return V.admitted(table(spark, sf, "events"), "event_type").select("event_id", "admitted_at")
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id, ts FROM events), a(user_id, ts) AS (
   SELECT user_id, min(ts) FROM e GROUP BY user_id
   UNION ALL SELECT a.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 168 HOURS) FROM a WHERE a.ts IS NOT NULL)
@@ -131,10 +156,10 @@ def retry_schedule(spark, sf):
     return X.schedule_retries(states(spark, sf), now()).select("path", "retry_count", "next_status", "next_retry_at")
 
 
-@query(f"WITH {STATES} SELECT path FROM states WHERE status = 'RETRYING' AND updated_at <= TIMESTAMP '2024-01-15 00:00:00'")
+@query(f"WITH {STATES} SELECT path FROM states WHERE status = 'RETRYING' AND updated_at <= TIMESTAMP '2024-01-30 12:00:00'")
 def retry_due(spark, sf):
     rows = states(spark, sf).withColumn("next_retry_at", F.col("updated_at"))
-    return X.due(rows, F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))).select("path")
+    return X.due(rows, F.to_timestamp_ntz(F.lit("2024-01-30 12:00:00"))).select("path")
 
 
 @query(f"WITH {STATES} SELECT path, status, CASE WHEN status = 'QUERYABLE' THEN 'NONE' WHEN status = 'RETRYING' THEN CASE WHEN current_stage = 'CHUNKING' THEN 'CHUNKING' ELSE 'ASSERTIONS' END WHEN status = 'DISCOVERED' THEN 'CHUNKING' WHEN total_chunks > 0 THEN 'ASSERTIONS' ELSE 'CHUNKING' END AS next_stage FROM states")
@@ -148,6 +173,17 @@ def stale_workers(spark, sf):
     return X.stale_workers(e.select(F.col("user_id").alias("worker_id"), "ts"), F.lit(e.agg(F.max("ts")).first()[0]))
 
 
+@query("WITH b AS (SELECT 'w' || user_id AS worker_id, max(ts) AS last_beat FROM events GROUP BY 1), n AS (SELECT max(ts) AS t FROM events) SELECT worker_id, last_beat FROM b, n WHERE epoch_us(t) - epoch_us(last_beat) <= 3600000000")
+def live_workers(spark, sf):
+    e = table(spark, sf, "events")
+    return X.workers(e.select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker_id"), "ts"), F.lit(e.agg(F.max("ts")).first()[0]), 3600)
+
+
+@query(f"WITH {STATES} SELECT path, retry_count + 1 AS retry_count, CASE WHEN retry_count < 5 THEN 'RETRYING' ELSE 'FAILED_FATAL' END AS status, CASE WHEN retry_count < 5 THEN total_chunks ELSE 0 END AS total_chunks FROM states")
+def failed_states(spark, sf):
+    return X.failed_states(states(spark, sf), now()).select("path", "retry_count", "status", "total_chunks")
+
+
 @query(" UNION ALL ".join(f"SELECT '{n}' AS metric, count(*) AS value FROM {n}" for n in ("documents", "conversations", "orders", "lineitem", "events")))
 def metrics_summary(spark, sf):
     return X.summary({n: table(spark, sf, n) for n in ("documents", "conversations", "orders", "lineitem", "events")})
@@ -170,6 +206,17 @@ def failures_and_latency(spark, sf):
     return X.failures(table(spark, sf, "events")).select("failed", F.round("mean_latency", 6).alias("mean_latency"))
 
 
+@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t FROM documents) SELECT CAST(sum(CAST(ceil(length(t) / 4.0) AS INT)) AS BIGINT) AS total_tokens FROM w""")
+def total_tokens(spark, sf):
+    return X.total_tokens(table(spark, sf, "documents").select(T.token_estimate(F.col("text")).alias("token_estimate")))
+
+
+@query("SELECT count(*) AS n, round(avg(epoch_us(ts + INTERVAL 3 SECONDS) - epoch_us(ts) + (event_id % 5 - 2) * 2000000) / 1000.0, 6) AS mean_latency_ms FROM events WHERE event_type = 'purchase' AND 3000000 + (event_id % 5 - 2) * 2000000 > 0")
+def graph_ready_latency(spark, sf):
+    e = table(spark, sf, "events").withColumn("handled", F.col("ts") + F.expr("make_dt_interval(0, 0, 0, 3 + (event_id % 5 - 2) * 2)"))
+    return X.latency(e, F.col("handled"), "purchase").select("n", F.round("mean_latency_ms", 6).alias("mean_latency_ms"))
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_events(spark, sf):
     return X.recent(table(spark, sf, "events").select("event_id", "ts", "event_type"))
@@ -226,7 +273,7 @@ def event_severity(spark, sf):
 
 def _places(spark) -> tuple[str, str]:
     """A checkpoint and an output folder in the shared folder."""
-    here = f"{shared_root(spark)}/factgraph-stream-{uuid.uuid4().hex}"
+    here = scratch(spark, "stream")
     return f"{here}/checkpoint", f"{here}/out"
 
 
@@ -259,7 +306,17 @@ SELECT path, CAST(attempt AS INT) AS attempt, CASE WHEN attempt > 5 THEN 'FAILED
 def stream_retry(spark, sf):
     checkpoint, out = _places(spark)
     fails = _stream(spark, sf, "events").where("event_type = 'error'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), "ts")
-    return jobs.collected(spark, jobs.retries(fails), checkpoint, out).select("path", "attempt", "status")
+    return jobs.collected(spark, jobs.retries(fails), checkpoint, out).where("status != 'DUE'").select("path", "attempt", "status")
+
+
+@query("""WITH g AS (SELECT 'u' || user_id AS path, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 3600000000 THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT path, max(ts) AS ts, count(*) AS merged FROM s GROUP BY path, session""")
+def stream_debounce(spark, sf):
+    """The last event of each run of a path's events that follow each other within an hour."""
+    checkpoint, out = _places(spark)
+    e = _stream(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    jobs.sessions(e, gap="1 hour").writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("path", F.col("ts").cast("timestamp_ntz").alias("ts"), "merged")
 
 
 @query("SELECT time_bucket(INTERVAL 10 SECONDS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -118,13 +118,23 @@ def epoch_parse(spark, sf):
     return e.select("event_id", times.parse_time(text).cast("timestamp_ntz").alias("ts"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_filter(string_split(left(text, 60), ' '), lambda x: trim(x) <> ''))) AS words FROM (SELECT doc_id, replace(replace(text, ',', ''), chr(10), ' ') AS text FROM documents)")
+@query("SELECT doc_id, list_sort(list_distinct(list_filter(string_split(text, ' '), lambda x: trim(x) <> ''))) AS words FROM (SELECT doc_id, replace(replace(text, ',', ''), chr(10), ' ') AS text FROM documents)")
 def csv_sets(spark, sf):
     text = F.translate(F.translate("text", ",", ""), "\n", " ")
-    csv = F.translate(F.substring(text, 1, 60), " ", ",")
+    csv = F.translate(text, " ", ",")
     return docs(spark, sf).select("doc_id", F.array_sort(J.csv_to_set(csv)).alias("words"))
 
 
+#: Answers as models give them: an array in prose, in an object, none, an empty object, broken in two ways, nothing at all.
+BODIES = ('Here: [{"subject_text":"a"},{"subject_text":"b"}] done', '{"facts":[{"subject_text":"a"}]}', "[]", "{}", '[{"subject_text":', "no JSON", "")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS n, o_orderkey % 7 > 3 AS malformed FROM orders")
+def json_records(spark, sf):
+    body = F.get(F.array(*map(F.lit, BODIES)), (F.col("o_orderkey") % 7).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", F.size(J.records(body)).alias("n"), J.malformed(body).alias("malformed")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+
+
 @query("SELECT o_orderkey, (o_orderkey % 4000) // 60 || ':' || lpad(CAST((o_orderkey % 4000) % 60 AS VARCHAR), 2, '0') AS eta FROM orders")
 def duration_format(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.minutes_seconds(F.col("o_orderkey") % 4000).alias("eta"))
