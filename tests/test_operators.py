@@ -1,21 +1,30 @@
 from __future__ import annotations
 
-from datetime import datetime
+import io
+import random
+import time
+import urllib.error
+from collections import defaultdict
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph import api
+from factgraph import api, cli
 from factgraph.functions import jsonio, predicates, text, times
+from factgraph.operators import curation as C
 from factgraph.operators import graph as G
-from factgraph.operators import markdown, metrics, retrieve, validate, versions
-from factgraph.sources import extractors, files
+from factgraph.operators import index, markdown, metrics, retrieve, stages, validate, versions
+from factgraph.session import scratch, shared_root
+from factgraph.sources import extractors, files, sinks
+from factgraph.streaming import jobs
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
+# The cases of edit distances and globs that any implementation must give.
 @pytest.mark.parametrize("a,b,n", [("", "", 0), ("", "A", 1), ("A", "", 1), ("A", "B", 1), ("AB", "A", 1), ("KITTEN", "SITTING", 3), ("calls", "CALLS", 5), ("STORAGE", "STORES", 3), ("RECIEVE", "RECEIVE", 2), ("IMPLEMENTES", "IMPLEMENTS", 1)])
 def test_edit_distance(spark, a, b, n):
     assert one(spark, F.levenshtein(F.lit(a), F.lit(b))) == n
@@ -37,6 +46,38 @@ def test_grounding(spark, raw, ok):
     assert one(spark, text.grounded(F.lit(raw), F.lit("We know: Alpha uses the Beta now, always."))) is ok
 
 
+def test_grounding_takes_time_in_proportion(spark):
+    """A quote that fails at its last word, against a long chunk."""
+    chunk = " ".join(f"word{i % 7} of the text" for i in range(2500))
+    quote = " ".join(["of", "the", "text", "word1"] * 5) + " nowhere"
+    rows = spark.createDataFrame([(quote, chunk)] * 5, "raw string, chunk string").cache()
+    rows.count()
+    ask = rows.select(text.grounded(F.col("raw"), F.col("chunk")).alias("g"))
+    assert not any(r["g"] for r in ask.collect())  # and the code is compiled
+    began = time.time()
+    ask.collect()
+    assert time.time() - began < 1
+    rows.unpersist()
+
+
+def test_words_in_order_against_brute_force(spark):
+    rng = random.Random(1)
+
+    def truth(words, chunk):
+        at = 0
+        for w in words:
+            at = chunk.find(w, at)
+            if at < 0:
+                return False
+            at += len(w)
+        return True
+
+    cases = [(" ".join(rng.choice(["a", "ab", "b", "aba"]) for _ in range(rng.randint(0, 5))), "".join(rng.choice("ab ") for _ in range(rng.randint(0, 12))).strip()) for _ in range(400)]
+    rows = spark.createDataFrame([(i, w, c) for i, (w, c) in enumerate(cases)], "i int, w string, c string")
+    got = {r["i"]: r["ok"] for r in rows.select("i", text.in_order(F.filter(F.split("w", " "), lambda x: x != ""), F.col("c")).alias("ok")).collect()}
+    assert got == {i: truth(w.split(), c) for i, (w, c) in enumerate(cases)}
+
+
 def resolved(spark, *names):
     rows = spark.createDataFrame([(n,) for n in names], "predicate string")
     aliases = spark.createDataFrame([("HAS", "CONTAINS")], "source string, target string")
@@ -74,7 +115,8 @@ def test_unknown_is_queued_then_promoted(spark):
     pending = out.where("outcome = 'queued'")
     assert predicates.failed_queue(pending).first()["occurrence_count"] == 1
     actions = spark.createDataFrame([("approve", "INHERITS_FROM", None)], "action string, name string, target string")
-    state = G.curate(pending, active, aliases, actions)
+    state = C.curate(C.State(active, aliases, pending, predicates.failed_queue(pending)), actions)
+    assert state["failed"].count() == 0
     assert (state["promoted"].count(), state["pending"].count(), state["active"].count()) == (1, 0, 154)
 
 
@@ -105,7 +147,7 @@ def test_graph_is_idempotent_and_keeps_support(spark):
 def test_traversal_depths(spark):
     a = graph(spark)
     start = spark.range(1).select(text.node_id(F.lit("A")).alias("node_id"))
-    hops = [sorted(r["hop"] for r in retrieve.neighbours(G.edges(a), start, d).collect()) for d in range(4)]
+    hops = [sorted(r["hop"] for r in retrieve.neighbours(a, start, d).collect()) for d in range(4)]
     assert hops == [[0], [0, 1], [0, 1, 2], [0, 1, 2, 3]]
     hits = retrieve.query_graph(a, "A uses", 1).collect()
     assert max(r["depth"] for r in hits) == 1 and all(r["final_score"] > 0 for r in hits)
@@ -163,8 +205,13 @@ def test_ingest_from_sentences(spark):
     assert sorted(r["predicate"] for r in out["assertions"].collect()) == ["CALLS", "USES"]
     assert [r["name"] for r in out["failed"].collect()] == ["FROBS"]
     g = api.Graph(spark, out["assertions"], docs.withColumn("name", F.lit("a")).withColumn("project_root", F.lit("p")))
-    assert "Alpha uses Beta" in g.render(g.query_graph("alpha", 1))
-    assert g.render(g.query_graph("zzz", 1)) == "(no results)"
+    assert "Alpha uses Beta" in g.render_query("alpha", 1)
+    assert g.render_query("zzz", 1) == "(no results)"
+    one = out["assertions"].where("raw_text = 'Alpha uses Beta'").first()
+    assert g.render_assertion(one["assertion_id"]) == "Alpha | USES | Beta | Alpha uses Beta | doc: d"
+    said = g.render_explanation(one["assertion_id"]).split("\n")
+    assert said[0] == "SEED: Alpha | USES | Beta" and said[1] == "TEXT: Alpha uses Beta" and said[-1] == "  Beta calls Gamma" and "RELATED (1):" in said
+    assert g.render_neighbours(one["subject_node_id"]).startswith("NODES (1): ") and g.render_neighbours("nobody") == "NODES: (none)\nEDGES: (none)"
 
 
 def test_http_extractor_retries(spark):
@@ -184,3 +231,345 @@ def test_edit_distance_takes_every_event_type(spark, tmp_path):
     spark.createDataFrame([(f"type{i % 130}",) for i in range(300)], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
     rows = registry.queries()["edit_distance"](spark, str(tmp_path)).collect()
     assert len(rows) == len({(r["a"], r["b"]) for r in rows}) == 2 * 130
+
+
+# Search index ------------------------------------------------------------------------------------------------------------
+def test_index_gives_the_rows_of_a_scan(spark):
+    rng = random.Random(2)
+    facts = [(f"d{rng.randint(0, 3)}", i, rng.choice("ABCDEFGH"), rng.choice(["USES", "CALLS"]), rng.choice("ABCDEFGHIJ")) for i in range(60)]
+    a = G.identify(spark.createDataFrame([(*f, f"{f[2]} {f[3].lower()} {f[4]} {f[4]}") for f in facts], "document_id string, seq long, subject string, predicate string, object string, raw_text string")).cache()
+    found = index.build(a, scratch(spark, "test-index"), buckets=5)
+    deleted = spark.createDataFrame([("d1",), ("d1",)], "document_id string")
+    node, one_id = a.first()["subject_node_id"], a.first()["assertion_id"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    for text_, depth, caps in (("A uses", 2, {}), ("h calls j", 1, {"cap": 3, "edge_cap": 2}), ("A", 3, {"deleted": deleted}), ("?", 1, {}), ("E", 0, {"k": None})):
+        assert rows(retrieve.query_graph(found, text_, depth, **caps)) == rows(retrieve.query_graph(a, text_, depth, **caps)), text_
+    for ask in (lambda s: retrieve.neighbourhood(s, node, 2), lambda s: retrieve.subgraph(s, node, 1), lambda s: retrieve.explain(s, one_id), lambda s: retrieve.explain(s, one_id, 2), lambda s: retrieve.lookup(s, one_id), lambda s: retrieve.lookup(s, "none")):
+        assert rows(ask(found)) == rows(ask(a))
+    assert {r["document_id"] for r in a.join(retrieve.query_graph(a, "A", 2, deleted=deleted), "assertion_id").collect()} <= {"d0", "d2", "d3"}
+    empty = index.build(a.limit(0), scratch(spark, "test-index"), buckets=2)
+    assert retrieve.query_graph(empty, "A", 2).count() == 0 == retrieve.neighbourhood(empty, node, 2).count()
+    a.unpersist()
+
+
+def test_edges_of_a_neighbourhood_at_their_first_hop(spark):
+    got = {(r["kind"], r["id"]): r["hop"] for r in retrieve.neighbourhood(graph(spark), one(spark, text.node_id(F.lit("A"))), 2).collect()}
+    ids = {n: one(spark, text.node_id(F.lit(n))) for n in "ABC"}
+    edge = lambda s, p, o: one(spark, text.edge_id(F.lit(ids[s]), F.lit(p), F.lit(ids[o])))
+    assert got == {("node", ids["B"]): 1, ("node", ids["C"]): 2, ("edge", edge("A", "USES", "B")): 1, ("edge", edge("B", "CALLS", "C")): 2}
+
+
+# Curation and lifecycle ---------------------------------------------------------------------------------------------------
+def test_predicates_and_documents_of_a_store(spark, tmp_path):
+    """Approve, map, reject, auto-approve, revoke; delete, restore, sweep: on tables of a store."""
+    store = files.Store(spark, f"file://{tmp_path}/store")
+    facts = [(d, i, s, p, o, f"{s} {p.lower()} {o}", f"run-{d}") for d, i, s, p, o in FACTS]
+    schema = "document_id string, seq long, subject string, predicate string, object string, raw_text string, ingestion_run_id string"
+    known = G.identify(spark.createDataFrame(facts, schema))
+    pending = spark.createDataFrame([("d1", 10, "A", "frobs", "Z", "A frobs Z", "run-d1"), ("d2", 11, "Y", "FROBS", "Z", "Y frobs Z", "run-d2"), ("d2", 12, "Y", "zaps", "Q", "Y zaps Q", "run-d2"), ("d1", 13, "A", "HITS", "B", "A hits B", "run-d1")], schema)
+    docs = spark.createDataFrame([("d1", "one", "/p/docs/one.md", "QUERYABLE", 1, "", 2, None), ("d2", "two", "/q/two.md", "QUERYABLE", 1, "q", 3, None)], "document_id string, name string, path string, status string, version int, project_root string, total_assertions long, marked_for_deletion_at timestamp_ntz")
+    runs = spark.createDataFrame([("run-d1", "d1", 1), ("run-d2", "d2", 1)], "ingestion_run_id string, document_id string, created_at int")
+    chunks = spark.createDataFrame([("d1", 1), ("d2", 1)], "document_id string, sequence_number int")
+    failed = predicates.failed_queue(pending)
+    tables = {"active": predicates.seed(spark), "aliases": spark.createDataFrame([], "source string, target string"), "pending": pending, "failed": failed, "assertions": known, "documents": docs, "nodes": G.nodes(known), "edges": G.edges(known), "runs": runs, "chunks": chunks}
+    for name, rows in tables.items():
+        store.write(name, rows)
+    p, count = api.Predicates(store), lambda name, where="true": store.read(name).where(where).count()
+    assert [r["name"] for r in p.failed().collect()] == ["FROBS", "HITS", "ZAPS"] and p.suggestions().count() == 3
+    p.approve("frobs")
+    assert (count("assertions", "predicate = 'FROBS'"), count("pending"), count("failed")) == (2, 2, 2) and count("edges", "predicate = 'FROBS'") == 2
+    assert {r["document_id"]: r["total_assertions"] for r in store.read("documents").collect()} == {"d1": 3, "d2": 4}
+    p.map("Zaps", "uses")
+    assert [tuple(r)[:2] for r in p.aliases().collect()] == [("ZAPS", "USES")] and count("assertions", "predicate = 'USES' and object = 'Q'") == 1
+    p.reject("HITS")
+    assert count("pending") == count("failed") == 0
+    assert p.auto_approve(1) == 0
+    p.revoke("frobs")
+    assert count("assertions", "predicate = 'FROBS'") == count("edges", "predicate = 'FROBS'") == count("active", "name = 'FROBS'") == 0
+    assert count("nodes", "canonical_name = 'Z'") == 0 and count("nodes", "canonical_name in ('Y', 'A', 'a')") == 2
+    d, now = api.Documents(store, f"file://{tmp_path}/docs"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    assert [(r["document_id"], r["project_root"]) for r in d.list().collect()] == [("d1", "p"), ("d2", "q")] and d.runs("d1").count() == 1
+    d.delete("d1", now)
+    d.restore("d1")
+    d.delete("d2", now)
+    d.sweep(F.lit(datetime(2024, 1, 1, 0, 4)).cast("timestamp_ntz"))
+    assert count("documents") == 2
+    d.sweep(F.lit(datetime(2024, 1, 1, 0, 6)).cast("timestamp_ntz"))
+    assert [count(n) for n in ("documents", "runs", "chunks")] == [1, 1, 1] and {r["document_id"] for r in store.read("assertions").collect()} == {"d1"}
+    d.hard_delete("d1")
+    assert count("documents") == count("assertions") == 0
+    path = d.upload(b"# New", "sub/new.md")
+    assert path.endswith("docs/sub/new.md") and [r["text"] for r in d.found().collect()] == ["# New"]
+    d.upload(b"# Newer", "sub/new.md")
+    assert [r["text"] for r in d.found().collect()] == ["# Newer"]
+    for bad in ("", "../x.md", "/etc/x.md"):
+        with pytest.raises(ValueError):
+            d.upload(b"", bad)
+
+
+def test_two_actions_for_a_name(spark):
+    pending = spark.createDataFrame([("d", "A", "frobs", "B", "A frobs B")], "document_id string, subject string, predicate string, object string, raw_text string")
+    state = C.State(predicates.seed(spark), spark.createDataFrame([("FROBS", "CALLS")], "source string, target string"), pending)
+    acts = spark.createDataFrame([("approve", "FROBS", None), ("map", "frobs", "uses"), ("reject", "frobs", None), ("map", "", "x"), ("explode", "A", None)], "action string, name string, target string")
+    out = C.curate(state, acts)
+    assert [r["predicate"] for r in out["promoted"].collect()] == ["USES"] and out["pending"].count() == 0
+    assert [tuple(r) for r in out["aliases"].collect()] == [("FROBS", "USES")] and out["active"].count() == 153
+
+
+def test_a_store_loses_no_update(spark, tmp_path):
+    store = files.Store(spark, f"file://{tmp_path}/store")
+    row = lambda v: spark.createDataFrame([(v,)], "v int")
+    store.write("t", row(1))
+    seen = store.last("t")
+    store.write("t", row(2), seen)
+    with pytest.raises(files.Conflict):
+        store.write("t", row(3), seen)
+    store.append("t", row(4))
+    assert sorted(r["v"] for r in store.read("t").collect()) == [2, 4] and not store.exists("other")
+    store.vacuum("t", 1)
+    assert sorted(r["v"] for r in store.read("t").collect()) == [2, 4] and store.last("t") == 3
+
+
+# Sinks, stages, modes, providers ---------------------------------------------------------------------------------------------
+def test_sinks(spark):
+    sent, waits = [], []
+
+    def send(topic, rows):
+        if topic == "bad" or topic == "slow" and len(waits) < 2:
+            raise OSError(topic)
+        sent.extend((topic, r["key"], r["value"]) for r in rows.collect())
+
+    retrying = sinks.with_retries(send, attempts=3, sleep=waits.append)
+    retrying("slow", sinks.events(spark.createDataFrame([("k", 1)], "key string, n int"), "key"))
+    assert sent == [("slow", "k", '{"key":"k","n":1}')] and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        sinks.with_retries(send, attempts=5, sleep=waits.append)("bad", spark.range(0))
+    assert waits[2:] == [1.0, 2.0, 4.0, 8.0]
+    sent.clear()
+    at = datetime(2024, 1, 1)
+    box = spark.createDataFrame([(1, at, "good", "a", "{}", None), (2, at, "bad", "b", "{}", None), (3, at, "good", "c", "not JSON", None), (4, at, "good", "d", "[1]", at), (5, at, "good", "e", "[2]", None)], "id int, created_at timestamp_ntz, topic string, key_str string, payload string, published_at timestamp_ntz")
+    out = sinks.publish(box, send, F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz"))
+    assert sorted(sent) == [("good", "a", "{}"), ("good", "e", "[2]")] and sorted(r["id"] for r in out.where("published_at is null").collect()) == [2, 3]
+
+
+def test_topics_go_to_their_handlers(spark):
+    got, active = [], [True]
+    run = sinks.dispatch({"chunk.created": lambda rows: got.extend(r["documentId"] for r in rows.collect())}, {"chunk.created": "documentId string"}, lambda: active[0])
+    batch = spark.createDataFrame([("chunk.created", '{"documentId":"d1"}'), ("other", "{}"), ("chunk.created", '{"documentId":"d2"}')], "topic string, value string")
+    run(batch, 0)
+    active[0] = False
+    run(batch, 1)
+    assert sorted(got) == ["d1", "d2"]
+
+
+def test_stages_are_tried_again(spark, tmp_path):
+    now, calls = datetime(2024, 1, 1), []
+
+    def fails(doc):
+        calls.append(doc)
+        raise RuntimeError("no luck")
+
+    registry = stages.Registry()
+    for stage in (stages.Stage("CHUNKING", lambda d: None), stages.Stage("ASSERTIONS", fails, max_retries=2), stages.Stage("GRAPH", lambda d: None)):
+        registry.add(stage)
+    outs = [registry.run_from("d", "CHUNKING", 0, now), registry.run("d", "ASSERTIONS", 1, now), registry.run("d", "ASSERTIONS", 2, now)]
+    assert [(o.status, o.retry_count, o.next_retry_at) for o in outs] == [("RETRYING", 1, now + timedelta(seconds=15)), ("RETRYING", 2, now + timedelta(seconds=30)), ("FAILED_FATAL", 3, None)]
+    assert registry.run_from("d", "GRAPH", 0, now).status == "QUERYABLE" and calls == ["d"] * 3
+    store = files.Store(spark, f"file://{tmp_path}/store")
+    assert "states" in cli.init(store, f"{tmp_path}/config.json") and cli.init(store) == [] and cli.status(store) == []
+    log = sinks.RetryLog(store)
+    log.add("docs/a.md", 1, outs[0].error, now)
+    log.add("docs/a.md", 2, outs[1].error, now + timedelta(seconds=20))
+    state = spark.createDataFrame([("docs/a.md", "RETRYING", 2, "1,2", 4, now)], "path string, status string, retry_count int, completed_chunks string, total_chunks long, updated_at timestamp_ntz")
+    store.upsert("states", state, "path", "updated_at")
+    said = cli.logs(store, "elsewhere/a.md")
+    assert said[0] == "path: docs/a.md" and "Attempt #1 failed" in said[-2] and "no luck" in said[-1] and "RuntimeError" in said[-1]
+    assert cli.status(store) == ["docs/a.md  RETRYING (retrying)  2/4"] and cli.logs(store, "b.md") == ["b.md is not known"]
+
+
+def test_modes():
+    now, mode = datetime(2024, 1, 1), stages.Mode()
+    with pytest.raises(ValueError):
+        mode.start("/x", now)
+    with pytest.raises(ValueError):
+        mode.switch("other", now)
+    assert mode.trigger(now) == {"processingTime": "2 seconds"}
+    mode.switch("bulk", now)
+    with pytest.raises(ValueError):
+        mode.start(" ", now)
+    mode.start("/x", now)
+    with pytest.raises(ValueError):
+        mode.switch("realtime", now)
+    assert mode.trigger(now) == {"availableNow": True}
+    mode.stop()
+    mode.switch("realtime", now)
+    mode.switch("bulk", now)
+    assert mode.trigger(now + timedelta(hours=25)) == {"processingTime": "2 seconds"}  # a mode holds for a day
+
+
+def test_bulk_deduplication_has_a_term(spark, tmp_path):
+    bulk, now = api.Bulk(files.Store(spark, f"file://{tmp_path}/store")), datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a",), ("b",)], "checksum string")
+    assert bulk.fresh(rows, now).count() == 2
+    bulk.accept(rows.where("checksum = 'a'"), now)
+    assert [r["checksum"] for r in bulk.fresh(rows, now + timedelta(hours=1)).collect()] == ["b"]
+    assert bulk.fresh(rows, now + timedelta(hours=169)).count() == 2
+    bulk.clear_dedup()
+    assert bulk.fresh(rows, now).count() == 2
+
+
+def test_providers(spark):
+    custom = extractors.provider("custom", "m", key="k", url="http://x/v1/", template='{"q":"{{prompt}}"}', response_path="$.out.text")
+    assert custom.url == "http://x/v1/chat/completions" and custom.headers == {"Authorization": "Bearer k"}
+    assert extractors.provider("gemini", "m", key="k").url.endswith("/models/m:generateContent")
+    for bad in (("groq", None), ("unknown", "k")):
+        with pytest.raises(ValueError):
+            extractors.provider(bad[0], "m", key=bad[1])
+    chunks = spark.createDataFrame([("c1", "S", "text"), ("c2", "S", "other")], "chunk_id string, section_path string, content string")
+
+    def send(url, body, headers, timeout):
+        return '{"out":{"text":"[1]"}}' if "other" in body else '{"choices":[{"message":{"content":"[2]"}}]}'
+
+    got = extractors.answers(chunks, custom, ["USES"], tasks=1, per_minute=None, send=send)
+    assert {r["chunk_id"]: r["body"] for r in got.collect()} == {"c1": "[2]", "c2": "[1]"}
+    assert extractors.told_wait({"Retry-After": "7"}, "") == 7.0 and extractors.told_wait({}, "Please try again in 1.5s.") == 2.0
+    assert extractors.told_wait(None, "try again in 250ms") == 0.75 and extractors.told_wait({"Retry-After": "soon"}, "later") is None
+
+
+def test_a_refusal_says_how_long_to_wait(spark):
+    chunks = spark.createDataFrame([("c1", "S", "text")], "chunk_id string, section_path string, content string")
+
+    def send(url, body, headers, timeout):
+        import os
+        import tempfile
+
+        mark = os.path.join(tempfile.gettempdir(), f"factgraph-refused-{os.getpid()}")
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise urllib.error.HTTPError(url, 429, "slow", {}, io.BytesIO(b"Rate limit. try again in 1ms"))
+        os.remove(mark)
+        return "[]"
+
+    began = time.time()
+    out = extractors.http(chunks, "http://none", extractors.request_template("openai"), [], "m", tasks=1, per_minute=None, send=send).collect()
+    assert [(r["body"], r["error"]) for r in out] == [("[]", None)] and time.time() - began < 10
+
+
+def test_unreadable_answers_are_kept_apart(spark):
+    bodies = {"a": 'x [{"subject_text":"s"}] y', "b": "{}", "c": "[{]", "d": "none", "e": None}
+    answers = spark.createDataFrame(list(bodies.items()), "chunk_id string, body string")
+    chunks = answers.select("chunk_id")
+    assert [r["chunk_id"] for r in extractors.replay(chunks, answers).collect()] == ["a"]
+    assert sorted(r["chunk_id"] for r in extractors.unreadable(answers).collect()) == ["c", "d", "e"]
+
+
+# Time ------------------------------------------------------------------------------------------------------------------------
+def test_waiting_calls_are_admitted_in_turn(spark):
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    calls = [(i, rng.choice("ab"), start + timedelta(seconds=rng.randint(0, 200))) for i in range(120)]
+    want, window = {}, defaultdict(list)
+    for i, k, at in sorted(calls, key=lambda c: (c[2], c[0])):
+        own = window[k]
+        if len(own) >= 4:
+            at = max(at, own[-4] + timedelta(milliseconds=60_001))
+        own.append(at)
+        want[i] = at
+    got = versions.admitted(spark.createDataFrame(calls, "event_id int, k string, ts timestamp_ntz"), "k", limit=4)
+    assert {r["event_id"]: r["admitted_at"] for r in got.collect()} == want
+
+
+def test_ttl_chains_against_brute_force(spark):
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", "c", None]), start + timedelta(hours=rng.randint(0, 3000))) for _ in range(400)] + [("d", None), ("a", start)]
+    want = []
+    for k in ("a", "b", "c", None):
+        last = None
+        for at in sorted(t for x, t in rows if x == k and t):
+            if last is None or at - last >= timedelta(hours=168):
+                want.append((k, at))
+                last = at
+    docs = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # chains that run across batches
+    try:
+        got = versions.dedup_ttl(docs.repartition(3), "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, ((r["k"], r["ts"]) for r in got))) == sorted(map(str, want))
+    assert versions.dedup_ttl(docs.limit(0), "k").count() == 0
+
+
+def test_timers_wake_retries(spark, tmp_path):
+    """Batches of failures: a retry is due when the watermark has passed its time."""
+    src, out, start = tmp_path / "in", tmp_path / "out", datetime(2024, 1, 1)
+    for rows in ([("a", start)], [("b", start + timedelta(seconds=60))], [("b", start + timedelta(seconds=61)), ("c", start + timedelta(hours=1))], [("c", start + timedelta(hours=2))]):
+        spark.createDataFrame(rows, "path string, ts timestamp").coalesce(1).write.mode("append").parquet(str(src))
+        stream = jobs.retries(spark.readStream.schema("path string, ts timestamp").parquet(str(src)))
+        got = jobs.collected(spark, stream, str(tmp_path / "ck"), str(out))
+    seen = sorted((r["path"], r["attempt"], r["status"]) for r in got.collect())
+    assert ("a", 1, "RETRYING") in seen and ("a", 1, "DUE") in seen and ("b", 2, "DUE") in seen and ("b", 1, "DUE") not in seen
+    assert {r["retry_at"] for r in got.where("path = 'a'").collect()} == {start + timedelta(seconds=15)}
+
+
+def test_watched_files_are_debounced(spark, tmp_path):
+    root = tmp_path / "root"
+    for name, body in (("docs/a.md", "one"), ("docs/.git/b.md", "two"), ("x/c.md", "three"), ("docs/d.txt", "four")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    config = files.Config(watch_directories=[str(root)], include=["docs/*.md"])
+    stream = files.watch(spark, f"file://{root}", config=config)
+    got = jobs.collected(spark, stream, str(tmp_path / "ck"), str(tmp_path / "out")).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["text"]) for r in got] == [("a.md", "one")]
+    import os
+
+    (root / "x").rename(tmp_path / "gone")
+    for k, body in ((100, "older"), (101, "newer")):
+        (root / "docs" / f"e{k}.md").write_text(body)
+        os.utime(root / "docs" / f"e{k}.md", (1_700_000_000 + 10 * k, 1_700_000_000 + 10 * k))
+    bounced = files.watch(spark, f"file://{root}", debounce="2 seconds", late="0 seconds")
+    jobs.collected(spark, bounced, str(tmp_path / "ck2"), str(tmp_path / "out2"))
+    (root / "docs" / "last.md").write_text("last")
+    os.utime(root / "docs" / "last.md", (2_000_000_000, 2_000_000_000))
+    got = jobs.collected(spark, files.watch(spark, f"file://{root}", debounce="2 seconds", late="0 seconds"), str(tmp_path / "ck2"), str(tmp_path / "out2")).collect()
+    assert {"older", "newer"} <= {r["text"] for r in got}
+
+
+def test_failed_queues_add_up(spark):
+    schema = "name string, occurrence_count long, last_seen_document string, sample_raw_text string, predicate_group string, updated_at int"
+    a = spark.createDataFrame([("X", 2, "d1", "s1", "G", 1), ("Y", 1, "d1", "t", "G", 5)], schema)
+    b = spark.createDataFrame([("X", 3, "d2", "s2", "G", 2), ("Y", 1, "d0", "u", "G", 4)], schema)
+    assert [tuple(r) for r in predicates.ordered_failed(predicates.merge_failed(a, b)).collect()] == [("X", 5, "d2", "s2", "G", 2), ("Y", 2, "d1", "t", "G", 5)]
+
+
+def test_tokens_by_a_vocabulary(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")  # noqa: F841
+    count = text.token_counter(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rows = spark.createDataFrame([("hello world",), ("",), (None,), ("  spaces  ",)], "t string")
+    assert [r["n"] for r in rows.select(count("t").alias("n")).collect()] == [2, 0, 0, 4]
+    md = markdown.chunk(spark.createDataFrame([(1, "# A\nhello world")], "document_id int, text string"), tokens=count)
+    assert md.first()["token_estimate"] > 2
+
+
+def test_runs_follow_versions(spark):
+    events = spark.createDataFrame([("/p/a.md", 1, "x"), ("/p/a.md", 2, "x"), ("/p/a.md", 3, "y"), ("/p/b.md", 4, "z")], "path string, seq int, text string")
+    states = spark.createDataFrame([("/p/a.md", "QUERYABLE"), ("/p/b.md", "FAILED_FATAL")], "path string, status string")
+    runs = versions.runs(versions.versions(events), states)
+    assert sorted((r["document_id"], r["created_at"], r["run_status"]) for r in runs.collect()) == [("/p/a.md", 1, "SUPERSEDED"), ("/p/a.md", 3, "COMPLETED"), ("/p/b.md", 4, "FAILED")]
+    assert [r["created_at"] for r in G.runs_of(runs, "/p/a.md").collect()] == [1, 3]
+
+
+def test_shared_folders_off_the_driver_must_be_named(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "yarn", "app"
+
+    with pytest.raises(ValueError):
+        shared_root(Session())
