@@ -42,13 +42,26 @@ def _hadoop(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Bytes of a batch on its way to a Python worker, unless the application's own setting says otherwise. Documents are long:
+#: batches by number of rows alone would not be bounded.
+BATCH_BYTES = 5 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Make this session's batches small, if nobody has set their size."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 #: Folders of applications that go when they end.
 _MARKED: set[str] = set()
 
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses, for what lies between steps; it goes when the application ends."""
-    own = f"{shared_root(spark)}/factgraph-{spark.sparkContext.applicationId}"
+    own = f"{shared_root(small_batches(spark))}/factgraph-{spark.sparkContext.applicationId}"
     if own not in _MARKED:
         jpath, fs = _hadoop(spark, own)
         fs.mkdirs(jpath)

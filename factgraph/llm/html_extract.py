@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import frugal, small_batches
 from .tokens import release
 
 # Element names of the HTML standard, and words that sites use in class, id and role attributes.
@@ -419,6 +419,7 @@ def extract(pages: DataFrame, weights: tuple[float, ...] = START, id_col: str =
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], [id_col, url_col, "text", "n_chars", "n_blocks", "n_mended"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(frugal(run), f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long, n_blocks long, n_mended long")

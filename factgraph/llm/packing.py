@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, written
+from .common import frugal, small_batches, written
 from .tokens import encoder, release, slices
 
 CAPACITY, OPEN_BINS, FAN_IN = 2048, 256, 64
@@ -85,6 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(out.values())[: 5 + with_ids], types)], list(out)[: 5 + with_ids])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(frugal(cut), PIECES + ", ids binary" * with_ids)
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import frugal, small_batches
 from .tokens import Memo, gathered, release, slices, strings
 
 MARK = "▁"
@@ -202,6 +202,7 @@ def encode(docs: DataFrame, model: str, unigram: bool = False, id_col: str = "do
         for part, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pieces(model, unigram).encode(texts), pa.binary())], [id_col, "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"`{id_col}` long, ids binary")
 
 

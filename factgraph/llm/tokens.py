@@ -24,8 +24,8 @@ from .common import trim
 
 #: Entries of either half of a worker's memo and the longest key; both only bound memory.
 MEMO_ENTRIES, MEMO_KEY = 200_000, 64
-#: Characters that are encoded together.
-SLICE_CHARS = 5_000_000
+#: Characters that are encoded together at most; a batch from Spark is mostly less.
+SLICE_CHARS = 6_000_000
 #: Pre-tokens that the library gets in one text.
 GROUP = 256
 #: Fixed value: the published pattern of the byte-level pre-tokenizer.
