@@ -6,9 +6,9 @@ documents agree on. Here three orders are used: by hash upwards, by hash downwar
 1. By hash upwards: every document sends the beginning of its set, and what tokens occur twice comes back as a bitmap of
    fixed size. A document of which too few beginning tokens are shared has no partner and ends here.
 2. By frequency class: the tokens of the remaining distinct sets are counted; rare ones come first, so that passages and
-   stock phrases are hardly ever among the beginnings. Sets that share a beginning token are candidates. In each token's
-   bucket the first set is compared with the others; sets that a link joined need no further comparison, so a group of
-   copies costs a star, not all its pairs. Then what stands apart from a bucket's largest component is compared with all
+   stock phrases are hardly ever among the beginnings. Sets that share a beginning token are candidates. In a few rounds each
+   set is compared with one leader of its buckets that it is not joined with yet, another one each time; sets that links
+   joined need no further comparison, so a group of copies costs stars, not all its pairs. Then what stands apart from a bucket's largest component is compared with all
    other components of the bucket, by bands of sizes, so that a large bucket is many tasks. Sizes, places of the shared token
    and parity bitmaps must allow enough likeness.
 3. The filters are intersected: a candidate must also share beginning tokens under both orders by hash, for which only these
@@ -19,6 +19,7 @@ Tokens are 64-bit hashes of shingles; within a pair of documents a false match h
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ SURPLUS = 8
 MAP_BITS, CLASS_BITS, CLASSES = 1 << 27, 1 << 24, (2, 16, 256)
 #: Links that one task may join into components; beyond, rounds of distributed joins do.
 LINKS_IN_ONE_TASK = 1_000_000
+#: Rounds of stars before all pairs that are left are compared; they only save comparisons.
+ROUNDS = 4
 #: A component of which a bucket has at least so many sets, and this share, is met as a whole instead of bucket by bucket.
 GROUP, GROUP_SHARE = 8, 0.02
 #: Places of a set's parity signature, a multiple of 64.
@@ -365,14 +368,26 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     buckets = written(sets.select("sid", "n", "tokens").mapInArrow(frugal(first), "token long, sid long, n long, pos long, before long"), "buckets")
     maps.unpersist()
     edges = written(_edges(sets, percent), "edges")
-    # First round: the first set of each bucket and the others.
-    leaders = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("sid", "n", "pos", "before"), "sid").alias("x")).where("size > 1")
-    star = buckets.alias("y").join(leaders.alias("l"), F.col("y.token") == F.col("l.token")).select("l.x", F.struct("y.sid", "y.n", "y.pos", "y.before").alias("y"))
-    star = star.where((F.col("x.sid") != F.col("y.sid")) & _may("x", "y", percent, False)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    links = _verified(star, edges, sets, percent, "links-1")
-    comps = written(components(links, "stars-1"), "comps-1")
-    # Second round: what is outside a bucket's largest component, and all sets of its other components.
-    rows = buckets.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    # Stars: in each round every bucket has another leader, and each set not joined with its buckets' leaders meets one of these.
+    live, comps, links = buckets, None, []
+    for k in range(ROUNDS):
+        rows = live if comps is None else live.drop("comp").join(comps, "sid", "left")
+        rows = rows.withColumn("comp", F.col("sid") if comps is None else F.coalesce("comp", "sid"))
+        several = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
+        before, live = live, written(rows.join(several, "token", "left_semi"), f"live-{k}")
+        forget(before)
+        leaders = live.groupBy("token").agg(F.min_by(F.struct("sid", "n", "pos", "before", "comp"), F.xxhash64("sid", F.lit(k))).alias("x")).select("token", "x.*")
+        may = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", percent, False)
+        star = live.alias("y").join(leaders.alias("x"), may).groupBy(F.col("y.sid").alias("b")).agg(F.min_by("x.sid", F.xxhash64("x.sid", F.lit(k))).alias("a"))
+        found = _verified(star.select("a", "b"), edges, sets, percent, f"links-{k}")
+        if found.isEmpty():
+            break
+        links.append(found)
+        comps = written(components(functools.reduce(DataFrame.unionByName, links), f"stars-{k}"), f"comps-{k}")
+    if comps is None:
+        comps = written(sets.select("sid", F.col("sid").alias("comp")).limit(0), "comps")
+    # Then all that is left: what is outside a bucket's largest component, and all sets of its other components.
+    rows = live.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
@@ -392,9 +407,9 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
     pairs = singly.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).unionByName(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(pairs, edges, sets, percent, "links-2")
-    found = written(components(links.unionByName(more), "stars-2"), "comps-2")
-    forget(buckets, edges, links, more, comps, signs, open_table)
+    more = _verified(pairs, edges, sets, percent, "links")
+    found = written(components(functools.reduce(DataFrame.unionByName, [*links, more]), "stars"), "comps")
+    forget(live, edges, *links, more, comps, signs, open_table)
     return sets.select("sid", "set").join(found, "sid").select("set", "comp"), [sets, found]
 
 

@@ -709,8 +709,9 @@ def test_jaccard_join(spark, empty, monkeypatch):
     docs = frame(spark, rows)
     want = jaccard_truth(rows)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == want
-    monkeypatch.setattr(jaccard_join, "GROUP", 2)
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == want
+    for name, value in (("GROUP", 2), ("ROUNDS", 0), ("ROUNDS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()) == want
     left = jaccard_join.drop_near_duplicates(docs)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} >= {c for _, n, c in want if n}
     assert jaccard_join.join(empty).count() == 0
