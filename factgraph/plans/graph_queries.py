@@ -95,7 +95,7 @@ def capped_sql(cap: int, edge_cap: int) -> str:
     return f"""{bm25_sql(20)}, {', '.join(parts)},
 t0 AS (SELECT assertion_id, min(hop) AS depth FROM ends JOIN seen2 USING (node_id) WHERE hop > 0 AND assertion_id NOT IN (SELECT assertion_id FROM seeds) GROUP BY 1),
 touched AS (SELECT assertion_id, depth FROM t0 QUALIFY row_number() OVER (PARTITION BY depth ORDER BY assertion_id) <= {cap})
-SELECT assertion_id, CAST(depth AS INT) AS depth FROM (SELECT assertion_id, 0 AS depth FROM seeds UNION ALL SELECT * FROM touched)"""
+SELECT assertion_id, CAST(depth AS INT) AS depth FROM (SELECT assertion_id, 0 AS depth FROM seeds UNION ALL SELECT * FROM touched) JOIN assertions USING (assertion_id)"""
 
 
 @query(f"WITH {FACTS} {capped_sql(50, 7)}")
@@ -109,7 +109,7 @@ LIVE = "live AS (SELECT * FROM assertions WHERE document_id <> 'provides'), lend
 @query(f"""WITH {FACTS} {bm25_sql(None)}, {LIVE}, top AS (SELECT hits.* FROM hits JOIN live USING (assertion_id) ORDER BY round(bm25_score, 9) DESC, assertion_id LIMIT 20),
 n0 AS (SELECT DISTINCT node_id FROM lends JOIN top USING (assertion_id)), n1 AS (SELECT DISTINCT b AS node_id FROM llinks JOIN n0 ON a = node_id WHERE b NOT IN (SELECT node_id FROM n0)),
 t AS (SELECT DISTINCT assertion_id FROM lends JOIN n1 USING (node_id) WHERE assertion_id NOT IN (SELECT assertion_id FROM top))
-SELECT assertion_id, 0 AS depth, round(bm25_score, 6) AS bm25_score FROM top UNION ALL SELECT assertion_id, 1, 0.0 FROM t""")
+SELECT c.* FROM (SELECT assertion_id, 0 AS depth, round(bm25_score, 6) AS bm25_score FROM top UNION ALL SELECT assertion_id, 1, 0.0 FROM t) c JOIN live USING (assertion_id)""")
 def query_graph_deleted(spark, sf):
     """Assertions of a deleted document are not found, and links that only they support are not followed."""
     deleted = spark.createDataFrame([("provides",)], "document_id string")
