@@ -126,13 +126,14 @@ def _sum(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(held) == 1:
-        return held[0][0], held[0][1].astype(np.int64)
+    """Counts by token; a token may be in several of ``held`` and several times in one."""
     tokens, counts = np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held])
     order = np.argsort(tokens, kind="stable")
     tokens, counts = tokens[order], counts[order]
+    if not len(tokens):
+        return tokens, counts
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    return tokens[first], np.add.reduceat(counts, first)
+    return tokens[first], np.add.reduceat(counts, first).astype(np.int64)
 
 
 def _beginnings(docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -717,6 +717,23 @@ def test_jaccard_join(spark, empty, monkeypatch):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_counts_of_a_single_batch_add_up():
+    """A task may get one batch only, with a token of several tasks in it."""
+    tokens, n = jaccard_join._merge([(np.array([5, 3, 5, 3, 9]), np.array([1, 2, 1, 1, 1]))])
+    assert (tokens.tolist(), n.tolist()) == ([3, 5, 9], [3, 2, 1])
+    assert [len(x) for x in jaccard_join._merge([(np.empty(0, np.int64), np.empty(0, np.int64))])] == [0, 0]
+
+
+def test_jaccard_join_does_not_depend_on_partitions(spark):
+    rows = near_corpus()
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = jaccard_join.join(frame(spark, rows).repartition(11)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_truth(rows)
+
+
 def test_components_by_stars(spark):
     rng = random.Random(9)
     pairs = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 240)]
