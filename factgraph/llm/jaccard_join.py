@@ -10,7 +10,7 @@ documents agree on. Here three orders are used: by hash upwards, by hash downwar
    set is compared with one leader of its buckets that it is not joined with yet, another one each time; sets that links
    joined need no further comparison, so a group of copies costs stars, not all its pairs. Then what stands apart from a bucket's largest component is compared with all
    other components of the bucket, by bands of sizes, so that a large bucket is many tasks. Sizes, places of the shared token
-   and parity bitmaps must allow enough likeness.
+   and parity bitmaps must allow enough likeness. Of two components one pair goes first: if it is a link, the rest need not.
 3. The filters are intersected: a candidate must also share beginning tokens under both orders by hash, for which only these
    beginnings travel. Whole sets are fetched and intersections counted for the pairs that are left.
 
@@ -41,6 +41,8 @@ MAP_BITS, CLASS_BITS, CLASSES = 1 << 27, 1 << 24, (2, 16, 256)
 LINKS_IN_ONE_TASK = 1_000_000
 #: Rounds of stars before all pairs that are left are compared; they only save comparisons.
 ROUNDS = 4
+#: Single pairs of two components that are tried before all of theirs are.
+TRIES = 2
 #: A component of which a bucket has at least so many sets, and this share, is met as a whole instead of bucket by bucket.
 GROUP, GROUP_SHARE = 8, 0.02
 #: Places of a set's parity signature, a multiple of 64.
@@ -369,17 +371,24 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     buckets = written(sets.select("sid", "n", "tokens").mapInArrow(frugal(first), "token long, sid long, n long, pos long, before long"), "buckets")
     maps.unpersist()
     edges = written(_edges(sets, percent), "edges")
-    # Stars: in each round every bucket has another leader, and each set not joined with its buckets' leaders meets one of these.
+    # Stars: in each round every bucket has another leader, and each set not joined with its buckets' leaders meets one of these;
+    # from the second on, when far fewer rows are left, one that the parity bitmaps allow.
+    signs = written(_signatures(sets), "signatures")
     live, comps, links = buckets, None, []
     for k in range(ROUNDS):
         rows = live if comps is None else live.drop("comp").join(comps, "sid", "left")
         rows = rows.withColumn("comp", F.col("sid") if comps is None else F.coalesce("comp", "sid"))
         several = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-        before, live = live, written(rows.join(several, "token", "left_semi"), f"live-{k}")
+        rows = rows.join(several, "token", "left_semi")
+        before, live = live, written(rows.join(signs.select("sid", "s"), "sid") if k == 1 else rows, f"live-{k}")
         forget(before)
-        leaders = live.groupBy("token").agg(F.min_by(F.struct("sid", "n", "pos", "before", "comp"), F.xxhash64("sid", F.lit(k))).alias("x")).select("token", "x.*")
+        leaders = live.groupBy("token").agg(F.min_by(F.struct(*(c for c in live.columns if c != "token")), F.xxhash64("sid", F.lit(k))).alias("x")).select("token", "x.*")
         may = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _may("x", "y", percent, False)
-        star = live.alias("y").join(leaders.alias("x"), may).groupBy(F.col("y.sid").alias("b")).agg(F.min_by("x.sid", F.xxhash64("x.sid", F.lit(k))).alias("a"))
+        if k:
+            may = may & _near("x.s", "x.n", "y.s", "y.n", percent)
+        # By turns of the bucket of the rarest token, and of any: the largest buckets are those of passages that unlike texts share.
+        rank = F.struct(F.col("x.pos") + F.col("y.pos"), F.xxhash64("x.sid", F.lit(k))) if k % 2 == 0 else F.xxhash64("x.token", "y.sid", F.lit(k))
+        star = live.alias("y").join(leaders.alias("x"), may).groupBy(F.col("y.sid").alias("b")).agg(F.min_by("x.sid", rank).alias("a"))
         found = _verified(star.select("a", "b"), edges, sets, percent, f"links-{k}")
         if found.isEmpty():
             break
@@ -393,22 +402,39 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
     grouped = sizes.where(F.col("size") >= GROUP).join(totals, "comp").where(F.col("size") >= GROUP_SHARE * F.col("total")).select("token", "comp", F.lit(True).alias("as_group"))
-    signs = written(_signatures(sets), "signatures")
     open_rows = rows.join(top, "token").join(grouped, ["token", "comp"], "left")
-    open_table = written(open_rows.join(signs.select("sid", "s"), "sid").withColumn("band", _band("n", percent)), "open")
+    if "s" not in open_rows.columns:
+        open_rows = open_rows.join(signs.select("sid", "s"), "sid")
+    open_table = written(open_rows.withColumn("band", _band("n", percent)), "open")
     open_rows = open_table
     apart = open_rows.where("comp != top")
     # A set meets a group once, however many tokens they share.
     groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
-    meets = apart.join(groups, "token").where("comp != with").select("sid", "with").distinct().join(signs, "sid").withColumn("band", _near_bands("n", percent))
+    meets = apart.join(groups, "token").where("comp != with").select("sid", "comp", "with").distinct().join(signs, "sid").withColumn("band", _near_bands("n", percent))
     members = comps.join(signs, "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), _band("n", percent).alias("band"))
     met = meets.join(members, ["with", "band"]).where(_near("s", "n", "t", "m", percent))
     x, y = apart.withColumn("band", _near_bands("n", percent)).alias("x"), open_rows.where("as_group is null").alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | F.col("x.as_group") | (F.col("x.sid") < F.col("y.sid"))
     singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
-    pairs = singly.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).unionByName(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(pairs, edges, sets, percent, "links")
+    def pair(x: str, y: str, comp_x: str, comp_y: str) -> list:
+        ends = [f(x, y).alias(name) for f, name in ((F.least, "a"), (F.greatest, "b"))]
+        return [*ends, F.least(comp_x, comp_y).alias("low"), F.greatest(comp_x, comp_y).alias("high")]
+
+    pairs = singly.select(*pair("x.sid", "y.sid", "x.comp", "y.comp")).unionByName(met.select(*pair("sid", "other", "comp", "with")))
+    pairs = written(pairs.distinct(), "pairs")
+    # One pair of each two components first: where it is a link, the others need no comparison.
+    for k in range(TRIES):
+        one = pairs.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias("p"))
+        one = written(one.select("low", "high", "p.a", "p.b"), f"pairs-{k}")
+        found = _verified(one.select("a", "b"), edges, sets, percent, f"pair-links-{k}")
+        links.append(found)
+        rest = written(pairs.join(one.join(found, ["a", "b"]).select("low", "high"), ["low", "high"], "left_anti"), "pairs")
+        forget(pairs, one)
+        pairs = rest
+        if pairs.isEmpty():
+            break
+    more = _verified(pairs.select("a", "b"), edges, sets, percent, "links")
+    forget(pairs)
     found = written(components(functools.reduce(DataFrame.unionByName, [*links, more]), "stars"), "comps")
     forget(live, edges, *links, more, comps, signs, open_table)
     return sets.select("sid", "set").join(found, "sid").select("set", "comp"), [sets, found]
