@@ -134,15 +134,13 @@ FROM h LEFT JOIN best b USING (page_id)
 #: Counts of whole texts, and lines by distinct texts of a host. SQL cannot tell near copies, which the operator counts
 #: together: the rows are the same where no line passes the limits by near copies alone, as on sf0.001 and sf0.01.
 OP3_SQL = rf"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS words FROM documents),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 tok AS (SELECT r, unnest(words) AS t, generate_subscripts(words, 1) AS i FROM w),
 win AS (SELECT r, i, t || ' ' || {" || ' ' || ".join(f'lead(t, {k}) OVER o' for k in range(1, quality_rules.WINDOW))} AS g FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win WHERE g IS NOT NULL) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, {quality_rules.WINDOW})) AS k) GROUP BY r),
 raw AS (SELECT r, host, md5(text) AS t, unnest(string_split(text, chr(10))) AS line FROM w),
-lines AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^ 	-
-]+') AS lw FROM raw),
+lines AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS lw FROM raw),
 named AS (SELECT r, host, t, line, len(lw) AS n, array_to_string(lw, ' ') AS key FROM lines WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM named GROUP BY r),
 hosts AS (SELECT host, count(*) AS n FROM w GROUP BY host),
