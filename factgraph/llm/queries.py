@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, jaccard_join, packing, quality_model, quality_rules, sentencepieces, token_files, url_filters, warc
+from . import chat_format, exact_dedup, html_extract, jaccard_join, lexical_search, packing, quality_model, quality_rules, sentencepieces, token_files, url_filters, warc
 
 #: Tokenizer files of the queries; parameters of the operators.
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -94,6 +94,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluate(captures, entries.unionByName(whole))
 
 
+#: A conversation that says the template's own control strings.
+_QUOTED = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one that quotes control strings, read back from what was formatted."""
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_QUOTED).alias("text"))
+    return chat_format.round_trip(said.unionByName(quoted))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _normal_sql(rest: str, names: str) -> str:
     """Host and path segments of URLs or keys in SQL, as ``url_filters.normalised`` has them."""
     return rf"""SELECT {names}, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(rest, '^([^/]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '\.$', ''), '^www\.', '') AS host,
@@ -164,9 +179,50 @@ FROM documents
 """
 
 
+def _op11_sql(template: chat_format.Template) -> str:
+    """Turns in order, marks by role, and the machine as pairs of roles: each of its states is entered by one role only."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    entered = {to: role for step in template.follows.values() for role, to in step.items()}
+    pairs = [(None if state == template.start else entered[state], role) for state, step in template.follows.items() for role in step]
+    legal = " OR ".join(f"(p IS {'NULL' if before is None else 'NOT DISTINCT FROM ' + quoted(before)} AND role = {quoted(role)})" for before, role in pairs)
+    marks = " ".join(f"WHEN {quoted(role)} THEN {len(before) + len(after)}" for role, (before, after) in template.turns.items())
+    escapes = f"len(regexp_extract_all({{}}, '{template.pattern}'))"
+    other = f"{sum(map(len, template.other))} + length(role) + {escapes.format('role')}"
+    final = ", ".join(quoted(entered[s]) for s in template.final)
+    learned = ", ".join(map(quoted, template.learned))
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_QUOTED}' UNION ALL SELECT -7, 1, 'assistant', '{_QUOTED}'),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, lag(role) OVER w AS p FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+t AS (SELECT *, CASE WHEN {legal} THEN NULL ELSE seq END AS refused, CASE role {marks} ELSE {other} END + length(text) + {escapes.format('text')} AS chars FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({learned})), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (role IN ({learned})), '')) AS loss_sha256,
+  CAST({len(template.begin)} + sum(chars) AS BIGINT) AS formatted_chars, min(refused) IS NULL AND arg_max(role, seq) IN ({final}) AS valid, min(refused) AS refused_at
+FROM t GROUP BY conv_id
+"""
+
+
+OP11_SQL = _op11_sql(chat_format.INSTRUCTIONS)
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+asked AS (SELECT i, item_id, t, count(*) AS times FROM q GROUP BY ALL),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d WHERE len(words) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, CAST(25 + (75 * len(words) * n_docs) // n_terms AS BIGINT) AS m FROM d, whole),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM s WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM k WHERE place <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_quality_classifier, op7_jaccard_join, op8_warc, op9_token_files, op10_url_filters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_html_extract, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_quality_classifier, op7_jaccard_join, op8_warc, op9_token_files, op10_url_filters, op11_chat_format, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_url_filters": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_url_filters": OP10_SQL, "op11_chat_format": OP11_SQL, "op12_lexical_search": OP12_SQL}

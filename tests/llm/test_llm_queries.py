@@ -17,7 +17,7 @@ def test_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.queries()[name](spark, SF)
     out = con.execute(queries.oracle_sql()[name])
