@@ -25,16 +25,16 @@ def endpoints(assertions: DataFrame) -> DataFrame:
     return assertions.select("assertion_id", F.explode(ends).alias("node_id"))
 
 
-def nodes(assertions: DataFrame) -> DataFrame:
-    """``node_id``, ``normalized_name`` and the name of the last writer."""
+def nodes(assertions: DataFrame, *by: str) -> DataFrame:
+    """``node_id``, ``normalized_name`` and the name of the last writer; apart for each value of the columns ``by``."""
     side = F.explode(F.array(F.struct(F.col("subject").alias("name"), F.col("subject_node_id").alias("node_id"), F.lit(0).alias("side")), F.struct(F.col("object").alias("name"), F.col("object_node_id").alias("node_id"), F.lit(1).alias("side"))))
-    rows = assertions.select("document_id", "seq", side.alias("n")).select("document_id", "seq", "n.*")
-    return rows.groupBy("node_id").agg(F.max_by("name", F.struct("document_id", "seq", "side")).alias("canonical_name")).withColumn("normalized_name", T.normalize_entity(F.col("canonical_name")))
+    rows = assertions.select(*by, "document_id", "seq", side.alias("n")).select(*by, "document_id", "seq", "n.*")
+    return rows.groupBy(*by, "node_id").agg(F.max_by("name", F.struct("document_id", "seq", "side")).alias("canonical_name")).withColumn("normalized_name", T.normalize_entity(F.col("canonical_name")))
 
 
-def edges(assertions: DataFrame) -> DataFrame:
+def edges(assertions: DataFrame, *by: str) -> DataFrame:
     """``edge_id``, its ends and predicate, the document of its first writer, and the assertions that support it."""
-    return assertions.groupBy("edge_id").agg(
+    return assertions.groupBy(*by, "edge_id").agg(
         F.first("subject_node_id").alias("from_node_id"), F.first("predicate").alias("predicate"), F.first("object_node_id").alias("to_node_id"),
         F.min_by("document_id", F.struct("document_id", "seq")).alias("document_id"), F.count(F.lit(1)).alias("support"),
     )
@@ -45,13 +45,13 @@ def merge(existing: DataFrame, built: DataFrame, key: str) -> DataFrame:
     return existing.unionByName(built.join(existing, key, "left_anti"), allowMissingColumns=True)
 
 
-def undirected(edge_rows: DataFrame) -> DataFrame:
+def undirected(edge_rows: DataFrame, *by: str) -> DataFrame:
     pair = F.explode(F.array(F.struct(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b")), F.struct(F.col("to_node_id").alias("a"), F.col("from_node_id").alias("b"))))
-    return edge_rows.select("edge_id", pair.alias("p")).select("edge_id", "p.a", "p.b")
+    return edge_rows.select(*by, "edge_id", pair.alias("p")).select(*by, "edge_id", "p.a", "p.b")
 
 
-def degrees(edge_rows: DataFrame) -> DataFrame:
-    return undirected(edge_rows).groupBy(F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
+def degrees(edge_rows: DataFrame, *by: str) -> DataFrame:
+    return undirected(edge_rows, *by).groupBy(*by, F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
 def node_trace(assertions: DataFrame, docs: DataFrame, node: str) -> DataFrame:

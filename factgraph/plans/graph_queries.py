@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import curation as C
+from ..operators import deltas as D
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import retrieve as R
@@ -158,6 +159,36 @@ def graph_merge_nodes(spark, sf):
     return G.merge(old, G.nodes(rows), "node_id").select("node_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def _moved(spark, sf):
+    """The state of two thirds of the facts, and what changes when another set of documents and facts takes their place."""
+    rows = assertions(spark, sf)
+    before, after = rows.where("seq % 3 != 0"), rows.where("seq % 5 != 0 and (document_id != 'provides' or seq % 7 = 0)")
+    state = D.build(before)
+    return state, D.advance(state, D.changes(before, after, "assertion_id"), after)
+
+
+AFTER = "after AS (SELECT * FROM assertions WHERE seq % 5 <> 0 AND (document_id <> 'provides' OR seq % 7 = 0)), before AS (SELECT * FROM assertions WHERE seq % 3 <> 0)"
+BOTH_ENDS = "SELECT document_id, seq, 0 AS side, subject AS name, subject_node_id AS node_id FROM {0} UNION ALL SELECT document_id, seq, 1, object, object_node_id FROM {0}"
+
+
+@query(with_facts(f", {AFTER} SELECT edge_id, subject_node_id AS from_node_id, predicate, object_node_id AS to_node_id, arg_min(document_id, (document_id, seq)) AS document_id, count(*) AS support FROM after GROUP BY ALL"))
+def graph_delta_edges(spark, sf):
+    """Edges after signed changes: as if built from scratch, first writers included."""
+    return D.edges(D.replace(*_moved(spark, sf)))
+
+
+@query(with_facts(f", {AFTER}, w AS ({BOTH_ENDS.format('after')}) SELECT node_id, arg_max(name, (document_id, seq, side)) AS canonical_name, regexp_replace(lower(arg_max(name, (document_id, seq, side))), '[\\s_-]+', '', 'g') AS normalized_name, count(*) AS support FROM w GROUP BY node_id"))
+def graph_delta_nodes(spark, sf):
+    return D.nodes(D.replace(*_moved(spark, sf)))
+
+
+@query(with_facts(f", {AFTER}, wb AS ({BOTH_ENDS.format('before')}), wa AS ({BOTH_ENDS.format('after')}) SELECT 'edge' AS kind, edge_id AS id FROM before WHERE edge_id NOT IN (SELECT edge_id FROM after) UNION SELECT 'node', node_id FROM wb WHERE node_id NOT IN (SELECT node_id FROM wa)"))
+def graph_delta_orphans(spark, sf):
+    """What the changes leave without support."""
+    _, moved = _moved(spark, sf)
+    return D.orphans(moved, "edges").select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).union(D.orphans(moved, "nodes").select(F.lit("node"), "node_id"))
+
+
 @query(with_facts("SELECT a AS node_id, count(*) AS degree FROM links GROUP BY a"))
 def node_degree(spark, sf):
     return G.degrees(G.edges(assertions(spark, sf)))

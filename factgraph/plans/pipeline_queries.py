@@ -10,6 +10,7 @@ from ..operators import markdown as M
 from ..operators import metrics as X
 from ..operators import versions as V
 from ..session import scratch, table
+from ..sources.files import table_stream
 from ..streaming import jobs
 from .fixtures import CHUNK_VERSIONS, MD_DOCS, STATES, chunk_versions, md_docs, states
 from .registry import query
@@ -278,12 +279,7 @@ def _places(spark) -> tuple[str, str]:
 
 
 def _stream(spark, sf, name):
-    """A table as a stream; a table that is one file is picked out of its folder."""
-    reader = spark.readStream.schema(table(spark, sf, name).schema)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    return reader.parquet(f"{sf}/{name}.parquet")
+    return table_stream(spark, f"{sf}/{name}.parquet")
 
 
 @query("SELECT coalesce(event_type, 'UNKNOWN') AS event_type, count(*) AS n FROM events GROUP BY 1")

@@ -27,7 +27,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import curation_queries, graph_queries, pipeline_queries, text_queries  # noqa: F401
+    from . import curation_queries, graph_queries, job_queries, pipeline_queries, text_queries  # noqa: F401
 
     return dict(QUERIES)
 

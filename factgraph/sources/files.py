@@ -133,6 +133,15 @@ def watch(spark: SparkSession, root: str, glob: str = "*.md", config: Config | N
     return files.withWatermark("modified_at", late).groupBy(F.session_window("modified_at", debounce), "path").agg(last).select("path", "last.*")
 
 
+def table_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A Parquet table as a stream of the files that it gets; a table that is one file is picked out of its folder."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    place, fs = hadoop(spark, path)
+    if fs.getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
+
+
 def upload(spark: SparkSession, content: bytes, name: str, landing: str) -> str:
     """Put a file into the landing folder under its own name, in place of an older one, and return its path; scans find it there.
 
