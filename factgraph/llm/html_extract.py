@@ -4,9 +4,10 @@ A page is cut into blocks of text. A classifier gives each block a cost of calli
 boilerplate; these are the capacities to the two terminals. Blocks that follow each other, and blocks close in the DOM, are
 joined by smoothness edges. The minimum cut (by maximum flow) is the cheapest labelling of the whole page.
 
-The classifier is a logistic regression on what a block's text looks like. ``fit`` trains it on blocks that elements of known
-meaning label (``article`` and ``main`` against ``nav``, ``footer``, classes of adverts and the like), starting from weights
-that are kept where there is no evidence. What such elements say about a block that stands in them is added as it is.
+The classifier is a logistic regression on what a block's text looks like and what the names around it hint at. ``fit`` trains it
+on blocks whose place in elements of known meaning labels them (within ``article`` and ``main``, or outside them and within
+``nav``, ``footer`` and the like), starting from weights that are kept where there is no evidence. So a class name weighs what it
+is worth on these pages, for or against; text without links outweighs a doubtful one. What the elements themselves mean is added.
 Parsing and scoring take time in proportion to a page, however deep or broken it is.
 """
 
@@ -28,29 +29,42 @@ from .tokens import release
 
 # Element names of the HTML standard, and words that sites use in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title select option button textarea iframe svg object canvas math".split())
+DROPPED = frozenset("script style noscript template head title select option textarea iframe svg object canvas math".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym area b bdi bdo big button cite code data del dfn em embed font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "sidebar aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus discussion "
-    "footer masthead share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay login toolbar "
-    "pagination pager search complementary contentinfo tags tagcloud toc skip copyright legal disclaimer outbrain taboola form".split()
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond responses disqus".split())
+BOILERPLATE_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead newsletter subscribe subscription signup popup modal "
+    "login pagination pager contentinfo tagcloud outbrain taboola".split()
+)
+DOUBTFUL_WORDS = frozenset(
+    "notice notices alert aside widget widgets discussion share sharing social related recommended recommendations overlay toolbar search "
+    "complementary tags toc skip copyright legal disclaimer form".split()
 )
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text maincontent".split())
+FRAME_WORDS = MAIN_WORDS | frozenset("area bar block bottom box col column container group head header heading holder inner item items left link links list module outer panel right row section site thread title top unit user wrap wrapper zone".split())
+LINKS = frozenset("a button".split())
 SIBLINGS_CLOSE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 STOPS = frozenset("article section div main td th table body ul ol nav aside footer header form".split())
 
 #: Weights of a block's features before training: tenths of its words (up to ``WORDS``), fewer than four words, the end of a
-#: sentence, the share of its text within links, a heading, a copyright notice, and one for all.
-FEATURES = ("words", "short", "sentence", "links", "heading", "copyright", "one")
-START = (1.0, -0.5, 0.5, -6.0, 1.0, -4.0, 0.0)
+#: sentence, the share of its text within links and buttons, a heading, a copyright notice, a name around it that speaks plainly
+#: against it, the strength of doubtful ones, and one for all.
+FEATURES = ("words", "short", "sentence", "links", "heading", "copyright", "named", "doubtful", "one")
+START = (1.0, -0.5, 0.5, -6.0, 1.0, -4.0, -8.0, -8.0, 0.0)
 WORDS = 25
-#: What an element around a block adds to its score, against and for.
-AGAINST, FOR = 12.0, 4.0
+#: Strength of a name that is a doubtful word, of one that has a plain word among others ("with-sidebar"), and a doubtful one
+#: among others ("social-issues").
+DOUBTFUL, AMONG, DOUBTFUL_AMONG = 0.4, 0.3, 0.15
+#: What elements add to the score of blocks in them: such as are boilerplate by their meaning; articles; names that are for it;
+#: to blocks outside all articles of a page that has some, and to those that stand beside an article in the same ``main``.
+AGAINST, FOR, NAMED_FOR, OUTSIDE, BESIDE = 12.0, 4.0, 2.0, 5.0, 3.0
+#: The share of a page's text that its articles must have for what is outside to be judged by that.
+ARTICLES = 0.2
 #: Costs of an edge between blocks that follow each other as siblings, and of one between blocks under the same grandparent.
 SMOOTH, NEAR = 2.0, 0.8
 #: Pages that the classifier is trained on, and the share of the evidence that the first weights count.
@@ -59,6 +73,8 @@ SAMPLE_PAGES, PRIOR = 400, 0.1
 _SOLID = 5
 
 _TAG = re.compile(r"""</?([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: A tag with a quote that nothing closes: it ends at the next ``>``.
+_BROKEN = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
@@ -66,27 +82,34 @@ _ENDS = frozenset(".!?…\"»”")
 
 
 @functools.lru_cache(maxsize=4096)
-def _hints(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element speaks against its text, and for it."""
-    against, good = tag in BOILERPLATE_TAGS, tag in MAIN_TAGS
+def _hints(tag: str, attributes: str) -> tuple[bool, float, bool, bool]:
+    """Of an element: whether it is boilerplate by its meaning, or hidden; how strongly names speak against it (1 plainly), and
+    whether they call it readers' comments; whether names speak for it."""
+    hidden, strength, comments, good = tag in BOILERPLATE_TAGS, 0.0, False, False
+    if tag in ("html", "body"):
+        return False, 0.0, False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            against = True
+            hidden = True
         elif name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            against |= not words.isdisjoint(BOILERPLATE_WORDS)
-            good |= not words.isdisjoint(MAIN_WORDS)
-    if tag in ("html", "body"):
-        return False, False
-    return against, good and not against
+            for own in value.split():
+                words = {w.lower() for w in _WORD.findall(own)}
+                plain, doubtful = not words.isdisjoint(BOILERPLATE_WORDS), not words.isdisjoint(DOUBTFUL_WORDS)
+                alone = words <= BOILERPLATE_WORDS | DOUBTFUL_WORDS | FRAME_WORDS
+                if plain or doubtful:
+                    strength = max(strength, (1.0 if plain else DOUBTFUL) if alone else AMONG if plain else DOUBTFUL_AMONG)
+                    comments |= alone and not words.isdisjoint(COMMENT_WORDS)
+                else:
+                    good |= not words.isdisjoint(MAIN_WORDS)
+    return hidden, strength, comments, good and strength < 1
 
 
 class Page:
     """Blocks of a page and the elements around them, by number; an element's parent has a smaller number."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.against, self.good = ["#"], [0], [False], [False]
+        self.tags, self.parents, self.hidden, self.strength, self.comments, self.good = ["#"], [0], [False], [0.0], [False], [False]
         #: Text, element, characters within links, the element's depth, and the least depth since the block before.
         self.blocks: list[tuple[str, int, int, int, int]] = []
         self._stack, self._low = [0], 0
@@ -116,7 +139,7 @@ class Page:
                 sections = sections and not source.startswith("<![CDATA[", m)  # no end is left to look for
                 close = source.find(">", m)
                 at = close + 1 if close >= 0 else end
-            elif tag := _TAG.match(source, m):
+            elif tag := _TAG.match(source, m) or _BROKEN.match(source, m):
                 at = self._tag(source, tag)
             else:
                 self._add("<")
@@ -160,13 +183,12 @@ class Page:
             self._implied({"p"})
         if tag in SIBLINGS_CLOSE:
             self._implied(SIBLINGS_CLOSE[tag])
-        if tag == "a":
+        if tag in LINKS:
             self._in_link += 1
-        against, good = _hints(tag, attributes)
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
-        self.against.append(against)
-        self.good.append(good)
+        for own, value in zip((self.hidden, self.strength, self.comments, self.good), _hints(tag, attributes)):
+            own.append(value)
         depth = len(self._stack)
         self._open_at[tag].append(depth)
         if tag in STOPS:
@@ -197,7 +219,7 @@ class Page:
         for e in self._stack[depth:]:
             tag = self.tags[e]
             self._dropped -= tag in DROPPED
-            self._in_link -= tag == "a"
+            self._in_link -= tag in LINKS
             self._open_at[tag].pop()
         del self._stack[depth:]
         for depths in (self._stops, self._solid):
@@ -212,62 +234,127 @@ def _counts(text: str, links: int) -> tuple[int, bool, int, bool]:
     return min(WORDS, text.count(" ") + 1), text[-1] in _ENDS, min(10, 10 * links // len(text)), "©" in start or "copyright" in start.lower()
 
 
-def _features(words: int, sentence: bool, links: int, notice: bool, heading: bool) -> tuple[float, ...]:
-    return words / 10, float(words < 4), float(sentence), links / 10, float(heading), float(notice), 1.0
+def _features(words: int, sentence: bool, links: int, notice: bool, heading: bool, named: bool, doubtful: int) -> tuple[float, ...]:
+    return words / 10, float(words < 4), float(sentence), links / 10, float(heading), float(notice), float(named), doubtful / 100, 1.0
 
 
-def _around(page: Page) -> tuple[list[bool], list[bool], list[bool], list[bool], list[bool]]:
-    """Of each element, with those around it: for, against, in a heading, in a header, in an article.
+class _Around:
+    """What stands around the blocks of a page: of each element, with those that it is in.
 
-    An element that speaks against its text is ignored where it wraps the page: it holds all articles, or, on a page without,
-    nothing outside such elements is text that a page may be about, and it has most of the text.
+    ``hidden``: boilerplate by meaning; ``named`` plainly by name, ``doubtful``: the strongest doubtful name, in hundredths;
+    ``good``, ``heading``, ``header``; ``tagged``: within an article by tags alone; ``inside``: within an article that is not
+    itself in a plainly named element, nor such an element in it; ``outside``, ``beside`` of articles, where these count.
+
+    A plain name is pardoned where it wraps the page: it holds all articles; or nothing else in its article, or on a page without
+    articles nothing else at all, is text that a page may be about, and it has most of the text and is not named as readers'
+    comments, unless the page's title is in it.
     """
-    n = len(page.tags)
-    own = [page.tags[e] in MAIN_TAGS and not page.against[e] for e in range(n)]
-    held, weight = [int(x) for x in own], [0] * n
-    for text, element, *_ in page.blocks:
-        weight[element] += len(text)
-    for e in range(n - 1, 0, -1):
-        held[page.parents[e]] += held[e]
-        weight[page.parents[e]] += weight[e]
-    firm = {e for e in range(n) if page.against[e] and page.tags[e] in BOILERPLATE_TAGS}
-    wraps = {e for e in range(1, n) if page.against[e] and e not in firm and 0 < held[e] == held[0]}
-
-    def spread(flags: list[bool]) -> list[bool]:
+
+    def __init__(self, page: Page):
+        self.page, n = page, len(page.tags)
+        self.weight = [0] * n
+        for text, e, links, *_ in page.blocks:
+            self.weight[e] += len(text) - min(links, len(text))
+        main = [t in MAIN_TAGS for t in page.tags]
+        held = [int(m and not page.hidden[e] and page.strength[e] < 1) for e, m in enumerate(main)]
+        for e in range(n - 1, 0, -1):
+            self.weight[page.parents[e]] += self.weight[e]
+            held[page.parents[e]] += held[e]
+        self.hidden = self._spread(list(page.hidden))
+        self.plain = [s == 1 and not 0 < held[e] == held[0] for e, s in enumerate(page.strength)]
+        self._scopes(main)
+        self._pardon([e for e in range(n) if self.root[e] == e and e])
+        if not any(self.root):
+            self._pardon([0])
+        self._scopes(main)
+        self.named = self._spread(list(self.plain))
+        doubts = [round(100 * s) if s < 1 else 0 for s in page.strength]
+        for e in range(1, n):
+            doubts[e] = max(doubts[e], doubts[page.parents[e]])
+        self.doubtful, self.good = doubts, self._spread(list(page.good))
+        self.heading, self.header = self._spread([t in _HEADINGS for t in page.tags]), self._spread([t == "header" for t in page.tags])
+        self.tagged = self._spread([m and not h for m, h in zip(main, self.hidden)])
+        self.inside = [bool(r) for r in self.root]
+        articles = sum(self.weight[e] for e in range(1, n) if self.root[e] == e)
+        loose = sum(len(text) - min(links, len(text)) for text, e, links, *_ in page.blocks if not self.hidden[e] and not self.named[e] and not self.inside[e])
+        counts = articles > 0 and articles >= ARTICLES * (articles + loose)
+        self.outside = [counts and not r for r in self.root]
+        own = [0] * n  # text of articles within each main
         for e in range(1, n):
-            flags[e] = flags[e] or flags[page.parents[e]]
+            if page.tags[e] == "article" and self.root[e] and self.root[e] != e and not self.article[page.parents[e]]:
+                own[self.root[e]] += self.weight[e]
+        self.beside = [bool(r) and not self.article[e] and 2 * own[r] >= self.weight[r] > 0 for e, r in enumerate(self.root)]
+
+    def _spread(self, flags: list[bool]) -> list[bool]:
+        for e in range(1, len(flags)):
+            flags[e] = flags[e] or flags[self.page.parents[e]]
         return flags
 
-    if not held[0]:
-        under = spread([page.against[e] or page.tags[e] == "header" for e in range(n)])
-        if not any(not under[e] and text.count(" ") + 1 >= _SOLID and 2 * links < len(text) for text, e, links, *_ in page.blocks):
-            outer = [e for e in range(1, n) if page.against[e] and e not in firm and not under[page.parents[e]]]
-            if outer:
-                wraps.add(max(outer, key=lambda e: (weight[e], -e)))
-    against = spread([page.against[e] and e not in wraps for e in range(n)])
-    heading, header = spread([t in _HEADINGS for t in page.tags]), spread([t == "header" for t in page.tags])
-    return spread(list(page.good)), against, heading, header, spread([t in MAIN_TAGS for t in page.tags])
+    def _scopes(self, main: list[bool]) -> None:
+        """Of each element the outermost article that it is in, 0 if none, and whether it is in an ``article`` proper."""
+        page, n = self.page, len(self.page.tags)
+        self.root, self.article, under = [0] * n, [False] * n, [False] * n
+        for e in range(1, n):
+            p = page.parents[e]
+            under[e] = under[p] or self.hidden[e] or self.plain[e]
+            if not under[e]:
+                self.root[e] = self.root[p] or (e if main[e] else 0)
+                self.article[e] = self.article[p] or page.tags[e] == "article"
+
+    def _pardon(self, scopes: list[int]) -> None:
+        """In each of these elements, which are not in one another, pardon the plain name that has nearly all the text, if any has."""
+        page, n = self.page, len(self.page.tags)
+        scope, outer, solid, tops = [0] * n, [0] * n, set(), set(scopes)
+        whole = scopes == [0]
+        for e in range(1, n):
+            p = page.parents[e]
+            scope[e] = e if e in tops else scope[p]
+            outer[e] = outer[p] or (e if (self.plain[e] or page.tags[e] == "header" and whole) and (whole or scope[e]) and scope[e] != e else 0)
+        best: dict[int, int] = {}
+        titled = [t == "h1" for t in page.tags]  # holds a title, as readers' comments don't
+        for e in range(n - 1, 0, -1):
+            titled[page.parents[e]] |= titled[e]
+        for text, e, links, *_ in page.blocks:
+            if (whole or scope[e]) and not outer[e] and not self.hidden[e] and text.count(" ") + 1 >= _SOLID and 2 * links < len(text):
+                solid.add(scope[e])
+        for e in range(1, n):
+            if outer[e] == e and self.plain[e] and (titled[e] or not page.comments[e]) and not self.hidden[e] and scope[e] not in solid:
+                if scope[e] not in best or self.weight[e] > self.weight[best[scope[e]]]:
+                    best[scope[e]] = e
+        for e in best.values():
+            self.plain[e] = False
+
+    def kind(self, text: str, e: int, links: int) -> tuple:
+        """What ``_features`` takes."""
+        return *_counts(text, links), self.heading[e], self.named[e], self.doubtful[e]
 
 
 def scores(page: Page, weights: tuple[float, ...] = START) -> list[float]:
     """Of each block, how much speaks for content."""
-    good, against, heading, header, inside = _around(page)
+    a = _Around(page)
     out = []
     for text, e, links, *_ in page.blocks:
-        z = sum(w * x for w, x in zip(weights, _features(*_counts(text, links), heading[e])))
-        z += FOR * good[e] - AGAINST * against[e]
-        if header[e]:
-            z -= AGAINST * (not heading[e]) + AGAINST * (not inside[e])
+        z = sum(w * x for w, x in zip(weights, _features(*a.kind(text, e, links))))
+        z -= AGAINST * a.hidden[e]
+        z += NAMED_FOR * (a.good[e] and not a.inside[e] and not a.named[e])
+        if a.outside[e]:
+            z -= OUTSIDE
+        elif a.beside[e] and not a.heading[e]:
+            z -= BESIDE
+        else:
+            z += FOR * a.inside[e]
+        if a.header[e]:
+            z -= AGAINST * (not a.heading[e]) + AGAINST * (not a.inside[e])
         out.append(z)
     return out
 
 
-def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, prior: float = PRIOR) -> tuple[float, ...]:
-    """Weights of the classifier, trained on the blocks of the first ``sample`` pages with a html.
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, prior: float = PRIOR, id_col: str = "page_id") -> tuple[float, ...]:
+    """Weights of the classifier, trained on the blocks of the ``sample`` pages with a html that are first by identifier.
 
-    Blocks within an article are content and those within elements that speak against their text are not; others don't count.
-    Both kinds weigh as much in all. Tasks hand on counts of equal blocks, a few thousand rows at most. Without labelled blocks
-    of both kinds the weights are ``START``.
+    Tags alone label: blocks within an article are content; those within boilerplate elements are not, nor is what is outside all
+    articles of a page that has some. Names and texts don't label, so their weights are learned. Both kinds weigh as much in
+    all. Tasks hand on counts of equal blocks, a few thousand rows at most. Without both kinds the weights are ``START``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,19 +363,19 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, pr
             rows = []
             for source in batch.column(0).to_pylist():
                 page = Page(source)
-                _, against, heading, header, inside = _around(page)
+                a = _Around(page)
                 for text, e, links, *_ in page.blocks:
-                    if inside[e] != against[e] and not header[e]:
-                        rows.append((inside[e], *_counts(text, links), heading[e]))
-            columns = [pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(6)]
+                    if not a.header[e] and (a.tagged[e] or a.hidden[e] or a.outside[e]):
+                        rows.append((a.tagged[e] and not a.hidden[e], *a.kind(text, e, links)))
+            columns = [pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(len(_SEEN))]
             yield pa.RecordBatch.from_arrays(columns, _SEEN)
 
-    first = pages.select(F.col(html_col).alias("html")).where("html is not null").limit(sample)
-    seen = first.mapInArrow(frugal(run), ", ".join(f"{c} long" for c in _SEEN)).groupBy(*_SEEN).agg(F.count(F.lit(1)).alias("n")).orderBy(*_SEEN).collect()
+    first = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html is not null").orderBy("id", "html").limit(sample)
+    seen = first.select("html").repartition(8).mapInArrow(frugal(run), ", ".join(f"{c} long" for c in _SEEN)).groupBy(*_SEEN).agg(F.count(F.lit(1)).alias("n")).orderBy(*_SEEN).collect()
     label = np.array([r["content"] for r in seen], float)
     if not len(label) or label.min() == label.max():
         return START
-    x = np.array([_features(r["words"], r["sentence"], r["links"], r["notice"], r["heading"]) for r in seen])
+    x = np.array([_features(*(r[c] for c in _SEEN[1:])) for r in seen])
     n = np.array([r["n"] for r in seen], float)
     share = n / np.where(label == 1, 2 * n[label == 1].sum(), 2 * n[label == 0].sum())
     start = np.array(START)
@@ -303,7 +390,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES, pr
     return tuple(round(float(w), 9) for w in weights)
 
 
-_SEEN = ["content", "words", "sentence", "links", "notice", "heading"]
+_SEEN = ["content", "words", "sentence", "links", "notice", "heading", "named", "doubtful"]
 
 
 def edges(page: Page) -> list[tuple[int, int, float]]:

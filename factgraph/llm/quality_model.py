@@ -3,9 +3,11 @@
 The model is trained per language on trusted text. Tasks count the 5-grams of their own texts and Spark adds the counts up;
 lower orders use continuation counts, and each order's probabilities come from joins with the order below. The result is
 written in shards of bounded size by hash of the n-gram, each sorted. A scoring task counts the distinct n-grams of a run of
-texts, sends each to the one shard that may have it and merges them with it, so that a run reads a shard once. A document is
-rejected when its log-perplexity is above its language's threshold, which comes from quantiles of trusted documents that were
-held out of training.
+texts, sends each to the one shard that may have it and merges them with it, so that a run reads a shard once at most.
+
+Texts are dealt to folds by their hash, and each fold is scored by a model of the trusted texts of all others. So every trusted
+document is counted and has a score by a model that has not seen it, or a copy of it, and a language's threshold is the plain
+quantile of the scores of all its trusted documents. A document is rejected when its log-perplexity is above it.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import functools
 import io
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +32,14 @@ ORDER, BITS = 5, 12
 #: Classes of characters: 0 fills the beginnings of texts, 1 is any character without a class of its own, the others are the
 #: ``CLASSES - 2`` most frequent code points of a language's trusted text.
 CLASSES = 1 << BITS
-#: One in so many trusted documents is held out of training for the quantiles.
-HELD_OUT = 5
-#: The threshold: this quantile of the held-out documents' log-perplexity. A margin of so many times its distance from the
-#: median can be put on top; none by default.
-QUANTILE, MARGIN = 0.99, 0.0
-#: Entries of a shard (13 bytes each) and shards that a worker keeps during a task.
-SHARD_ENTRIES, KEPT_SHARDS = 2_000_000, 4
-#: Languages that a model may have; an alphabet of each is held by the driver and by every task.
+#: Folds; a trusted document is counted in the models of all folds but its own.
+FOLDS = 2
+#: The threshold: this quantile of the trusted documents' log-perplexity.
+QUANTILE = 0.99
+#: Entries of a shard (13 bytes each), bytes of shards that a worker keeps during a task, and runs of texts that are scored
+#: together where the shards of a model take more, so that each is read once for all of them.
+SHARD_ENTRIES, KEPT_BYTES, RUNS = 2_000_000, 104_000_000, 16
+#: Languages, times folds, that models may have; an alphabet of each is held by the driver and by every task.
 MAX_LANGUAGES = 2_000
 #: Trusted identifiers are broadcast up to so many rows; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -207,108 +210,135 @@ def train(trusted: DataFrame) -> Model:
     return Model(folder, shards, alphabet)
 
 
-@functools.lru_cache(maxsize=KEPT_SHARDS)
+#: Shards that this worker has read, those used last at the end.
+_KEPT: OrderedDict[tuple[str, str], dict[int, tuple[np.ndarray, np.ndarray]]] = OrderedDict()
+
+
 def _shard(folder: str, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Sorted n-grams and values of a shard, by kind."""
     if not name:
         return {}
+    if (folder, name) in _KEPT:
+        _KEPT.move_to_end((folder, name))
+        return _KEPT[folder, name]
     fs, root = filesystem(folder)
     with fs.open_input_file(f"{root}/{name}") as f:
         data = np.load(io.BytesIO(f.read()))
         kind, key, value = data["kind"], data["key"], data["value"]
     kinds, begins = np.unique(kind, return_index=True)
-    return {int(k): (key[a:b], value[a:b]) for k, a, b in zip(kinds, begins, [*begins[1:], len(kind)])}
-
-
-def _values(folder: str, shards: list[str], asked: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of sorted n-grams by kind the values, and whether they are there. Each is asked of the one shard that may have it."""
-    out = {kind: (np.zeros(len(keys)), np.zeros(len(keys), bool)) for kind, keys in asked.items()}
-    route = {kind: keys % _SPREAD % len(shards) for kind, keys in asked.items()}
-    for s, name in enumerate(shards):
-        for kind, (there, values) in _shard(folder, name).items():
-            own = np.flatnonzero(route[kind] == s)
-            keys = asked[kind][own]
-            at = np.minimum(np.searchsorted(there, keys), len(there) - 1)
-            hit = there[at] == keys
-            out[kind][0][own[hit]], out[kind][1][own[hit]] = values[at[hit]], True
-    return out
-
-
-def log_perplexity(model: Model, lang: str, texts: list[str], table: np.ndarray | None = None) -> list[float | None]:
-    """Mean negative log-probability of a character; None for empty texts."""
-    packed, n = grams(texts, class_table(model.alphabet[lang]) if table is None else table)
-    if not len(packed):
-        return [None] * len(texts)
-    keys, place = {}, {}
-    keys[ORDER], place[ORDER] = np.unique(packed, return_inverse=True)
-    for k in range(ORDER - 1, 0, -1):
-        keys[k], place[k] = np.unique(keys[k + 1] & ((1 << (BITS * k)) - 1), return_inverse=True)
-    contexts = {k: np.unique(keys[k] >> BITS, return_inverse=True) for k in keys}
-    found = _values(model.folder, model.shards[lang], keys | {-k: c[0] for k, c in contexts.items()})
-    score = -np.log(len(model.alphabet[lang]) + 1)
-    for k in range(1, ORDER + 1):
-        value, there = found[k]
-        below = score if k == 1 else score[place[k - 1]]
-        score = np.where(there, value, found[-k][0][contexts[k][1]] + below)
-    sums = np.bincount(np.repeat(np.arange(len(n)), n), score[place[ORDER]], len(n))
-    return [-float(s) / int(c) if c else None for s, c in zip(sums, n)]
+    read = {int(k): (key[a:b], value[a:b]) for k, a, b in zip(kinds, begins, [*begins[1:], len(kind)])}
+    _KEPT[folder, name] = read
+    while len(_KEPT) > 1 and sum(key.nbytes + value.nbytes for shard in _KEPT.values() for key, value in shard.values()) > KEPT_BYTES:
+        _KEPT.popitem(last=False)
+    return read
+
+
+class _Run:
+    """A run of texts of a language: their distinct n-grams of every order and contexts, and what the model says of them."""
+
+    def __init__(self, texts: list[str], table: np.ndarray):
+        packed, self.n = grams(texts, table)
+        self.keys, self.place = {}, {}
+        self.keys[ORDER], self.place[ORDER] = np.unique(packed, return_inverse=True)
+        for k in range(ORDER - 1, 0, -1):
+            self.keys[k], self.place[k] = np.unique(self.keys[k + 1] & ((1 << (BITS * k)) - 1), return_inverse=True)
+        self.contexts = {}
+        for k in range(1, ORDER + 1):
+            self.keys[-k], self.contexts[k] = np.unique(self.keys[k] >> BITS, return_inverse=True)
+        self.values = {kind: np.zeros(len(keys)) for kind, keys in self.keys.items()}
+        self.there = {kind: np.zeros(len(keys), bool) for kind, keys in self.keys.items()}
+
+    def ask(self, folder: str, shards: list[str], s: int) -> None:
+        """Values of the n-grams that shard ``s`` may have; it is read only if there are any."""
+        own = {kind: np.flatnonzero(keys % _SPREAD % len(shards) == s) for kind, keys in self.keys.items()}
+        if not any(map(len, own.values())):
+            return
+        for kind, (there, values) in _shard(folder, shards[s]).items():
+            asked = self.keys[kind][own[kind]]
+            at = np.minimum(np.searchsorted(there, asked), len(there) - 1)
+            hit = there[at] == asked
+            self.values[kind][own[kind][hit]], self.there[kind][own[kind][hit]] = values[at[hit]], True
+
+    def log_perplexity(self, letters: int) -> list[float | None]:
+        score = -np.log(letters + 1)
+        for k in range(1, ORDER + 1):
+            below = score if k == 1 else score[self.place[k - 1]]
+            score = np.where(self.there[k], self.values[k], self.values[-k][self.contexts[k]] + below)
+        sums = np.bincount(np.repeat(np.arange(len(self.n)), self.n), score[self.place[ORDER]], len(self.n))
+        return [-float(s) / int(c) if c else None for s, c in zip(sums, self.n)]
+
+
+def log_perplexity(model: Model, lang: str, *texts: list[str], table: np.ndarray | None = None) -> list[list[float | None]]:
+    """Mean negative log-probability of a character, for each text of each run of texts; None for empty texts.
+
+    A shard is read once at most, whatever the number of runs.
+    """
+    table = class_table(model.alphabet[lang]) if table is None else table
+    runs = [_Run(own, table) for own in texts]
+    for s in range(len(model.shards[lang])):
+        for run in runs:
+            run.ask(model.folder, model.shards[lang], s)
+    return [run.log_perplexity(len(model.alphabet[lang])) for run in runs]
 
 
 def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``doc_id``, ``lang``, ``n_chars``, ``log_perplexity`` (null for empty texts and languages without a model)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    together = 1 if 13 * SHARD_ENTRIES * sum(map(len, model.shards.values())) <= KEPT_BYTES else RUNS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model, tables = shared.value, {}
-        try:
-            for part, texts in slices(batches, "text", _SLICE):
-                out: list[float | None] = [None] * len(texts)
+
+        def score(held: list[tuple[pa.RecordBatch, list[str]]]) -> Iterator[pa.RecordBatch]:
+            out: list[list[float | None]] = [[None] * len(texts) for _, texts in held]
+            asked: dict[str, list[tuple[int, list[int], list[str]]]] = {}
+            for k, (part, texts) in enumerate(held):
                 for lang, at, own in _by_language(part, texts):
                     if lang in model.shards:
-                        if lang not in tables:
-                            tables[lang] = class_table(model.alphabet[lang])
-                        for i, v in zip(at, log_perplexity(model, lang, own, tables[lang])):
-                            out[i] = v
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(map(len, texts), pa.int64()), pa.array(out, pa.float64())], ["doc_id", "lang", "n_chars", "log_perplexity"])
+                        asked.setdefault(lang, []).append((k, at, own))
+            for lang, runs in asked.items():
+                if lang not in tables:
+                    tables[lang] = class_table(model.alphabet[lang])
+                for (k, at, _), values in zip(runs, log_perplexity(model, lang, *(own for *_, own in runs), table=tables[lang])):
+                    for i, v in zip(at, values):
+                        out[k][i] = v
+            for (part, texts), values in zip(held, out):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(map(len, texts), pa.int64()), pa.array(values, pa.float64())], ["doc_id", "lang", "n_chars", "log_perplexity"])
+
+        try:
+            held = []
+            for part in slices(batches, "text", _SLICE):
+                held.append(part)
+                if len(held) == together:
+                    yield from score(held)
+                    held = []
+            yield from score(held)
         finally:
-            _shard.cache_clear()
+            _KEPT.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     return rows.mapInArrow(frugal(run), "doc_id long, lang string, n_chars long, log_perplexity double")
 
 
-def _stretch(quantile: float, n: int) -> float:
-    """By how much the distance of a sample's quantile from its median falls short of the true one, for samples too small to reach it.
-
-    The largest of ``n`` values lies at the quantile ``1 - 1 / (n + 1)``; beyond it the tail is taken to be exponential.
-    """
-    rare = 1 - quantile
-    return 1.0 if not 0 < rare < 0.5 or rare * (n + 1) >= 1 else float(np.log(0.5 / rare) / np.log((max(n, 3) + 1) / 2))
-
-
-def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``lang``, ``threshold``: exact quantiles of log-perplexity in steps of a thousandth, extrapolated where a language has fewer documents than show the quantile."""
+def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``lang``, ``threshold``: the least log-perplexity, in thousandths, that the share ``quantile`` of a language's scores does not exceed."""
     bins = scores.where("log_perplexity is not null").groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-    def cut(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin")
-        share = frame["n"].cumsum() / frame["n"].sum()
-        at = lambda q: float(frame["bin"].to_numpy()[np.searchsorted(share.to_numpy(), q - 1e-12)]) / 1000
-        high, middle = at(quantile), at(0.5)
-        return pd.DataFrame({"lang": [key[0]], "threshold": [middle + (_stretch(quantile, int(frame["n"].sum())) + margin) * (high - middle)]})
-
-    return bins.groupBy("lang").applyInPandas(cut, "lang string, threshold double")  # a language's bins are a few thousand
+    up_to = Window.partitionBy("lang").orderBy("bin")  # a language's bins are a few thousand
+    share = bins.select("lang", "bin", (F.sum("n").over(up_to) / F.sum("n").over(Window.partitionBy("lang"))).alias("share"))
+    return share.where(F.col("share") >= quantile - 1e-12).groupBy("lang").agg((F.min("bin") / 1000).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, held_out: int = HELD_OUT) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, folds: int = FOLDS) -> DataFrame:
     """One row per input row: ``id_col``, ``lang``, ``n_chars``, ``log_perplexity``, ``threshold``, ``kept``.
 
     Trusted are the documents whose labels all say quality 1 and none says toxic 1 (where labels have ``toxic``); every one of
-    them is counted or held out. A null or empty text is rejected. A language without trusted text has no model, and one of
-    which no trusted document was held out has no threshold: their documents are kept, with nulls. A null language is the
-    language ``''``. Repeated rows get equal scores, and trusted ones count as often as they are there. Texts of any length
-    are scored whole. Other columns of either table don't matter; an empty table gives no rows.
+    them is counted, in the models of all folds but its own. A null or empty text is rejected. A fold of a language without
+    trusted text in other folds has no model, and a language none of whose trusted documents has a score no threshold: their
+    documents are kept, with nulls. A null language is the language ``''``. Repeated rows get equal scores, and trusted ones
+    count as often as they are there. Texts of any length are scored whole. Other columns of either table don't matter; an empty
+    table gives no rows. Trusted text in more than ``MAX_LANGUAGES / folds`` languages is refused (ValueError).
     """
     spark = docs.sparkSession
     fine = F.min("quality") == 1
@@ -317,12 +347,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = written(labels.where("doc_id is not null").groupBy("doc_id").agg(fine.alias("fine")).where("fine").select(F.col("doc_id").cast("long").alias("_trusted")), "trusted")
     ids = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
-    trusted = given.where(~fold & (F.length("text") > 0)).join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    model = train(trusted.select("lang", "text"))
-    scores = written(scored(given, model, "doc_id", "text", "lang"), "scores")
-    held = scores.where(fold).join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    limits = F.broadcast(written(thresholds(held, quantile, margin), "thresholds"))  # a row per language
+    fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")
+    trusted = given.where(F.length("text") > 0).join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    others = F.explode(F.filter(F.array(*map(F.lit, range(folds))), lambda f: f != F.col("fold"))).alias("fold")
+    counts = trusted.select("lang", "text", fold.alias("fold")).select("lang", "text", others).select(F.concat_ws(":", "fold", "lang").alias("lang"), "text")
+    model = train(counts)
+    scores = scored(given.withColumn("lang", F.concat_ws(":", fold, "lang")), model, "doc_id", "text", "lang")
+    scores = written(scores.withColumn("lang", F.substring("lang", F.instr("lang", ":") + 1, F.length("lang"))), "scores")
+    own = scores.join(ids, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    limits = F.broadcast(written(thresholds(own, quantile), "thresholds"))  # a row per language
     out = scores.join(limits, "lang", "left")
     bad = (F.col("n_chars") == 0) | (F.col("log_perplexity") > F.col("threshold"))
     return out.select(F.col("doc_id").alias(id_col), "lang", "n_chars", "log_perplexity", "threshold", (~F.coalesce(bad, F.lit(False))).alias("kept"))

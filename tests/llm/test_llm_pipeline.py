@@ -33,16 +33,14 @@ def classified(rows, labels, folds):
     kept = set()
     for lang in {r[2] for r in rows.values()}:
         own = {i: r[1] for i, r in rows.items() if r[2] == lang}
-        trusted = [t for i, t in own.items() if i in good and not folds[i] and t]
-        if not trusted:
-            kept |= {i for i, t in own.items() if t}
-            continue
-        score = kneser_ney(trusted)[0]
-        values = {i: score(t) for i, t in own.items() if t}
-        held = sorted(round(values[i], 3) for i in own if i in good and folds[i] and own[i])
-        at = lambda q: held[int(np.ceil(q * len(held) - 1e-9)) - 1]
-        limit = at(0.5) + quality_model._stretch(0.99, len(held)) * (at(0.99) - at(0.5)) if held else np.inf
-        kept |= {i for i, v in values.items() if v <= limit}
+        values = {}
+        for fold in range(quality_model.FOLDS):
+            trusted = [t for i, t in own.items() if i in good and folds[i] != fold and t]
+            score = kneser_ney(trusted)[0] if trusted else None
+            values |= {i: score(t) for i, t in own.items() if folds[i] == fold and t and score}
+        own_scores = sorted(round(values[i], 3) for i in own if i in good and i in values)
+        limit = own_scores[int(np.ceil(0.99 * len(own_scores) - 1e-9)) - 1] if own_scores else np.inf
+        kept |= {i for i, t in own.items() if t and values.get(i, -np.inf) <= limit}
     return kept
 
 
@@ -50,7 +48,7 @@ def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = rows_of(docs)
     labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
-    folds = {r["doc_id"]: r["f"] for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(quality_model.HELD_OUT)) == 0).alias("f")).collect()}
+    folds = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(quality_model.FOLDS)).alias("f")).collect()}
 
     docs = written(STAGES["quality classifier"](spark, docs, SF), "test-1")
     kept = classified(rows, labels, folds)
