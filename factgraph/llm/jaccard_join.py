@@ -3,8 +3,9 @@
 Sets that are at least three quarters alike share a token among the first quarter of their tokens in *any* order that all
 documents agree on. Here three orders are used: by hash upwards, by hash downwards, and by frequency class (then hash).
 
-1. By hash upwards: every document sends the beginning of its set, and what tokens occur twice comes back as a bitmap of
-   fixed size. A document of which too few beginning tokens are shared has no partner and ends here.
+1. By hash upwards: every document sends the beginning of its set, and what tokens occur twice comes back: as a bitmap of fixed
+   size where they fill an eighth of it at most, by a join where they are more. A document of which too few beginning tokens
+   are shared has no partner and ends here. The frequency classes of the second step come back in the same two ways.
 2. By frequency class: the tokens of the remaining distinct sets are counted; rare ones come first, so that passages and
    stock phrases are hardly ever among the beginnings. Sets that share a beginning token are candidates. In a few rounds each
    set is compared with one leader of its buckets that it is not joined with yet, another one each time; sets that links
@@ -39,8 +40,11 @@ SURPLUS = 8
 MAP_BITS, CLASS_BITS, CLASSES = 1 << 27, 1 << 24, (2, 16, 256)
 #: Links that one task may join into components; beyond, rounds of distributed joins do.
 LINKS_IN_ONE_TASK = 1_000_000
-#: Rounds of stars before all pairs that are left are compared; they only save comparisons.
-ROUNDS = 4
+#: Rounds of stars before all pairs that are left are compared; they only save comparisons, and one that finds fewer links than
+#: this share of the sets is the last.
+ROUNDS, FEW_LINKS = 4, 0.001
+#: Bits of a bitmap for each token in it at least; with fewer it would let too much through.
+LOOSE = 8
 #: Single pairs of two components that are tried before all of theirs are.
 TRIES = 2
 #: A component of which a bucket has at least so many sets, and this share, is met as a whole instead of bucket by bucket.
@@ -291,37 +295,64 @@ def _joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     started = _beginnings(rows.select("text"), words, percent).repartition(tasks, "token")
     shared = written(_counted(started, 2).select("token"), "shared")
-    alive = spark.sparkContext.broadcast(_bitmap(spark, shared, MAP_BITS))
-    forget(shared)
+    by_join = shared.count() * LOOSE > MAP_BITS
+    alive = None if by_join else spark.sparkContext.broadcast(_bitmap(spark, shared, MAP_BITS))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = alive.value
+        bitmap = None if alive is None else alive.value
         for part, texts in slices(batches, "text", _SLICE):
             out = []
             for text in texts:
                 tokens = shingles(text, words)
                 n = len(tokens)
                 start = tokens[: begin(n, percent, _extra(n))]
-                lives = n and int(_holds(bitmap, start).sum()) >= _least(n, percent)
+                lives = n and (bitmap is None or int(_holds(bitmap, start).sum()) >= _least(n, percent))
                 out.append((n, xxhash.xxh3_128_digest(tokens.tobytes()) if n else None, tokens if lives else None))
             n, marks, tokens = zip(*out)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "hash", "n", "set", "tokens"])
 
     taken = written(rows.mapInArrow(frugal(take), "doc_id long, hash long, n long, set binary, tokens array<long>"), "taken")
-    alive.unpersist()
     heads = taken.select("doc_id", "hash", "n", "set")
+    living = taken.where("tokens is not null").select("set", "n", "tokens")
+    if by_join:
+        living = living.join(_living(living, shared, percent), "set", "left_semi")
+    else:
+        alive.unpersist()
     classes = written(heads.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "sets")
-    linked, tables = _linked(taken.where("tokens is not null").select("set", "n", "tokens"), percent)
+    linked, tables = _linked(living, percent)
     # Of each component the smallest identifier; then every row asks its set.
     together = classes.join(linked, "set", "left")
     lowest = together.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low"))
     answer = written(together.join(lowest, "comp", "left").select("set", F.coalesce("low", "rep").alias("component_id"), "size"), "answers")
-    forget(classes, *tables)
+    forget(shared, classes, *tables)
     total = heads.count()
     out = attach(heads, answer, "set", "size", total)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("hash").alias("_text"))
 
 
+def _living(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """``set`` of the sets of whose beginnings enough tokens are ``shared``: what the bitmap tells, without false hits."""
+    need = lambda c: F.ceil(c * percent / 100)
+    extra = lambda c: F.greatest(F.lit(1), F.floor(c * SURPLUS / 100))
+    n = F.col("n")
+    size = F.least(n, n - need(n) + extra(n)).cast("int")
+    least = F.least(extra(need(n)), extra(n))
+    asked = sets.dropDuplicates(["set"]).select("set", least.alias("least"), F.explode(F.slice("tokens", F.lit(1), size)).alias("token"))
+    return asked.join(shared, "token").groupBy("set").agg(F.count(F.lit(1)).alias("found"), F.first("least").alias("least")).where("found >= least").select("set")
+
+
+def _ordered(sets: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """``token``, ``sid``, ``n``, ``pos``, ``before`` of the beginnings by frequency class, the classes found by a join."""
+    kind = functools.reduce(lambda a, b: a + b, ((F.col("m") >= least).cast("int") for least in CLASSES))
+    rows = sets.select("sid", "n", F.explode("tokens").alias("token")).join(often.select("token", F.col("n").alias("m")), "token", "left")
+    size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    order = rows.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(kind, F.lit(0)).alias("kind"), "token"))).alias("all"))  # a set's own tokens
+    first = order.select("sid", "n", F.slice("all", F.lit(1), size).alias("first"))
+    each = first.select("sid", "n", "first", F.posexplode("first").alias("pos", "x"))
+    before = F.when(F.col("pos") == 0, F.col("sid")).otherwise(F.get("first", F.col("pos") - 1)["token"])
+    return each.where("x.kind > 0").select("x.token", "sid", "n", F.col("pos").cast("long").alias("pos"), before.alias("before"))
+
+
 def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """``set``, ``comp`` of the distinct sets that have a link, and the tables that it reads."""
     spark = taken.sparkSession
@@ -351,8 +382,9 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
                 yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 1_000_000]), pa.array(n[at : at + 1_000_000].astype(np.int64))], ["token", "n"])
 
     often = written(counts.mapInArrow(frugal(total), "token long, n long"), "often")
-    maps = spark.sparkContext.broadcast([_bitmap(spark, often.where(F.col("n") >= least).select("token"), MAP_BITS if k == 0 else CLASS_BITS) for k, least in enumerate(CLASSES)])
-    forget(often)
+    wide = often.agg(*(F.count_if(F.col("n") >= least).alias(str(k)) for k, least in enumerate(CLASSES))).first()
+    by_join = any(wide[k] * LOOSE > (MAP_BITS if k == 0 else CLASS_BITS) for k in range(len(CLASSES)))
+    maps = None if by_join else spark.sparkContext.broadcast([_bitmap(spark, often.where(F.col("n") >= least).select("token"), MAP_BITS if k == 0 else CLASS_BITS) for k, least in enumerate(CLASSES)])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,13 +400,17 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own)], ["token", "sid", "n", "pos", "before"])
 
-    buckets = written(sets.select("sid", "n", "tokens").mapInArrow(frugal(first), "token long, sid long, n long, pos long, before long"), "buckets")
-    maps.unpersist()
+    if by_join:
+        buckets = written(_ordered(sets, often, percent), "buckets")
+    else:
+        buckets = written(sets.select("sid", "n", "tokens").mapInArrow(frugal(first), "token long, sid long, n long, pos long, before long"), "buckets")
+        maps.unpersist()
+    forget(often)
     edges = written(_edges(sets, percent), "edges")
     # Stars: in each round every bucket has another leader, and each set not joined with its buckets' leaders meets one of these;
     # from the second on, when far fewer rows are left, one that the parity bitmaps allow.
     signs = written(_signatures(sets), "signatures")
-    live, comps, links = buckets, None, []
+    live, comps, links, n_sets = buckets, None, [], sets.count()
     for k in range(ROUNDS):
         rows = live if comps is None else live.drop("comp").join(comps, "sid", "left")
         rows = rows.withColumn("comp", F.col("sid") if comps is None else F.coalesce("comp", "sid"))
@@ -390,10 +426,13 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
         rank = F.struct(F.col("x.pos") + F.col("y.pos"), F.xxhash64("x.sid", F.lit(k))) if k % 2 == 0 else F.xxhash64("x.token", "y.sid", F.lit(k))
         star = live.alias("y").join(leaders.alias("x"), may).groupBy(F.col("y.sid").alias("b")).agg(F.min_by("x.sid", rank).alias("a"))
         found = _verified(star.select("a", "b"), edges, sets, percent, f"links-{k}")
-        if found.isEmpty():
-            break
         links.append(found)
+        few = found.count()
+        if not few:
+            break
         comps = written(components(functools.reduce(DataFrame.unionByName, links), f"stars-{k}"), f"comps-{k}")
+        if few < FEW_LINKS * n_sets:
+            break
     if comps is None:
         comps = written(sets.select("sid", F.col("sid").alias("comp")).limit(0), "comps")
     # Then all that is left: what is outside a bucket's largest component, and all sets of its other components.

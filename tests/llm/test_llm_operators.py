@@ -799,6 +799,21 @@ def test_jaccard_join(spark, empty, monkeypatch):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_join_compares_no_more_where_bitmaps_would_be_full(spark, monkeypatch):
+    """Bitmaps of 1,024 bits would hold nearly every token; tokens are joined instead, with the same rows and as few pairs."""
+    rows = near_corpus()
+    compared, real = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    got = []
+    for bits in (jaccard_join.MAP_BITS, 1 << 10):
+        monkeypatch.setattr(jaccard_join, "MAP_BITS", bits)
+        monkeypatch.setattr(jaccard_join, "CLASS_BITS", bits)
+        before = len(compared)
+        got.append((Counter(tuple(r) for r in jaccard_join.join(frame(spark, rows)).collect()), sum(compared[before:])))
+    assert got[0][0] == got[1][0] == jaccard_truth(rows)
+    assert got[1][1] <= 1.05 * got[0][1] < 4 * len(rows)
+
+
 def test_counts_of_a_single_batch_add_up():
     """A task may get one batch only, with a token of several tasks in it."""
     tokens, n = jaccard_join._merge([(np.array([5, 3, 5, 3, 9]), np.array([1, 2, 1, 1, 1]))])
