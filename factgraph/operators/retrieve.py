@@ -5,7 +5,7 @@ Both ways give the same rows. ``Plain`` answers what ``SearchIndex`` answers fro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,6 +13,7 @@ from ..functions.times import decay
 from ..session import cut
 from . import graph as G
 from .index import SearchIndex, hidden, postings_of
+from .segments import SegmentIndex
 
 K1, B, BOOST, TOP_K, MAX_DEPTH = 1.2, 0.75, 2.2, 20, 10
 #: What the tools return of a hop at most: edges, assertions; and of an explanation.
@@ -49,7 +50,7 @@ class Plain:
         return rows.join(nodes.select(F.col("node_id").alias("a")).distinct(), "a", "left_semi").distinct()
 
 
-Source = SearchIndex | Plain
+Source = SearchIndex | SegmentIndex | Plain
 
 
 def over(source: Source | DataFrame) -> Source:
@@ -64,12 +65,17 @@ def bm25(source: Source | DataFrame, query: str, k: int | None = TOP_K, boost: f
     if not terms:
         return source.assertions().select("assertion_id", F.lit(0.0).alias("bm25_score")).limit(0)
     n, mean = source.statistics() if isinstance(source, Plain) else (source.n, source.mean_length)
+
+    def score(df: Column, tf: Column, dl: Column) -> Column:
+        """A term's part, by the number of assertions that have it, its occurrences and the length of the text."""
+        idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+        return idf * F.lit(boost) * tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.lit(mean)))
+
+    if isinstance(source, SegmentIndex) and k is not None and deleted is None:
+        return source.topk(terms, k, score)
     found = source.postings(terms)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term of the query
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf")
-    part = idf * F.lit(boost) * tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean)))
-    hits = hidden(found, deleted).join(F.broadcast(df), "term").groupBy("assertion_id").agg(F.sum(part).alias("bm25_score"))
+    hits = hidden(found, deleted).join(F.broadcast(df), "term").groupBy("assertion_id").agg(F.sum(score(F.col("df"), F.col("tf"), F.col("dl"))).alias("bm25_score"))
     return hits if k is None else hits.orderBy(F.desc(F.round("bm25_score", 9)), "assertion_id").limit(k)
 
 

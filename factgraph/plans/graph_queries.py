@@ -13,15 +13,26 @@ from ..operators import deltas as D
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import retrieve as R
-from ..session import scratch
+from ..operators import segments as S
+from ..session import hadoop, scratch
 from .fixtures import FACTS, assertions, facts
 from .registry import query
 
-_INDEXES: dict[tuple[str, str], I.SearchIndex] = {}
+_INDEXES: dict[tuple, I.SearchIndex] = {}
+_TABLES = ("customer", "orders", "lineitem", "nation", "region")
+
+
+def _index_key(spark, sf) -> tuple:
+    """The application and the tables' files as they are now: a table that is written again gets another index."""
+    files = []
+    for name in _TABLES:
+        path, fs = hadoop(spark, f"{sf}/{name}.parquet")
+        files += [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return spark.sparkContext.applicationId, sf, tuple(files)
 
 
 def index(spark, sf) -> I.SearchIndex:
-    key = spark.sparkContext.applicationId, sf
+    key = _index_key(spark, sf)
     if key not in _INDEXES:
         _INDEXES[key] = I.build(assertions(spark, sf), scratch(spark, "index"))
     return _INDEXES[key]
@@ -71,6 +82,41 @@ def bm25_topk(spark, sf):
     return R.bm25(index(spark, sf), TEXT).select("assertion_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+_SEGMENTS: dict[tuple, S.SegmentIndex] = {}
+
+
+def segments(spark, sf) -> S.SegmentIndex:
+    """An index that grew: two thirds of the facts, then the rest, then without one document; and both additions merged."""
+    key = _index_key(spark, sf)
+    if key not in _SEGMENTS:
+        rows = assertions(spark, sf)
+        grown = S.build(rows.where("seq % 3 != 0"), scratch(spark, "segments")).append(rows.where("seq % 3 = 0"))
+        _SEGMENTS[key] = grown.delete(spark.createDataFrame([("provides",)], "document_id string"))
+    return _SEGMENTS[key]
+
+
+#: The facts that are left, in place of all of them, for questions in SQL.
+REST = FACTS.replace("FROM facts),", "FROM facts WHERE document_id <> 'provides'),", 1)
+ASKED = "Customer_3 submits Order_7"
+
+
+@query(f"WITH {REST} {bm25_sql(20).replace(TEXT, ASKED)} SELECT assertion_id, round(bm25_score, 6) AS bm25_score FROM seeds")
+def segments_topk(spark, sf):
+    """The best assertions of an index of segments, by bounds of blocks: as of an index built afresh."""
+    return R.bm25(segments(spark, sf), ASKED).select("assertion_id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+@query(f"WITH {REST}, tok AS (SELECT row_number() OVER () AS r, assertion_id, regexp_extract_all(lower(raw_text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM assertions), e AS (SELECT r, assertion_id, len(w) AS dl, unnest(w) AS term FROM tok) SELECT term, assertion_id, CAST(count(*) AS INT) AS tf, CAST(dl AS INT) AS dl FROM e GROUP BY r, term, assertion_id, dl")
+def segments_postings(spark, sf):
+    return segments(spark, sf).postings().select("term", "assertion_id", "tf", "dl")
+
+
+@query(f"WITH {REST} {graph_sql(1).replace(TEXT, ASKED)}")
+def segments_query_graph(spark, sf):
+    """A question with one hop over an index of segments."""
+    return R.query_graph(segments(spark, sf), ASKED, 1)
+
+
 @query(f"WITH {FACTS} {graph_sql(0)}")
 def query_graph_d0(spark, sf):
     return R.query_graph(index(spark, sf), TEXT, 0)
