@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Directories whose parent names the project, and punctuation that chunk normalisation deletes.
@@ -54,12 +54,22 @@ def in_order(words: Column, text: Column) -> Column:
 
 def grounded(raw: Column, chunk: Column) -> Column:
     """Whether a chunk supports a quoted text: whole, from its fourth word on, or its words in order."""
-    raw, chunk = normalize_grounding(raw), normalize_grounding(chunk)
+    return grounded_in(normalize_grounding(raw), normalize_grounding(chunk))
+
+
+def grounded_in(raw: Column, chunk: Column) -> Column:
+    """``grounded`` of texts that are in normal form; both are read several times, so they should be columns."""
     words = F.filter(F.split(raw, " "), lambda w: w != "")
     n = F.size(words)
     whole = chunk.contains(raw)
     tail = chunk.contains(F.array_join(F.slice(words, F.least(F.lit(3), n - 3) + 1, n), " "))
-    return whole | F.when(n > 4, tail | in_order(words, chunk)).otherwise(in_order(words, chunk))
+    return F.when(whole, True).otherwise(F.when((n > 4) & tail, True).otherwise(in_order(words, chunk)))
+
+
+def with_grounded(records: DataFrame, raw: str, chunk: str, name: str) -> DataFrame:
+    """``records`` with whether their chunk supports them; each text is brought to its normal form once. Null texts support nothing."""
+    out = records.withColumn("_raw_form", normalize_grounding(F.col(raw))).withColumn("_chunk_form", normalize_grounding(F.col(chunk)))
+    return out.withColumn(name, F.coalesce(grounded_in(F.col("_raw_form"), F.col("_chunk_form")), F.lit(False))).drop("_raw_form", "_chunk_form")
 
 
 def normalize_entity(c: Column) -> Column:

@@ -26,11 +26,14 @@ def validate(records: DataFrame, active: DataFrame, aliases: DataFrame, chunk: s
 
     A record whose only fault is its predicate is collapsed to the nearest active name within two edits, else queued.
     """
-    # Grounding is by far the dearest rule: once a record, before the joins, which then carry no text of chunks twice.
-    known = P.resolve(records.withColumn("_grounded", F.coalesce(T.grounded(F.col("raw_text"), F.col(chunk)), F.lit(False))), active, aliases)
-    known = known.withColumn("reject_reason", reject_reason()).withColumn("_upper", F.upper("predicate"))
+    # Names are few and are resolved by themselves, the nearest of all that are not known too; so the records, whose grounding is
+    # by far the dearest rule, are gone through once.
+    names = P.resolve(records.select("predicate").distinct(), active, aliases)
+    near = P.nearest(names.where("resolved is null"), active).select(F.col("predicate").alias("_near_of"), "nearest")
+    names = names.join(near, F.upper("predicate") == F.col("_near_of"), "left").select(F.col("predicate").alias("_name"), "resolved", "nearest")
+    known = T.with_grounded(records, "raw_text", chunk, "_grounded")
+    known = known.join(names, known["predicate"] == names["_name"], "left").drop("_name").withColumn("reject_reason", reject_reason())
     only = (F.col("reject_reason") == "PREDICATE") & ~blank("raw_text") & ~blank("predicate") & F.col("_grounded")
-    near = P.nearest(known.where(only).select("predicate"), active).select(F.col("predicate").alias("_near_of"), "nearest")
-    out = known.withColumn("_only", only).join(near, F.col("_only") & (F.col("_upper") == F.col("_near_of")), "left")
+    out = known.withColumn("_only", F.coalesce(only, F.lit(False)))
     outcome = F.when(F.col("reject_reason").isNull(), "accepted").when(F.col("_only") & F.col("nearest").isNotNull(), "collapsed").when(F.col("_only"), "queued").otherwise("rejected")
-    return out.withColumn("outcome", outcome).withColumn("resolved", F.coalesce("resolved", F.when(F.col("_only"), F.col("nearest")))).drop("_upper", "_near_of", "_only", "_grounded", "nearest")
+    return out.withColumn("outcome", outcome).withColumn("resolved", F.coalesce("resolved", F.when(F.col("_only"), F.col("nearest")))).drop("_only", "_grounded", "nearest")
