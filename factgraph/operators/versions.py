@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -109,7 +110,7 @@ def admitted(calls: DataFrame, key: str, ts: str = "ts", order: str = "event_id"
     return rows.withColumn("admitted_at", F.timestamp_micros(at).cast("timestamp_ntz")).drop("_n", "_chain", "_k")
 
 
-def dedup_ttl(events: DataFrame, key: str, ts: str = "ts", hours: int = 168) -> DataFrame:
+def dedup_ttl(events: DataFrame, key: str, ts: str = "ts", hours: int = 168, mark: Column | None = None) -> DataFrame:
     """``key``, ``ts`` of accepted events: the first, then the first at least ``hours`` after the last *accepted* one.
 
     Acceptance is a chain. Events are dealt by key and sorted, and a task walks along them with one time in hand, from one
@@ -122,13 +123,18 @@ def dedup_ttl(events: DataFrame, key: str, ts: str = "ts", hours: int = 168) ->
         last_key, last = None, None
         for batch in batches:
             marks, times = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            ends = [*(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
+            keys = batch.column(0)
+            other = marks[1:] != marks[:-1]
+            if batch.num_rows > 1:  # equal marks may be of two keys, whose rows follow each other
+                other |= ~pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False) & ~(pc.is_null(keys[1:]).to_numpy(zero_copy_only=False) & pc.is_null(keys[:-1]).to_numpy(zero_copy_only=False))
+            ends = [*(np.flatnonzero(other) + 1).tolist(), len(marks)]
             taken, begin = [], 0
             for end in ends:
                 if end == begin:
                     continue
-                at = begin if marks[begin] != last_key else begin + int(np.searchsorted(times[begin:end], last + ttl))
-                last_key = marks[begin]
+                own = keys[begin].as_py()
+                at = begin if last is None or own != last_key else begin + int(np.searchsorted(times[begin:end], last + ttl))
+                last_key = own
                 while at < end:
                     taken.append(at)
                     last = int(times[at])
@@ -136,9 +142,10 @@ def dedup_ttl(events: DataFrame, key: str, ts: str = "ts", hours: int = 168) ->
                 begin = end
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), batch.column(2).take(pa.array(taken, pa.int64()))], [key, "us"])
 
-    # A hash stands for the key, so that runs of equal keys are found on numbers; two keys of one hash have a chance of n^2 / 2^65.
-    rows = events.where(F.col(ts).isNotNull()).select(F.col(key), F.xxhash64(key).alias("mark"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    dealt = rows.repartition("mark").sortWithinPartitions("mark", "us").mapInArrow(walk, f"`{key}` {kind}, us long")
+    # A hash stands for the key where rows are dealt; two keys of one hash follow each other and are told apart.
+    mark = F.xxhash64(key) if mark is None else mark
+    rows = events.where(F.col(ts).isNotNull()).select(F.col(key), mark.alias("mark"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    dealt = rows.repartition("mark").sortWithinPartitions("mark", key, "us").mapInArrow(walk, f"`{key}` {kind}, us long")
     return dealt.select(key, F.timestamp_micros("us").cast("timestamp_ntz").alias(ts))
 
 

@@ -141,6 +141,38 @@ def dedup_ttl(spark, sf):
     return V.dedup_ttl(table(spark, sf, "events"), "user_id")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts FROM events), a(user_id, ts) AS (
+  SELECT user_id, min(ts) FROM e GROUP BY user_id
+  UNION ALL SELECT a.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 168 HOURS) FROM a WHERE a.ts IS NOT NULL)
+SELECT user_id, ts FROM a WHERE ts IS NOT NULL""")
+def stream_dedup_ttl(spark, sf):
+    """``dedup_ttl`` of a stream: a key's term begins when one of its events is accepted."""
+    checkpoint, out = _places(spark)
+    accepted = jobs.collected(spark, jobs.dedup_ttl(_stream(spark, sf, "events").select("user_id", "ts"), "user_id"), checkpoint, out)
+    return accepted.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"""WITH {FILE_EVENTS}, n AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS nx, max(epoch_us(ts)) OVER () AS newest FROM fe)
+SELECT event_id, path, ts, CAST(delay_s AS BIGINT) AS delay_s FROM n
+WHERE epoch_us(nx) - epoch_us(ts) >= delay_s * 1000000 OR nx IS NULL AND (epoch_us(ts) + delay_s * 1000000 + 999) // 1000 < newest // 1000""")
+def stream_debounce_kinds(spark, sf):
+    """``debounce_events`` of a stream, with the delay of each kind; what waits when the stream ends is not out yet."""
+    checkpoint, out = _places(spark)
+    e = _stream(spark, sf, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), "ts", F.when(F.col("event_type") == "signup", 1000).otherwise(2000).alias("delay_s"))
+    return jobs.collected(spark, jobs.debounce(e), checkpoint, out).select("event_id", "path", F.col("ts").cast("timestamp_ntz").alias("ts"), "delay_s")
+
+
+@query("""WITH e AS (SELECT 'u' || user_id AS path, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS INT) AS attempt, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx, max(epoch_us(ts)) OVER () AS newest FROM events WHERE event_type = 'error'),
+r AS (SELECT *, CASE WHEN attempt <= 5 THEN ts + INTERVAL (15 * CAST(pow(2, attempt - 1) AS INT)) SECONDS END AS retry_at FROM e)
+SELECT path, attempt, CASE WHEN attempt > 5 THEN 'FAILED_FATAL' ELSE 'RETRYING' END AS status, retry_at FROM r
+UNION ALL SELECT path, attempt, 'DUE', retry_at FROM r WHERE nx IS NULL AND attempt <= 5 AND epoch_us(retry_at) // 1000 < newest // 1000""")
+def stream_retry_due(spark, sf):
+    """Failures with their attempts and times, and what the timers woke by the time of the newest failure."""
+    checkpoint, out = _places(spark)
+    fails = _stream(spark, sf, "events").where("event_type = 'error'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), "ts")
+    return jobs.collected(spark, jobs.retries(fails), checkpoint, out).withColumn("retry_at", F.col("retry_at").cast("timestamp_ntz"))
+
+
 WORKERS = ("w1", "w2", "w3", "w4")
 
 
