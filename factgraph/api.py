@@ -52,13 +52,13 @@ class Graph:
         return R.ranked(R.query_graph(self.source, text, depth, cap=cap, edge_cap=edge_cap, deleted=self.deleted))
 
     def explain_path_by_assertion_id(self, assertion_id: str, cap: int | None = R.EXPLAIN_CAP) -> DataFrame:
-        return R.explain(self.source, assertion_id, cap)
+        return R.explain(self.source, assertion_id, cap, self.deleted)
 
     def get_node_neighbour(self, node_id: str, depth: int = 1, edge_cap: int | None = R.HOP_CAP) -> DataFrame:
         return R.neighbourhood(self.source, node_id, depth, edge_cap, self.deleted)
 
     def get_assertion_by_id(self, assertion_id: str) -> DataFrame:
-        return R.lookup(self.source, assertion_id)
+        return R.lookup(self.source, assertion_id, self.deleted)
 
     # The same as text.
     def render(self, lines: DataFrame) -> str:
@@ -69,7 +69,7 @@ class Graph:
         return self.render(R.render_hits(self.query_graph(text, depth)))
 
     def render_explanation(self, assertion_id: str) -> str:
-        return self.render(R.render_explanation(self.source, assertion_id))
+        return self.render(R.render_explanation(self.source, assertion_id, deleted=self.deleted))
 
     def render_neighbours(self, node_id: str, depth: int = 1) -> str:
         return self.render(R.render_neighbourhood(self.get_node_neighbour(node_id, depth)))
@@ -99,13 +99,13 @@ class Graph:
 
 @dataclass
 class Documents:
-    """Documents of a store: tables ``documents``, ``assertions``, ``pending``, ``chunks``, ``runs`` as far as they are there."""
+    """Documents of a store: tables ``documents``, ``assertions``, ``pending``, ``chunks``, ``runs``, ``nodes``, ``edges`` as far as they are there."""
 
     store: Store
     landing: str
 
     def _tables(self) -> dict[str, DataFrame]:
-        return {n: self.store.read(n) for n in ("documents", "assertions", "pending", "chunks", "runs") if self.store.exists(n)}
+        return {n: self.store.read(n) for n in ("documents", "assertions", "pending", "chunks", "runs", "nodes", "edges") if self.store.exists(n)}
 
     def list(self) -> DataFrame:
         root = F.coalesce(F.nullif(F.trim("project_root"), F.lit("")), T.project_root(F.col("path")))
@@ -129,8 +129,7 @@ class Documents:
         self.store.write("documents", G.restore(self.store.read("documents"), [document_id]))
 
     def _apply(self, out: dict[str, DataFrame]) -> None:
-        for name in self._tables():
-            self.store.write(name, out[name])
+        self.store.write_all({name: out[name] for name in self._tables()})
 
     def hard_delete(self, document_id: str) -> None:
         self._apply(G.hard_delete(self._tables(), self.store.spark.createDataFrame([(document_id,)], "document_id string")))
@@ -168,11 +167,7 @@ class Predicates:
             rows = rows.withColumn("seq", F.xxhash64("raw_text"))
         out["assertions"] = G.identify(rows)  # what was promoted gets its nodes and edge
         graph = C.rebuild(out["assertions"], out["runs"], {n: self.store.read(n) for n in ("nodes", "edges")})
-        # All are plans over the snapshots as they were; writing one doesn't change what the others read.
-        for name in ("nodes", "edges"):
-            self.store.write(name, graph[name])
-        for name in ("active", "aliases", "pending", "failed", "documents", "assertions"):
-            self.store.write(name, out[name])
+        self.store.write_all(graph | {n: out[n] for n in ("active", "aliases", "pending", "failed", "documents", "assertions")})
 
     def _one(self, action: str, name: str, target: str | None = None) -> None:
         self.act(self.store.spark.createDataFrame([(action, name, target)], "action string, name string, target string"))
@@ -199,8 +194,7 @@ class Predicates:
         out = C.revoke(self.store.read("assertions"), self.store.read("active"), name)
         nodes = self.store.read("nodes").join(out["orphan_nodes"], "node_id", "left_anti")
         edges = self.store.read("edges").where(F.upper("predicate") != name.upper())
-        for table, rows in (("nodes", nodes), ("edges", edges), ("active", out["active"]), ("assertions", out["assertions"])):
-            self.store.write(table, rows)
+        self.store.write_all({"nodes": nodes, "edges": edges, "active": out["active"], "assertions": out["assertions"]})
 
 
 @dataclass

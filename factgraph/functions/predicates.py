@@ -94,15 +94,32 @@ def resolve(names: DataFrame, active: DataFrame, aliases: DataFrame, name: str =
     return names.join(found, names[name] == found["_raw"], "left").drop("_raw")
 
 
-def nearest(names: DataFrame, active: DataFrame, name: str = "predicate", distance: int = MAX_DISTANCE) -> DataFrame:
-    """``nearest`` and ``distance`` for distinct ``names``: the active name within ``distance`` edits; ties by distance, length, name.
+def shortened(name: Column, deletions: int) -> Column:
+    """A name and all that is left of it when up to so many characters are deleted."""
+    def less(n: Column) -> Column:
+        return F.when(F.length(n) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(n), F.lit(1))), lambda k: F.concat(F.substring(n, F.lit(1), k - 1), F.substring(n, k + 1, F.length(n))))).otherwise(F.array().cast("array<string>"))
+
+    out = level = F.array(name)
+    for _ in range(deletions):
+        level = F.array_distinct(F.flatten(F.transform(level, less)))
+        out = F.concat(out, level)
+    return F.array_distinct(out)
+
+
+def near_pairs(names: DataFrame, active: DataFrame, name: str = "predicate", distance: int = MAX_DISTANCE) -> DataFrame:
+    """Distinct pairs of ``name`` and ``_active`` that share a shortened form: every pair within ``distance`` edits, and few others.
 
-    Lengths within ``distance`` are an equi-join of length bands, so no pair of names beyond them is looked at.
+    Of two names within d edits, some d deletions of each leave the same; so near names meet by equality, whatever their number.
     """
     left = names.select(F.upper(name).alias(name)).where(F.col(name).isNotNull()).distinct()
-    left = left.withColumn("_band", F.explode(F.sequence(F.length(name) - distance, F.length(name) + distance)))
-    right = active.select(F.col("name").alias("_active"), F.length("name").alias("_band"))
-    near = left.join(right, "_band").withColumn("distance", F.levenshtein(name, "_active", distance)).where("distance >= 0")
+    left = left.select(name, F.explode(shortened(F.col(name), distance)).alias("_form"))
+    right = active.select(F.col("name").alias("_active")).distinct().select("_active", F.explode(shortened(F.col("_active"), distance)).alias("_form"))
+    return left.join(right, "_form").select(name, "_active").distinct()
+
+
+def nearest(names: DataFrame, active: DataFrame, name: str = "predicate", distance: int = MAX_DISTANCE) -> DataFrame:
+    """``nearest`` and ``distance`` for distinct ``names``: the active name within ``distance`` edits; ties by distance, length, name."""
+    near = near_pairs(names, active, name, distance).withColumn("distance", F.levenshtein(name, "_active", distance)).where("distance >= 0")
     return near.groupBy(name).agg(F.min(F.struct("distance", F.length("_active").alias("length"), F.col("_active").alias("nearest"))).alias("b")).select(name, "b.nearest", "b.distance")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hot
+
 from ..functions.times import MAX_ATTEMPTS, backoff_seconds, next_stage
 
 LATE_SECONDS = 15
@@ -54,9 +56,10 @@ def throughput(events: DataFrame, ts: str = "ts", every: str = "10 seconds", poi
 
 def growth(snapshots: DataFrame, at: str = "at", value: str = "n", group: str | None = None) -> DataFrame:
     """Change of a value a second between snapshots."""
-    w = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy(at)
-    seconds = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 1_000_000
-    return snapshots.withColumn("rate", F.round(ratio(F.col(value) - F.lag(value).over(w), seconds), 6))
+    rows = hot.previous(snapshots, [group] if group else [], at, [value])
+    before = F.col("_previous")
+    seconds = (hot.micros(at) - F.unix_micros(before[at].cast("timestamp"))) / 1_000_000
+    return rows.withColumn("rate", F.round(ratio(F.col(value) - before[value], seconds), 6)).drop("_previous")
 
 
 def progress(snapshots: DataFrame, at: str = "at", job: str = "job") -> DataFrame:

@@ -141,7 +141,8 @@ def query_graph(source: Source | DataFrame, text: str, depth: int = 1, k: int =
         touched = touched.withColumn("_n", F.row_number().over(Window.partitionBy("depth").orderBy("assertion_id"))).where(F.col("_n") <= cap).drop("_n")
     hits = seeds.select("assertion_id", F.lit(0).alias("depth"), "bm25_score").unionByName(touched.select("assertion_id", "depth", "bm25_score"))
     graph = 1 / (1 + F.col("depth"))
-    out = hits.join(source.assertions().select("assertion_id", "raw_text"), "assertion_id")
+    hits = cut(hits, 2)
+    out = hits.join(source.assertions(hits).select("assertion_id", "raw_text"), "assertion_id")
     return out.select("assertion_id", "raw_text", "depth", F.round("bm25_score", 6).alias("bm25_score"), F.round(graph, 6).alias("graph_score"), F.round(decay(F.col("bm25_score"), F.col("depth"), rate, weight), 6).alias("final_score"))
 
 
@@ -160,20 +161,21 @@ def subgraph(source: Source | DataFrame, root: str, level: int) -> DataFrame:
     return links.select("edge_id", F.col("a").alias("from_node_id"), F.col("b").alias("to_node_id")).distinct()
 
 
-def explain(source: Source | DataFrame, assertion_id: str, cap: int | None = None) -> DataFrame:
+def explain(source: Source | DataFrame, assertion_id: str, cap: int | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """``kind``, ``id``: the seed assertion, its nodes, the edges at them, the nodes at their other ends, and assertions about those.
 
-    ``cap`` limits edges and related assertions, smallest identifiers first.
+    ``cap`` limits edges and related assertions, smallest identifiers first. Assertions of ``deleted`` documents are not explained,
+    and links that only they support are not followed.
     """
     source = over(source)
-    seed = source.assertions([assertion_id])
+    seed = hidden(source.assertions([assertion_id]), deleted)
     start = _few(seed.select(F.explode(F.array_distinct(F.array("subject_node_id", "object_node_id"))).alias("node_id")), 2)
-    links = source.links(start)
+    links = hidden(source.links(start), deleted)
     at = capped(links.select("edge_id").distinct(), cap, "edge_id")
     if cap is not None:
         links = links.join(at, "edge_id", "left_semi")
     around = cut(links.select(F.col("b").alias("node_id")).distinct().join(start, "node_id", "left_anti"), 2)
-    related = capped(source.ends(around).select("assertion_id").distinct().where(F.col("assertion_id") != assertion_id), cap, "assertion_id")
+    related = capped(hidden(source.ends(around), deleted).select("assertion_id").distinct().where(F.col("assertion_id") != assertion_id), cap, "assertion_id")
     parts = (
         seed.select(F.lit("seed").alias("kind"), F.col("assertion_id").alias("id")),
         start.select(F.lit("seed_node"), "node_id"),
@@ -187,8 +189,9 @@ def explain(source: Source | DataFrame, assertion_id: str, cap: int | None = Non
     return out
 
 
-def lookup(source: Source | DataFrame, assertion_id: str) -> DataFrame:
-    found = over(source).assertions([assertion_id])
+def lookup(source: Source | DataFrame, assertion_id: str, deleted: DataFrame | None = None) -> DataFrame:
+    """An assertion by its identifier; none if its document is deleted."""
+    found = hidden(over(source).assertions([assertion_id]), deleted)
     return found.select("assertion_id", "document_id", "subject", "predicate", "object", "raw_text", "subject_node_id", "object_node_id", "semantic_checksum")
 
 
@@ -198,17 +201,23 @@ def render_hits(hits: DataFrame) -> DataFrame:
     return ranked(hits).select(F.concat_ws("|", F.format_string("%.1f", "final_score"), F.col("depth").cast("string"), T.display_text(F.col("raw_text"))).alias("line"))
 
 
-def _listed(rows: DataFrame, label: str, at: int) -> DataFrame:
+#: Identifiers that a line of a tool's answer lists at most; how many more there are stands at its end.
+LISTED = 10_000
+
+
+def _listed(rows: DataFrame, label: str, at: int, most: int = LISTED) -> DataFrame:
     """One line ``LABEL (n): a, b`` of the identifiers of ``rows`` (id), in order; none if there are none."""
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("ids"))
-    return found.where("n > 0").select(F.lit(at).alias("at"), F.lit("").alias("key"), F.concat(F.lit(f"{label} ("), F.col("n").cast("string"), F.lit("): "), "ids").alias("line"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    ids = rows.select("id").orderBy("id").limit(most).agg(F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("ids"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(" and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return n.join(ids).where("n > 0").select(F.lit(at).alias("at"), F.lit("").alias("key"), F.concat(F.lit(f"{label} ("), F.col("n").cast("string"), F.lit("): "), "ids", more).alias("line"))
 
 
-def render_explanation(source: Source | DataFrame, assertion_id: str, cap: int | None = EXPLAIN_CAP) -> DataFrame:
+def render_explanation(source: Source | DataFrame, assertion_id: str, cap: int | None = EXPLAIN_CAP, deleted: DataFrame | None = None) -> DataFrame:
     """The lines of an explanation in order of ``at``, ``key``: seed, text, nodes, edges, neighbours, related texts."""
     source = over(source)
-    found = cut(explain(source, assertion_id, cap), 2)
-    seed, none = source.assertions([assertion_id]), F.lit("")
+    found = cut(explain(source, assertion_id, cap, deleted), 2)
+    seed, none = hidden(source.assertions([assertion_id]), deleted), F.lit("")
     fields = [T.display_text(F.col(c)) for c in ("subject", "predicate", "object")]
     related = source.assertions(found.where("kind = 'related'").select(F.col("id").alias("assertion_id"))).where("raw_text != ''")
     of = lambda kind: found.where(F.col("kind") == kind)

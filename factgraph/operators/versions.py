@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import hot
 
 
 def by_checksum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,23 +92,21 @@ def debounce(events: DataFrame, path: str = "path", ts: str = "ts", delay: str =
 
 
 def rate_window(calls: DataFrame, key: str, ts: str = "ts", seconds: int = 60, limit: int = 15) -> DataFrame:
-    """Calls of a key in the last ``seconds`` and whether the limit allows this one."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("in_window") <= limit)
+    """Calls of a key in the last ``seconds`` and whether the limit allows this one; calls without a time are left out."""
+    return hot.counted_back(calls.where(F.col(ts).isNotNull()), key, ts, seconds, "in_window").withColumn("allowed", F.col("in_window") <= limit)
 
 
 def admitted(calls: DataFrame, key: str, ts: str = "ts", order: str = "event_id", limit: int = 15, window_ms: int = 60_001) -> DataFrame:
     """``admitted_at`` of each call when those beyond ``limit`` a window wait, first come first served, instead of being refused.
 
     The k-th call waits for the (k - limit)-th to leave the window. So every ``limit``-th call is a chain, a(k) = max(t(k),
-    a(k - 1) + window), which is a running maximum of t(k) - k * window, plus k * window: a window function.
+    a(k - 1) + window), which is a running maximum of t(k) - k * window, plus k * window. Both the numbers of calls and the
+    maxima are found slice by slice.
     """
-    w = Window.partitionBy(key).orderBy(ts, order)
-    rows = calls.withColumn("_n", F.row_number().over(w) - 1).withColumn("_chain", F.col("_n") % limit).withColumn("_k", F.floor(F.col("_n") / limit))
+    rows = hot.numbered(calls, key, ts, order).withColumn("_chain", F.col("_n") % limit).withColumn("_k", F.floor(F.col("_n") / limit))
     step = F.col("_k") * (window_ms * 1000)
-    chain = Window.partitionBy(key, "_chain").orderBy("_k")
-    at = F.max(F.unix_micros(F.col(ts).cast("timestamp")) - step).over(chain) + step
-    return rows.withColumn("admitted_at", F.timestamp_micros(at).cast("timestamp_ntz")).drop("_n", "_chain", "_k")
+    out = hot.running_max(rows, [key, "_chain"], "_k", hot.micros(ts) - step, "_at")
+    return out.withColumn("admitted_at", F.timestamp_micros(F.col("_at") + step).cast("timestamp_ntz")).drop("_n", "_chain", "_k", "_at")
 
 
 def dedup_ttl(events: DataFrame, key: str, ts: str = "ts", hours: int = 168, mark: Column | None = None) -> DataFrame:

@@ -281,11 +281,11 @@ def highlight_node(spark, sf):
     return index(spark, sf).links(wanted).select("edge_id", F.col("b").alias("node_id")).distinct()
 
 
-@query(with_facts("SELECT sha256('supplier3') AS node_id UNION SELECT sha256('part7')"))
+@query(with_facts("SELECT subject_node_id AS node_id FROM assertions WHERE document_id = 'resides' AND seq = 1 UNION SELECT object_node_id FROM assertions WHERE document_id = 'resides' AND seq = 1"))
 def highlight_edge(spark, sf):
-    edge = spark.range(1).select(T.edge_id(T.node_id(F.lit("Supplier_3")), F.lit("PROVIDES"), T.node_id(F.lit("Part_7")))).first()[0]
-    known = spark.createDataFrame([(edge, root(spark), root(spark, "Part_7"))], "edge_id string, from_node_id string, to_node_id string")
-    return G.edge_ends(G.edges(assertions(spark, sf)).select(*known.columns).unionByName(known).distinct(), edge).distinct()
+    """Both ends of an edge that the table of edges has."""
+    edge = assertions(spark, sf).where("document_id = 'resides' and seq = 1").first()["edge_id"]
+    return G.edge_ends(G.edges(assertions(spark, sf)), edge)
 
 
 SEED_SQL = "document_id = 'resides' AND seq = 1"

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +93,15 @@ def http(chunks: DataFrame, url: str, template: str, predicates: list[str], mode
 
     A refused call waits as long as the provider says, else two seconds, doubling up to thirty.
     """
+    tasks = min(tasks, per_minute) if per_minute else tasks
     names = F.lit(list(predicates)) if predicates else F.array().cast("array<string>")
     asked = chunks.select("chunk_id", jsonio.render(F.lit(template), F.lit(model), text.prompt(F.col("section_path"), F.col("content"), names)).alias("request"))
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         calls: list[float] = []
-        share = max(1, per_minute // tasks) if per_minute else None
+        share = None
+        if per_minute:  # what does not divide goes to the first tasks
+            share = per_minute // tasks + (TaskContext.get().partitionId() < per_minute % tasks)
         for frame in frames:
             out = []
             for chunk, request in zip(frame["chunk_id"], frame["request"]):

@@ -223,9 +223,28 @@ class Store:
 
     def write(self, name: str, df: DataFrame, after: int | None = None) -> str:
         """A new snapshot that follows pointer ``after`` (the last one by default); ``Conflict`` if that one has a follower already."""
+        return self._point(name, *self._snapshot(name, df, after))
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """New snapshots of several tables, which may be plans over their old ones.
+
+        All rows are written before the first pointer, so what can fail or take long leaves every table as it was; and if a
+        table has a follower by then, none gets a new pointer.
+        """
+        written = {name: self._snapshot(name, df) for name, df in tables.items()}
+        for name, (after, _) in written.items():
+            if self.last(name) != after:
+                raise Conflict(name)
+        for name, (after, version) in written.items():
+            self._point(name, after, version)
+
+    def _snapshot(self, name: str, df: DataFrame, after: int | None = None) -> tuple[int, str]:
         after = self.last(name) if after is None else after
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
+        return after, version
+
+    def _point(self, name: str, after: int, version: str) -> str:
         target, fs = hadoop(self.spark, f"{self.root}/{name}/pointer-{after + 1:09d}")
         aside, _ = hadoop(self.spark, f"{self.root}/{name}/.{uuid.uuid4().hex}")
         out = fs.create(aside, False)
