@@ -1,10 +1,11 @@
 """Exact deduplication with a log-structured merge index of digests. DataFrame functions only.
 
-Flush: every input partition is a memtable; its digests are sorted and written as runs, Parquet files with minima and maxima
-of the digest column. Compaction merges runs into one of the next level: a row per digest with the smallest and largest
+Flush: every input partition is a memtable; its digests are sorted and written, Parquet files with minima and maxima of the digest
+column. Memtables go into the index in ``BATCHES`` batches, each of which is probed against the runs before it and then becomes a
+run itself; a query over a whole table and one batch after another are the same code. Compaction merges runs into one of the next level: a row per digest with the smallest and largest
 identifier and the number of rows, combined before the shuffle, so that a text that a third of all rows share is one row per
 task. Each run of the index has a filter, a bitmap of the digests; batches are probed run by run, and only what passes a
-filter is joined with its run. Digests with more than one row are hits; a bitmap of fixed size lets only their texts through,
+filter is joined with its run. Digests that a batch has twice, or that an earlier run has, are hits; a bitmap of fixed size lets only their texts through,
 and these are grouped by digest *and text*, which compares the bytes. Digests that two different texts share are told apart by
 a join on the text itself.
 """
@@ -22,6 +23,8 @@ from .common import attach, forget, fresh, names_in, read_text, remove, text_or_
 FILTER_BITS = 1 << 26
 #: Runs of a level that are merged into one of the next, and bits of a run's filter for each of its digests.
 FAN_IN, RUN_BITS = 4, 16
+#: Batches in which a table's memtables go into the index.
+BATCHES = 4
 _BITS_PER_ROW = 32768  # of bitmap_construct_agg
 
 
@@ -31,11 +34,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Write sorted digest runs of ``docs`` and return them: ``id``, ``sha``."""
+    """Write the memtables of ``docs``, sorted, and return them: ``id``, ``sha``, ``batch``."""
     spark, runs = docs.sparkSession, digests(docs, id_col, text_col)
     path = path or workspace(spark, "runs")
-    runs.sortWithinPartitions("sha", "id").write.mode("append").parquet(path)
-    return spark.read.schema(runs.schema).parquet(path)
+    dealt = runs.withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(BATCHES)))
+    dealt.sortWithinPartitions("batch", "sha", "id").write.mode("append").partitionBy("batch").parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -104,8 +108,12 @@ class DigestIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Flush a batch and merge the levels that are full."""
         path = workspace(self.spark, "runs")
-        flushed = flush(docs, id_col, text_col, path).withColumnRenamed("sha", "digest")
-        runs, gone = [*self.runs, self._run(compact(flushed), 1)], []
+        self.add_run(compact(flush(docs, id_col, text_col, path).withColumnRenamed("sha", "digest")))
+        remove(self.spark, path)
+
+    def add_run(self, rows: DataFrame) -> None:
+        """Make compacted digests a run and merge the levels that are full."""
+        runs, gone = [*self.runs, self._run(rows, 1)], []
         level = 1
         while len(full := [r for r in runs if r["level"] == level]) >= self.fan_in:
             rows = self._read(full[0])
@@ -119,7 +127,6 @@ class DigestIndex:
         for run in self.merged:
             remove(self.spark, f"{self.folder}/{run['name']}")
         self.runs, self.merged = runs, gone
-        remove(self.spark, path)
 
     def probe(self, rows: DataFrame) -> DataFrame:
         """``digest``, ``low``, ``high``, ``size`` of the digests among ``rows`` (``digest``) that the index has."""
@@ -142,6 +149,29 @@ class DigestIndex:
         return _through_filter(batch, hits, "digest", filter_bits).join(old, ["digest", "text"]).select(F.col("id").alias(id_col), "first_id")
 
 
+def repeated(runs: DataFrame) -> DataFrame:
+    """``digest`` of the flushed rows (``digest``, ``id``, ``batch``) that share it with another one, written.
+
+    Batch by batch through an index of their own: what a batch has twice, and what passes the filters of earlier runs and is in
+    them.
+    """
+    spark = runs.sparkSession
+    index, found = DigestIndex(spark, workspace(spark, "index")), None
+    for k in range(BATCHES):
+        own = written(compact(runs.where(F.col("batch") == k).drop("batch")), "batch")
+        hits = own.where("size > 1").select("digest")
+        if index.runs:
+            hits = hits.unionByName(index.probe(own).select("digest"))
+        hits = written(hits, "batch-hits")
+        found = hits if found is None else found.unionByName(hits)
+        if k + 1 < BATCHES:
+            index.add_run(own)
+        forget(own)
+    out = written(found.distinct(), "hits")
+    remove(spark, index.folder)
+    return out
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest_bytes: int = 32, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per input row: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -153,14 +183,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     top = {"largest": "high", "smallest": "low"}[keep]
     runs = flush(docs, id_col, text_col).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    merged = written(compact(runs).sortWithinPartitions("digest"), "compacted")
-    hits = merged.where("size > 1").select("digest")
+    hits = repeated(runs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes))
     verified = _through_filter(source, hits, "digest", filter_bits).groupBy("digest", "text").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size"))
     # The text itself is only needed where a digest has several; its length would do as well as a name for it elsewhere.
     classes = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("size").alias("size"))
     classes = written(classes.where("size > 1"), "classes")
-    forget(merged)
+    forget(hits)
 
     narrow = runs.groupBy("id", "sha", "digest").agg(F.count(F.lit(1)).alias("copies"))
     total = runs.count()
