@@ -26,6 +26,10 @@ CAPACITY, OPEN_BINS, FAN_IN = 2048, 256, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Characters that a task encodes at once; as a stage among others packing shares its executor's memory with what these left.
+RUN_CHARS = 2_000_000
+
+
 class BestFit:
     """Open bins by free space; ``place`` returns (bin, offset)."""
 
@@ -71,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", RUN_CHARS):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
                 ids += end
