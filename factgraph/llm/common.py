@@ -49,7 +49,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Make this session's batches small, if nobody has set their size."""
+    """Make this session's batches small, for good, if the application has not set their size."""
     if not spark.sparkContext.getConf().contains(_BATCH):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark

@@ -24,8 +24,6 @@ from .tokens import encoder, release, slices
 
 CAPACITY, OPEN_BINS, FAN_IN = 2048, 256, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
 #: Characters that a task encodes at once; as a stage among others packing shares its executor's memory with what these left.
 RUN_CHARS = 2_000_000
 
@@ -143,7 +141,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, t
 
 
 def sequences(packed: DataFrame, with_ids: DataFrame) -> DataFrame:
-    """The sequences themselves: ``sequence_id`` and ``ids``, from ``pack`` and ``pieces(..., with_ids=True)``."""
+    """The sequences themselves: ``sequence_id`` and ``ids``, from ``pack`` and ``pieces(..., with_ids=True)``.
+
+    Pieces are known by ``doc_id`` and ``piece``: identifiers must be there and differ.
+    """
     joined = packed.join(with_ids.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
     joined = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return joined.select("sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))").alias("ids"))
