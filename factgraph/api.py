@@ -20,6 +20,7 @@ from .operators import index as I
 from .operators import markdown, stages, validate
 from .operators import metrics as X
 from .operators import retrieve as R
+from .operators import sqltools
 from .sources import extractors
 from .sources.files import Config, Store, scan, upload
 
@@ -47,6 +48,10 @@ class Graph:
         G.nodes(self.assertions).createOrReplaceTempView("nodes")
         G.edges(self.assertions).createOrReplaceTempView("edges")
 
+    def functions(self, prefix: str = "") -> list[str]:
+        """Make the tools table functions of SQL, without caps; returns their names."""
+        return sqltools.register(self.index or self.assertions, prefix, self.deleted)
+
     # Tools: hops and explanations are capped, as what answers a tool must stay readable; None takes the caps off.
     def query_graph(self, text: str, depth: int = 1, cap: int | None = R.HOP_CAP, edge_cap: int | None = R.HOP_CAP) -> DataFrame:
         return R.ranked(R.query_graph(self.source, text, depth, cap=cap, edge_cap=edge_cap, deleted=self.deleted))

@@ -31,6 +31,18 @@ def postings_of(assertions: DataFrame) -> DataFrame:
     return each.select("p.term", "assertion_id", "document_id", "p.tf", "dl")
 
 
+def ends_of(assertions: DataFrame) -> DataFrame:
+    """``node_id``, ``assertion_id``, ``document_id``: the nodes of each assertion."""
+    ends = F.explode(F.array_distinct(F.array("subject_node_id", "object_node_id"))).alias("node_id")
+    return assertions.select(ends, "assertion_id", "document_id")
+
+
+def links_of(assertions: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``edge_id``, ``forward``, ``document_id``: each edge of each assertion from either end."""
+    pair = F.explode(F.array(F.struct(F.col("subject_node_id").alias("a"), F.col("object_node_id").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("object_node_id").alias("a"), F.col("subject_node_id").alias("b"), F.lit(False).alias("forward"))))
+    return assertions.select("edge_id", "document_id", pair.alias("p")).select("p.a", "p.b", "edge_id", "p.forward", "document_id")
+
+
 @dataclass
 class SearchIndex:
     """An index in ``folder``; ``n`` assertions with ``mean_length`` words each."""
@@ -86,10 +98,8 @@ def build(assertions: DataFrame, folder: str, buckets: int | None = None) -> Sea
     write(assertions.select(*(c for c in _COLUMNS if c in assertions.columns)), "assertions", "assertion_id")
     rows = spark.read.schema(schemas["assertions"]).parquet(f"{folder}/assertions").drop("bucket")  # hashes are made once
     write(postings_of(rows), "postings", "term", "assertion_id")
-    ends = F.explode(F.array_distinct(F.array("subject_node_id", "object_node_id"))).alias("node_id")
-    write(rows.select(ends, "assertion_id", "document_id"), "ends", "node_id", "assertion_id")
-    pair = F.explode(F.array(F.struct(F.col("subject_node_id").alias("a"), F.col("object_node_id").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("object_node_id").alias("a"), F.col("subject_node_id").alias("b"), F.lit(False).alias("forward"))))
-    write(rows.select("edge_id", "document_id", pair.alias("p")).select("p.a", "p.b", "edge_id", "p.forward", "document_id").distinct(), "links", "a", "b")
+    write(ends_of(rows), "ends", "node_id", "assertion_id")
+    write(links_of(rows).distinct(), "links", "a", "b")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.search_tokens(F.col("raw_text")))).alias("mean")).first()
     return SearchIndex(spark, folder, buckets, stats["n"], stats["mean"] or 1.0, schemas)
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.times import decay
 from ..session import cut
 from . import graph as G
-from .index import SearchIndex, hidden, postings_of
+from .index import SearchIndex, ends_of, hidden, links_of, postings_of
 from .segments import SegmentIndex
 
 K1, B, BOOST, TOP_K, MAX_DEPTH = 1.2, 0.75, 2.2, 20, 10
@@ -41,13 +41,10 @@ class Plain:
         return row["n"], row["mean"] or 1.0
 
     def ends(self, nodes: DataFrame) -> DataFrame:
-        ends = F.explode(F.array_distinct(F.array("subject_node_id", "object_node_id"))).alias("node_id")
-        return self.rows.select(ends, "assertion_id", "document_id").join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+        return ends_of(self.rows).join(nodes.select("node_id").distinct(), "node_id", "left_semi")
 
     def links(self, nodes: DataFrame) -> DataFrame:
-        pair = F.explode(F.array(F.struct(F.col("subject_node_id").alias("a"), F.col("object_node_id").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("object_node_id").alias("a"), F.col("subject_node_id").alias("b"), F.lit(False).alias("forward"))))
-        rows = self.rows.select("edge_id", "document_id", pair.alias("p")).select("p.a", "p.b", "edge_id", "p.forward", "document_id")
-        return rows.join(nodes.select(F.col("node_id").alias("a")).distinct(), "a", "left_semi").distinct()
+        return links_of(self.rows).join(nodes.select(F.col("node_id").alias("a")).distinct(), "a", "left_semi").distinct()
 
 
 Source = SearchIndex | SegmentIndex | Plain

@@ -14,9 +14,10 @@ from ..operators import graph as G
 from ..operators import index as I
 from ..operators import retrieve as R
 from ..operators import segments as S
+from ..operators import sqltools
 from ..session import hadoop, scratch
 from .fixtures import FACTS, assertions, facts
-from .registry import query
+from .registry import SQL, query
 
 _INDEXES: dict[tuple, I.SearchIndex] = {}
 _TABLES = ("customer", "orders", "lineitem", "nation", "region")
@@ -447,3 +448,36 @@ def term_filter(spark, sf):
     edge_rows = G.edges(assertions(spark, sf))
     hit = G.undirected(edge_rows).join(wanted, "a", "left_semi").select("edge_id").distinct()
     return edge_rows.join(hit, "edge_id", "left_semi").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The tools from SQL -----------------------------------------------------------------------------------------------------
+def _sql(spark, sf, text: str, **values: str):
+    """A statement over the table functions of the shared index, whose names begin with ``kg_``."""
+    sqltools.register(index(spark, sf), "kg_")
+    return spark.sql(text, values)
+
+
+@query(f"WITH {FACTS} {BFS} SELECT node_id, CAST(hop AS INT) AS hop FROM seen3")
+def sql_neighbours(spark, sf):
+    return _sql(spark, sf, "SELECT * FROM kg_neighbours(:root, 3)", root=root(spark))
+
+
+@query(f"WITH {FACTS} {BFS}, {EDGES_SEEN} SELECT 'node' AS kind, node_id AS id, NULL AS from_node_id, NULL AS to_node_id, CAST(hop AS INT) AS hop FROM seen2 WHERE hop > 0 UNION ALL SELECT 'edge', edge_id, from_node_id, to_node_id, CAST(hop AS INT) FROM se JOIN edges USING (edge_id)")
+def sql_neighbourhood(spark, sf):
+    return _sql(spark, sf, "SELECT * FROM kg_neighbourhood(:root, 2)", root=root(spark))
+
+
+@query(f"WITH {FACTS} {graph_sql(1)}")
+def sql_query_graph(spark, sf):
+    return _sql(spark, sf, "SELECT * FROM kg_query_graph(:words, 1)", words=TEXT)
+
+
+@query(SQL["explain_path"])
+def sql_explain_path(spark, sf):
+    return _sql(spark, sf, "SELECT * FROM kg_explain_path(:wanted)", wanted=seed_id(spark, sf))
+
+
+@query(with_facts("SELECT r.object_node_id AS place, count(DISTINCT CASE WHEN b <> r.object_node_id THEN b END) AS around FROM (SELECT DISTINCT object_node_id FROM assertions WHERE document_id = 'resides') r JOIN links ON a = r.object_node_id GROUP BY 1"))
+def sql_lateral_neighbours(spark, sf):
+    """A table function called for each row of a table: how many nodes are next to each place."""
+    return _sql(spark, sf, "SELECT r.object_node_id AS place, count(*) AS around FROM (SELECT DISTINCT object_node_id FROM kg_assertions WHERE document_id = 'resides') r, LATERAL kg_neighbours(r.object_node_id, 1) n WHERE n.hop > 0 GROUP BY 1")
