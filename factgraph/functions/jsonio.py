@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECORD = "array<struct<subject_text:string,predicate:string,object_text:string,raw_text:string,normalized_text:string,attributes:map<string,string>>>"
@@ -32,6 +32,24 @@ def json_text(body: Column, path: str) -> Column:
     return F.get_json_object(body, path)
 
 
+def parsed(rows: DataFrame, body: str, name: str = "json") -> DataFrame:
+    """``rows`` with column ``body`` parsed into the variant ``name``, null where it is no JSON or an object has a key twice.
+
+    It is parsed in a projection of its own, which stays apart in the plan where several paths are read from it: once a row.
+    """
+    return rows.withColumn(name, F.try_parse_json(F.col(body)))
+
+
+def at(json: Column | str, path: str, kind: str = "string") -> Column:
+    """What a variant has at ``path``, null where that leads nowhere, to a JSON null or to something that is no ``kind``."""
+    return F.try_variant_get(json, path, kind)
+
+
+def unwrap_parsed(json: Column | str, path: str | None = None) -> Column:
+    """``unwrap`` of a variant."""
+    return F.coalesce(*(at(json, p) for p in ([path] if path else []) + list(PROVIDERS.values())))
+
+
 def unwrap(body: Column, path: str | None = None) -> Column:
     """The answer inside a provider's envelope, whichever it is; at ``path`` where that leads somewhere."""
     return F.coalesce(*(F.get_json_object(body, p) for p in ([path] if path else []) + list(PROVIDERS.values())))
@@ -63,6 +81,16 @@ def set_to_csv(c: Column) -> Column:
     return F.array_join(c, ",")
 
 
+def tolerant_event_parsed(json: Column | str, event_types: list[str], now: Column) -> Column:
+    """``tolerant_event`` of a variant: numbers and texts of numbers are versions, what cannot be read is null or ``now``."""
+    kind = at(json, "$.eventType")
+    return F.struct(
+        F.when(kind.isin(*event_types), kind).alias("event_type"),
+        at(json, "$.version").try_cast("double").cast("int").alias("version"),
+        F.coalesce(F.try_to_timestamp(at(json, "$.timestamp")), now).alias("ts"),
+    )
+
+
 def tolerant_event(body: Column, event_types: list[str], now: Column) -> Column:
     """Type by name or null, version through double, ISO time or ``now``."""
     kind = F.get_json_object(body, "$.eventType")

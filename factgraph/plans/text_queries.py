@@ -80,14 +80,14 @@ def json_extract_array(spark, sf):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.nothing[0].here') AS nothing FROM events")
 def json_path(spark, sf):
-    return table(spark, sf, "events").select("event_id", J.json_text(F.col("props"), "$.k").alias("k"), J.json_text(F.col("props"), "$.nothing[0].here").alias("nothing"))
+    return J.parsed(table(spark, sf, "events"), "props").select("event_id", J.at("json", "$.k").alias("k"), J.at("json", "$.nothing[0].here").alias("nothing"))
 
 
 @query("SELECT event_id, event_type AS answer FROM events")
 def provider_unwrap(spark, sf):
     kind, k = F.col("event_type"), F.col("event_id")
     body = F.when(k % 3 == 0, F.concat(F.lit('{"choices":[{"message":{"content":"'), kind, F.lit('"}}]}'))).when(k % 3 == 1, F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"'), kind, F.lit('"}]}}]}'))).otherwise(F.concat(F.lit('{"response":"'), kind, F.lit('"}')))
-    return table(spark, sf, "events").select("event_id", J.unwrap(body).alias("answer"))
+    return J.parsed(table(spark, sf, "events").select("event_id", body.alias("body")), "body").select("event_id", J.unwrap_parsed("json").alias("answer"))
 
 
 @query("SELECT event_id, '{\"model\":\"m\",\"prompt\":\"say ' || chr(92) || '\"' || event_type || chr(92) || '\"' || chr(92) || 'n now\"}' AS request FROM events")
@@ -107,8 +107,8 @@ def tolerant_events(spark, sf):
     e = table(spark, sf, "events")
     ts = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise("soon")
     body = F.concat(F.lit('{"eventType":"'), F.col("event_type"), F.lit('","version":"'), (F.col("event_id") % 5).cast("string"), F.lit('.0","timestamp":"'), ts, F.lit('"}'))
-    parsed = J.tolerant_event(body, ["signup", "click", "view", "purchase"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return e.select("event_id", parsed.alias("p")).select("event_id", "p.event_type", "p.version", F.col("p.ts").cast("timestamp_ntz").alias("ts"))
+    parsed = J.tolerant_event_parsed("json", ["signup", "click", "view", "purchase"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return J.parsed(e.select("event_id", body.alias("body")), "body").select("event_id", parsed.alias("p")).select("event_id", "p.event_type", "p.version", F.col("p.ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS ts FROM events")

@@ -74,7 +74,7 @@ def provider(name: str, model: str, key: str | None = None, url: str | None = No
 def answers(chunks: DataFrame, to: Provider, predicates: list[str], **options) -> DataFrame:
     """``chunk_id``, ``body`` (the answer without its envelope), ``error`` of a provider; options are those of ``http``."""
     asked = http(chunks, to.url, to.template, predicates, to.model, headers=to.headers, **options)
-    return asked.withColumn("body", F.coalesce(jsonio.unwrap(F.col("body"), to.response_path), F.col("body")))
+    return jsonio.parsed(asked, "body", "_json").withColumn("body", F.coalesce(jsonio.unwrap_parsed("_json", to.response_path), F.col("body"))).drop("_json")
 
 
 def told_wait(headers, body: str) -> float | None:
