@@ -10,7 +10,8 @@ from ..operators import markdown as M
 from ..operators import metrics as X
 from ..operators import versions as V
 from ..session import scratch, table
-from ..sources.files import table_stream
+from ..sources import folders
+from ..sources.files import scan, table_stream
 from ..streaming import jobs
 from .fixtures import CHUNK_VERSIONS, MD_DOCS, STATES, chunk_versions, md_docs, states
 from .registry import query
@@ -55,6 +56,19 @@ def skip_queryable(spark, sf):
     return V.skip_unchanged(files, known).select("doc_id")
 
 
+@query("""WITH f AS (SELECT (['docs', 'build', 'notes/logs', '.git', 'docs/node_modules/x', '_drafts', 'docs/a.b'])[doc_id % 7 + 1] AS folder, (['md', 'TXT', 'Md', 'py', 'xlsx'])[doc_id % 5 + 1] AS extension, doc_id, coalesce(text, '') AS text FROM documents)
+SELECT folder || '/' || doc_id || '.' || extension AS rel, sha256(text) AS checksum, CASE WHEN extension <> 'xlsx' THEN length(text) END AS n_chars, extension = 'xlsx' AS quarantined
+FROM f WHERE folder IN ('docs', '_drafts', 'docs/a.b') AND extension <> 'py'""")
+def folder_scan(spark, sf):
+    """The documents as files of a tree, some in folders that scans skip, and the scan of that tree."""
+    root = scratch(spark, "tree")
+    folder = F.element_at(F.array(*map(F.lit, ("docs", "build", "notes/logs", ".git", "docs/node_modules/x", "_drafts", "docs/a.b"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    extension = F.element_at(F.array(*map(F.lit, ("md", "TXT", "Md", "py", "xlsx"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    rel = F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), extension)
+    folders.put(table(spark, sf, "documents").select(rel.alias("rel"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), root)
+    return scan(spark, root).select("rel", "checksum", F.length("text").cast("long").alias("n_chars"), "quarantined")
+
+
 @query("SELECT doc_id, 'v' || lpad(CAST(doc_id % 90 + 1 AS VARCHAR), 5, '0') || '-' || left(sha256(text), 8) AS tag FROM documents")
 def version_tag(spark, sf):
     d = table(spark, sf, "documents")

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import hadoop
+from . import folders
+from .folders import PRUNED
 
-# What is skipped and read by default (with our own state directory).
-PRUNED = (".git", "node_modules", "build", "logs", ".factgraph")
+# What is read by default.
 EXTENSIONS = ("md", "txt", "xlsx")
 INCLUDE = ("**/*.md", "docs/**/*.md", "README.md")
 EXCLUDE = ("node_modules/**", ".git/**", "dist/**", "build/**", ".factgraph/**", "**/.*/**")
@@ -102,15 +103,13 @@ def pruned(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """``path``, ``rel``, ``modified_at``, ``checksum``, ``text``, ``quarantined`` of all files below ``root`` that count.
 
-    Names are filtered before contents are read. Spreadsheets are quarantined, not decoded.
+    Pruned folders are not listed, and names are filtered before contents are read. Files whose own names begin with a dot or an
+    underscore count too. Spreadsheets, and what is no UTF-8, are quarantined: their text is null.
     """
-    base = root.removeprefix("file:").rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), f"^/*{re.escape(base.lstrip('/'))}/?", "")
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    files = files.withColumn("rel", rel).where(extension.isin(*extensions) & ~pruned(F.col("rel")))
-    table = extension == "xlsx"
-    return files.select("path", "rel", F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("checksum"), F.when(~table, F.decode("content", "UTF-8")).alias("text"), table.alias("quarantined"))
+    extension = F.col("extension")
+    files = folders.contents(folders.listed(spark, root).where(extension.isin(*extensions)))
+    text = F.when(extension != "xlsx", F.try_validate_utf8(F.col("content").cast("string")))
+    return files.select("path", "rel", "modified_at", F.sha2("content", 256).alias("checksum"), text.alias("text"), text.isNull().alias("quarantined"))
 
 
 def watch(spark: SparkSession, root: str, glob: str = "*.md", config: Config | None = None, debounce: str | None = None, late: str = "10 seconds") -> DataFrame:
