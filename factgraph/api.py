@@ -84,10 +84,10 @@ class Graph:
 
     # Dashboard.
     def node_trace(self, node_id: str) -> DataFrame:
-        return G.node_trace(self.assertions, self.documents, node_id)
+        return G.node_trace(self.index or self.assertions, self.documents, node_id)
 
     def edge_trace(self, from_node: str, predicate: str, to_node: str) -> DataFrame:
-        return G.edge_trace(self.assertions, self.documents, from_node, predicate, to_node)
+        return G.edge_trace(self.index or self.assertions, self.documents, from_node, predicate, to_node)
 
     def level(self, node_id: str, level: int) -> DataFrame:
         return R.subgraph(self.source, node_id, level)

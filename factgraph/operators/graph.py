@@ -54,17 +54,24 @@ def degrees(edge_rows: DataFrame, *by: str) -> DataFrame:
     return undirected(edge_rows, *by).groupBy(*by, F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def node_trace(assertions: DataFrame, docs: DataFrame, node: str) -> DataFrame:
-    """Assertions about a node, with the document they come from."""
-    rows = assertions.where((F.col("subject_node_id") == node) | (F.col("object_node_id") == node))
-    return _with_document(rows, docs)
+def node_trace(source, docs: DataFrame, node: str) -> DataFrame:
+    """Assertions about a node, with the document they come from; of assertions by a scan, of an index from the node's buckets."""
+    return _with_document(_at(source, node).where((F.col("subject_node_id") == node) | (F.col("object_node_id") == node)), docs)
 
 
-def edge_trace(assertions: DataFrame, docs: DataFrame, from_node: str, predicate: str, to_node: str) -> DataFrame:
-    rows = assertions.where((F.col("subject_node_id") == from_node) & (F.col("object_node_id") == to_node) & (F.upper("predicate") == predicate.upper()))
+def edge_trace(source, docs: DataFrame, from_node: str, predicate: str, to_node: str) -> DataFrame:
+    """The same for an edge; an index is asked for the node it starts from."""
+    rows = _at(source, from_node).where((F.col("subject_node_id") == from_node) & (F.col("object_node_id") == to_node) & (F.upper("predicate") == predicate.upper()))
     return _with_document(rows, docs)
 
 
+def _at(source, node: str) -> DataFrame:
+    """Assertions that may be at a node: all of a table, those at the node of an index."""
+    if isinstance(source, DataFrame):
+        return source
+    return source.assertions(source.ends(source.spark.range(1).select(F.lit(node).alias("node_id"))))
+
+
 def _with_document(rows: DataFrame, docs: DataFrame) -> DataFrame:
     out = rows.join(docs.select("document_id", "name", "path"), "document_id", "left")
     return out.select("assertion_id", "document_id", F.coalesce("name", F.lit("Unknown")).alias("document_name"), F.coalesce("path", F.lit("")).alias("document_path"), "subject", "predicate", "object", "raw_text")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
 from factgraph.operators import graph as G
+from factgraph.operators import index as I
 from factgraph.operators import retrieve as R
 from factgraph.operators import segments as S
+from factgraph.session import scratch
 
 FACTS = "document_id string, seq long, subject string, predicate string, object string, raw_text string"
 QUESTIONS = [("alpha holds beta", 3), ("holds", 20), ("w3 w17 holds alpha", 20), ("unheard", 3)]
@@ -112,3 +114,16 @@ def test_blocks_out_of_reach_are_not_read(spark, tmp_path, monkeypatch):
     assert "In(slot" in plan.replace("PushedFilters", "") or "slot" in plan.split("PushedFilters")[1][:400]
     share = [r["n"] for r in index._table("postings").where("term = 'is'").groupBy("hot", "bucket").agg(F.sum("n").alias("n")).collect()]
     assert len(share) == 8 and max(share) < 2 * 4000 / 8
+
+
+def test_traces_ask_an_index(spark):
+    facts = [("d%d" % (k % 3), k, "n%d" % (k % 7), "USES", "n%d" % (k % 11), f"n{k % 7} uses n{k % 11}") for k in range(80)]
+    a = G.identify(spark.createDataFrame(facts, "document_id string, seq long, subject string, predicate string, object string, raw_text string")).cache()
+    docs = spark.createDataFrame([("d0", "zero", "/d0.md")], "document_id string, name string, path string")
+    ids = a.where("subject = 'n3' and object = 'n5'").select("subject_node_id", "object_node_id").first()
+    rows = lambda df: sorted(map(str, df.collect()))
+    for source in (I.build(a, scratch(spark, "traces"), buckets=5), S.build(a.where("seq < 50"), scratch(spark, "traces")).append(a.where("seq >= 50"))):
+        for ask in (lambda s: G.node_trace(s, docs, ids[0]), lambda s: G.node_trace(s, docs, "none"), lambda s: G.edge_trace(s, docs, ids[0], "uses", ids[1]), lambda s: G.edge_trace(s, docs, ids[1], "uses", "none")):
+            assert rows(ask(source)) == rows(ask(a))
+    assert len(rows(G.node_trace(a, docs, ids[0]))) > len(rows(G.edge_trace(a, docs, ids[0], "uses", ids[1]))) > 0
+    a.unpersist()
