@@ -101,6 +101,6 @@ def auto_approve(failed: DataFrame, least: int = 3) -> DataFrame:
 def revoke(assertions: DataFrame, active: DataFrame, predicate: str) -> dict[str, DataFrame]:
     """The taxonomy and assertions without a predicate, and the nodes that only it held."""
     name = F.upper("predicate") == predicate.upper()
-    left, gone = assertions.where(~F.coalesce(name, F.lit(False))), assertions.where(name)
-    orphans = G.endpoints(gone).select("node_id").distinct().join(G.endpoints(left), "node_id", "left_anti")
+    gone = F.coalesce(name, F.lit(False))
+    left, orphans = assertions.where(~gone), G.with_node_ids(G.unsupported(assertions.withColumn("_gone", gone))[1])
     return {"active": active.where(F.col("name") != predicate.upper()), "assertions": left, "orphan_nodes": orphans}
