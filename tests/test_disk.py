@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from factgraph.operators import deltas as D
 from factgraph.operators import graph as G
+from factgraph.operators import index as I
+from factgraph.operators import segments as S
+from factgraph.session import scratch
 
 N = 20_000
 
@@ -59,6 +62,15 @@ def test_shuffles_names(spark, facts, made, most):
     assert moved(spark, ran(made(facts))) < most
 
 
+@pytest.mark.parametrize("build, most", [(I.build, 400), (S.build, 600)], ids=["index", "segments"])
+def test_an_index_holds_names(spark, facts, build, most):
+    made = []
+    assert moved(spark, lambda: made.append(build(facts.repartition(4), scratch(spark, "disk")))) < most
+    postings = made[0].postings(["order_7", "has"])
+    want = {r[0] for r in G.identify(facts).select("assertion_id").collect()}
+    assert {r["assertion_id"] for r in postings.where("term = 'has'").collect()} == want and postings.where("term = 'order_7'").count() == 1
+
+
 def test_long_and_odd_names(spark):
     """Names of any length keep their identifiers, whether their key is the normal form or its digest."""
     names = ["a" * n for n in (1, 30, 31, 32, 33, 64, 500)] + ["é" * 16, "é" * 15 + "x", "", " _-", None, "Ab C"]
