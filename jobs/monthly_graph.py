@@ -16,6 +16,7 @@ import argparse
 import json
 import logging
 import sys
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -25,6 +26,7 @@ if __package__ in (None, ""):
 from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from factgraph.functions import text as T  # noqa: E402
 from factgraph.operators import graph as G  # noqa: E402
 from factgraph.operators import metrics as X  # noqa: E402
 from factgraph.session import get_session, prepare  # noqa: E402
@@ -71,10 +73,14 @@ def facts(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("raw_text", F.concat_ws(" ", "subject", F.lower("predicate"), "object"))
 
 
-def _put(rows: DataFrame, out: str, name: str, key: str, files: int) -> None:
-    """Replace the months of ``rows`` in a table, each dealt to so many files."""
-    deal = F.pmod(F.xxhash64(key), F.lit(files))
-    rows.repartition("month", deal).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{out}/{name}")
+def _put(rows: DataFrame, out: str, name: str, key: tuple[str, ...], files: int, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Replace the months of ``rows`` in a table, each dealt to so many files; ``finish`` is done to the rows that are dealt."""
+    deal = F.pmod(F.xxhash64(*key), F.lit(files))
+    finish(rows.repartition("month", deal)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{out}/{name}")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return G.with_node_ids(rows).withColumn("normalized_name", T.normalize_entity(F.col("canonical_name")))
 
 
 def build(spark: SparkSession, tables: str, out: str, config: Config | None = None) -> list[str]:
@@ -96,18 +102,19 @@ def build(spark: SparkSession, tables: str, out: str, config: Config | None = No
         rows = rows.where(F.col("month") >= config.first) if config.first else rows
         return rows.where(F.col("month") <= config.last) if config.last else rows
 
-    assertions = G.identify(facts(orders, lines))
-    _put(G.edges(assertions, "month"), out, "edges", "edge_id", config.files_per_month)
-    # What follows is made of the edges and nodes as they are written, which are fewer than the facts.
-    edges = made("edges")
-    _put(G.nodes(assertions, "month").join(G.degrees(edges, "month"), ["month", "node_id"]), out, "nodes", "node_id", config.files_per_month)
-    nodes = made("nodes")
+    # Keys of names are grouped, joined and dealt; identifiers, which are several times as long, are made while writing.
+    stated = facts(orders, lines)
+    by_keys = G.edge_rows(stated, "month")
+    _put(by_keys, out, "edges", G.EDGE_KEY, config.files_per_month, G.with_edge_ids)
+    _put(G.node_rows(stated, "month").join(G.degrees(by_keys, "month"), ["month", *G.NODE_KEY]), out, "nodes", G.NODE_KEY, config.files_per_month, _named)
+    # The figures are made of the edges and nodes as they are written.
+    edges, nodes = made("edges"), made("nodes")
     of_edges = edges.groupBy("month").agg(F.count(F.lit(1)).alias("edges"), F.sum("support").alias("assertions"))
     of_nodes = nodes.groupBy("month").agg(F.count(F.lit(1)).alias("nodes"), F.max("degree").alias("max_degree"))
     of_orders = orders.groupBy("month").agg(F.count(F.lit(1)).alias("documents"))
     figures = of_orders.join(of_edges, "month").join(of_nodes, "month")
     figures = figures.withColumn("assertions_per_document", F.round(X.ratio(F.col("assertions"), F.col("documents")), 6)).withColumn("mean_degree", F.round(X.ratio(2 * F.col("edges"), F.col("nodes")), 6))
-    _put(figures, out, "metrics", "month", 1)
+    _put(figures, out, "metrics", ("month",), 1)
     months = sorted(r["month"] for r in orders.select("month").distinct().collect())  # as many as months
     for row in made("metrics").where(F.col("month").isin(months)).orderBy("month").collect():
         LOG.info("wrote %s of %s: %d documents, %d edges, %d nodes", row["month"], out, row["documents"], row["edges"], row["nodes"])

@@ -12,6 +12,7 @@ from factgraph.operators import graph as G
 from factgraph.operators import index as I
 from factgraph.operators import segments as S
 from factgraph.session import scratch
+from jobs import monthly_graph
 
 N = 20_000
 
@@ -71,6 +72,14 @@ def test_an_index_holds_names(spark, facts, build, most):
     assert {r["assertion_id"] for r in postings.where("term = 'has'").collect()} == want and postings.where("term = 'order_7'").count() == 1
 
 
+def test_monthly_graph_deals_names(spark, tmp_path):
+    orders = spark.range(5000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 500).alias("o_custkey"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("o_orderdate"))
+    lines = spark.range(N // 2).select((F.col("id") % 5000).alias("l_orderkey"), F.floor(F.col("id") / 5000).cast("int").alias("l_linenumber"), F.col("id").alias("l_partkey"), (F.col("id") % 100).alias("l_suppkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert moved(spark, lambda: monthly_graph.build(spark, str(tmp_path), f"{tmp_path}/out")) < 900  # of which about 300 are the output
+
+
 def test_long_and_odd_names(spark):
     """Names of any length keep their identifiers, whether their key is the normal form or its digest."""
     names = ["a" * n for n in (1, 30, 31, 32, 33, 64, 500)] + ["é" * 16, "é" * 15 + "x", "", " _-", None, "Ab C"]
