@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factgraph.operators import deltas as D
 from factgraph.operators import graph as G
 from factgraph.operators import index as I
+from factgraph.operators import retrieve as R
 from factgraph.operators import segments as S
 from factgraph.session import scratch
 from jobs import monthly_graph
@@ -104,3 +105,52 @@ def test_touching_takes_an_assertion_once(spark, facts):
     ids = {r[0] for r in wanted.collect()}
     want = sorted(r["seq"] for r in G.identify(few).collect() if {r["subject_node_id"], r["object_node_id"]} & ids)
     assert sorted(r["seq"] for r in G.touching(few, wanted).collect()) == want
+
+
+def test_an_index_shuffles_nothing(spark, facts):
+    """All tables of an index together: rows are written where they are."""
+    rows = facts.repartition(4).cache()
+    rows.count()
+    made = []
+
+    def work():
+        made.append(I.build(rows, scratch(spark, "disk")))
+        made[0].postings(), made[0]._rows("ends")
+
+    assert moved(spark, work) < 110
+    assert made[0].n == N and made[0].mean_length == 3.0
+    rows.unpersist()
+
+
+def test_an_index_writes_what_is_asked_for(spark, facts):
+    index = I.build(facts.limit(100), scratch(spark, "disk"))
+    R.lookup(index, "x").collect()
+    assert set(index.schemas) == {"assertions"}
+    R.neighbours(index, G.identify(facts.limit(1)).select(F.col("subject_node_id").alias("node_id"))).collect()
+    assert set(index.schemas) == {"assertions", "ends"}
+
+
+@pytest.mark.parametrize("deleted", [None, "gone"])
+def test_best_without_reading_frequent_terms_whole(spark, facts, monkeypatch, deleted):
+    """The best assertions by rare terms and bounds are those of a scan; where the bound does not hold, all postings are read."""
+    odd = spark.createDataFrame([("gone", 1, "Order_7", "HAS", "Part_7", "order_7 has has part_7"), (None, 2, "Order_7", "HAS", None, "order_7 has"), ("e", 3, "order_7", "HAS", "X", "order_7 order_7 has has")], "document_id string, seq long, subject string, predicate string, object string, raw_text string")
+    rows = facts.limit(2000).unionByName(odd)
+    gone = deleted and spark.createDataFrame([(deleted,)], "document_id string")
+    monkeypatch.setattr(I, "PRUNED_FRONTIER", 100)
+    index, plain, few = I.build(rows, scratch(spark, "best"), 3), R.Plain(G.identify(rows)), []
+    real = I.SearchIndex.candidates
+    monkeypatch.setattr(I.SearchIndex, "candidates", lambda *a, **k: (few.append(real(*a, **k)), few[-1])[1])
+    for text, k, pruned in (("order_7 has part_7", 2, True), ("order_7 has", 2, True), ("order_7 has", 50, False), ("has", 3, False), ("order_7", 3, False)):
+        listed = [[(r[0], round(r[1], 9)) for r in R.bm25(source, text, k, deleted=gone).collect()] for source in (index, plain)]
+        assert listed[0] == listed[1] and (few.pop() is not None) == pruned
+
+
+def test_a_question_shuffles_keys(spark, facts, monkeypatch):
+    """Hits are grouped and joined with their texts by what assertions say."""
+    monkeypatch.setattr(I, "SENT_FRONTIER", 100)
+    monkeypatch.setattr(I, "SENT_HITS", 100)
+    index = I.build(facts.withColumn("object", F.lit("Part_1")), scratch(spark, "asked"), 4)
+    index.postings(), index._rows("ends")
+    asked = lambda: R.query_graph(index, "order_7 has part_1", 2)
+    assert moved(spark, ran(asked())) < 150
+    assert asked().select("assertion_id").distinct().count() == N
