@@ -247,7 +247,7 @@ class Settings:
 
 
 def ingest(docs: DataFrame, answers: DataFrame | None = None, active: DataFrame | None = None, aliases: DataFrame | None = None, verbs: list[str] | None = None) -> dict[str, DataFrame]:
-    """``docs`` (document_id, path, text) to chunks, validated records and a graph; one lazy plan.
+    """``docs`` (document_id, path, text) to chunks, validated records and a graph; one lazy plan, but distinct predicates are resolved at once.
 
     Records come from recorded ``answers`` (chunk_id, body), else from sentences with one of ``verbs``. ``unreadable`` has the
     answers that are malformed.

@@ -44,7 +44,7 @@ def promoted(pending: DataFrame, acts: DataFrame) -> DataFrame:
     """Pending assertions whose predicate is approved or mapped, under the name that it now has, with their checksums."""
     new = F.when(F.col("_action") == "map", F.col("_target")).otherwise(F.col("_name"))
     chosen = acts.where("action != 'reject'").select(F.col("name").alias("_name"), F.col("action").alias("_action"), F.col("target").alias("_target"))
-    rows = pending.withColumn("_name", F.upper("predicate")).join(chosen, "_name").withColumn("predicate", new).drop("_name", "_action", "_target")
+    rows = pending.withColumn("_name", F.upper("predicate")).join(F.broadcast(chosen), "_name").withColumn("predicate", new).drop("_name", "_action", "_target")
     if {"subject", "object"} <= set(rows.columns):
         rows = rows.withColumn("semantic_checksum", T.semantic_checksum(F.col("subject"), F.col("predicate"), F.col("object"))).withColumn("evidence_checksum", T.sha256(F.col("raw_text")))
     return rows
@@ -58,7 +58,7 @@ def curate(state: State, actions: DataFrame) -> dict[str, DataFrame]:
     ``active``, ``aliases``, ``pending``, ``promoted`` and, as far as the state has them, ``failed``; ``assertions`` with what was
     promoted and is not among them yet; ``documents`` with their counters bumped; and the ``runs`` whose graph is to be rebuilt.
     """
-    acts = decided(actions)
+    acts = F.broadcast(decided(actions))  # people's decisions; by a shuffle, all that is pending under a name would meet at it
     names = acts.where("action != 'reject'").select(F.when(F.col("action") == "map", F.col("target")).otherwise(F.col("name")).alias("name")).distinct()
     mapped = acts.where("action = 'map'").select(F.col("name").alias("source"), "target")
     out = {

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
+from ..session import cut
+
+#: So many distinct names are sent to the records; joined by a shuffle, all records would meet at the few names that they have.
+SENT_NAMES = 200_000
 
 
 def blank(c: str) -> Column:
@@ -31,6 +35,9 @@ def validate(records: DataFrame, active: DataFrame, aliases: DataFrame, chunk: s
     names = P.resolve(records.select("predicate").distinct(), active, aliases)
     near = P.nearest(names.where("resolved is null"), active).select(F.col("predicate").alias("_near_of"), "nearest")
     names = names.join(near, F.upper("predicate") == F.col("_near_of"), "left").select(F.col("predicate").alias("_name"), "resolved", "nearest")
+    if not records.isStreaming:
+        names = cut(names, 2)
+        names = F.broadcast(names) if names.limit(SENT_NAMES + 1).count() <= SENT_NAMES else names
     known = T.with_grounded(records, "raw_text", chunk, "_grounded")
     known = known.join(names, known["predicate"] == names["_name"], "left").drop("_name").withColumn("reject_reason", reject_reason())
     only = (F.col("reject_reason") == "PREDICATE") & ~blank("raw_text") & ~blank("predicate") & F.col("_grounded")

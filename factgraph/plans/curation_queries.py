@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions import text as T
 from ..operators import curation as C
 from ..operators import graph as G
 from ..operators import validate as V
+from ..session import cut, scratch
 from .fixtures import ALIASES, RAW, raw_predicates
 from .registry import query
 
@@ -71,8 +73,6 @@ def predicate_nearest(spark, sf):
 
 @query(f"{BASE}, {GROUND_SQL} SELECT seq, grounded FROM ground")
 def grounding(spark, sf):
-    from ..functions import text as T
-
     return raw_predicates(spark, sf).select("seq", T.grounded(F.col("raw_text"), F.col("chunk_text")).alias("grounded"))
 
 
@@ -129,13 +129,20 @@ def actions(spark, *rows):
 PENDING = f"{QUEUE}, pending AS (SELECT * FROM v WHERE outcome = 'queued')"
 
 
-def pending(spark, sf):
-    rows = V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).where("outcome = 'queued'")
+def kept(spark, sf):
+    """Validated records, written once for a query that takes what is accepted and what is pending of them."""
+    rows, folder = V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)), scratch(spark, "validated")
+    rows.where("outcome != 'rejected'").select("document_id", "seq", "predicate", "resolved", "outcome", "subject_text", "object_text", "raw_text").write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def pending(spark, sf, validated=None):
+    rows = (V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)) if validated is None else validated).where("outcome = 'queued'")
     return rows.select("document_id", "seq", "predicate", "raw_text", F.col("subject_text").alias("subject"), F.col("object_text").alias("object"), F.concat(F.lit("run-"), "document_id").alias("ingestion_run_id"))
 
 
-def state(spark, sf, **more):
-    return C.State(P.seed(spark), aliases(spark), pending(spark, sf), **more)
+def state(spark, sf, validated=None, **more):
+    return C.State(P.seed(spark), aliases(spark), pending(spark, sf, validated), **more)
 
 
 @query(f"{PENDING} SELECT seq, CASE upper(predicate) WHEN 'CLICK' THEN 'CLICK' ELSE 'CONTAINS' END AS predicate FROM pending WHERE upper(predicate) IN ('CLICK', 'UNKNOWNVERB')")
@@ -177,26 +184,29 @@ ok AS (SELECT DISTINCT v.document_id, sha256(upper(subject_text) || '|' || resol
 new AS (SELECT DISTINCT document_id, subject, predicate, object, c FROM pc WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.document_id = pc.document_id AND ok.c = pc.c))"""
 
 
-def accepted(spark, sf):
-    rows = V.validate(raw_predicates(spark, sf), P.seed(spark), aliases(spark)).where("outcome in ('accepted', 'collapsed')")
+def accepted(validated):
+    rows = validated.where("outcome in ('accepted', 'collapsed')")
     facts = rows.select("document_id", "seq", F.col("subject_text").alias("subject"), F.col("resolved").alias("predicate"), F.col("object_text").alias("object"), "raw_text", F.concat(F.lit("run-"), "document_id").alias("ingestion_run_id"))
-    return G.identify(facts).dropDuplicates(["document_id", "semantic_checksum"])
+    said = T.assertion_key(*map(F.col, ("document_id", "seq", "subject", "predicate", "object")))[1]  # as the checksum, and shorter
+    return G.identify(facts.withColumn("_said", said).dropDuplicates(["document_id", "_said"]).drop("_said"))
 
 
 @query(f"{PROMOTED} SELECT document_id, (SELECT count(*) FROM ok WHERE ok.document_id = d.document_id) + (SELECT count(*) FROM new WHERE new.document_id = d.document_id) AS total_assertions FROM (SELECT DISTINCT document_id FROM raw) d")
 def curation_counts(spark, sf):
     """What is promoted counts for its document."""
-    known = accepted(spark, sf)
+    validated = kept(spark, sf)
+    known = accepted(validated)
     docs = raw_predicates(spark, sf).select("document_id").distinct().join(known.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_assertions")), "document_id", "left")
-    out = C.curate(state(spark, sf, assertions=known, documents=docs), actions(spark))
+    out = C.curate(state(spark, sf, validated, assertions=known, documents=docs), actions(spark))
     return out["documents"].select("document_id", "total_assertions")
 
 
 @query(f"{PROMOTED}, e AS (SELECT DISTINCT sha256(lower(regexp_replace(subject, '[\\s_-]+', '', 'g'))) AS s, predicate, sha256(lower(regexp_replace(object, '[\\s_-]+', '', 'g'))) AS o FROM new WHERE predicate = 'CLICK') SELECT sha256(s || predicate || o) AS edge_id FROM e".replace("\\\\", "\\"))
 def curation_rebuild(spark, sf):
     """The graph after a predicate is approved: the runs of what was promoted are built again."""
-    known = accepted(spark, sf)
-    out = C.curate(state(spark, sf, assertions=known), actions(spark))
+    validated = kept(spark, sf)
+    known = accepted(validated)
+    out = C.curate(state(spark, sf, validated, assertions=known), actions(spark))
     rows = G.identify(out["assertions"])
     graph = C.rebuild(rows, out["runs"], {"nodes": G.nodes(known), "edges": G.edges(known)})
     return graph["edges"].where("predicate = 'CLICK'").select("edge_id")
@@ -205,7 +215,7 @@ def curation_rebuild(spark, sf):
 @query(f"{QUEUE} SELECT name, occurrence_count * 2 AS occurrence_count, last_seen_document, sample_raw_text, 2 AS updated_at FROM failed UNION ALL SELECT 'OLDVERB', 7, 'docX', 'an old sample', 1")
 def failed_queue_merge(spark, sf):
     """Two rounds of findings and an older entry."""
-    new = queue(spark, sf)
+    new = cut(queue(spark, sf), 2)  # a row a name, merged twice
     old = spark.createDataFrame([("OLDVERB", 7, "docX", "an old sample", "BUSINESS_RULES", 1)], "name string, occurrence_count long, last_seen_document string, sample_raw_text string, predicate_group string, updated_at int")
     first = P.merge_failed(old, new.withColumn("last_seen_document", F.lit("before")).withColumn("updated_at", F.lit(1)))
     return P.merge_failed(first, new.withColumn("updated_at", F.lit(2))).drop("predicate_group")

@@ -7,11 +7,14 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from factgraph.functions import predicates as P
+from factgraph.operators import curation as C
 from factgraph.operators import deltas as D
 from factgraph.operators import graph as G
 from factgraph.operators import index as I
 from factgraph.operators import retrieve as R
 from factgraph.operators import segments as S
+from factgraph.operators import validate as V
 from factgraph.session import scratch
 from jobs import monthly_graph
 
@@ -154,3 +157,21 @@ def test_a_question_shuffles_keys(spark, facts, monkeypatch):
     asked = lambda: R.query_graph(index, "order_7 has part_1", 2)
     assert moved(spark, ran(asked())) < 150
     assert asked().select("assertion_id").distinct().count() == N
+
+
+def test_records_are_not_dealt_by_the_few_names_they_have(spark, facts):
+    """Names and decisions are sent to the records: validating and curating shuffle none of them."""
+    names = F.element_at(F.array(*map(F.lit, ("CONTAINS", "CLICK", "UNKNOWNVERB"))), (F.col("seq") % 3 + 1).cast("int"))
+    records = facts.select("document_id", "seq", names.alias("predicate"), F.col("subject").alias("subject_text"), F.col("object").alias("object_text"), "raw_text", F.col("raw_text").alias("normalized_text"), F.col("raw_text").alias("chunk_text"))
+    aliases = spark.createDataFrame([], "source string, target string")
+    actions = spark.createDataFrame([("approve", "CLICK", None)], "action string, name string, target string")
+
+    def work():
+        done = V.validate(records.repartition(4), P.seed(spark), aliases)
+        pending = done.where("outcome = 'queued'").select("document_id", "seq", "predicate", "raw_text")
+        ran(C.curate(C.State(P.seed(spark), aliases, pending), actions)["promoted"])()
+
+    dealt = moved(spark, lambda: ran(records.repartition(4).select("predicate"))()) + moved(spark, lambda: ran(records.repartition(4))())
+    assert moved(spark, work) < dealt + 10
+    done = V.validate(records, P.seed(spark), aliases)
+    assert {r["predicate"]: r["n"] for r in done.groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).collect()} == {"CONTAINS": 6667, "CLICK": 6667, "UNKNOWNVERB": 6666}
