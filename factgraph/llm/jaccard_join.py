@@ -47,6 +47,9 @@ ROUNDS, FEW_LINKS = 4, 0.001
 LOOSE = 8
 #: Single pairs of two components that are tried before all of theirs are.
 TRIES = 2
+#: Rounds in which sets of components that meet as groups are tried against so many members, while all that meet would be more than
+#: this many times the sets. Like the stars they only save comparisons.
+MEETINGS, TRIED, FEW_MEETINGS = 8, 256, 2
 #: A component of which a bucket has at least so many sets, and this share, is met as a whole instead of bucket by bucket.
 GROUP, GROUP_SHARE = 8, 0.02
 #: Places of a set's parity signature, a multiple of 64.
@@ -269,13 +272,49 @@ def _signatures(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "n", "tokens").mapInArrow(frugal(sign), "sid long, n long, s array<long>")
 
 
+def _apart(s: str, t: str):
+    """The places in which two signatures differ."""
+    return sum((F.bit_count(F.col(s)[k].bitwiseXOR(F.col(t)[k])) for k in range(1, PARITY // 64)), F.bit_count(F.col(s)[0].bitwiseXOR(F.col(t)[0])))
+
+
 def _near(s: str, n: str, t: str, m: str, percent: int):
     """Whether two signatures and sizes allow enough likeness. It implies that the sizes alone do."""
-    apart = sum((F.bit_count(F.col(s)[k].bitwiseXOR(F.col(t)[k])) for k in range(1, PARITY // 64)), F.bit_count(F.col(s)[0].bitwiseXOR(F.col(t)[0])))
+    apart = _apart(s, t)
     sizes = (100 + percent) * F.least(n, m) >= percent * (F.col(n) + F.col(m))
     return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
+def _open(live: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The rows of buckets that have several components: ``comp``, the bucket's largest (``top``), whether a set is met with its
+    component ``as_group``, its signature and its ``band``."""
+    rows = live.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
+    grouped = sizes.where(F.col("size") >= GROUP).join(totals, "comp").where(F.col("size") >= GROUP_SHARE * F.col("total")).select("token", "comp", F.lit(True).alias("as_group"))
+    found = rows.join(top, "token").join(grouped, ["token", "comp"], "left")
+    if "s" not in found.columns:
+        found = found.join(signs.select("sid", "s"), "sid")
+    return written(found.withColumn("band", _band("n", percent)), "open")
+
+
+def _meets(open_rows: DataFrame) -> DataFrame:
+    """``sid``, ``comp``, ``with``: the groups that a set meets, each once, however many tokens they share."""
+    groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
+    return open_rows.where("comp != top").join(groups, "token").where("comp != with").select("sid", "comp", "with").distinct()
+
+
+def _tried(meets: DataFrame, comps: DataFrame, totals: DataFrame, signs: DataFrame, percent: int, k: int) -> DataFrame:
+    """``a``, ``b``: of each component and a group that it meets, the nearest pair of one set and of about ``TRIED`` members, others for each ``k``."""
+    one = meets.groupBy("comp", "with").agg(F.min_by("sid", F.xxhash64("sid", F.lit(k))).alias("sid")).join(signs, "sid").withColumn("band", _near_bands("n", percent))
+    part = comps.withColumnRenamed("comp", "with").join(totals, "with").where(F.pmod(F.xxhash64("sid", F.lit(k)), F.ceil(F.col("total") / TRIED)) == 0)
+    some = part.select("with", F.col("sid").alias("other")).join(signs.select(F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t")), "other").withColumn("band", _band("m", percent))
+    share = _apart("s", "t") / (F.col("n") + F.col("m"))
+    near = one.join(some, ["with", "band"]).where(_near("s", "n", "t", "m", percent))
+    best = near.groupBy(F.least("comp", "with").alias("low"), F.greatest("comp", "with").alias("high")).agg(F.min_by(F.struct("sid", "other"), F.struct(share, "sid", "other")).alias("p"))
+    return best.select(F.least("p.sid", "p.other").alias("a"), F.greatest("p.sid", "p.other").alias("b")).distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``.
 
@@ -435,21 +474,30 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
             break
     if comps is None:
         comps = written(sets.select("sid", F.col("sid").alias("comp")).limit(0), "comps")
-    # Then all that is left: what is outside a bucket's largest component, and all sets of its other components.
-    rows = live.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
-    grouped = sizes.where(F.col("size") >= GROUP).join(totals, "comp").where(F.col("size") >= GROUP_SHARE * F.col("total")).select("token", "comp", F.lit(True).alias("as_group"))
-    open_rows = rows.join(top, "token").join(grouped, ["token", "comp"], "left")
-    if "s" not in open_rows.columns:
-        open_rows = open_rows.join(signs.select("sid", "s"), "sid")
-    open_table = written(open_rows.withColumn("band", _band("n", percent)), "open")
-    open_rows = open_table
+    # Then all that is left: what is outside a bucket's largest component, and all sets of its other components. Large components
+    # that are alike would meet with all their sets, so a few pairs of each two are tried first, and those that link are one.
+    open_rows = _open(live, comps, signs, percent)
+    for k in range(MEETINGS):
+        meets = written(_meets(open_rows), f"meets-{k}")
+        totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("comp", "with")
+        most = meets.groupBy("comp", "with").agg(F.count(F.lit(1)).alias("n")).join(totals, "with").agg(F.sum(F.col("n") * F.col("total"))).first()[0] or 0
+        if most <= FEW_MEETINGS * n_sets:
+            forget(meets)
+            break
+        found = _verified(_tried(meets, comps, totals, signs, percent, k), edges, sets, percent, f"meeting-links-{k}")
+        links.append(found)
+        some = found.count()
+        forget(meets)
+        if not some:
+            break
+        comps = written(components(functools.reduce(DataFrame.unionByName, links), f"meetings-{k}"), f"comps-{ROUNDS + k}")
+        before, open_rows = open_rows, _open(live, comps, signs, percent)
+        forget(before)
+        if some < FEW_LINKS * n_sets:
+            break
+    open_table = open_rows
     apart = open_rows.where("comp != top")
-    # A set meets a group once, however many tokens they share.
-    groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
-    meets = apart.join(groups, "token").where("comp != with").select("sid", "comp", "with").distinct().join(signs, "sid").withColumn("band", _near_bands("n", percent))
+    meets = _meets(open_rows).join(signs, "sid").withColumn("band", _near_bands("n", percent))
     members = comps.join(signs, "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), _band("n", percent).alias("band"))
     met = meets.join(members, ["with", "band"]).where(_near("s", "n", "t", "m", percent))
     x, y = apart.withColumn("band", _near_bands("n", percent)).alias("x"), open_rows.where("as_group is null").alias("y")

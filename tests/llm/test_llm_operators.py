@@ -821,6 +821,21 @@ def test_counts_of_a_single_batch_add_up():
     assert [len(x) for x in jaccard_join._merge([(np.empty(0, np.int64), np.empty(0, np.int64))])] == [0, 0]
 
 
+def test_jaccard_join_tries_a_pair_before_all_sets_of_two_groups_meet(spark, monkeypatch):
+    """Two groups of near copies of which few pairs link, and most are nearly as near, do not meet with all their sets."""
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(240):
+        words = base[:76] + [f"v{k}" for k in range(9)] + base[85:] if i % 2 else list(base)
+        if i > 1:  # the first of either group is near all of the other
+            words[(95 if i % 2 else 10) + i % 55] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    met, real = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name, **options: (met.append(df.count()) if name == "pairs" else None) or real(df, name, **options))
+    assert Counter(tuple(r) for r in jaccard_join.join(frame(spark, rows)).collect()) == jaccard_truth(rows)
+    assert met[0] < 5 * len(rows)
+
+
 def test_jaccard_join_does_not_depend_on_partitions(spark):
     rows = near_corpus()
     spark.conf.set("spark.sql.shuffle.partitions", "13")
