@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgraph.functions import predicates as P
+from factgraph.functions import text as T
 from factgraph.operators import curation as C
 from factgraph.operators import deltas as D
 from factgraph.operators import graph as G
@@ -175,3 +176,21 @@ def test_records_are_not_dealt_by_the_few_names_they_have(spark, facts):
     assert moved(spark, work) < dealt + 10
     done = V.validate(records, P.seed(spark), aliases)
     assert {r["predicate"]: r["n"] for r in done.groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).collect()} == {"CONTAINS": 6667, "CLICK": 6667, "UNKNOWNVERB": 6666}
+
+
+def test_a_question_without_hops_writes_no_ends(spark, facts):
+    index = I.build(facts, scratch(spark, "disk"))
+    assert R.query_graph(index, "Order_7 has", 0).count() == R.TOP_K
+    assert "ends" not in index.schemas
+
+
+def test_texts_of_many_hits_shuffle_what_may_be_hit(spark, facts, monkeypatch):
+    """Hits that are too many to be sent, a hundredth of the assertions: the others' texts are not shuffled."""
+    index = I.build(facts, scratch(spark, "disk"))
+    few = facts.where("seq % 100 = 0").unionByName(facts.limit(1).withColumn("document_id", F.lit(None).cast("string")))
+    found = few.select(*T.assertion_key(*map(F.col, I._FACT)), F.lit(1).alias("depth")).localCheckpoint()
+    want = {(r["seq"], r["raw_text"]) for r in facts.where("seq % 100 = 0").collect()}
+    monkeypatch.setattr(I, "SENT_HITS", 10)
+    got = index.texts(found)
+    assert {(int(r["place"].split("|")[1]), r["raw_text"]) for r in got.collect()} == want and got.count() == len(want)
+    assert moved(spark, ran(got)) < 10
