@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, forget, frugal, written
+from .common import attach, forget, frugal, trim, written
 from .tokens import release, slices
 
 WORDS, PERCENT = 5, 75
@@ -54,6 +54,8 @@ MEETINGS, TRIED, FEW_MEETINGS = 8, 256, 2
 GROUP, GROUP_SHARE = 8, 0.02
 #: Places of a set's parity signature, a multiple of 64.
 PARITY = 1024
+#: Pairs that are sent to all tasks, so that of the sets only those in a pair are shuffled.
+SENT_PAIRS = 1_000_000
 _SLICE = 6_000_000
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(8)], np.uint64)
 _ROW = 32768  # bits of bitmap_construct_agg
@@ -219,18 +221,24 @@ def _edges(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("sid", halves(F.slice("tokens", F.lit(1), size)).alias("low"), halves(F.slice("tokens", -size, size)).alias("high"))
 
 
+def _with_ends(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (``a``, ``b``) with the ``columns`` of ``rows`` (``sid``, ...) at both ends, as ``<column>_a`` and ``<column>_b``."""
+    left, right = (rows.select(F.col("sid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in ("a", "b"))
+    if pairs.count() <= SENT_PAIRS:
+        left, right = left.join(F.broadcast(pairs), "a"), right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        return left.join(right, "b")
+    return pairs.join(left, "a").join(right, "b")
+
+
 def _verified(pairs: DataFrame, edges: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (``a``, ``b``) that are alike enough: first by the filters under both orders by hash, then by their sets."""
-    left = edges.select(F.col("sid").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    right = edges.select(F.col("sid").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    through = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b"))
+    asked = written(pairs.select("a", "b"), f"{name}-pairs")
+    through = _with_ends(asked, edges, "low", "high").where(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b"))
     through = written(through.select("a", "b"), f"{name}-candidates")
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = through.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared))
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    both = _with_ends(through, sets, "n", "tokens").where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
     found = written(both.select("a", "b"), name)
-    forget(through)
+    forget(asked, through)
     return found
 
 
@@ -299,9 +307,22 @@ def _open(live: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) ->
 
 
 def _meets(open_rows: DataFrame) -> DataFrame:
-    """``sid``, ``comp``, ``with``: the groups that a set meets, each once, however many tokens they share."""
-    groups = open_rows.where("as_group").select("token", F.col("comp").alias("with")).distinct()
-    return open_rows.where("comp != top").join(groups, "token").where("comp != with").select("sid", "comp", "with").distinct()
+    """``sid``, ``comp``, ``group``: the groups that a set meets, each once, however many tokens they share."""
+    groups = open_rows.where("as_group").select("token", F.col("comp").alias("group")).distinct()
+    return open_rows.where("comp != top").join(groups, "token").where("comp != group").select("sid", "comp", "group").distinct()
+
+
+def _moved(found: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """``comp``, ``now``: the components of ``groups`` that links ``found`` since then have joined to others, and those of ``comps`` that they are part of."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(groups, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    return ends.join(comps.select("sid", F.col("comp").alias("now")), "sid").where("comp != now").select("comp", "now").distinct()
+
+
+def _now(rows: DataFrame, moved: DataFrame | None, comp: str, now: str) -> DataFrame:
+    """``rows`` with the component that ``comp`` is part of as ``now``."""
+    if moved is None:
+        return rows.withColumn(now, F.col(comp))
+    return rows.join(moved.select(F.col("comp").alias(comp), F.col("now").alias("_now")), comp, "left").withColumn(now, F.coalesce("_now", comp)).drop("_now")
 
 
 def _tried(meets: DataFrame, comps: DataFrame, totals: DataFrame, signs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -356,7 +377,8 @@ def _joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     if by_join:
         living = living.join(_living(living, shared, percent), "set", "left_semi")
     else:
-        alive.unpersist()
+        alive.destroy()
+        trim()
     classes = written(heads.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "sets")
     linked, tables = _linked(living, percent)
     # Of each component the smallest identifier; then every row asks its set.
@@ -443,7 +465,8 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
         buckets = written(_ordered(sets, often, percent), "buckets")
     else:
         buckets = written(sets.select("sid", "n", "tokens").mapInArrow(frugal(first), "token long, sid long, n long, pos long, before long"), "buckets")
-        maps.unpersist()
+        maps.destroy()
+        trim()
     forget(often)
     edges = written(_edges(sets, percent), "edges")
     # Stars: in each round every bucket has another leader, and each set not joined with its buckets' leaders meets one of these;
@@ -476,38 +499,40 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
         comps = written(sets.select("sid", F.col("sid").alias("comp")).limit(0), "comps")
     # Then all that is left: what is outside a bucket's largest component, and all sets of its other components. Large components
     # that are alike would meet with all their sets, so a few pairs of each two are tried first, and those that link are one.
-    open_rows = _open(live, comps, signs, percent)
+    # Buckets are opened once: what joins since then is told by another column, and is not compared.
+    open_rows, groups, joined = _open(live, comps, signs, percent), comps, []
+    met_groups, moved = written(_meets(open_rows), "meets"), None
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
     for k in range(MEETINGS):
-        meets = written(_meets(open_rows), f"meets-{k}")
-        totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("comp", "with")
-        most = meets.groupBy("comp", "with").agg(F.count(F.lit(1)).alias("n")).join(totals, "with").agg(F.sum(F.col("n") * F.col("total"))).first()[0] or 0
+        meets = _now(_now(met_groups, moved, "group", "with"), moved, "comp", "comp").where("comp != with")
+        most = meets.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(sizes.withColumnRenamed("comp", "group"), "group").agg(F.sum(F.col("n") * F.col("total"))).first()[0] or 0
         if most <= FEW_MEETINGS * n_sets:
-            forget(meets)
             break
+        totals = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("comp", "with")
         found = _verified(_tried(meets, comps, totals, signs, percent, k), edges, sets, percent, f"meeting-links-{k}")
         links.append(found)
+        joined.append(found)
         some = found.count()
-        forget(meets)
         if not some:
             break
         comps = written(components(functools.reduce(DataFrame.unionByName, links), f"meetings-{k}"), f"comps-{ROUNDS + k}")
-        before, open_rows = open_rows, _open(live, comps, signs, percent)
-        forget(before)
+        moved = written(_moved(functools.reduce(DataFrame.unionByName, joined), groups, comps), f"moved-{k}")
         if some < FEW_LINKS * n_sets:
             break
-    open_table = open_rows
+    open_table, open_rows = open_rows, _now(open_rows, moved, "comp", "now")
     apart = open_rows.where("comp != top")
-    meets = _meets(open_rows).join(signs, "sid").withColumn("band", _near_bands("n", percent))
-    members = comps.join(signs, "sid").select(F.col("comp").alias("with"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), _band("n", percent).alias("band"))
-    met = meets.join(members, ["with", "band"]).where(_near("s", "n", "t", "m", percent))
+    meets = _now(_now(met_groups, moved, "group", "with"), moved, "comp", "comp").where("comp != with").join(signs, "sid").withColumn("band", _near_bands("n", percent))
+    members = groups.join(signs, "sid").select(F.col("comp").alias("group"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), _band("n", percent).alias("band"))
+    met = meets.join(members, ["group", "band"]).where(_near("s", "n", "t", "m", percent))
     x, y = apart.withColumn("band", _near_bands("n", percent)).alias("x"), open_rows.where("as_group is null").alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | F.col("x.as_group") | (F.col("x.sid") < F.col("y.sid"))
-    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
+    singly = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.now") != F.col("y.now")) & F.coalesce(once, F.lit(False)) & _may("x", "y", percent, True) & _near("x.s", "x.n", "y.s", "y.n", percent))
+
     def pair(x: str, y: str, comp_x: str, comp_y: str) -> list:
         ends = [f(x, y).alias(name) for f, name in ((F.least, "a"), (F.greatest, "b"))]
         return [*ends, F.least(comp_x, comp_y).alias("low"), F.greatest(comp_x, comp_y).alias("high")]
 
-    pairs = singly.select(*pair("x.sid", "y.sid", "x.comp", "y.comp")).unionByName(met.select(*pair("sid", "other", "comp", "with")))
+    pairs = singly.select(*pair("x.sid", "y.sid", "x.now", "y.now")).unionByName(met.select(*pair("sid", "other", "comp", "with")))
     pairs = written(pairs.distinct(), "pairs")
     # One pair of each two components first: where it is a link, the others need no comparison.
     for k in range(TRIES):
@@ -523,7 +548,7 @@ def _linked(taken: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     more = _verified(pairs.select("a", "b"), edges, sets, percent, "links")
     forget(pairs)
     found = written(components(functools.reduce(DataFrame.unionByName, [*links, more]), "stars"), "comps")
-    forget(live, edges, *links, more, comps, signs, open_table)
+    forget(live, edges, *links, more, comps, groups, signs, open_table, met_groups)
     return sets.select("sid", "set").join(found, "sid").select("set", "comp"), [sets, found]
 
 

@@ -967,3 +967,42 @@ def test_machine_local_folders_are_for_local_masters_only(spark, monkeypatch):
     assert table.count() == 3
     common.forget(table)
     assert not common.names_in(spark, table._written_to)
+
+
+def test_jaccard_join_sends_few_pairs_to_the_sets(spark, monkeypatch):
+    """Of the sets only those in a pair are shuffled; many pairs give the same."""
+    rng = np.random.default_rng(5)
+    sets = [(i, 300, sorted(map(int, rng.integers(-(1 << 62), 1 << 62, 300)))) for i in range(400)]
+    sets[1] = (1, 300, sorted(sets[0][2][:290] + sets[1][2][:10]))
+    sets = jaccard_join.written(spark.createDataFrame(sets, "sid long, n long, tokens array<long>").repartition(4), "sets")
+    edges = jaccard_join.written(jaccard_join._edges(sets, 75), "edges")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (5, 6)], "a long, b long")
+
+    def shuffled() -> int:
+        time.sleep(1)  # the status store follows the events
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sets were many
+    try:
+        before = shuffled()
+        assert [tuple(r) for r in jaccard_join._verified(pairs, edges, sets, 75, "found").collect()] == [(0, 1)]
+        assert shuffled() - before < 100_000
+        monkeypatch.setattr(jaccard_join, "SENT_PAIRS", 0)
+        assert [tuple(r) for r in jaccard_join._verified(pairs, edges, sets, 75, "found").collect()] == [(0, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_jaccard_join_opens_buckets_once(spark, monkeypatch):
+    """However many rounds join components that meet, the rows of buckets are made once, and the components are right."""
+    rows, opened, real = near_corpus(), [], jaccard_join._open
+    for name, value in (("GROUP", 2), ("ROUNDS", 1), ("FEW_MEETINGS", -1), ("FEW_LINKS", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(jaccard_join, "_open", lambda *a: opened.append(1) or real(*a))
+    tried, meeting = [], jaccard_join._tried
+    monkeypatch.setattr(jaccard_join, "_tried", lambda *a: tried.append(1) or meeting(*a))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(frame(spark, rows)).collect()) == jaccard_truth(rows)
+    assert len(opened) == 1 and tried
