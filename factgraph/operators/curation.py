@@ -102,5 +102,5 @@ def revoke(assertions: DataFrame, active: DataFrame, predicate: str) -> dict[str
     """The taxonomy and assertions without a predicate, and the nodes that only it held."""
     name = F.upper("predicate") == predicate.upper()
     gone = F.coalesce(name, F.lit(False))
-    left, orphans = assertions.where(~gone), G.with_node_ids(G.unsupported(assertions.withColumn("_gone", gone))[1])
+    left, orphans = assertions.where(~gone), G.with_node_ids(G.lost_nodes(assertions, gone))
     return {"active": active.where(F.col("name") != predicate.upper()), "assertions": left, "orphan_nodes": orphans}
