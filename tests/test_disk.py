@@ -194,3 +194,32 @@ def test_texts_of_many_hits_shuffle_what_may_be_hit(spark, facts, monkeypatch):
     got = index.texts(found)
     assert {(int(r["place"].split("|")[1]), r["raw_text"]) for r in got.collect()} == want and got.count() == len(want)
     assert moved(spark, ran(got)) < 10
+
+
+def test_few_nodes_are_told_where_rows_are_read(spark, facts):
+    """What is not at a wanted node does not reach a shuffle that comes before."""
+    wanted = spark.range(1).select(T.node_id(F.lit("Order_7")).alias("node_id"))
+    assert moved(spark, ran(G.touching(facts.distinct(), wanted))) < 5
+    assert [r["seq"] for r in G.touching(facts.distinct(), wanted).collect()] == [7]
+    assert G.touching(facts, wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("listed", [G.LISTED, 10])
+def test_revoking_few_assertions_reads_their_nodes(spark, facts, monkeypatch, listed):
+    """A predicate of few assertions: the others are shuffled only at its nodes; by the list of nodes and without one the rows are the same."""
+    monkeypatch.setattr(G, "LISTED", listed)
+    few = facts.limit(40).select("document_id", (F.col("seq") + N).alias("seq"), F.concat("subject", F.when(F.col("seq") % 2 == 0, "_new").otherwise("")).alias("subject"), F.lit("PART_OF").alias("predicate"), "object", "raw_text")
+    rows = facts.unionByName(few)
+    made = []
+    cost = moved(spark, lambda: made.append(sorted(r["node_id"] for r in C.revoke(rows, P.seed(spark), "part_of")["orphan_nodes"].collect())))
+    assert made[0] == sorted(r[0] for r in few.where("subject like '%_new'").select(T.node_id(F.col("subject"))).distinct().collect())
+    assert cost < 10 or listed == 10
+
+
+def test_an_index_that_is_written_later_holds_what_was_asked_for(spark, facts):
+    few = facts.limit(100)
+    index, start = I.build(few, scratch(spark, "disk"), later=True), G.identify(few.limit(1)).select(F.col("subject_node_id").alias("node_id"))
+    assert not index.schemas
+    got = {tuple(r) for r in R.neighbours(index, start, 2).collect()}
+    assert set(index.schemas) == {"ends"} and got == {tuple(r) for r in R.neighbours(R.Plain(G.identify(few)), start, 2).collect()}
+    assert index.n == 100 and index.mean_length == 3.0
