@@ -223,3 +223,11 @@ def test_an_index_that_is_written_later_holds_what_was_asked_for(spark, facts):
     got = {tuple(r) for r in R.neighbours(index, start, 2).collect()}
     assert set(index.schemas) == {"ends"} and got == {tuple(r) for r in R.neighbours(R.Plain(G.identify(few)), start, 2).collect()}
     assert index.n == 100 and index.mean_length == 3.0
+
+
+def test_a_segment_shuffles_hot_terms_alone(spark, facts):
+    """Terms with their counts, and the postings of terms that all texts have, are shuffled; all else is written where it is."""
+    rows = facts.repartition(4).cache()
+    rows.count()
+    assert moved(spark, lambda: S.build(rows, scratch(spark, "disk"))) < 290
+    rows.unpersist()

@@ -127,3 +127,15 @@ def test_traces_ask_an_index(spark):
             assert rows(ask(source)) == rows(ask(a))
     assert len(rows(G.node_trace(a, docs, ids[0]))) > len(rows(G.edge_trace(a, docs, ids[0], "uses", ids[1]))) > 0
     a.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_the_queries_merge_both_additions(spark):
+    """The index of the queries is one merged addition and a deletion, with the rows of a fresh build."""
+    from factgraph.plans import fixtures, graph_queries
+
+    sf = "/root/testdata/sf0.001"
+    index, every = graph_queries.segments(spark, sf), fixtures.assertions(spark, sf)
+    gone = every.where("document_id = 'provides'").count()
+    assert list(index.counts.values()) == [every.count(), -gone] and index.last == 3
+    assert index.postings().count() == R.Plain(every.where("document_id != 'provides'")).postings().count()
