@@ -16,7 +16,6 @@ import argparse
 import json
 import logging
 import sys
-from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -73,10 +72,17 @@ def facts(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("raw_text", F.concat_ws(" ", "subject", F.lower("predicate"), "object"))
 
 
-def _put(rows: DataFrame, out: str, name: str, key: tuple[str, ...], files: int, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
-    """Replace the months of ``rows`` in a table, each dealt to so many files; ``finish`` is done to the rows that are dealt."""
-    deal = F.pmod(F.xxhash64(*key), F.lit(files))
-    finish(rows.repartition("month", deal)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{out}/{name}")
+def _put(rows: DataFrame, out: str, name: str) -> None:
+    """Replace the months of ``rows`` in a table."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(f"{out}/{name}")
+
+
+def _dealt(rows: DataFrame, key: tuple[str, ...], files: int) -> DataFrame:
+    """``rows`` with the number (``file``) of the file of their month that their ``key`` is dealt to, and there already.
+
+    What is grouped by ``month``, ``file`` and ``key`` then stays where it is until it is written.
+    """
+    return rows.withColumn("file", F.pmod(F.xxhash64(*key), F.lit(files))).repartition("month", "file")
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -102,11 +108,15 @@ def build(spark: SparkSession, tables: str, out: str, config: Config | None = No
         rows = rows.where(F.col("month") >= config.first) if config.first else rows
         return rows.where(F.col("month") <= config.last) if config.last else rows
 
-    # Keys of names are grouped, joined and dealt; identifiers, which are several times as long, are made while writing.
-    stated = facts(orders, lines)
-    by_keys = G.edge_rows(stated, "month")
-    _put(by_keys, out, "edges", G.EDGE_KEY, config.files_per_month, G.with_edge_ids)
-    _put(G.node_rows(stated, "month").join(G.degrees(by_keys, "month"), ["month", *G.NODE_KEY]), out, "nodes", G.NODE_KEY, config.files_per_month, _named)
+    # Each row is dealt once, by names, and grouped where it is to be written; identifiers, which are several times as long, are
+    # made while writing. ``facts`` gives each thing one name, so names are its nodes' keys, and an edge's rows name both ends.
+    stated = facts(orders, lines).select("month", "document_id", "seq", "subject", "predicate", "object")
+    by_names = _dealt(stated, ("subject", "predicate", "object"), config.files_per_month).groupBy("month", "file", "predicate", "subject", "object")
+    edges = by_names.agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("support"))
+    _put(G.with_edge_ids(G.keyed(edges).select("month", *G.EDGE_KEY, "document_id", "support")), out, "edges")
+    ends = by_names.agg(F.lit(1)).select("month", F.explode(F.array("subject", "object")).alias("canonical_name"))
+    nodes = _dealt(ends, ("canonical_name",), config.files_per_month).groupBy("month", "file", "canonical_name").agg(F.count(F.lit(1)).alias("degree"))
+    _put(_named(nodes.select("month", T.name_key(F.col("canonical_name")).alias("key"), "canonical_name", "degree")), out, "nodes")
     # The figures are made of the edges and nodes as they are written.
     edges, nodes = made("edges"), made("nodes")
     of_edges = edges.groupBy("month").agg(F.count(F.lit(1)).alias("edges"), F.sum("support").alias("assertions"))
@@ -114,7 +124,7 @@ def build(spark: SparkSession, tables: str, out: str, config: Config | None = No
     of_orders = orders.groupBy("month").agg(F.count(F.lit(1)).alias("documents"))
     figures = of_orders.join(of_edges, "month").join(of_nodes, "month")
     figures = figures.withColumn("assertions_per_document", F.round(X.ratio(F.col("assertions"), F.col("documents")), 6)).withColumn("mean_degree", F.round(X.ratio(2 * F.col("edges"), F.col("nodes")), 6))
-    _put(figures, out, "metrics", ("month",), 1)
+    _put(figures.repartition("month"), out, "metrics")
     months = sorted(r["month"] for r in orders.select("month").distinct().collect())  # as many as months
     for row in made("metrics").where(F.col("month").isin(months)).orderBy("month").collect():
         LOG.info("wrote %s of %s: %d documents, %d edges, %d nodes", row["month"], out, row["documents"], row["edges"], row["nodes"])

@@ -231,3 +231,15 @@ def test_a_segment_shuffles_hot_terms_alone(spark, facts):
     rows.count()
     assert moved(spark, lambda: S.build(rows, scratch(spark, "disk"))) < 290
     rows.unpersist()
+
+
+def test_monthly_graph_deals_rows_once(spark, tmp_path):
+    """An edge of two lines, and months whose rows are dealt over files: grouped where they are written, and packed."""
+    orders = spark.range(5000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 500).alias("o_custkey"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("o_orderdate"))
+    lines = spark.range(N // 2).select((F.col("id") % 5000).alias("l_orderkey"), F.floor(F.col("id") / 5000).cast("int").alias("l_linenumber"), (F.col("id") % 5000).alias("l_partkey"), (F.col("id") % 100).alias("l_suppkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert moved(spark, lambda: monthly_graph.build(spark, str(tmp_path), f"{tmp_path}/out")) < 200
+    edges = monthly_graph.read_table(spark, f"{tmp_path}/out", "edges")
+    assert {r["support"]: r["n"] for r in edges.groupBy("support").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 5000, 2: 10_000}
+    assert monthly_graph.read_table(spark, f"{tmp_path}/out", "nodes").agg(F.sum("degree")).first()[0] == 30_000
