@@ -243,3 +243,20 @@ def test_monthly_graph_deals_rows_once(spark, tmp_path):
     edges = monthly_graph.read_table(spark, f"{tmp_path}/out", "edges")
     assert {r["support"]: r["n"] for r in edges.groupBy("support").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 5000, 2: 10_000}
     assert monthly_graph.read_table(spark, f"{tmp_path}/out", "nodes").agg(F.sum("degree")).first()[0] == 30_000
+
+
+def test_hops_in_sql_shuffle_keys(spark, facts):
+    """A hop joins what names nodes, not their identifiers, also where no side is small."""
+    from factgraph.operators import sqltools
+
+    index = I.build(facts, scratch(spark, "disk"), 4)
+    sqltools.register(index, "disk_")
+    root = G.identify(facts.where("seq = 7")).first()["subject_node_id"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.sql("SELECT * FROM disk_neighbours(:root, 2)", {"root": root})
+        assert moved(spark, ran(asked)) < 150
+        assert {r["hop"]: r["n"] for r in asked.groupBy("hop").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 1, 1: 1, 2: 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
