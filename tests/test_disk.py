@@ -260,3 +260,22 @@ def test_hops_in_sql_shuffle_keys(spark, facts):
         assert {r["hop"]: r["n"] for r in asked.groupBy("hop").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 1, 1: 1, 2: 3}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_nodes_shuffle_what_may_be_at_them(spark, facts, monkeypatch):
+    """A frontier that is too large to be sent, at a twelfth of the ends: the others are not shuffled, and the rows are the same."""
+    index = I.build(facts, scratch(spark, "disk"), 4)
+    index._rows("ends")
+    nodes = facts.where("seq < 400").select(T.node_id(F.col("object")).alias("node_id")).localCheckpoint()
+    asked = lambda: (index.ends(nodes), index.links(nodes), index.assertions(G.identify(facts.where("seq < 400")).select("assertion_id")))
+    want = [sorted(str(r) for r in df.select(*sorted(df.columns)).collect()) for df in asked()]
+    assert [len(w) for w in want] == [1600, 1600, 400]
+    monkeypatch.setattr(I, "SENT_FRONTIER", 100)
+    monkeypatch.setattr(I, "PRUNED_FRONTIER", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(str(r) for r in df.select(*sorted(df.columns)).collect()) for df in asked()] == want
+        assert moved(spark, lambda: [ran(df)() for df in asked()]) < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
