@@ -279,3 +279,13 @@ def test_many_nodes_shuffle_what_may_be_at_them(spark, facts, monkeypatch):
         assert moved(spark, lambda: [ran(df)() for df in asked()]) < 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_index_is_written_by_small_tasks(spark, facts, tmp_path, monkeypatch):
+    """A task sorts what it writes, so files are read in small parts; the session's settings are as before afterwards."""
+    facts.coalesce(1).write.option("parquet.block.size", 1 << 16).option("parquet.block.size.row.check.min", 10).parquet(str(tmp_path / "facts"))
+    monkeypatch.setattr(I, "SMALL_TASKS", {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1"})
+    given = {k: spark.conf.get(k) for k in I.SMALL_TASKS}
+    index = I.build(spark.read.parquet(str(tmp_path / "facts")), scratch(spark, "disk"), 1, later=True)
+    assert index._rows("postings").select(F.input_file_name()).distinct().count() > 4
+    assert {k: spark.conf.get(k) for k in I.SMALL_TASKS} == given and index.postings().count() == 3 * N
