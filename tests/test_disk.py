@@ -289,3 +289,17 @@ def test_an_index_is_written_by_small_tasks(spark, facts, tmp_path, monkeypatch)
     index = I.build(spark.read.parquet(str(tmp_path / "facts")), scratch(spark, "disk"), 1, later=True)
     assert index._rows("postings").select(F.input_file_name()).distinct().count() > 4
     assert {k: spark.conf.get(k) for k in I.SMALL_TASKS} == given and index.postings().count() == 3 * N
+
+
+def test_many_nodes_of_segments_shuffle_what_may_be_at_them(spark, facts, monkeypatch):
+    index = S.build(facts, scratch(spark, "disk"))
+    nodes = facts.where("seq < 400").select(T.node_id(F.col("object")).alias("node_id")).localCheckpoint()
+    want = sorted(str(r) for r in index.ends(nodes).collect())
+    monkeypatch.setattr(S, "PRUNED_FRONTIER", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(str(r) for r in index.ends(nodes).collect()) == want and len(want) == 1600
+        assert moved(spark, ran(index.ends(nodes))) < 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
